@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from . import decontam
+from . import decontam, jaccard
 from .util import table
 
 
@@ -10,8 +10,12 @@ def op6_decontamination(spark, sf_dir):
     return decontam.decontamination_report(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
 
 
+def op8_ngram_jaccard_join(spark, sf_dir):
+    return jaccard.near_duplicates(table(spark, sf_dir, "documents"))
+
+
 def queries() -> dict:
-    return {"op6_decontamination": op6_decontamination}
+    return {"op6_decontamination": op6_decontamination, "op8_ngram_jaccard_join": op8_ngram_jaccard_join}
 
 
 def oracle_sql() -> dict:
