@@ -2,10 +2,18 @@
 
 from __future__ import annotations
 
-from . import decontam, jaccard
+from . import bpe, decontam, jaccard, secrets
 from .util import table
 
 
+def op2_bpe(spark, sf_dir):
+    return bpe.encoding_digest(table(spark, sf_dir, "documents"))
+
+
+def op3_secrets(spark, sf_dir):
+    return secrets.scan_secrets(table(spark, sf_dir, "documents"))
+
+
 def op6_decontamination(spark, sf_dir):
     return decontam.decontamination_report(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
 
@@ -15,7 +23,7 @@ def op8_ngram_jaccard_join(spark, sf_dir):
 
 
 def queries() -> dict:
-    return {"op6_decontamination": op6_decontamination, "op8_ngram_jaccard_join": op8_ngram_jaccard_join}
+    return {"op2_bpe": op2_bpe, "op3_secrets": op3_secrets, "op6_decontamination": op6_decontamination, "op8_ngram_jaccard_join": op8_ngram_jaccard_join}
 
 
 def oracle_sql() -> dict:
