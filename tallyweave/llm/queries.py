@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from . import bpe, decontam, jaccard, secrets
+from . import bpe, decontam, jaccard, quality, secrets
 from .util import table
 
 
@@ -14,6 +14,10 @@ def op3_secrets(spark, sf_dir):
     return secrets.scan_secrets(table(spark, sf_dir, "documents"))
 
 
+def op4_quality_rules(spark, sf_dir):
+    return quality.judge(table(spark, sf_dir, "documents"))
+
+
 def op6_decontamination(spark, sf_dir):
     return decontam.decontamination_report(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
 
@@ -23,8 +27,8 @@ def op8_ngram_jaccard_join(spark, sf_dir):
 
 
 def queries() -> dict:
-    return {"op2_bpe": op2_bpe, "op3_secrets": op3_secrets, "op6_decontamination": op6_decontamination, "op8_ngram_jaccard_join": op8_ngram_jaccard_join}
+    return {"op2_bpe": op2_bpe, "op3_secrets": op3_secrets, "op4_quality_rules": op4_quality_rules, "op6_decontamination": op6_decontamination, "op8_ngram_jaccard_join": op8_ngram_jaccard_join}
 
 
 def oracle_sql() -> dict:
-    return {}
+    return {"op4_quality_rules": quality.ORACLE_SQL}
