@@ -2,8 +2,15 @@
 
 from __future__ import annotations
 
-from . import bpe, decontam, jaccard, quality, secrets
-from .util import table
+from . import bpe, decontam, jaccard, langid, quality, secrets, toxicity
+from .util import held_out, table
+
+
+def op1_language_id(spark, sf_dir):
+    docs = table(spark, sf_dir, "documents")
+    out = held_out(4, 2)
+    model = langid.learn(docs.select("doc_id", "text", "lang"), ~out)
+    return langid.identify(docs.select("doc_id", "text"), model).select("doc_id", out.alias("held_out"), "lang_pred", "score")
 
 
 def op2_bpe(spark, sf_dir):
@@ -26,8 +33,15 @@ def op8_ngram_jaccard_join(spark, sf_dir):
     return jaccard.near_duplicates(table(spark, sf_dir, "documents"))
 
 
+def op10_toxicity(spark, sf_dir):
+    docs = table(spark, sf_dir, "documents")
+    out = held_out(3, 1)
+    model = toxicity.learn(docs.select("doc_id", "text", "lang"), table(spark, sf_dir, "labels"), ~out)
+    return toxicity.score(docs, model).select("doc_id", out.alias("held_out"), "score", "predicted")
+
+
 def queries() -> dict:
-    return {"op2_bpe": op2_bpe, "op3_secrets": op3_secrets, "op4_quality_rules": op4_quality_rules, "op6_decontamination": op6_decontamination, "op8_ngram_jaccard_join": op8_ngram_jaccard_join}
+    return {"op1_language_id": op1_language_id, "op2_bpe": op2_bpe, "op3_secrets": op3_secrets, "op4_quality_rules": op4_quality_rules, "op6_decontamination": op6_decontamination, "op8_ngram_jaccard_join": op8_ngram_jaccard_join, "op10_toxicity": op10_toxicity}
 
 
 def oracle_sql() -> dict:
