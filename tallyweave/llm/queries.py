@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from . import bpe, decontam, jaccard, langid, quality, repeats, secrets, toxicity
+from . import bpe, decontam, jaccard, langid, quality, repeats, secrets, toxicity, warc
 from .util import held_out, table
 
 
@@ -37,6 +37,10 @@ def op8_ngram_jaccard_join(spark, sf_dir):
     return jaccard.near_duplicates(table(spark, sf_dir, "documents"))
 
 
+def op9_warc(spark, sf_dir):
+    return warc.round_trip(table(spark, sf_dir, "pages"))
+
+
 def op10_toxicity(spark, sf_dir):
     docs = table(spark, sf_dir, "documents")
     out = held_out(3, 1)
@@ -45,7 +49,7 @@ def op10_toxicity(spark, sf_dir):
 
 
 def queries() -> dict:
-    return {"op1_language_id": op1_language_id, "op2_bpe": op2_bpe, "op3_secrets": op3_secrets, "op4_quality_rules": op4_quality_rules, "op6_decontamination": op6_decontamination, "op7_suffix_array_dedup": op7_suffix_array_dedup, "op8_ngram_jaccard_join": op8_ngram_jaccard_join, "op10_toxicity": op10_toxicity}
+    return {"op1_language_id": op1_language_id, "op2_bpe": op2_bpe, "op3_secrets": op3_secrets, "op4_quality_rules": op4_quality_rules, "op6_decontamination": op6_decontamination, "op7_suffix_array_dedup": op7_suffix_array_dedup, "op8_ngram_jaccard_join": op8_ngram_jaccard_join, "op9_warc": op9_warc, "op10_toxicity": op10_toxicity}
 
 
 def oracle_sql() -> dict:
