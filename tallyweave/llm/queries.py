@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from . import bpe, decontam, jaccard, langid, quality, repeats, secrets, toxicity, warc
+from . import bpe, decontam, jaccard, langid, pii, quality, repeats, secrets, toxicity, warc
 from .util import held_out, table
 
 
@@ -25,6 +25,10 @@ def op4_quality_rules(spark, sf_dir):
     return quality.judge(table(spark, sf_dir, "documents"))
 
 
+def op5_pii_surrogates(spark, sf_dir):
+    return pii.replace_entities(table(spark, sf_dir, "documents"))
+
+
 def op6_decontamination(spark, sf_dir):
     return decontam.decontamination_report(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
 
@@ -49,7 +53,7 @@ def op10_toxicity(spark, sf_dir):
 
 
 def queries() -> dict:
-    return {"op1_language_id": op1_language_id, "op2_bpe": op2_bpe, "op3_secrets": op3_secrets, "op4_quality_rules": op4_quality_rules, "op6_decontamination": op6_decontamination, "op7_suffix_array_dedup": op7_suffix_array_dedup, "op8_ngram_jaccard_join": op8_ngram_jaccard_join, "op9_warc": op9_warc, "op10_toxicity": op10_toxicity}
+    return {"op1_language_id": op1_language_id, "op2_bpe": op2_bpe, "op3_secrets": op3_secrets, "op4_quality_rules": op4_quality_rules, "op5_pii_surrogates": op5_pii_surrogates, "op6_decontamination": op6_decontamination, "op7_suffix_array_dedup": op7_suffix_array_dedup, "op8_ngram_jaccard_join": op8_ngram_jaccard_join, "op9_warc": op9_warc, "op10_toxicity": op10_toxicity}
 
 
 def oracle_sql() -> dict:
