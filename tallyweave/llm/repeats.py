@@ -105,6 +105,8 @@ def _read_runs(docs: DataFrame, match: int) -> DataFrame:
 
         def emit() -> Iterator[pa.RecordBatch]:
             doc, start, many, anchor, content = (np.concatenate(x) for x in zip(*held, strict=True))
+            if not len(doc):
+                return
             order = np.argsort(content)
             twin = content[order][1:] == content[order][:-1]
             rows = order[np.append(twin, False) | np.append(False, twin)]
