@@ -5,7 +5,7 @@ more, the one with the largest page_id is a response and the others are revisits
 response's payload goes in chunked transfer framing, and a block of more than
 ``SEGMENT_BYTES`` is cut into a first segment and continuation records. Records are written
 as text whose line separator is the blank line pair that ends a WARC record, so that any
-file system Spark can write to will do; ``FILE_RECORDS`` bounds a file.
+file system Spark can write to will do; files are gzip streams and ``FILE_RECORDS`` bounds them.
 
 Reading parses whole archive files (gzip members too), groups segments by their origin's
 identifier, orders them by segment number, verifies the numbering, the total length and the
@@ -105,7 +105,7 @@ def archive_records(pages: DataFrame, least: int = LEAST_REVISIT_BYTES, segment:
 
 
 def write_archives(pages: DataFrame, path: str, least: int = LEAST_REVISIT_BYTES, segment: int = SEGMENT_BYTES) -> None:
-    archive_records(pages, least, segment).write.option("lineSep", _CRLF * 2).option("maxRecordsPerFile", FILE_RECORDS).text(path)
+    archive_records(pages, least, segment).write.option("lineSep", _CRLF * 2).option("maxRecordsPerFile", FILE_RECORDS).option("compression", "gzip").text(path)
 
 
 def parse_records(data: bytes) -> Iterator[tuple[dict[str, str], bytes]]:
