@@ -44,7 +44,7 @@ DATE = "2024-01-01T00:00:00Z"
 BASE32 = "ABCDEFGHIJKLMNOPQRSTUVWXYZ234567"
 
 _CRLF = "\r\n"
-_ARCHIVED = "origin string, number int, total bigint, kind string, page_id string, refers_to string, digest string, block binary"
+_ARCHIVED = "origin string, number int, total bigint, kind string, page_id string, refers_to string, digest string, block binary, verified boolean"
 
 
 def base32_of_hex(digest: Column) -> Column:
@@ -149,26 +149,6 @@ def decode_chunked(body: bytes) -> bytes:
         at += size + 2
 
 
-def read_archives(spark: SparkSession, path: str) -> DataFrame:
-    """One row for each record segment of the archive files under ``path``."""
-    prepare(spark)
-
-    def parse(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        names = [c.split()[0] for c in _ARCHIVED.split(", ")]
-        types = [pa.string(), pa.int32(), pa.int64(), pa.string(), pa.string(), pa.string(), pa.string(), pa.binary()]
-        for b in batches:
-            for data in b.column(0):
-                rows = []
-                for h, block in parse_records(data.as_py()):
-                    origin = h.get("warc-segment-origin-id") or h.get("warc-record-id", "")
-                    digest = h.get("warc-payload-digest")
-                    rows.append((origin.strip("<>"), int(h.get("warc-segment-number", "1")), int(h["warc-segment-total-length"]) if "warc-segment-total-length" in h else None, h.get("warc-type"), h.get("warc-page-id"), h.get("warc-refers-to-page-id"), digest.removeprefix("sha1:") if digest else None, block))
-                if rows:
-                    yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*rows, strict=True), types, strict=True)], names)
-
-    return spark.read.format("binaryFile").load(path).select("content").mapInArrow(parse, _ARCHIVED)
-
-
 def assemble(segments: list[dict]) -> list[dict]:
     """The records that one origin's segments make up, one for each copy that was archived."""
     by_number: dict[int, list[dict]] = {}
@@ -198,14 +178,61 @@ def assemble(segments: list[dict]) -> list[dict]:
     return [made] * copies
 
 
+def _is_whole(segments: list[dict]) -> bool:
+    """Whether these are all segments of a record, equally many copies of each."""
+    numbers = sorted(s["number"] for s in segments)
+    last = max(numbers)
+    copies = len(numbers) // last
+    return numbers == sorted([*range(1, last + 1)] * copies) and (last == 1 and not segments[0]["cut"] or any(s["number"] == last and s["total"] is not None for s in segments))
+
+
+def read_archives(spark: SparkSession, path: str, payload: bool = True) -> DataFrame:
+    """The records of the archive files under ``path``, where a file has all of a record's segments; else the segments.
+
+    A whole record has number 0, its verdict in ``verified`` and its payload's length and
+    digest in ``total`` and ``digest``; its payload is in ``block`` if it is asked for. So
+    only records that are spread over files travel in pieces.
+    """
+    prepare(spark)
+    names = [c.split()[0] for c in _ARCHIVED.split(", ")]
+    types = [pa.string(), pa.int32(), pa.int64(), pa.string(), pa.string(), pa.string(), pa.string(), pa.binary(), pa.bool_()]
+
+    def parse(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            for data in b.column(0):
+                met: dict[str, list[dict]] = {}
+                for h, block in parse_records(data.as_py()):
+                    if h.get("warc-type") not in ("response", "revisit", "continuation"):
+                        continue
+                    origin = (h.get("warc-segment-origin-id") or h.get("warc-record-id", "")).strip("<>")
+                    number, total = h.get("warc-segment-number", ""), h.get("warc-segment-total-length", "")
+                    digest = h.get("warc-payload-digest")
+                    met.setdefault(origin, []).append({"number": int(number) if number.isdigit() else 1, "cut": number != "", "total": int(total) if total.isdigit() else None, "kind": h.get("warc-type"), "page_id": h.get("warc-page-id"), "refers_to": h.get("warc-refers-to-page-id"), "digest": digest.removeprefix("sha1:") if digest else None, "block": block})
+                rows = []
+                for origin, own in met.items():
+                    if _is_whole(own):
+                        rows += [(origin, 0, r["payload_bytes"], r["record_type"], r["page_id"], r["refers_to"], r["payload_digest"], r["payload"] if payload else None, r["verified"]) for r in assemble(own)]
+                    else:
+                        rows += [(origin, s["number"], s["total"], s["kind"], s["page_id"], s["refers_to"], s["digest"], s["block"], None) for s in own]
+                if rows:
+                    yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*rows, strict=True), types, strict=True)], names)
+
+    return spark.read.format("binaryFile").load(path).select("content").mapInArrow(parse, _ARCHIVED)
+
+
 def reassemble(segments: DataFrame, page_id_type: str = "bigint", payload: bool = True) -> DataFrame:
-    """The archived records, verified, from the rows of ``read_archives``; a record's segments meet in one row."""
-    grouped = segments.groupBy("origin").agg(F.collect_list(F.struct("number", "total", "kind", "page_id", "refers_to", "digest", "block")).alias("segments"))
+    """The archived records, verified, from the rows of ``read_archives``; segments of one record meet in one row."""
+    grouped = segments.groupBy("origin").agg(F.collect_list(F.struct("number", "total", "kind", "page_id", "refers_to", "digest", "block", "verified")).alias("segments"))
     types = {"page_id": pa.string(), "payload_bytes": pa.int64(), "payload_digest": pa.string(), "record_type": pa.string(), "refers_to": pa.string(), "verified": pa.bool_()} | ({"payload": pa.binary()} if payload else {})
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
-            rows = [r for own in b.column(0) for r in assemble(own.as_py())]
+            rows = []
+            for own in b.column(0):
+                parts = own.as_py()
+                rows += [{"page_id": s["page_id"], "payload_bytes": s["total"], "payload_digest": s["digest"], "record_type": s["kind"], "refers_to": s["refers_to"], "verified": s["verified"], "payload": s["block"]} for s in parts if s["number"] == 0]
+                if spread := [s for s in parts if s["number"]]:
+                    rows += assemble(spread)
             yield pa.RecordBatch.from_arrays([pa.array([r[c] for r in rows], t) for c, t in types.items()], list(types))
 
     schema = "page_id string, payload_bytes bigint, payload_digest string, record_type string, refers_to string, verified boolean" + ", payload binary" * payload
@@ -218,4 +245,4 @@ def round_trip(pages: DataFrame, least: int = LEAST_REVISIT_BYTES) -> DataFrame:
     spark = pages.sparkSession
     path = f"{shared_dir(spark)}/tallyweave/warc-{uuid.uuid4().hex}"
     write_archives(pages, path, least)
-    return reassemble(read_archives(spark, path), pages.schema["page_id"].dataType.simpleString(), payload=False)
+    return reassemble(read_archives(spark, path, payload=False), pages.schema["page_id"].dataType.simpleString(), payload=False)
