@@ -13,7 +13,7 @@ import numpy as np
 import pyarrow as pa
 
 #: Bytes of text that are worked on at once (a longer text is a block of its own).
-BLOCK_BYTES = 1 << 20
+BLOCK_BYTES = 1 << 18
 
 _U = np.uint64
 _MULT = 0x9E3779B97F4A7C15 | 1
