@@ -5,10 +5,12 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .util import written
+from .util import stored, written
 
 #: Far more rounds than random contraction needs; reaching it is an error, not a result.
 MOST_ROUNDS = 60
+#: Rounds after which what is left is written, so that the lineage stays short.
+ROUNDS_KEPT = 5
 
 
 def components(edges: DataFrame) -> DataFrame:
@@ -19,7 +21,7 @@ def components(edges: DataFrame) -> DataFrame:
     shrinks by a constant factor whatever its shape. Neighbourhoods are only ever reduced by
     a minimum, which is combined before it is shuffled, so a hub is no hot task.
     """
-    left = written(edges.where("a <> b").select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct(), "edges")
+    left = stored(edges.where("a <> b").select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct())
     steps = []
     while not left.isEmpty():
         k = len(steps)
@@ -27,16 +29,17 @@ def components(edges: DataFrame) -> DataFrame:
             raise RuntimeError("contraction did not end")
         ranked = lambda c: F.struct(F.xxhash64(F.col(c), F.lit(k)).alias("rank"), F.col(c).alias("id"))  # noqa: B023, E731
         both = left.select("a", ranked("b").alias("to")).unionByName(left.select(F.col("b").alias("a"), ranked("a").alias("to")))
-        step = written(both.groupBy("a").agg(F.min("to").alias("to")).select(F.col("a").alias("v"), F.least(F.col("to"), ranked("a"))["id"].alias("to")), "step")
+        step = stored(both.groupBy("a").agg(F.min("to").alias("to")).select(F.col("a").alias("v"), F.least(F.col("to"), ranked("a"))["id"].alias("to")))
         steps.append(step)
         a, b = (step.select(F.col("v").alias(x), F.col("to").alias(f"to_{x}")) for x in "ab")
         moved = left.join(a, "a").join(b, "b").where("to_a <> to_b")
-        left = written(moved.select(F.least("to_a", "to_b").alias("a"), F.greatest("to_a", "to_b").alias("b")).distinct(), "edges")
+        moved = moved.select(F.least("to_a", "to_b").alias("a"), F.greatest("to_a", "to_b").alias("b")).distinct()
+        left = stored(moved) if (k + 1) % ROUNDS_KEPT else written(moved, "edges")
     if not steps:
         return left.select(F.col("a").alias("v"), F.col("b").alias("component"))
     at = steps[0]
     for step in steps[1:]:
         at = at.join(step.select(F.col("v").alias("to"), F.col("to").alias("next")), "to", "left").select("v", F.coalesce("next", "to").alias("to"))
-    at = written(at, "labels")
+    at = stored(at)
     least = at.groupBy("to").agg(F.min("v").alias("component"))
     return at.join(least, "to").select("v", F.least("component", "v").alias("component"))

@@ -34,7 +34,7 @@ from pyspark.sql import functions as F
 
 from . import textbytes as tb
 from .graph import components
-from .util import partitions, prepare, written
+from .util import partitions, prepare, stored
 
 SHINGLE_WORDS = 5
 THRESHOLD = 0.8
@@ -237,7 +237,7 @@ def near_duplicates(docs: DataFrame, threshold: float = THRESHOLD, tolerance: fl
     """
     spark = docs.sparkSession
     prepare(spark)
-    signed = written(signatures(docs.select(F.col("doc_id").cast("bigint").alias("doc_id"), "text")), "signatures")
+    signed = stored(signatures(docs.select(F.col("doc_id").cast("bigint").alias("doc_id"), "text")))
     wordy = signed.where("n_words > 0")
     reps = wordy.groupBy("k1", "k2").agg(F.min("doc_id").alias("rep"), F.max("n_words").alias("n_words"))
     banded = wordy.where(F.size("bands") > 0)
@@ -250,10 +250,10 @@ def near_duplicates(docs: DataFrame, threshold: float = THRESHOLD, tolerance: fl
     member = clusters.join(reps.select(F.col("rep").alias("v"), "n_words"), "v").select(F.col("v").alias("rep"), F.col("component").alias("label"), "n_words")
     blocks = member.groupBy("label").agg(F.count(F.lit(1)).alias("n"), F.sum("n_words").alias("words"))
     blocks = blocks.select("label", F.ceil(F.greatest(F.col("n") / BLOCK_DOCS, F.col("words") / BLOCK_WORDS)).cast("int").alias("nb"))
-    member = written(member.join(blocks, "label").select("rep", "label", "nb", F.pmod(F.xxhash64("rep"), F.col("nb")).cast("int").alias("block")), "members")
+    member = stored(member.join(blocks, "label").select("rep", "label", "nb", F.pmod(F.xxhash64("rep"), F.col("nb")).cast("int").alias("block")))
     texts = docs.select(F.col("doc_id").cast("bigint").alias("rep"), "text").join(member, "rep")
     tasks = _sets(texts).repartition(partitions(spark), "label", "p", "q").sortWithinPartitions("label", "p", "q")
-    found = written(tasks.select("label", "p", "q", "nb", "rep", "block", "shingles").mapInArrow(_verify(threshold, tolerance), "rep bigint, n_links bigint, root bigint, split boolean"), "links")
+    found = stored(tasks.select("label", "p", "q", "nb", "rep", "block", "shingles").mapInArrow(_verify(threshold, tolerance), "rep bigint, n_links bigint, root bigint, split boolean"))
 
     whole = found.groupBy("rep").agg(F.sum("n_links").alias("n_links"), F.min("root").alias("root"), F.max("split").alias("split"))
     spread = components(found.where("split and rep <> root").select(F.col("rep").alias("a"), F.col("root").alias("b")))

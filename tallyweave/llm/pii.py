@@ -27,7 +27,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .util import written
+from .util import stored
 
 DEFAULT_KEY = "surrogates-1"
 MOST_DRAWS = 40
@@ -152,15 +152,15 @@ def with_parts(docs: DataFrame) -> DataFrame:
 
 def distinct_surrogates(tokens: DataFrame, key: str) -> DataFrame:
     """(kind, value, surrogate) of all tokens (kind, value), distinct within a kind and none a real token."""
-    real = written(tokens.distinct(), "tokens")
+    real = stored(tokens.distinct())
     done, waiting = None, real.withColumn("draw", F.lit(0))
     for draw in range(MOST_DRAWS):
-        drawn = written(waiting.withColumn("drawn", F.expr(_draw(key))).withColumn("surrogate", surrogate(key)).select("kind", "value", "surrogate"), "drawn")
+        drawn = stored(waiting.withColumn("drawn", F.expr(_draw(key))).withColumn("surrogate", surrogate(key)).select("kind", "value", "surrogate"))
         first = drawn.groupBy("kind", "surrogate").agg(F.min("value").alias("value"))
         first = first.join(real.select("kind", F.col("value").alias("surrogate")), ["kind", "surrogate"], "left_anti")
         if done is not None:
             first = first.join(done.select("kind", "surrogate"), ["kind", "surrogate"], "left_anti")
-        won = written(first.select("kind", "value", "surrogate"), "surrogates")
+        won = stored(first.select("kind", "value", "surrogate"))
         waiting = drawn.select("kind", "value").join(won.select("kind", "value"), ["kind", "value"], "left_anti").withColumn("draw", F.lit(draw + 1))
         done = won if done is None else done.unionByName(won)
         if waiting.isEmpty():
@@ -177,7 +177,7 @@ def replace_entities(docs: DataFrame, key: str = DEFAULT_KEY) -> DataFrame:
     """doc_id, text with every entity replaced, n_entities (tokens replaced)."""
     docs = docs.select("doc_id", "text")
     has = F.coalesce(F.when(F.col("text").rlike(_HINT), F.col("text").rlike(ENTITY)), F.lit(False))
-    some = written(with_parts(docs.where(has)).select("doc_id", F.xxhash64("text", F.length("text")).alias("h"), "parts"), "parts")
+    some = stored(with_parts(docs.where(has)).select("doc_id", F.xxhash64("text", F.length("text")).alias("h"), "parts"))
     tokens = some.select("doc_id", "h", F.posexplode("parts").alias("at", "part")).where("part.kind is not null").select("doc_id", "h", "at", "part.*")
     known = distinct_surrogates(tokens.select("kind", "value"), key)
     put = tokens.join(known, ["kind", "value"]).select("doc_id", "h", "at", F.expr(f"if(shape is null, surrogate, {in_shape('surrogate', 'shape')})").alias("new"))

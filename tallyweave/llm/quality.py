@@ -20,7 +20,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from . import textbytes as tb
-from .util import prepare, written
+from .util import prepare, stored
 
 LEAST_WORDS = 50
 REPEAT_PERCENT = 50
@@ -116,7 +116,7 @@ def host_rates(measured: DataFrame) -> DataFrame:
     """host, n, failures of each rule (f_), shrunk rates (rate_) and the verdict (rejected)."""
     failed = failures()
     hosts = measured.where("source is not null").groupBy(host_of(F.col("source")).alias("host")).agg(F.count(F.lit(1)).alias("n"), *(F.sum(c.cast("bigint")).alias(f"f_{r}") for r, c in failed.items()))
-    hosts = written(hosts, "hosts")
+    hosts = stored(hosts)
     for rule in RULES:
         mean, strength = beta_prior(hosts, rule)
         hosts = hosts.withColumn(f"rate_{rule}", (F.col(f"f_{rule}") + mean * strength) / (F.col("n") + strength))
@@ -125,7 +125,7 @@ def host_rates(measured: DataFrame) -> DataFrame:
 
 def judge(docs: DataFrame) -> DataFrame:
     """doc_id, the measures, base_failed, and kept after the verdict on the document's host."""
-    measured = written(measure(docs), "measures")
+    measured = stored(measure(docs))
     rates = host_rates(measured).where("rejected").select("host", "rejected")
     failed = failures()
     out = measured.withColumn("host", host_of(F.col("source"))).join(rates, "host", "left")

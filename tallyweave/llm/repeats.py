@@ -35,7 +35,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from . import textbytes as tb
-from .util import partitions, prepare, written
+from .util import partitions, prepare, stored
 
 MATCH_BYTES = 100
 GRAM_BYTES = 24
@@ -391,10 +391,10 @@ def repeated_spans(docs: DataFrame, texts: DataFrame, match: int = MATCH_BYTES,
     """(doc_id, start, size) of spans that cover exactly the bytes to remove; texts: the documents, dealt out by doc_id."""
     n = partitions(docs.sparkSession)
     runs = _read_runs(docs, match).repartition(n, "shard").sortWithinPartitions("shard", "mark", "doc_id", "place")
-    settled = written(runs.mapInArrow(_settle(match), "shard bigint, doc_id bigint, start bigint, size bigint"), "runs")
+    settled = stored(runs.mapInArrow(_settle(match), "shard bigint, doc_id bigint, start bigint, size bigint"))
     wanted = settled.where("shard is not null")
     hot = wanted.groupBy("shard").agg(F.count(F.lit(1)).alias("n")).where(F.col("n") > hot_runs).select("shard", F.lit(True).alias("hot"))
-    hot = written(hot, "hot")
+    hot = stored(hot)
     any_hot = not hot.isEmpty()
     wanted = wanted.join(hot, "shard", "left").withColumn("hot", F.coalesce("hot", F.lit(False))) if any_hot else wanted.withColumn("hot", F.lit(False))
     found = [settled.where("shard is null").select("doc_id", "start", "size")]

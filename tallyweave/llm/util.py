@@ -8,6 +8,7 @@ import uuid
 import zipfile
 from pathlib import Path
 
+from pyspark import StorageLevel
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -44,14 +45,13 @@ def shared_dir(spark: SparkSession) -> str:
     return where
 
 
-def checkpoint(df: DataFrame) -> DataFrame:
-    """Cut the lineage through a reliable checkpoint in the shared folder."""
-    shared_dir(df.sparkSession)
-    return df.checkpoint(eager=True)
+def stored(df: DataFrame) -> DataFrame:
+    """The frame kept on the executors' disks for several uses; a lost part is computed again from its source."""
+    return df.persist(StorageLevel.DISK_ONLY)
 
 
 def written(df: DataFrame, label: str) -> DataFrame:
-    """The frame written as a table in the shared folder and read again."""
+    """The frame written as a table in the shared folder and read again, which cuts its lineage."""
     spark = df.sparkSession
     path = f"{shared_dir(spark)}/tallyweave/{label}-{uuid.uuid4().hex}"
     df.write.option("compression", "zstd").parquet(path)
