@@ -19,6 +19,7 @@ from tallyweave.functions.text import column
 from tallyweave.operators.quality import welch
 from tallyweave.operators.results import assumption, result, signed
 from tallyweave.plans.batch import totals
+from tallyweave.session import ship
 from tallyweave.sources.frames import ranked_values
 
 #: Least rows of a test and of a level, levels of a group test, rows of a Shapiro test.
@@ -136,6 +137,7 @@ def cohen_d(a: dict, b: dict) -> float:
 
 def shapiro_by_level(df: DataFrame, num: str, cat: str, levels: list[str]) -> DataFrame:
     """(level, n, w, p) of the levels of 3 to 5000 rows; each is a bounded group."""
+    ship(df.sparkSession)
     some = df.select(column(cat).cast("string").alias("level"), column(num).cast("double").alias("x")).where(F.col("level").isin(levels) & F.col("x").isNotNull())
     sizes = some.groupBy("level").count().where((F.col("count") >= 3) & (F.col("count") <= SHAPIRO_ROWS)).select("level")
 
