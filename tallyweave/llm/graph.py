@@ -9,8 +9,6 @@ from .util import stored, written
 
 #: Far more rounds than random contraction needs; reaching it is an error, not a result.
 MOST_ROUNDS = 60
-#: Rounds after which what is left is written, so that the lineage stays short.
-ROUNDS_KEPT = 5
 
 
 def components(edges: DataFrame) -> DataFrame:
@@ -21,7 +19,7 @@ def components(edges: DataFrame) -> DataFrame:
     shrinks by a constant factor whatever its shape. Neighbourhoods are only ever reduced by
     a minimum, which is combined before it is shuffled, so a hub is no hot task.
     """
-    left = stored(edges.where("a <> b").select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct())
+    left = written(edges.where("a <> b").select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct(), "edges", compact=True)
     steps = []
     while not left.isEmpty():
         k = len(steps)
@@ -34,7 +32,7 @@ def components(edges: DataFrame) -> DataFrame:
         a, b = (step.select(F.col("v").alias(x), F.col("to").alias(f"to_{x}")) for x in "ab")
         moved = left.join(a, "a").join(b, "b").where("to_a <> to_b")
         moved = moved.select(F.least("to_a", "to_b").alias("a"), F.greatest("to_a", "to_b").alias("b")).distinct()
-        left = stored(moved) if (k + 1) % ROUNDS_KEPT else written(moved, "edges")
+        left = written(moved, "edges", compact=True)
     if not steps:
         return left.select(F.col("a").alias("v"), F.col("b").alias("component"))
     at = steps[0]

@@ -34,7 +34,7 @@ from pyspark.sql import functions as F
 
 from . import textbytes as tb
 from .graph import components
-from .util import partitions, prepare, stored
+from .util import partitions, prepare, stored, written
 
 SHINGLE_WORDS = 5
 THRESHOLD = 0.8
@@ -250,7 +250,7 @@ def near_duplicates(docs: DataFrame, threshold: float = THRESHOLD, tolerance: fl
     member = clusters.join(reps.select(F.col("rep").alias("v"), "n_words"), "v").select(F.col("v").alias("rep"), F.col("component").alias("label"), "n_words")
     blocks = member.groupBy("label").agg(F.count(F.lit(1)).alias("n"), F.sum("n_words").alias("words"))
     blocks = blocks.select("label", F.ceil(F.greatest(F.col("n") / BLOCK_DOCS, F.col("words") / BLOCK_WORDS)).cast("int").alias("nb"))
-    member = stored(member.join(blocks, "label").select("rep", "label", "nb", F.pmod(F.xxhash64("rep"), F.col("nb")).cast("int").alias("block")))
+    member = written(member.join(blocks, "label").select("rep", "label", "nb", F.pmod(F.xxhash64("rep"), F.col("nb")).cast("int").alias("block")), "members", compact=True)
     texts = docs.select(F.col("doc_id").cast("bigint").alias("rep"), "text").join(member, "rep")
     tasks = _sets(texts).repartition(partitions(spark), "label", "p", "q").sortWithinPartitions("label", "p", "q")
     found = stored(tasks.select("label", "p", "q", "nb", "rep", "block", "shingles").mapInArrow(_verify(threshold, tolerance), "rep bigint, n_links bigint, root bigint, split boolean"))

@@ -27,7 +27,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .util import stored
+from .util import stored, written
 
 DEFAULT_KEY = "surrogates-1"
 MOST_DRAWS = 40
@@ -160,8 +160,9 @@ def distinct_surrogates(tokens: DataFrame, key: str) -> DataFrame:
         first = first.join(real.select("kind", F.col("value").alias("surrogate")), ["kind", "surrogate"], "left_anti")
         if done is not None:
             first = first.join(done.select("kind", "surrogate"), ["kind", "surrogate"], "left_anti")
-        won = stored(first.select("kind", "value", "surrogate"))
-        waiting = drawn.select("kind", "value").join(won.select("kind", "value"), ["kind", "value"], "left_anti").withColumn("draw", F.lit(draw + 1))
+        won = written(first.select("kind", "value", "surrogate"), "surrogates", compact=True)
+        waiting = drawn.select("kind", "value").join(won.select("kind", "value"), ["kind", "value"], "left_anti")
+        waiting = written(waiting.withColumn("draw", F.lit(draw + 1)), "waiting", compact=True)
         done = won if done is None else done.unionByName(won)
         if waiting.isEmpty():
             return done

@@ -50,9 +50,13 @@ def stored(df: DataFrame) -> DataFrame:
     return df.persist(StorageLevel.DISK_ONLY)
 
 
-def written(df: DataFrame, label: str) -> DataFrame:
-    """The frame written as a table in the shared folder and read again, which cuts its lineage."""
+def written(df: DataFrame, label: str, compact: bool = False) -> DataFrame:
+    """The frame written as a table in the shared folder and read again, which cuts its lineage and its plan.
+
+    ``compact``: rebalanced first, so that a small table is one file.
+    """
     spark = df.sparkSession
+    df = df.hint("rebalance") if compact else df
     path = f"{shared_dir(spark)}/tallyweave/{label}-{uuid.uuid4().hex}"
     df.write.option("compression", "zstd").parquet(path)
     return spark.read.schema(df.schema).parquet(path)
