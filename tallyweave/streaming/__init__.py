@@ -1 +1 @@
-"""Incremental entry points: the one-pass moments kept over a stream."""
+"""The moments of a stream, kept in bounded state."""
