@@ -152,7 +152,10 @@ def shapiro(values: Sequence[float]) -> tuple[float, float]:
             phi = (size - 2 * m[-1] ** 2) / (1 - 2 * last**2)
             a[1:-1] = m[1:-1] / math.sqrt(phi)
         a[0], a[-1] = -last, last
-    w = min(1.0, float((a @ x) ** 2 / ((x - x.mean()) ** 2).sum()))
+    squares = float(((x - x.mean()) ** 2).sum())
+    if squares <= 0:  # differences too small to square
+        return 1.0, 1.0
+    w = min(1.0, float((a @ x) ** 2 / squares))
     if n == 3:
         return w, max(0.0, 6 / math.pi * (math.asin(math.sqrt(w)) - math.asin(math.sqrt(0.75))))
     if w >= 1:
