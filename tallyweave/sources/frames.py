@@ -85,8 +85,11 @@ def from_csv(spark: SparkSession, path: str, rows: bool = True, **options) -> Fr
     raw = raw_csv(spark, path, **options)
     if not raw.columns:
         raise BadInput("the CSV has no columns")
+    head = spark.read.options(header=False, **options).csv(path).first()  # the header as it is written
+    if head is None or len(head) != len(raw.columns):
+        head = raw.columns
     names, seen = [], {}
-    for c in raw.columns:  # repeated headers get a number
+    for c in (c or f"column {i + 1}" for i, c in enumerate(head)):  # repeated headers get a number
         seen[c] = seen.get(c, -1) + 1
         names.append(c if not seen[c] else f"{c}.{seen[c]}")
     raw = raw.toDF(*(_RAW + n for n in names))
