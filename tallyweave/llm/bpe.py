@@ -33,8 +33,9 @@ from .util import prepare
 ROLL_BYTES = 16
 #: A cut every so many bytes on average (a power of two).
 CHUNK_BYTES = 512
-#: Bytes that the reuse tables of a worker may hold before they start anew.
-KEPT_BYTES = 160 << 20
+#: Bytes that a worker's table of words, and its tables of chunks and joins, may hold before they start anew.
+KEPT_WORD_BYTES, KEPT_CHUNK_BYTES = 128 << 20, 64 << 20
+BLOCK_BYTES = 1 << 20
 
 _SPACE = np.zeros(256, bool)
 _SPACE[[9, 10, 11, 12, 13, 32]] = True
@@ -60,13 +61,17 @@ class ChunkEncoder:
         n = self.tokenizer.get_vocab_size()
         self.strings = [(self.tokenizer.id_to_token(i) or "").encode() + b" " for i in range(n)]
         self.chunks_encoded = self.chunks_met = self.repairs = 0
-        self.forget()
+        self.forget_words()
+        self.forget_chunks()
 
-    def forget(self) -> None:
+    def forget_words(self) -> None:
         self.words: dict[bytes, bytes] = {}
+        self.word_bytes = 0
+
+    def forget_chunks(self) -> None:
         self.joins: dict[bytes, bool] = {}
         self.chunks: dict[bytes, tuple[bytes, bytes]] = {}
-        self.held = 0
+        self.chunk_bytes = 0
 
     def encode(self, texts: list[str]) -> list[bytes]:
         """Ids of each text as bytes; texts go many at a time, parted by line ends, and are told apart by their tokens' places."""
@@ -91,7 +96,7 @@ class ChunkEncoder:
         if new:
             found = self.encode([w.decode() for w in new])
             self.words.update(zip(new, found, strict=True))
-            self.held += sum(map(len, new)) + sum(map(len, found)) + 180 * len(new)
+            self.word_bytes += sum(map(len, new)) + sum(map(len, found)) + 180 * len(new)
 
     def spans(self, raw: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
         """Starts and ends of chunks (even places) and cut words (odd places), and the first span of each text."""
@@ -119,8 +124,10 @@ class ChunkEncoder:
 
     def encode_block(self, raw: np.ndarray, offsets: np.ndarray) -> Iterator[tuple[bytes, bytes]]:
         """Ids (little-endian unsigned 32-bit) and decoded text of each text of a block."""
-        if self.held > KEPT_BYTES:
-            self.forget()
+        if self.word_bytes > KEPT_WORD_BYTES:
+            self.forget_words()
+        if self.chunk_bytes > KEPT_CHUNK_BYTES:
+            self.forget_chunks()
         data = raw.tobytes()
         starts, ends, first = self.spans(raw, offsets)
         pieces = [data[a:b] for a, b in zip(starts.tolist(), ends.tolist(), strict=True)]
@@ -139,7 +146,7 @@ class ChunkEncoder:
         for p, x in new.items():
             ids = b"".join([table[w] for w in x])
             self.chunks[p] = done = (ids, self.text_of(ids))
-            self.held += len(p) + len(done[0]) + len(done[1]) + 250
+            self.chunk_bytes += len(p) + len(done[0]) + len(done[1]) + 250
         regions: dict[bytes, tuple[bytes, bytes, bytes]] = {}
         wanted: list[list[bytes]] = []
         for k in range(len(limits) - 1):
@@ -156,7 +163,7 @@ class ChunkEncoder:
             self.learn_words({w for x in regions.values() for w in x})
             for (region, x), ids in zip(regions.items(), self.encode([r.decode() for r in regions]), strict=True):
                 self.joins[region] = ids == b"".join([table[w] for w in x])
-                self.held += 2 * len(region) + 150
+                self.chunk_bytes += 2 * len(region) + 150
         for k, own in enumerate(wanted):
             if all([self.joins[r] for r in own]):
                 parts = []
@@ -198,7 +205,7 @@ def _encoded(docs: DataFrame, vocabulary: str | None, columns: str, types: list[
         own = encoder(path)
         for b in batches:
             raw, offsets = tb.arrow_bytes(b.column(1))
-            for i, j, r, o in tb.blocks(raw, offsets):
+            for i, j, r, o in tb.blocks(raw, offsets, BLOCK_BYTES):
                 made = list(zip(*(of(*x) for x in own.encode_block(r, o)), strict=True))
                 yield pa.RecordBatch.from_arrays([b.column(0).slice(i, j - i), *(pa.array(list(x), t) for x, t in zip(made, types, strict=True))], ["doc_id", *(c.split()[0] for c in columns.split(", "))])
 

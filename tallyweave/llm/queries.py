@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from . import bpe, decontam, jaccard, langid, pii, quality, repeats, secrets, toxicity, warc
+from . import bpe, decontam, jaccard, langid, oracle, pii, quality, repeats, secrets, toxicity, warc
 from .util import held_out, table
 
 
@@ -30,7 +30,7 @@ def op5_pii_surrogates(spark, sf_dir):
 
 
 def op6_decontamination(spark, sf_dir):
-    return decontam.decontamination_report(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
+    return decontam.decontamination_report(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark")).drop("spans")
 
 
 def op7_suffix_array_dedup(spark, sf_dir):
@@ -42,7 +42,7 @@ def op8_ngram_jaccard_join(spark, sf_dir):
 
 
 def op9_warc(spark, sf_dir):
-    return warc.round_trip(table(spark, sf_dir, "pages"))
+    return warc.round_trip(table(spark, sf_dir, "pages")).drop("verified")
 
 
 def op10_toxicity(spark, sf_dir):
@@ -57,4 +57,4 @@ def queries() -> dict:
 
 
 def oracle_sql() -> dict:
-    return {"op4_quality_rules": quality.ORACLE_SQL}
+    return dict(oracle.SQL)
