@@ -97,7 +97,7 @@ pv AS (SELECT id, greatest(0, least(1, CASE WHEN fam = 'b' THEN 2 * v ELSE 1 - 2
 # sources and scalar functions
 
 
-@query()
+@query("SELECT o_orderkey, o_totalprice, o_orderstatus FROM orders")
 def scan_csv_typed(spark, sf_dir):
     """Rows 1: the orders written as CSV in the shared folder, read again with inferred types."""
     return _csv(spark, sf_dir)[0]
@@ -358,7 +358,7 @@ def class_imbalance(spark, sf_dir):
     return c.agg(_r(top).alias("top"), F.min("n").alias("least"), (top > 0.9).alias("imbalanced"), (F.min("n") < 5).alias("rare"))
 
 
-@query("WITH d AS (SELECT l_returnflag, l_linestatus, l_quantity, l_tax FROM lineitem) SELECT coalesce(sum(c), 0)::BIGINT AS n_duplicates FROM (SELECT count(*) AS c FROM d GROUP BY ALL HAVING count(*) > 1)")
+@query("WITH d AS (SELECT l_returnflag, l_linestatus, l_quantity, l_tax FROM lineitem) SELECT coalesce(sum(c), 0)::BIGINT AS n_duplicates FROM (SELECT count(*) AS c FROM d GROUP BY l_returnflag, l_linestatus, l_quantity, l_tax HAVING count(*) > 1)")
 def duplicate_rows(spark, sf_dir):
     cols = ["l_returnflag", "l_linestatus", "l_quantity", "l_tax"]
     return quality.duplicate_rows(_table(spark, sf_dir, "lineitem").select(*cols), cols)
