@@ -16,17 +16,17 @@ def dist(spark):
     return spark._jvm.org.apache.commons.math3.distribution
 
 
-@pytest.mark.parametrize("t,df", product((0.0, 0.3, 2.0, 9.5), (1, 2.5, 30, 4000)))
+@pytest.mark.parametrize("t,df", list(product((0.0, 0.3, 2.0, 9.5), (1, 2.5, 30, 4000))))
 def test_t(dist, t, df):
     assert special.t_sf2(t, df) == pytest.approx(2 * dist.TDistribution(float(df)).cumulativeProbability(-t), abs=1e-12)
 
 
-@pytest.mark.parametrize("f,a,b", product((0.2, 1.0, 7.0), (1, 3, 40), (2, 15, 900)))
+@pytest.mark.parametrize("f,a,b", list(product((0.2, 1.0, 7.0), (1, 3, 40), (2, 15, 900))))
 def test_f(dist, f, a, b):
     assert special.f_sf(f, a, b) == pytest.approx(1 - dist.FDistribution(float(a), float(b)).cumulativeProbability(f), abs=1e-11)
 
 
-@pytest.mark.parametrize("x,k", product((0.01, 1.0, 9.0, 60.0), (1, 2, 7, 100)))
+@pytest.mark.parametrize("x,k", list(product((0.01, 1.0, 9.0, 60.0), (1, 2, 7, 100))))
 def test_chi2(dist, x, k):
     assert special.chi2_sf(x, k) == pytest.approx(1 - dist.ChiSquaredDistribution(float(k)).cumulativeProbability(x), abs=1e-11)
 
