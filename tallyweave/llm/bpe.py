@@ -34,8 +34,8 @@ ROLL_BYTES = 16
 #: A cut every so many bytes on average (a power of two).
 CHUNK_BYTES = 512
 #: Bytes that a worker's table of words, and its tables of chunks and joins, may hold before they start anew.
-KEPT_WORD_BYTES, KEPT_CHUNK_BYTES = 128 << 20, 64 << 20
-BLOCK_BYTES = 1 << 20
+KEPT_WORD_BYTES, KEPT_CHUNK_BYTES = 72 << 20, 32 << 20
+BLOCK_BYTES = 1 << 19
 
 _SPACE = np.zeros(256, bool)
 _SPACE[[9, 10, 11, 12, 13, 32]] = True
