@@ -18,7 +18,7 @@ from tallyweave.functions import special
 from tallyweave.functions.text import column
 from tallyweave.operators.quality import welch
 from tallyweave.operators.results import assumption, result, signed
-from tallyweave.plans.batch import totals
+from tallyweave.plans.batch import kept, totals
 from tallyweave.session import ship
 from tallyweave.sources.frames import ranked_values
 
@@ -45,7 +45,7 @@ def pair_moments(df: DataFrame, numeric: list[str]) -> dict[tuple[str, str], dic
 
 def rank_correlation(df: DataFrame, a: str, b: str) -> DataFrame:
     """One row (n, rho): the correlation of average ranks over the rows that have both."""
-    freq = df.select(column(a).cast("double").alias("x"), column(b).cast("double").alias("y")).where("x is not null and y is not null").groupBy("x", "y").agg(F.count(F.lit(1)).alias("n"))
+    freq = kept(df.select(column(a).cast("double").alias("x"), column(b).cast("double").alias("y")).where("x is not null and y is not null").groupBy("x", "y").agg(F.count(F.lit(1)).alias("n")), "pairs")
     rx = ranked_values(freq.groupBy("x").agg(F.sum("n").alias("n")), "x").withColumnRenamed("r", "rx")
     ry = ranked_values(freq.groupBy("y").agg(F.sum("n").alias("n")), "y").withColumnRenamed("r", "ry")
     pairs = freq.join(rx, "x").join(ry, "y")
