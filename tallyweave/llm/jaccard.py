@@ -178,16 +178,21 @@ def _verify(threshold: float, tolerance: float):
     needed = least_matches(threshold, tolerance)
     family = _hash_family(STEP * STEPS, 88)
 
-    def task(rows: list[tuple]) -> tuple[list, list, list]:
-        """rows: (document, block, set), smallest document first; its links here and the root of its tree."""
+    def task(p: int, q: int, rows: list[tuple]) -> tuple[list, list, list]:
+        """rows: (document, block, set) of the blocks p and q; each document's links here and the root of its tree.
+
+        Blocks are drawn by hash, so one may be empty: what is left of a pair of blocks is then one block, whose pairs are task (p, p)'s.
+        """
         seen: dict = {}
         for doc, block, data in rows:
             seen.setdefault(doc, (block, np.frombuffer(data, np.uint64)))
         ids = sorted(seen)
         sides = np.array([seen[x][0] for x in ids])
+        if p != q and sides.min() == sides.max():
+            return [], [], []
         forest, degree = _Forest(len(ids)), np.zeros(len(ids), np.int64)
         if len(ids) > 1:
-            for i, js in linked([seen[x][1] for x in ids], sides, sides.min() != sides.max(), threshold, needed, family):
+            for i, js in linked([seen[x][1] for x in ids], sides, p != q, threshold, needed, family):
                 degree[i] += len(js)
                 degree[js] += 1
                 for j in js.tolist():
@@ -201,7 +206,7 @@ def _verify(threshold: float, tolerance: float):
 
         out: tuple[list, ...] = ([], [], [], [])
         for key, rows in groupby(stream(), key=lambda r: r[:4]):
-            ids, degree, root = task([r[4:] for r in rows])
+            ids, degree, root = task(key[1], key[2], [r[4:] for r in rows])
             for column, values in zip(out, (ids, degree, root, [key[3] > 1] * len(ids)), strict=True):
                 column += values
             if len(out[0]) >= 5000:

@@ -124,6 +124,20 @@ def test_near_duplicates(spark, monkeypatch):
     assert kept == {i for i, v in want.items() if v[1] == i}
 
 
+def test_links_count_once_when_blocks_are_empty(spark, monkeypatch):
+    """Clusters of two or three texts in several blocks, some of which no text is drawn into."""
+    r = random.Random(11)
+    docs = []
+    for g in range(16):
+        base = [f"w{r.randrange(10**6)}" for _ in range(120)]
+        docs += [(10 * g + k, " ".join([*base[: 118 + k % 2], f"end{k}"])) for k in range(2 + g % 2)]
+    want = brute_links(docs)
+    assert {v[2] for v in want.values()} == {1, 2}
+    monkeypatch.setattr(jaccard, "BLOCK_WORDS", 100)
+    d = spark.createDataFrame(docs, "doc_id bigint, text string")
+    assert {x.doc_id: (x.copy_id, x.class_id, x.n_links) for x in jaccard.near_duplicates(d).collect()} == want
+
+
 def test_near_duplicates_of_the_documents(spark, docs, rows):
     got = {r.doc_id: (r.copy_id, r.class_id, r.n_links) for r in jaccard.near_duplicates(docs).collect()}
     assert got == brute_links(rows)
