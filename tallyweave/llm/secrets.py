@@ -1,11 +1,12 @@
 """Secret scans: fixed patterns, and a token-efficiency test that exposes random strings.
 
 A tokenizer's vocabulary compresses what people write; a random string of the same characters
-falls into many short tokens. Every run of ``MIN_CHARS`` or more key characters that mixes
-letters and digits is cut into tokens of a tiktoken vocabulary, and is reported (kind
-``rand``) where it has fewer than ``CHARS_PER_TOKEN`` characters to a token, unless it is a
-known digest (hexadecimal of a digest's length), a UUID, a number, or made of words and
-numbers joined by separators.
+falls into many short tokens. Every run of ``MIN_CHARS`` or more key characters with a letter
+is cut into tokens of a tiktoken vocabulary, and is reported (kind ``rand``) where it has fewer
+than ``CHARS_PER_TOKEN`` characters to a token, unless it is a known digest (hexadecimal of a
+digest's length), a UUID, a number, or made of words and numbers joined by separators. In a
+run that is not reported whole, as words before a key may hide it, each part between separators
+and each stretch of ``MIN_CHARS`` characters are tested in the same way.
 
 The texts are screened as bytes for runs and keywords, so the patterns themselves run only
 on documents that can hold a match.
@@ -41,6 +42,9 @@ _LONG_HEX = re.compile(r"(?<![0-9a-f])[0-9a-f]{24,}")
 _RUN = re.compile(r"[A-Za-z0-9+/_=-]{%d,}" % MIN_CHARS)
 _UUID = re.compile(r"[0-9A-Fa-f]{8}-(?:[0-9A-Fa-f]{4}-){3}[0-9A-Fa-f]{12}")
 _DIGEST = re.compile(r"[0-9a-f]+|[0-9A-F]+")
+_PIECE = re.compile(r"[A-Za-z0-9]+")
+_LETTER = re.compile(r"[A-Za-z]")
+_WORD = re.compile(r"[A-Z]?[a-z]+|[A-Z]+|[0-9]+")
 _PARTS = re.compile(r"(?:[A-Z]?[a-z]+|[A-Z]+|[0-9]+)(?:[/_=+-](?:[A-Z]?[a-z]+|[A-Z]+|[0-9]+))*[=]*")
 
 _HEX_BYTES = np.zeros(256, bool)
@@ -69,19 +73,75 @@ def _encoding(path: str):
 
 
 def known(s: str) -> bool:
-    """A digest, an identifier or plain parts, not a secret."""
-    return bool(_DIGEST.fullmatch(s) and len(s) in DIGEST_CHARS or _UUID.fullmatch(s) or _PARTS.fullmatch(s))
+    """A digest or an identifier, not a secret."""
+    return bool(_DIGEST.fullmatch(s) and len(s) in DIGEST_CHARS or _UUID.fullmatch(s))
+
+
+def _incompressible(s: str, encoding) -> bool:
+    return len(s) < CHARS_PER_TOKEN * len(encoding.encode_ordinary(s))
+
+
+def _plain(s: str, encoding) -> bool:
+    """Without a letter, or words and numbers joined by separators; a long random string of one case is no word."""
+    if not _LETTER.search(s):
+        return True
+    return bool(_PARTS.fullmatch(s.strip("/_=+-"))) and not any(len(w) >= MIN_CHARS and _LETTER.search(w) and _incompressible(w, encoding) for w in _PIECE.findall(s))
+
+
+def _hidden(s: str, encoding) -> list[tuple[int, int]]:
+    """Spans in a run that are random though the run as a whole is not."""
+    pieces = [m.span() for m in _PIECE.finditer(s)]
+    fixed = [m.span() for m in _UUID.finditer(s)] + [(a, b) for a, b in pieces if known(s[a:b])]
+    free = lambda a, b: all(b <= x or a >= y for x, y in fixed)
+    marked = [(a, b) for a, b in pieces if b - a >= MIN_CHARS and free(a, b) and _LETTER.search(s[a:b]) and _incompressible(s[a:b], encoding)]
+    ends = np.cumsum([0] + [len(encoding.decode_single_token_bytes(t)) for t in encoding.encode_ordinary(s)])
+    last = np.searchsorted(ends, ends + MIN_CHARS)
+    for i in np.flatnonzero(last < len(ends)).tolist():
+        a, b = int(ends[i]), int(ends[last[i]])
+        if b - a < CHARS_PER_TOKEN * (last[i] - i) and free(a, b):
+            marked.append((a, b))
+    merged: list[list[int]] = []
+    for a, b in sorted(marked):
+        if merged and a < merged[-1][1]:
+            merged[-1][1] = max(merged[-1][1], b)
+        else:
+            merged.append([a, b])
+    out: list[tuple[int, int]] = []
+    for a, b in merged:  # whole parts, without the words at both ends
+        own = [p for p in pieces if p[0] < b and p[1] > a and free(*p)]
+        word = lambda p: 4 <= p[1] - p[0] < MIN_CHARS and _WORD.fullmatch(s[p[0] : p[1]]) and not _incompressible(s[p[0] : p[1]], encoding)
+        while own and word(own[0]):
+            own.pop(0)
+        while own and word(own[-1]):
+            own.pop()
+        if own and own[-1][1] - own[0][0] >= MIN_CHARS and not _plain(s[own[0][0] : own[-1][1]], encoding):
+            first, final = pieces.index(own[0]), pieces.index(own[-1])
+            rest = lambda p: free(*p) and not word(p) and (p[1] - p[0] < 4 or _incompressible(s[p[0] : p[1]], encoding))
+            while first and (rest(pieces[first - 1]) or s[pieces[first][0] - 1] == "+" and free(*pieces[first - 1])):
+                first -= 1
+            while final + 1 < len(pieces) and (rest(pieces[final + 1]) or s[pieces[final][1]] == "+" and free(*pieces[final + 1])):
+                final += 1
+            start, end = pieces[first][0], pieces[final][1]
+            while end < len(s) and s[end] == "=":
+                end += 1
+            if out and start < out[-1][1]:
+                out[-1] = (out[-1][0], max(out[-1][1], end))
+            else:
+                out.append((start, end))
+    return out
 
 
 def random_spans(text: str, vocabulary: str) -> list[tuple[int, int]]:
-    """Runs of key characters that the vocabulary compresses badly."""
+    """Runs of key characters, or what is hidden in them, that the vocabulary compresses badly."""
     out = []
     for m in _RUN.finditer(text):
         s = m[0]
-        if not (any(c.isdigit() for c in s) and any(c.isalpha() for c in s)) or known(s):
+        if known(s) or _plain(s, _encoding(vocabulary)):
             continue
-        if len(s) < CHARS_PER_TOKEN * len(_encoding(vocabulary).encode_ordinary(s)):
+        if _incompressible(s, _encoding(vocabulary)):
             out.append(m.span())
+        else:
+            out += [(m.start() + a, m.start() + b) for a, b in _hidden(s, _encoding(vocabulary))]
     return out
 
 

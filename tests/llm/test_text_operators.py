@@ -133,6 +133,26 @@ def test_secrets(spark, sf_dir, rows):
     assert all(redacted[i] == t for i, t in rows if not got[i].spans)
 
 
+def test_secrets_after_words_of_one_run():
+    import random
+    import string
+
+    r = random.Random(13)
+    vocabulary = secrets.default_vocabulary()
+    key = lambda letters, n: "".join(r.choice(letters) for _ in range(n))
+    base62 = string.ascii_letters + string.digits
+    before = ["/documents/projects/archive/reports/annual/", "/documents/projects/archive/reports/annual/summary/final/version/", "production_database_connection_access_key=", "the-long-name-of-a-setting-"]
+    for letters, n, least in ((base62, 32, 99), (base62 + "+/", 43, 99), (string.ascii_letters, 32, 99), (string.ascii_lowercase, 40, 95), (base62, 20, 90)):
+        for start in ["", *before]:
+            made = [key(letters, n) for _ in range(100)]
+            found = [secrets.random_spans(f"{start}{k} end", vocabulary) for k in made]
+            whole = sum(any(a <= len(start) + 3 and b >= len(start) + n - 3 for a, b in spans) for spans in found)
+            assert sum(map(bool, found)) >= least, (letters, n, start)
+            assert whole >= least - 3, (letters, n, start, whole)  # an end that looks like a word after / stays
+    tame = ["/documents/projects/archive/2024/01/02/reports/annual/summary", "/objects/123e4567-e89b-12d3-a456-426614174000/versions/latest", "/blobs/d41d8cd98f00b204e9800998ecf8427e/download/original", "2024-01-02-2024-03-04-2025-06-07", "--------------------------------", "internationalization_of_things_2024_and_later"]
+    assert [secrets.random_spans(t, vocabulary) for t in tame] == [[]] * len(tame)
+
+
 def test_quality_equals_sql(spark, sf_dir):
     c = duckdb.connect()
     c.sql(f"CREATE VIEW documents AS SELECT * FROM '{sf_dir}/documents.parquet'")
