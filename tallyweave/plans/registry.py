@@ -749,25 +749,27 @@ def needs_review_router(spark, sf_dir):
     return findings.candidates(made).select(F.col("vars")[0].alias("a"), F.col("vars")[1].alias("b"), "route")
 
 
-_ALL_COLS = (["qty", "price", "planted"], ["flag", "status"])
+#: Those of count_tests, as its SQL has them.
+_COUNT_COLS = (["qty", "price", "planted"], ["flag", "status"])
 
 
-def _all(spark, sf_dir, imputed=True):
-    """The sweep of three numeric and two categorical columns, and that of its filled copy."""
-    d = kept(_mixed(spark, sf_dir).select(*_ALL_COLS[0], *_ALL_COLS[1]), "mixed")
-    run = lambda x: findings.with_q(results.as_frame(spark, report.sweep(x, *_ALL_COLS, {}, x.count(), charts=False)))
-    return run(d), run(modelling.imputed(d, *_ALL_COLS)) if imputed else None
+def _all(spark, sf_dir, imputed=True, cols=_SWEEP_COLS):
+    """The sweep of five numeric and three categorical columns, and that of its filled copy."""
+    d = kept(_mixed(spark, sf_dir).select(*cols[0], *cols[1]), "mixed")
+    stats = catalog.numeric_stats(d, {c: column(c) for c in cols[0]})
+    run = lambda x: findings.with_q(results.as_frame(spark, report.sweep(x, *cols, stats, x.count(), charts=False)))
+    return run(d), run(modelling.imputed(d, *cols)) if imputed else None
 
 
 @query()
 def sweep_all(spark, sf_dir):
-    """Row 120: all five families over three numeric and two categorical columns."""
+    """Row 120: all five families over five numeric and three categorical columns."""
     return _all(spark, sf_dir, False)[0]
 
 
 @query(f"WITH {M} SELECT * FROM (VALUES ('correlation', 3::BIGINT), ('group_difference', 6::BIGINT), ('contingency', 1::BIGINT), ('regression_model', 3::BIGINT)) v(family, n_tests) UNION ALL SELECT 'regression_coefficient', 3 * (2 + count(DISTINCT flag) - 1 + count(DISTINCT status) - 1) FROM m")
 def count_tests(spark, sf_dir):
-    return findings.count_tests(_all(spark, sf_dir, False)[0])
+    return findings.count_tests(_all(spark, sf_dir, False, _COUNT_COLS)[0])
 
 
 @query()

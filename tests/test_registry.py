@@ -37,3 +37,13 @@ def test_query_equals_sql(spark, sf_dir, duck, name):
 
 def test_every_query_with_sql_is_registered():
     assert set(registry.oracle_sql()) <= set(registry.queries())
+
+
+def test_the_sweep_is_whole(spark, sf_dir, monkeypatch):
+    seen = []
+    monkeypatch.setattr(registry.report, "sweep", lambda d, numeric, categorical, stats, n, charts: seen.append((numeric, categorical, stats)) or [])
+    monkeypatch.setattr(registry.results, "as_frame", lambda spark, rows: None)
+    monkeypatch.setattr(registry.findings, "with_q", lambda frame: frame)
+    registry._all(spark, sf_dir, False)
+    assert seen[0][0] == ["qty", "price", "disc", "tax", "planted"] and seen[0][1] == ["flag", "status", "echo"]
+    assert set(seen[0][2]) == set(seen[0][0])
