@@ -1,7 +1,8 @@
 """Surrogates for personal data: keyed, type-consistent, distinct and coreferent. DataFrame expressions only.
 
 Found: e-mail addresses, telephone numbers, IPv4 addresses, social security numbers, payment
-cards (with a valid check digit) and names after an honorific. A found entity is taken apart
+cards (with a valid check digit), names after an honorific, and the same names wherever else
+the document has them. A found entity is taken apart
 into tokens with a kind: the local part and the domain of an address, the digits of a number,
 given and family names with the gender of the honorific. A token's surrogate is drawn from
 a keyed hash of its kind and value:
@@ -11,7 +12,9 @@ a keyed hash of its kind and value:
 - domains lie under reserved example domains;
 - names are made of syllables of their script, with an ending of their gender.
 
-So the same token has the same surrogate in all documents, in whatever format it is written.
+So the same token has the same surrogate in all documents, in whatever format it is written:
+numbers of country code 1 go by their national digits, and a name found with different
+honorifics has one gender (female before male before neutral).
 All distinct tokens of the corpus are then checked: two tokens of a kind with one surrogate,
 or a surrogate that is itself a real token, are drawn again (with longer words from the
 fourth draw on) until every surrogate is distinct and new.
@@ -121,6 +124,7 @@ def parts_of(match: str) -> str:
     part = lambda kind, value, shape="null": f"named_struct('kind', {kind}, 'value', {value}, 'shape', {shape})"
     plain = rf"regexp_replace({match}, '[^0-9]', '')"
     keep = f"cast(array({part('cast(null as string)', match)}) as {_KINDS})"
+    code = f"regexp_extract({match}, '^[+]1[ .-]?', 0)"
     words = f"regexp_extract_all({match}, '[ -]|[^ -]+', 0)"
     titles = lambda names: f"{match} rlike '^(?:{'|'.join(names)})\\\\.? '"
     # the honorific г-н / г-жа holds a hyphen: it is two words and a hyphen before the first blank
@@ -130,6 +134,7 @@ def parts_of(match: str) -> str:
     kind = f"case when w <= {blank} or {word} in (' ', '-') then null when w = size({words}) then if({gender} = 'f' and {word} rlike '^[\\\\u0400-\\\\u04ff]', 'family_f', 'family') else concat('given_', {gender}) end"
     return f"""case
         when instr({match}, '@') > 0 then array({part("'local'", f"lower(substring_index({match}, '@', 1))")}, {part('cast(null as string)', "'@'")}, {part("'domain'", f"lower(substring_index({match}, '@', -1))")})
+        when {match} rlike '^\\\\+1' and length({plain}) = 11 then array({part('cast(null as string)', code)}, {part("'national'", f"substring({plain}, 2)", f"substring({match}, length({code}) + 1)")})
         when {match} rlike '^\\\\+' then array({part("'phone'", plain, match)})
         when {match} rlike '^(?:[0-9]{{1,3}}\\\\.){{3}}[0-9]{{1,3}}$' then array({part("'ip'", match)})
         when {match} rlike '^[0-9]{{3}}-[0-9]{{2}}-[0-9]{{4}}$' then array({part("'ssn'", plain, match)})
@@ -147,21 +152,35 @@ def with_parts(docs: DataFrame) -> DataFrame:
     found = docs.select("doc_id", "text", F.expr(f"regexp_extract_all(text, {_quoted(ENTITY)}, 0)").alias("found"), F.expr(f"split(text, {_quoted(ENTITY)}, -1)").alias("gaps"))
     gap = f"cast(array(named_struct('kind', null, 'value', element_at(gaps, i), 'shape', null)) as {_KINDS})"
     inner = f"cast({parts_of('element_at(found, i - 1)')} as {_KINDS})"
-    return found.select("doc_id", "text", F.expr(f"flatten(transform(sequence(1, size(gaps)), i -> if(i = 1, {gap}, concat({inner}, {gap}))))").alias("parts"))
+    made = found.select("doc_id", "text", F.expr(f"flatten(transform(sequence(1, size(gaps)), i -> if(i = 1, {gap}, concat({inner}, {gap}))))").alias("parts"))
+    # names found are looked for in the texts between entities, too
+    made = made.withColumn("names", F.expr("array_distinct(transform(filter(parts, p -> p.kind like 'given%' or p.kind like 'family%'), p -> named_struct('value', p.value, 'kind', p.kind)))"))
+    made = made.withColumn("bare", F.expr(r"if(size(names) > 0, concat('(?<!\\p{L})(?:', array_join(array_distinct(names.value), '|'), ')(?!\\p{L})'), null)"))
+    rest = f"cast(array(named_struct('kind', null, 'value', element_at(split(p.value, bare, -1), k), 'shape', null)) as {_KINDS})"
+    name = "element_at(regexp_extract_all(p.value, bare, 0), k - 1)"
+    named = f"cast(array(named_struct('kind', element_at(filter(names, n -> n.value = {name}), 1).kind, 'value', {name}, 'shape', null)) as {_KINDS})"
+    split = f"flatten(transform(sequence(1, size(split(p.value, bare, -1))), k -> if(k = 1, {rest}, concat({named}, {rest}))))"
+    return made.select("doc_id", "text", F.expr(f"if(bare is null, parts, flatten(transform(parts, p -> if(p.kind is null and p.value rlike bare, {split}, array(p)))))").alias("parts"))
+
+
+def _group() -> Column:
+    """The kind of a token without its gender."""
+    return F.regexp_replace("kind", "_[mfn]$", "")
 
 
 def distinct_surrogates(tokens: DataFrame, key: str) -> DataFrame:
-    """(kind, value, surrogate) of all tokens (kind, value), distinct within a kind and none a real token."""
-    real = stored(tokens.distinct())
+    """(family of kinds, value, surrogate) of all tokens (kind, value), distinct within it and none a real token; a name's gender is chosen once."""
+    one = F.when(F.col("group") == "family", F.max("kind")).otherwise(F.min("kind"))
+    real = stored(tokens.withColumn("group", _group()).groupBy("group", "value").agg(one.alias("kind")))
     done, waiting = None, real.withColumn("draw", F.lit(0))
     for draw in range(MOST_DRAWS):
-        drawn = stored(waiting.withColumn("drawn", F.expr(_draw(key))).withColumn("surrogate", surrogate(key)).select("kind", "value", "surrogate"))
-        first = drawn.groupBy("kind", "surrogate").agg(F.min("value").alias("value"))
-        first = first.join(real.select("kind", F.col("value").alias("surrogate")), ["kind", "surrogate"], "left_anti")
+        drawn = stored(waiting.withColumn("drawn", F.expr(_draw(key))).withColumn("surrogate", surrogate(key)).select("group", "kind", "value", "surrogate"))
+        first = drawn.groupBy("group", "surrogate").agg(F.min("value").alias("value"))
+        first = first.join(real.select("group", F.col("value").alias("surrogate")), ["group", "surrogate"], "left_anti")
         if done is not None:
-            first = first.join(done.select("kind", "surrogate"), ["kind", "surrogate"], "left_anti")
-        won = written(first.select("kind", "value", "surrogate"), "surrogates", compact=True)
-        waiting = drawn.select("kind", "value").join(won.select("kind", "value"), ["kind", "value"], "left_anti")
+            first = first.join(done.select("group", "surrogate"), ["group", "surrogate"], "left_anti")
+        won = written(first.select("group", "value", "surrogate"), "surrogates", compact=True)
+        waiting = drawn.select("group", "kind", "value").join(won.select("group", "value"), ["group", "value"], "left_anti")
         waiting = written(waiting.withColumn("draw", F.lit(draw + 1)), "waiting", compact=True)
         done = won if done is None else done.unionByName(won)
         if waiting.isEmpty():
@@ -181,7 +200,7 @@ def replace_entities(docs: DataFrame, key: str = DEFAULT_KEY) -> DataFrame:
     some = stored(with_parts(docs.where(has)).select("doc_id", F.xxhash64("text", F.length("text")).alias("h"), "parts"))
     tokens = some.select("doc_id", "h", F.posexplode("parts").alias("at", "part")).where("part.kind is not null").select("doc_id", "h", "at", "part.*")
     known = distinct_surrogates(tokens.select("kind", "value"), key)
-    put = tokens.join(known, ["kind", "value"]).select("doc_id", "h", "at", F.expr(f"if(shape is null, surrogate, {in_shape('surrogate', 'shape')})").alias("new"))
+    put = tokens.withColumn("group", _group()).join(known, ["group", "value"]).select("doc_id", "h", "at", F.expr(f"if(shape is null, surrogate, {in_shape('surrogate', 'shape')})").alias("new"))
     put = put.groupBy("doc_id", "h").agg(F.map_from_entries(F.collect_set(F.struct("at", "new"))).alias("new")).select(F.col("doc_id").alias("d"), F.col("h").alias("g"), "new")
     joined = some.join(put, F.col("doc_id").eqNullSafe(F.col("d")) & (F.col("h") == F.col("g")), "left")
     text = F.expr("array_join(transform(parts, (p, i) -> coalesce(new[i], p.value)), '')")

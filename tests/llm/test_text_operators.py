@@ -219,6 +219,16 @@ def test_pii(spark, docs, rows):
     assert len({a for a, _ in pairs}) == len({b for _, b in pairs}) == len(pairs) and all(a != b for a, b in pairs)
 
 
+def test_pii_is_coreferent_in_other_wordings(spark):
+    made = [(1, "Mr. John Smith came. Smith said that John Smith, not Smithson, left."), (2, "Dr Jane Smith"), (3, "Ms Jane Smith"), (4, "+1 212-555-0100"), (5, "(212) 555-0100"), (6, "Smith alone"), (7, "+12125550100")]
+    got = {r.doc_id: r.text for r in pii.replace_entities(spark.createDataFrame(made, "doc_id bigint, text string")).collect()}
+    given, family = re.match(r"Mr\. (\w+) (\w+) came", got[1]).groups()
+    assert got[1] == f"Mr. {given} {family} came. {family} said that {given} {family}, not Smithson, left." and "Smith" != family
+    assert got[2].split()[1:] == got[3].split()[1:] and got[2].split()[2] == family
+    assert got[4].startswith("+1 ") and re.sub(r"\D", "", got[4])[1:] == re.sub(r"\D", "", got[5]) != "2125550100"
+    assert got[6] == "Smith alone" and got[7] == "+1" + re.sub(r"\D", "", got[5])
+
+
 @pytest.mark.parametrize("empty", [False, True])
 def test_odd_rows(spark, sf_dir, odd, empty):
     """Every operator gives each row a result on nulls, long texts, repeated rows and clashing names."""
