@@ -101,7 +101,7 @@ class ChunkEncoder:
     def spans(self, raw: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
         """Starts and ends of chunks (even places) and cut words (odd places), and the first span of each text."""
         n = len(raw)
-        sums, down = tb.prefix_sums(raw, tb.PLAIN)
+        sums, down = tb.rolling_sums(raw)
         at = np.arange(ROLL_BYTES, n)
         cuts = at[(tb.mix((sums[ROLL_BYTES:n] - sums[: n - ROLL_BYTES]) * down[: max(0, n - ROLL_BYTES)]) & self.mask) == 0] if n > ROLL_BYTES else at
         text = np.searchsorted(offsets, cuts, "right") - 1

@@ -16,11 +16,17 @@ import pyarrow as pa
 BLOCK_BYTES = 1 << 18
 
 _U = np.uint64
-_MULT = 0x9E3779B97F4A7C15 | 1
-_MULT_INV = pow(_MULT, -1, 1 << 64)
 _WORD_SEED = 20261
+#: Rolling hashes are polynomials modulo 2^64; span hashes are two polynomials modulo this prime.
+_PRIME = (1 << 31) - 1
+_MODULI = {"rolling": (1 << 64, 0x9E3779B97F4A7C15), "first": (_PRIME, 1_583_458_089), "second": (_PRIME, 784_588_716)}
 
-_powers_kept: list[np.ndarray] = []
+#: Bytes whose codes times powers add up to less than 2^62.
+_NO_OVERFLOW = 1 << 22
+#: A random 64-bit code for each byte value.
+_ROLLING = np.random.default_rng(_WORD_SEED).integers(1, 1 << 63, 256, dtype=np.uint64) * _U(2) + _U(1)
+
+_powers_kept: dict[str, tuple[np.ndarray, np.ndarray]] = {}
 
 
 def mix(x: np.ndarray) -> np.ndarray:
@@ -32,28 +38,43 @@ def mix(x: np.ndarray) -> np.ndarray:
     return x ^ (x >> _U(31))
 
 
-def _powers(n: int) -> tuple[np.ndarray, np.ndarray]:
-    """The first n powers of the hash base and of its inverse, kept per worker up to a block's length."""
-    if not _powers_kept or len(_powers_kept[0]) < n:
+def _fold(x: np.ndarray) -> np.ndarray:
+    """A smaller number with the same rest modulo the prime 2^31 - 1; twice makes it 2^31 or less from any below 2^62."""
+    return (x & _U(_PRIME)) + (x >> _U(31))
+
+
+def _rest(x: np.ndarray) -> np.ndarray:
+    """The rest of numbers below 2^63 modulo the prime."""
+    x = _fold(_fold(x))
+    return np.where(x >= _U(_PRIME), x - _U(_PRIME), x)
+
+
+def _powers(kind: str, n: int) -> tuple[np.ndarray, np.ndarray]:
+    """The first n powers of a base and of its inverse, kept per worker up to a block's length."""
+    kept = _powers_kept.get(kind)
+    if kept is None or len(kept[0]) < n:
+        modulus, base = _MODULI[kind]
         size = max(n, BLOCK_BYTES + 4096)
         both = []
-        for base in (_MULT, _MULT_INV):
+        for b in (base, pow(base, -1, modulus)):
             p = np.empty(size, _U)
             p[0], done = 1, 1
-            while done < size:  # doubling: p[done:2*done] = p[:done] * base**done
+            while done < size:  # doubling: p[done:2*done] = p[:done] * b**done
                 take = min(done, size - done)
-                p[done : done + take] = p[:take] * _U(pow(base, done, 1 << 64))
+                p[done : done + take] = p[:take] * _U(pow(b, done, modulus))
+                if modulus == _PRIME:
+                    p[done : done + take] = _rest(p[done : done + take])
                 done += take
             both.append(p)
-        if size > 4 * BLOCK_BYTES:
-            return both[0], both[1]
-        _powers_kept[:] = both
-    return _powers_kept[0], _powers_kept[1]
+        kept = (both[0], both[1])
+        if size <= 4 * BLOCK_BYTES:
+            _powers_kept[kind] = kept
+    return kept
 
 
-def byte_codes(seed: int, fold_case: bool) -> np.ndarray:
-    """A random 64-bit code for each byte value; with fold_case A-Z have the codes of a-z."""
-    codes = np.random.default_rng(seed).integers(1, 1 << 63, 256, dtype=np.uint64) * _U(2) + _U(1)
+def byte_codes(fold_case: bool) -> np.ndarray:
+    """1 to 256 for the byte values; with fold_case A-Z have the codes of a-z."""
+    codes = np.arange(1, 257, dtype=np.uint64)
     if fold_case:
         codes[65:91] = codes[97:123]
     return codes
@@ -105,18 +126,43 @@ def runs(inside: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndarra
     return starts, ends
 
 
-def prefix_sums(raw: np.ndarray, codes: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """Running polynomial hash of the bytes, and the inverse powers that make its differences comparable."""
-    up, down = _powers(len(raw) + 1)
+def rolling_sums(raw: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Running polynomial hash of the bytes modulo 2^64, and the inverse powers that make its differences comparable.
+
+    Good for choosing places in a text, not for telling strings apart: some unequal strings of a regular build agree.
+    """
+    up, down = _powers("rolling", len(raw) + 1)
     sums = np.empty(len(raw) + 1, _U)
     sums[0] = 0
-    np.cumsum(codes[raw] * up[: len(raw)], out=sums[1:])
+    np.cumsum(_ROLLING[raw] * up[: len(raw)], out=sums[1:])
     return sums, down
 
 
-def span_hashes(sums: np.ndarray, down: np.ndarray, starts: np.ndarray, ends: np.ndarray) -> np.ndarray:
-    """A 64-bit hash of each byte span; equal spans have equal hashes."""
-    return mix((sums[ends] - sums[starts]) * down[starts] + (ends - starts).astype(_U))
+class SpanHashes:
+    """62-bit hashes of byte spans: two polynomials modulo the prime 2^31 - 1.
+
+    Equal spans have equal hashes; two unequal ones of n bytes agree with probability (n / 2^31)^2 at most over the choice of
+    the bases, whatever their build.
+    """
+
+    def __init__(self, raw: np.ndarray, codes: np.ndarray):
+        n = len(raw)
+        code = codes[raw]
+        self.parts = []
+        for kind in ("first", "second"):
+            up, down = _powers(kind, n + 1)
+            sums = np.empty(n + 1, _U)
+            sums[0] = 0
+            for k in range(0, n, _NO_OVERFLOW):
+                part = slice(k + 1, k + 1 + _NO_OVERFLOW)
+                np.cumsum(code[k : k + _NO_OVERFLOW] * up[k : min(n, k + _NO_OVERFLOW)], out=sums[part])
+                if k:
+                    sums[part] += _rest(sums[k : k + 1])
+            self.parts.append((sums, down))
+
+    def of(self, starts: np.ndarray, ends: np.ndarray) -> np.ndarray:
+        a, b = (_rest((_rest(sums[ends]) + _U(_PRIME) - _rest(sums[starts])) % _U(_PRIME) * down[starts]) for sums, down in self.parts)
+        return mix((a << _U(31) | b) ^ (ends - starts).astype(_U) << _U(40))
 
 
 def alnum_class() -> np.ndarray:
@@ -138,8 +184,7 @@ class Words:
 
     def __init__(self, raw: np.ndarray, offsets: np.ndarray, inside: np.ndarray, codes: np.ndarray):
         self.starts, self.ends = runs(inside[raw], offsets)
-        sums, down = prefix_sums(raw, codes)
-        self.hashes = span_hashes(sums, down, self.starts, self.ends)
+        self.hashes = SpanHashes(raw, codes).of(self.starts, self.ends)
         self.first = np.searchsorted(self.starts, offsets)  # of each text, and the number of words at the end
         self.text = np.repeat(np.arange(len(offsets) - 1), np.diff(self.first))
 
@@ -155,7 +200,9 @@ class Words:
         return at, mix(total[at])
 
 
-FOLDED = byte_codes(_WORD_SEED, True)
-PLAIN = byte_codes(_WORD_SEED, False)
+FOLDED = byte_codes(True)
+PLAIN = byte_codes(False)
+#: Other codes for the byte values, for a second hash.
+SCRAMBLED = np.random.default_rng(_WORD_SEED + 1).permutation(PLAIN)
 ALNUM = alnum_class()
 NONSPACE = nonspace_class()

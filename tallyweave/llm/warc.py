@@ -25,7 +25,6 @@ from __future__ import annotations
 import base64
 import hashlib
 import re
-import uuid
 import zlib
 from collections.abc import Iterator
 
@@ -33,7 +32,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .util import prepare, shared_dir
+from .util import prepare, scratch_path
 
 SEGMENT_BYTES = 4096
 CHUNK_BYTES = 1024
@@ -243,6 +242,6 @@ def reassemble(segments: DataFrame, page_id_type: str = "bigint", payload: bool
 def round_trip(pages: DataFrame, least: int = LEAST_REVISIT_BYTES) -> DataFrame:
     """Archive the pages in the shared folder, read the archive back and reassemble it."""
     spark = pages.sparkSession
-    path = f"{shared_dir(spark)}/tallyweave/warc-{uuid.uuid4().hex}"
+    path = scratch_path(spark, "warc")
     write_archives(pages, path, least)
     return reassemble(read_archives(spark, path, payload=False), pages.schema["page_id"].dataType.simpleString(), payload=False)
