@@ -12,7 +12,7 @@ MOST_ROUNDS = 60
 
 
 def components(edges: DataFrame) -> DataFrame:
-    """(v, component) for each end of the edges (a, b); component is the smallest v of its component.
+    """(v, component) for each end of the edges (a, b); component is the smallest v of its component (of any type that has an order).
 
     Each round sends every vertex to the neighbour, or itself, of least random rank and keeps
     the edges between what is left; the ranks are drawn anew each round, so a component

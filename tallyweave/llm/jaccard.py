@@ -2,22 +2,24 @@
 
 Words are runs of ASCII letters (lower-cased), digits and non-ASCII characters; a document
 is the set of its five-word shingles (the whole of a text of one to four words is its only
-shingle). Documents with the same word sequence are copies and form one class at once; only
-the class's smallest doc_id goes on.
+shingle). Documents with the same word sequence are copies and form one class at once; a text
+is known by two hashes of that sequence, whatever its doc_id, and goes on once.
 
 1. Candidates: banded MinHash (``BANDS`` bands of ``ROWS``; a pair at similarity 0.8 is
    missed with probability 5e-6, at 0.85 with 6e-9). A bucket contributes a star around its
    smallest member, never its pairs; connected stars are clusters.
 2. A cluster's shingle sets meet in blocks of bounded size; each pair of blocks is a task,
    so a cluster of any size is spread and every pair of its members is looked at exactly once.
+   Exact numbers of links need that: n different texts of one cluster take (n / BLOCK_DOCS)^2 / 2 tasks.
 3. Within a task, pairs pass a size filter; MinHash values are compared in steps of
    ``STEP``, and a pair is dropped once the posterior probability (uniform prior) that its
    similarity reaches the threshold is under ``TOLERANCE``. What is left is verified exactly
    on the sets. A task returns the links of each member as a number and a spanning forest.
 
 Defined results: null, empty and word-less texts have no shingles, so no links and classes of
-their own; repeated rows get a row each with the same class; a row with a null doc_id takes
-the class of its copies, null where it has none; ties go to the smaller doc_id; long texts
+their own; repeated rows get a row each with the same class; rows with a null or a shared
+doc_id are told apart by their texts, take part like all others, and a class is named by the
+smallest doc_id in it (null where it has none); ties go to the smaller doc_id; long texts
 are whole; an empty table gives no rows. Columns other than doc_id and text are not read.
 """
 
@@ -34,7 +36,7 @@ from pyspark.sql import functions as F
 
 from . import textbytes as tb
 from .graph import components
-from .util import partitions, prepare, stored, written
+from .util import fresh, partitions, prepare, row_key, stored, written
 
 SHINGLE_WORDS = 5
 THRESHOLD = 0.8
@@ -81,12 +83,12 @@ def _sequence_keys(w: tb.Words) -> tuple[np.ndarray, np.ndarray]:
 
 
 def signatures(docs: DataFrame) -> DataFrame:
-    """doc_id, copy key (k1, k2), words, and the band hashes of texts with a full shingle."""
+    """doc_id, row key (d, th), copy key (k1, k2), words, and the band hashes of texts with a full shingle."""
     family = _hash_family(BANDS * ROWS, 8)
 
     def sign(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
-            raw, offsets = tb.arrow_bytes(b.column(1))
+            raw, offsets = tb.arrow_bytes(b.column(3))
             at = 0
             for first, w, shingles, cut, words in shingle_sets(raw, offsets):
                 n = len(words) - 1
@@ -101,11 +103,12 @@ def signatures(docs: DataFrame) -> DataFrame:
                 length = np.zeros(n + 1, np.int32)
                 length[1:][has] = BANDS
                 lists = pa.ListArray.from_arrays(pa.array(np.cumsum(length), pa.int32()), pa.array(bands.view(np.int64).ravel(), pa.int64()))
-                yield pa.RecordBatch.from_arrays([b.column(0).slice(at, n), pa.array(k1), pa.array(k2), pa.array(np.diff(words), pa.int64()), lists], ["doc_id", "k1", "k2", "n_words", "bands"])
+                yield pa.RecordBatch.from_arrays([*(b.column(c).slice(at, n) for c in range(3)), pa.array(k1), pa.array(k2), pa.array(np.diff(words), pa.int64()), lists], ["doc_id", "d", "th", "k1", "k2", "n_words", "bands"])
                 at += n
 
-    kind = docs.schema["doc_id"].dataType.simpleString()
-    return docs.select("doc_id", "text").mapInArrow(sign, f"doc_id {kind}, k1 bigint, k2 bigint, n_words bigint, bands array<bigint>")
+    d, th = row_key()
+    docs = docs.select(F.col("doc_id").cast("bigint").alias("doc_id"), d.alias("d"), th.alias("th"), "text")
+    return docs.mapInArrow(sign, "doc_id bigint, d bigint, th bigint, k1 bigint, k2 bigint, n_words bigint, bands array<bigint>")
 
 
 def _log_choose_tail(m: int, n: int, t: float) -> float:
@@ -179,13 +182,13 @@ def _verify(threshold: float, tolerance: float):
     family = _hash_family(STEP * STEPS, 88)
 
     def task(p: int, q: int, rows: list[tuple]) -> tuple[list, list, list]:
-        """rows: (document, block, set) of the blocks p and q; each document's links here and the root of its tree.
+        """rows: (text's key, block, set) of the blocks p and q; each text's links here and the root of its tree.
 
         Blocks are drawn by hash, so one may be empty: what is left of a pair of blocks is then one block, whose pairs are task (p, p)'s.
         """
         seen: dict = {}
-        for doc, block, data in rows:
-            seen.setdefault(doc, (block, np.frombuffer(data, np.uint64)))
+        for k1, k2, block, data in rows:
+            seen.setdefault((k1, k2), (block, np.frombuffer(data, np.uint64)))
         ids = sorted(seen)
         sides = np.array([seen[x][0] for x in ids])
         if p != q and sides.min() == sides.max():
@@ -199,78 +202,109 @@ def _verify(threshold: float, tolerance: float):
                     forest.join(i, j)
         return ids, degree.tolist(), [ids[forest.find(k)] for k in range(len(ids))]
 
+    names = [c.split()[0] for c in _FOUND.split(", ")]
+
+    def batch(out: list[list]) -> pa.RecordBatch:
+        ids, degree, root, split = out
+        columns = [[x[0] for x in ids], [x[1] for x in ids], degree, [x[0] for x in root], [x[1] for x in root]]
+        return pa.RecordBatch.from_arrays([*(pa.array(c, pa.int64()) for c in columns), pa.array(split, pa.bool_())], names)
+
     def verify(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         def stream():
             for b in batches:
                 yield from zip(*(c.to_pylist() for c in b.columns), strict=True)
 
-        out: tuple[list, ...] = ([], [], [], [])
+        out: list[list] = [[], [], [], []]
         for key, rows in groupby(stream(), key=lambda r: r[:4]):
             ids, degree, root = task(key[1], key[2], [r[4:] for r in rows])
             for column, values in zip(out, (ids, degree, root, [key[3] > 1] * len(ids)), strict=True):
                 column += values
             if len(out[0]) >= 5000:
-                yield pa.RecordBatch.from_pydict(dict(zip(("rep", "n_links", "root", "split"), out, strict=True)))
-                out = ([], [], [], [])
+                yield batch(out)
+                out = [[], [], [], []]
         if out[0]:
-            yield pa.RecordBatch.from_pydict(dict(zip(("rep", "n_links", "root", "split"), out, strict=True)))
+            yield batch(out)
 
     return verify
 
 
 def _sets(docs: DataFrame) -> DataFrame:
-    """label, p, q, nb, rep, block and the sorted shingle set, from (rep, text, label, nb, block)."""
+    """label, p, q, nb, text's key, block and the sorted shingle set, from (k1, k2, text, label, nb, block)."""
 
     def build(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
-            raw, offsets = tb.arrow_bytes(b.column(1))
+            raw, offsets = tb.arrow_bytes(b.column(2))
             sets = []
             for _, _, shingles, cut, words in shingle_sets(raw, offsets):
                 sets += [np.unique(shingles[cut[k] : cut[k + 1]]).tobytes() for k in range(len(words) - 1)]
-            yield pa.RecordBatch.from_arrays([b.column(0), b.column(2), b.column(3), b.column(4), pa.array(sets, pa.binary())], ["rep", "label", "nb", "block", "shingles"])
+            yield pa.RecordBatch.from_arrays([b.column(0), b.column(1), b.column(3), b.column(4), b.column(5), pa.array(sets, pa.binary())], ["k1", "k2", "label", "nb", "block", "shingles"])
 
-    made = docs.select("rep", "text", "label", "nb", "block").mapInArrow(build, "rep bigint, label bigint, nb int, block int, shingles binary")
+    made = docs.select("k1", "k2", "text", "label", "nb", "block").mapInArrow(build, "k1 bigint, k2 bigint, label bigint, nb int, block int, shingles binary")
     other = F.explode(F.sequence(F.lit(0), F.col("nb") - 1)).alias("other")
-    return made.select("*", other).select("label", F.least("block", "other").alias("p"), F.greatest("block", "other").alias("q"), "nb", "rep", "block", "shingles")
+    return made.select("*", other).select("label", F.least("block", "other").alias("p"), F.greatest("block", "other").alias("q"), "nb", "k1", "k2", "block", "shingles")
 
 
-def near_duplicates(docs: DataFrame, threshold: float = THRESHOLD, tolerance: float = TOLERANCE) -> DataFrame:
-    """doc_id, copy_id (smallest doc_id with these words), class_id (smallest doc_id of its group of linked texts), n_links.
+_FOUND = "k1 bigint, k2 bigint, n_links bigint, r1 bigint, r2 bigint, split boolean"
 
-    n_links counts the different texts whose similarity reaches the threshold; each counts
-    once, however many copies it has.
-    """
+
+def _classes(docs: DataFrame, threshold: float, tolerance: float) -> tuple[DataFrame, DataFrame]:
+    """Signatures of the rows, and for each different text (k1, k2): rep (smallest doc_id), a row of it (d, th), its group, n_links."""
     spark = docs.sparkSession
     prepare(spark)
-    signed = stored(signatures(docs.select(F.col("doc_id").cast("bigint").alias("doc_id"), "text")))
+    docs = docs.select("doc_id", "text")
+    signed = stored(signatures(docs))
     wordy = signed.where("n_words > 0")
-    reps = wordy.groupBy("k1", "k2").agg(F.min("doc_id").alias("rep"), F.max("n_words").alias("n_words"))
+    reps = wordy.groupBy("k1", "k2").agg(F.min("doc_id").alias("rep"), F.coalesce(F.min_by("th", "doc_id"), F.min("th")).alias("th"), F.max("n_words").alias("n_words")).withColumn("d", F.coalesce("rep", F.lit(0)))
     banded = wordy.where(F.size("bands") > 0)
-    chosen = banded.join(reps.select("rep", F.col("k1").alias("r1"), F.col("k2").alias("r2")), (F.col("doc_id") == F.col("rep")) & (F.col("k1") == F.col("r1")) & (F.col("k2") == F.col("r2")))
-    bucket = chosen.select("rep", F.explode("bands").alias("band"))
-    heads = bucket.groupBy("band").agg(F.min("rep").alias("head"), F.max("rep").alias("last")).where("head < last").select("band", "head")
-    stars = bucket.join(heads, "band").where("rep <> head").select(F.col("rep").alias("a"), F.col("head").alias("b"))
+    chosen = banded.join(reps.select("k1", "k2", "d", "th"), ["k1", "k2", "d", "th"])
+    bucket = chosen.select("k1", "k2", F.explode("bands").alias("band"))
+    heads = bucket.groupBy("band").agg(F.min("k1").alias("h1"), F.min_by("k2", "k1").alias("h2"), F.max("k1").alias("last")).where("h1 < last").drop("last")
+    stars = bucket.join(heads, "band").where("k1 <> h1").select(F.struct("k1", "k2").alias("a"), F.struct(F.col("h1").alias("k1"), F.col("h2").alias("k2")).alias("b"))
     clusters = components(stars)
 
-    member = clusters.join(reps.select(F.col("rep").alias("v"), "n_words"), "v").select(F.col("v").alias("rep"), F.col("component").alias("label"), "n_words")
+    member = clusters.select("v.k1", "v.k2", F.xxhash64("component").alias("label")).join(reps, ["k1", "k2"])
     blocks = member.groupBy("label").agg(F.count(F.lit(1)).alias("n"), F.sum("n_words").alias("words"))
     blocks = blocks.select("label", F.ceil(F.greatest(F.col("n") / BLOCK_DOCS, F.col("words") / BLOCK_WORDS)).cast("int").alias("nb"))
-    member = written(member.join(blocks, "label").select("rep", "label", "nb", F.pmod(F.xxhash64("rep"), F.col("nb")).cast("int").alias("block")), "members", compact=True)
-    texts = docs.select(F.col("doc_id").cast("bigint").alias("rep"), "text").join(member, "rep")
+    member = written(member.join(blocks, "label").select("k1", "k2", "d", "th", "label", "nb", F.pmod(F.xxhash64("k1", "k2"), F.col("nb")).cast("int").alias("block")), "members", compact=True)
+    d, th = row_key()
+    texts = docs.select(d.alias("d"), th.alias("th"), "text").join(member, ["d", "th"])
     tasks = _sets(texts).repartition(partitions(spark), "label", "p", "q").sortWithinPartitions("label", "p", "q")
-    found = stored(tasks.select("label", "p", "q", "nb", "rep", "block", "shingles").mapInArrow(_verify(threshold, tolerance), "rep bigint, n_links bigint, root bigint, split boolean"))
+    found = stored(tasks.select("label", "p", "q", "nb", "k1", "k2", "block", "shingles").mapInArrow(_verify(threshold, tolerance), _FOUND))
 
-    whole = found.groupBy("rep").agg(F.sum("n_links").alias("n_links"), F.min("root").alias("root"), F.max("split").alias("split"))
-    spread = components(found.where("split and rep <> root").select(F.col("rep").alias("a"), F.col("root").alias("b")))
-    classes = whole.join(spread.select(F.col("v").alias("rep"), "component"), "rep", "left").select("rep", "n_links", F.when(F.col("split"), F.coalesce("component", "rep")).otherwise(F.col("root")).alias("class_id"))
-    classes = reps.select("k1", "k2", "rep").join(classes, "rep", "left")
-    out = signed.select("doc_id", "k1", "k2", "n_words").join(classes.select("k1", "k2", "rep", "class_id", "n_links"), ["k1", "k2"], "left")
-    own = F.when(F.col("n_words") > 0, F.col("rep")).otherwise(F.col("doc_id"))
-    return out.select("doc_id", own.alias("copy_id"), F.coalesce("class_id", own).alias("class_id"), F.coalesce("n_links", F.lit(0)).cast("bigint").alias("n_links"))
+    root = F.min(F.struct(F.col("r1").alias("k1"), F.col("r2").alias("k2")))
+    whole = found.groupBy("k1", "k2").agg(F.sum("n_links").alias("n_links"), root.alias("root"), F.max("split").alias("split"))
+    own, up = F.struct("k1", "k2"), F.struct(F.col("r1").alias("k1"), F.col("r2").alias("k2"))
+    spread = components(found.where("split and (k1 <> r1 or k2 <> r2)").select(own.alias("a"), up.alias("b")))
+    spread = spread.select("v.k1", "v.k2", "component")
+    whole = whole.join(spread, ["k1", "k2"], "left").select("k1", "k2", "n_links", F.when(F.col("split"), F.coalesce("component", own)).otherwise(F.col("root")).alias("group"))
+    linked_ = reps.join(whole, ["k1", "k2"], "left")
+    return signed, linked_.select("k1", "k2", "rep", "d", "th", F.coalesce("group", own).alias("group"), F.coalesce("n_links", F.lit(0)).cast("bigint").alias("n_links"))
+
+
+def near_duplicates(docs: DataFrame, threshold: float = THRESHOLD, tolerance: float = TOLERANCE) -> DataFrame:
+    """doc_id, copy_id (smallest doc_id with these words), class_id (smallest doc_id of its group of linked texts), n_links.
+
+    n_links counts the different texts whose similarity reaches the threshold; each counts
+    once, however many copies it has.
+    """
+    signed, classes = _classes(docs, threshold, tolerance)
+    named = classes.where("n_links > 0").groupBy("group").agg(F.min("rep").alias("class_id"))
+    classes = classes.join(named, "group", "left").select("k1", "k2", "rep", F.coalesce("class_id", "rep").alias("class_id"), "n_links")
+    out = signed.select("doc_id", "k1", "k2", "n_words").join(classes, ["k1", "k2"], "left")
+    own = lambda c: F.when(F.col("n_words") > 0, F.col(c)).otherwise(F.col("doc_id"))
+    return out.select("doc_id", own("rep").alias("copy_id"), own("class_id").alias("class_id"), F.coalesce("n_links", F.lit(0)).cast("bigint").alias("n_links"))
 
 
 def keep_one_of_each(docs: DataFrame) -> DataFrame:
-    """The document of smallest doc_id of each class, one row each; rows with a null doc_id stay as they are."""
-    keepers = near_duplicates(docs).where("doc_id = class_id").select("doc_id").distinct()
-    kept = docs.join(keepers, "doc_id", "left_semi").dropDuplicates(["doc_id"])
-    return kept.unionByName(docs.where("doc_id is null"))
+    """One row of each class, the one of smallest doc_id (a null one only where all are null); texts without words all stay."""
+    signed, classes = _classes(docs, THRESHOLD, TOLERANCE)
+    alone = classes.where("n_links = 0").select("d", "th")
+    first = classes.where("n_links > 0").groupBy("group").agg(F.min(F.struct(F.col("rep").isNull().alias("unnamed"), "d", "th")).alias("row")).select("row.d", "row.th")
+    wordless = signed.where("n_words = 0").select("d", "th").distinct()
+    d, th, one = (fresh(c, docs.columns) for c in ("row_d", "row_th", "row_one"))
+    keepers = alone.unionByName(first).withColumn("one", F.lit(True)).unionByName(wordless.withColumn("one", F.lit(False))).select(F.col("d").alias(d), F.col("th").alias(th), F.col("one").alias(one))
+    a, b = row_key()
+    kept = docs.withColumns({d: a, th: b}).join(keepers, [d, th])
+    # of repeated rows one stays; a number of its own keeps each text without words
+    kept = kept.withColumn(one, F.when(F.col(one), F.lit(-1)).otherwise(F.monotonically_increasing_id())).dropDuplicates([d, th, one])
+    return kept.drop(d, th, one)
