@@ -26,6 +26,8 @@ LEAST_WORDS = 50
 REPEAT_PERCENT = 50
 SYMBOL_PERCENT = 10
 HOST_LIMIT = 0.5
+#: Parts in which a host's documents are joined with its verdict.
+SALTS = 32
 RULES = ("short", "repetitive", "symbols")
 MEASURES = ("n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words")
 
@@ -54,8 +56,7 @@ def measure_block(raw: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, ...
     line = filled[ends] > filled[starts]
     starts, ends, text = starts[line], ends[line], text[line]
     ends = ends - (raw[ends - 1] == 10)
-    sums, down = tb.prefix_sums(raw, tb.PLAIN)
-    key = tb.mix(tb.span_hashes(sums, down, starts, ends) ^ tb.mix(text.astype(np.uint64)))
+    key = tb.mix(tb.SpanHashes(raw, tb.PLAIN).of(starts, ends) ^ tb.mix(text.astype(np.uint64)))
     _, first = np.unique(key, return_index=True)
     dup = np.bincount(text, minlength=n) - np.bincount(text[first], minlength=n)
 
@@ -98,18 +99,23 @@ def host_of(source: Column) -> Column:
     return F.lower(F.regexp_extract(source, r"^(?:[A-Za-z][A-Za-z0-9+.-]*://)?([^/:?#]*)", 1))
 
 
-def beta_prior(hosts: DataFrame, rule: str) -> tuple[float, float]:
-    """Mean and strength of the beta prior of a rule's failure rate, by the moments of all hosts."""
-    f, n = F.col(f"f_{rule}"), F.col("n")
-    k, total, squares, fails = hosts.agg(F.count(F.lit(1)), F.sum("n"), F.sum((n * n).cast("double")), F.sum(f)).first()
-    if not k or not fails or fails == total:
-        return (float(fails) / total if k else 0.0), 1e6
-    mean = fails / total
-    spread = hosts.agg(F.sum(n * F.pow(f / n - mean, 2))).first()[0]
-    within = mean * (1 - mean)
-    room = (total - squares / total - (k - 1)) * within
-    rho = min(1 - 1e-6, max(1e-6, (spread - (k - 1) * within) / room)) if room > 0 else 1e-6
-    return mean, (1 - rho) / rho
+def beta_priors(hosts: DataFrame) -> dict[str, tuple[float, float]]:
+    """Mean and strength of the beta prior of each rule's failure rate, by the moments of all hosts; one row reaches the driver."""
+    n = F.col("n").cast("double")
+    sums = [F.count(F.lit(1)), F.sum(n), F.sum(n * n), *(F.sum(f) for r in RULES for f in (F.col(f"f_{r}").cast("double"), F.col(f"f_{r}") * F.col(f"f_{r}") / n))]
+    k, total, squares, *rest = hosts.agg(*(x.alias(f"s{i}") for i, x in enumerate(sums))).first()
+    out = {}
+    for rule, fails, shares in zip(RULES, rest[::2], rest[1::2], strict=True):
+        if not k or not fails or fails == total:
+            out[rule] = (fails / total if k else 0.0), 1e6
+            continue
+        mean = fails / total
+        within = mean * (1 - mean)
+        spread = shares - mean * fails  # the sum of n * (f / n - mean)^2
+        room = (total - squares / total - (k - 1)) * within
+        rho = min(1 - 1e-6, max(1e-6, (spread - (k - 1) * within) / room)) if room > 0 else 1e-6
+        out[rule] = mean, (1 - rho) / rho
+    return out
 
 
 def host_rates(measured: DataFrame) -> DataFrame:
@@ -117,18 +123,23 @@ def host_rates(measured: DataFrame) -> DataFrame:
     failed = failures()
     hosts = measured.where("source is not null").groupBy(host_of(F.col("source")).alias("host")).agg(F.count(F.lit(1)).alias("n"), *(F.sum(c.cast("bigint")).alias(f"f_{r}") for r, c in failed.items()))
     hosts = stored(hosts)
-    for rule in RULES:
-        mean, strength = beta_prior(hosts, rule)
+    for rule, (mean, strength) in beta_priors(hosts).items():
         hosts = hosts.withColumn(f"rate_{rule}", (F.col(f"f_{rule}") + mean * strength) / (F.col("n") + strength))
     return hosts.withColumn("rejected", F.greatest(*(F.col(f"rate_{r}") for r in RULES)) > HOST_LIMIT)
 
 
 def judge(docs: DataFrame) -> DataFrame:
-    """doc_id, the measures, base_failed, and kept after the verdict on the document's host."""
+    """doc_id, the measures, base_failed, and kept after the verdict on the document's host.
+
+    Documents meet their host's verdict in ``SALTS`` parts, so neither a host of very many documents nor those without a host
+    fill one task; where the rejected hosts are few, Spark broadcasts them instead.
+    """
     measured = stored(measure(docs))
-    rates = host_rates(measured).where("rejected").select("host", "rejected")
+    salt = F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1))).alias("salt")
+    bad = host_rates(measured).where("rejected").select("host", salt, F.lit(True).alias("rejected"))
     failed = failures()
-    out = measured.withColumn("host", host_of(F.col("source"))).join(rates, "host", "left")
+    dealt = F.pmod(F.xxhash64("doc_id", "word_chars", "n_words"), F.lit(SALTS)).cast("int")
+    out = measured.withColumn("host", host_of(F.col("source"))).withColumn("salt", dealt).join(bad, ["host", "salt"], "left")
     base = failed["short"] | failed["repetitive"]
     return out.select("doc_id", *MEASURES, base.alias("base_failed"), (~base & ~F.coalesce("rejected", F.lit(False))).alias("kept"))
 
