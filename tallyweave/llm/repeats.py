@@ -5,23 +5,30 @@ the same distance. So all windows of a corpus are dealt out by anchor, and each
 surroundings are searched on their own:
 
 1. Neighbouring windows with one anchor are a run. Runs of equal content are reduced within
-   each reading task to the earliest one before anything is shuffled; the others are removed
-   spans already.
-2. Runs meet by anchor. A run whose content came earlier is removed; an anchor with several
-   different contents goes on, with the earliest run of each.
-3. The bytes of those runs form shards, cut between anchors. In a shard's enhanced suffix array
-   the common-prefix intervals are scanned with a stack; an interval of 100 bytes or more whose
-   left neighbours differ is a maximal repeat, and all of its occurrences but the earliest are
+   each reading task, their bytes compared, to the earliest one before anything is shuffled; the
+   others are removed spans already.
+2. Runs meet by anchor. Runs of equal content are one string of the suffix array with several
+   places, of which only the earliest goes on (equality by a 62-bit hash besides the anchor's:
+   two unequal ones of an anchor agree with probability 7e-15); an anchor with a single string
+   has nothing to compare.
+3. The strings form shards, cut between anchors. In a shard's enhanced suffix array the
+   common-prefix intervals are scanned with a stack; an interval of 100 bytes or more whose left
+   neighbours differ is a maximal repeat, and all of its occurrences but the earliest are
    removed spans. Every repeat of 100 bytes is part of a maximal one, and shifting to it keeps
    the order of occurrences, so nothing is missed and nothing else is marked.
-   Anchors with more than ``HOT_RUNS`` contents are not put in one task: their windows are
-   compared by hash in an aggregation.
-4. Spans are gathered by document and the remaining bytes are put together.
-
-Defined results: null and empty texts have no bytes; texts under 100 bytes lose nothing; rows
-with equal doc_id count as one document, and none is earlier than the other; a null doc_id
-counts as larger than all others; a repeat within a document, overlapping itself or not,
-keeps its first occurrence; long texts are whole. Only doc_id and text are read.
+   Suffixes of an anchor with more than ``HOT_RUNS`` strings are dealt out again, by their first
+   100 bytes (two 62-bit hashes): such a bucket is the interval at depth 100, and its earliest
+   occurrence comes from an aggregation that Spark combines before it shuffles. The spans are
+   the same either way.
+4. Spans are gathered by row and the remaining bytes are put together.
+
+``repeat_groups`` returns the maximal repeats of the runs themselves, each with all its occurrences.
+
+Defined results: null and empty texts have no bytes; texts under 100 bytes lose nothing; a null
+doc_id counts as larger than all others; rows that share a doc_id, or have none, are in the
+order of a hash of their texts, and only rows equal in both count as one document, none of
+them earlier than the other; a repeat within a document, overlapping itself or not, keeps its
+first occurrence; long texts are whole. Only doc_id and text are read.
 """
 
 from __future__ import annotations
@@ -63,12 +70,12 @@ def sliding_min(x: np.ndarray, width: int) -> np.ndarray:
 
 
 def anchored_runs(raw: np.ndarray, offsets: np.ndarray, match: int = MATCH_BYTES, gram: int = GRAM_BYTES) -> tuple[np.ndarray, ...]:
-    """Of each run of windows with one anchor: text, first start in the text, windows, anchor hash, content hash."""
+    """Of each run of windows with one anchor: text, first start among all bytes, windows, anchor hash, content hash."""
     n = len(raw)
     none = (*(np.zeros(0, np.int64) for _ in range(3)), np.zeros(0, np.uint64), np.zeros(0, np.uint64))
     if n < match:
         return none
-    sums, down = tb.prefix_sums(raw, tb.PLAIN)
+    sums, down = tb.rolling_sums(raw)
     grams = tb.mix((sums[gram:] - sums[:-gram]) * down[: n - gram + 1])
     low = np.uint64((1 << 32) - 1)
     least = sliding_min((grams & ~low) | np.arange(len(grams), dtype=np.uint64), match - gram + 1)
@@ -83,8 +90,18 @@ def anchored_runs(raw: np.ndarray, offsets: np.ndarray, match: int = MATCH_BYTES
     many = np.diff(np.append(first, len(starts)))
     start, anchor = starts[first], anchor[first]
     text = np.searchsorted(offsets, start, "right") - 1
-    content = tb.mix(tb.span_hashes(sums, down, start, start + many - 1 + match) + (anchor - start).astype(np.uint64))
-    return text, start - offsets[text], many, grams[anchor], content
+    content = tb.mix(tb.SpanHashes(raw, tb.PLAIN).of(start, start + many - 1 + match) + (anchor - start).astype(np.uint64))
+    return text, start, many, grams[anchor], content
+
+
+def _same_bytes(raw: np.ndarray, a: np.ndarray, b: np.ndarray, size: np.ndarray) -> np.ndarray:
+    """Whether the spans of ``size`` (8 or more) bytes from a and from b are equal, eight bytes at a time."""
+    words = np.ndarray((len(raw) - 7,), "<u8", raw, strides=(1,))
+    same = np.ones(len(a), bool)
+    for k in range(0, int(size.max(initial=0)), 8):
+        step = np.minimum(k, size - 8)
+        same &= words[a + step] == words[b + step]
+    return same
 
 
 def merged(starts: np.ndarray, ends: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
@@ -97,97 +114,118 @@ def merged(starts: np.ndarray, ends: np.ndarray) -> tuple[np.ndarray, np.ndarray
     return starts[fresh], reach[np.append(fresh[1:] - 1, len(reach) - 1)]
 
 
-def _read_runs(docs: DataFrame, match: int) -> DataFrame:
-    """Candidate runs (shard: anchor, mark: content, place: start << 16 | windows) and removed spans (place: -1 - start, mark: bytes)."""
+_RUN = "shard bigint, mark bigint, doc_id bigint, row bigint, place bigint"
+_SPAN = "shard bigint, doc_id bigint, row bigint, start bigint, size bigint"
+
+
+def _names(columns: str) -> list[str]:
+    return [c.split()[0] for c in columns.split(", ")]
+
+
+def _batch(columns: list[np.ndarray], names: str) -> pa.RecordBatch:
+    return pa.RecordBatch.from_arrays([pa.array(x, pa.int64()) for x in columns], _names(names))
+
+
+def _rows(docs: DataFrame) -> DataFrame:
+    """own (the doc_id as it is), doc_id (for the order), row (a hash that tells texts of one doc_id apart), text."""
+    own = F.col("doc_id").cast("bigint")
+    return docs.select(own.alias("own"), F.coalesce(own, F.lit(_LAST)).alias("doc_id"), F.xxhash64("text", own.isNull()).alias("row"), "text")
+
+
+def _read_runs(docs: DataFrame, match: int, reduce: bool = True) -> DataFrame:
+    """Runs (shard: anchor, mark: content, place: start << 16 | windows) and, where they are reduced, removed spans (place: -1 - start, mark: bytes)."""
 
     def scan(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        held, size = [], 0
+        held, raws, size = [], [], 0
 
         def emit() -> Iterator[pa.RecordBatch]:
-            doc, start, many, anchor, content = (np.concatenate(x) for x in zip(*held, strict=True))
+            doc, row, at, start, many, anchor, content = (np.concatenate(x) for x in zip(*held, strict=True))
             if not len(doc):
                 return
-            order = np.argsort(content)
-            twin = content[order][1:] == content[order][:-1]
-            rows = order[np.append(twin, False) | np.append(False, twin)]
-            rows = rows[np.lexsort((start[rows], doc[rows], content[rows]))]
             again = np.zeros(len(doc), bool)
-            if len(rows):
-                lead = np.append(True, content[rows][1:] != content[rows][:-1])
-                head = rows[np.flatnonzero(lead)[np.cumsum(lead) - 1]]
-                again[rows] = (doc[rows] != doc[head]) | (start[rows] != start[head])
+            if reduce:
+                order = np.argsort(content)
+                twin = content[order][1:] == content[order][:-1]
+                rows = order[np.append(twin, False) | np.append(False, twin)]
+                rows = rows[np.lexsort((start[rows], row[rows], doc[rows], content[rows]))]
+                if len(rows):
+                    lead = np.append(True, content[rows][1:] != content[rows][:-1])
+                    head = rows[np.flatnonzero(lead)[np.cumsum(lead) - 1]]
+                    same = (many[rows] == many[head]) & _same_bytes(np.concatenate(raws), at[rows], at[head], np.minimum(many[rows], many[head]) - 1 + match)
+                    content[rows[~same]] ^= at[rows[~same]].astype(np.uint64)  # a string of its own: the suffix array decides
+                    again[rows] = same & ((doc[rows] != doc[head]) | (row[rows] != row[head]) | (start[rows] != start[head]))
             keep = ~again
-            parts = [((anchor >> np.uint64(64 - _ANCHOR_BITS))[keep].astype(np.int64), content[keep].view(np.int64), doc[keep], start[keep] << 16 | many[keep])]
+            parts = [((anchor >> np.uint64(64 - _ANCHOR_BITS))[keep].astype(np.int64), content[keep].view(np.int64), doc[keep], row[keep], start[keep] << 16 | many[keep])]
             gone = np.flatnonzero(again)
             if len(gone):
-                gone = gone[np.lexsort((start[gone], doc[gone]))]
-                d, a = doc[gone], start[gone]
+                gone = gone[np.lexsort((start[gone], row[gone], doc[gone]))]
+                d, r, a = doc[gone], row[gone], start[gone]
                 b = a + many[gone] - 1 + match
-                fresh = np.append(True, (d[1:] != d[:-1]) | (a[1:] > b[:-1]))  # ends grow with starts
-                at = np.flatnonzero(fresh)
-                d, a, b = d[at], a[at], b[np.append(at[1:] - 1, len(b) - 1)]
-                parts.append((tb.mix(d.astype(np.uint64)).view(np.int64), b - a, d, -1 - a))
-            for shard, mark, doc_id, place in parts:
-                for k in range(0, len(shard), 100_000):
-                    yield pa.RecordBatch.from_arrays([pa.array(x[k : k + 100_000]) for x in (shard, mark, doc_id, place)], ["shard", "mark", "doc_id", "place"])
+                fresh = np.append(True, (d[1:] != d[:-1]) | (r[1:] != r[:-1]) | (a[1:] > b[:-1]))  # ends grow with starts
+                first = np.flatnonzero(fresh)
+                d, r, a, b = d[first], r[first], a[first], b[np.append(first[1:] - 1, len(b) - 1)]
+                parts.append((tb.mix(r.astype(np.uint64)).view(np.int64), b - a, d, r, -1 - a))
+            for columns in parts:
+                for k in range(0, len(columns[0]), 100_000):
+                    yield _batch([x[k : k + 100_000] for x in columns], _RUN)
 
         for b in batches:
-            ids = b.column(0).to_numpy(zero_copy_only=False).astype(np.int64)
-            raw, offsets = tb.arrow_bytes(b.column(1))
+            ids, hashes = (b.column(c).to_numpy(zero_copy_only=False).astype(np.int64) for c in (0, 1))
+            raw, offsets = tb.arrow_bytes(b.column(2))
             for first, _, r, o in tb.blocks(raw, offsets):
-                text, start, many, anchor, content = anchored_runs(r, o, match)
-                held.append((ids[text + first], start, many, anchor, content))
+                text, at, many, anchor, content = anchored_runs(r, o, match)
+                held.append((ids[text + first], hashes[text + first], at + size, at - o[text], many, anchor, content))
+                raws.append(r)
                 size += len(r)
             if size >= REDUCE_BYTES:
                 yield from emit()
-                held, size = [], 0
+                held, raws, size = [], [], 0
         if held:
             yield from emit()
 
-    return docs.mapInArrow(scan, "shard bigint, mark bigint, doc_id bigint, place bigint")
+    return docs.select("doc_id", "row", "text").mapInArrow(scan, _RUN)
 
 
 def _settle(match: int):
     """Removed spans (shard null) and runs that go on (shard: their anchor), from sorted runs; one row is remembered."""
 
     def settle(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        shard0 = mark0 = None  # of the row before; first: doc and place of the earliest run of that content
-        doc0 = place0 = 0
+        shard0 = mark0 = None  # of the row before; first: document and place of the earliest run of that content
+        first = (0, 0, 0)
         waiting = False  # that run is its anchor's only content so far and has not been passed on
         for b in batches:
-            shard, mark, doc, place = (c.to_numpy() for c in b.columns)
+            shard, mark, doc, row, place = (c.to_numpy() for c in b.columns)
             out = place < 0
-            removed = [(doc[out], -1 - place[out], mark[out])]
+            removed = [(doc[out], row[out], -1 - place[out], mark[out])]
             wanted = []
-            shard, mark, doc, place = (x[~out] for x in (shard, mark, doc, place))
+            shard, mark, doc, row, place = (x[~out] for x in (shard, mark, doc, row, place))
             if len(shard):
                 new_shard = np.append(shard[0] != shard0, shard[1:] != shard[:-1])
                 new = new_shard | np.append(mark[0] != mark0, mark[1:] != mark[:-1])
                 at = np.flatnonzero(new)
                 head = np.cumsum(new) - 1  # -1: still the content of the batch before
-                h_doc = np.where(head >= 0, doc[at[head]] if len(at) else 0, doc0)
-                h_place = np.where(head >= 0, place[at[head]] if len(at) else 0, place0)
-                again = ~new & ((doc != h_doc) | (place >> 16 != h_place >> 16))
-                removed.append((doc[again], place[again] >> 16, (place[again] & 0xFFFF) - 1 + match))
+                h_doc, h_row, h_place = (np.where(head >= 0, x[at[head]] if len(at) else 0, x0) for x, x0 in zip((doc, row, place), first, strict=True))
+                again = ~new & ((doc != h_doc) | (row != h_row) | (place >> 16 != h_place >> 16))
+                removed.append((doc[again], row[again], place[again] >> 16, (place[again] & 0xFFFF) - 1 + match))
                 last = np.append(new_shard[at][1:], False)  # the next content is of another anchor
                 alone = new_shard[at] & last
                 if len(at):
                     if waiting and not new_shard[at[0]]:
-                        wanted.append((np.array([shard0]), np.array([doc0]), np.array([place0])))
+                        wanted.append(tuple(np.array([x]) for x in (shard0, *first)))
                     go = at[~alone]
                     open_end = new_shard[at[-1]]  # may turn out to be alone: decided by what follows
                     if open_end:
                         go = go[go != at[-1]]
-                    wanted.append((shard[go], doc[go], place[go]))
-                    waiting, doc0, place0 = bool(open_end), int(doc[at[-1]]), int(place[at[-1]])
+                    wanted.append((shard[go], doc[go], row[go], place[go]))
+                    waiting, first = bool(open_end), tuple(int(x[at[-1]]) for x in (doc, row, place))
                 shard0, mark0 = shard[-1], mark[-1]
-            d, s, n = (np.concatenate(x) for x in zip(*removed, strict=True))
+            d, r, s, n = (np.concatenate(x) for x in zip(*removed, strict=True))
             if len(d):
-                yield pa.RecordBatch.from_arrays([pa.nulls(len(d), pa.int64()), pa.array(d), pa.array(s), pa.array(n)], ["shard", "doc_id", "start", "size"])
+                yield pa.RecordBatch.from_arrays([pa.nulls(len(d), pa.int64()), *map(pa.array, (d, r, s, n))], _names(_SPAN))
             if wanted:
-                k, d, p = (np.concatenate(x) for x in zip(*wanted, strict=True))
+                k, d, r, p = (np.concatenate(x) for x in zip(*wanted, strict=True))
                 if len(k):
-                    yield pa.RecordBatch.from_arrays([pa.array(k), pa.array(d), pa.array(p >> 16), pa.array((p & 0xFFFF) - 1 + match)], ["shard", "doc_id", "start", "size"])
+                    yield _batch([k, d, r, p >> 16, (p & 0xFFFF) - 1 + match], _SPAN)
 
     return settle
 
@@ -320,105 +358,155 @@ class EnhancedSuffixArray:
         return a if x <= y else b
 
 
-def _cut_runs(batches: Iterator[pa.RecordBatch], match: int) -> Iterator[pa.RecordBatch]:
-    """(key, doc_id, start, piece): the bytes of wanted runs by anchor; of hot anchors a hash for each window, without bytes."""
-    for b in batches:
-        ids, runs = b.column(0).to_pylist(), b.column(2).to_pylist()
-        raw, offsets = tb.arrow_bytes(b.column(1))
-        key, doc, at, piece = [], [], [], []
-        for k, own in enumerate(runs):
-            data = raw[offsets[k] : offsets[k + 1]].tobytes()
-            for r in own:
-                s, n = r["start"], r["size"]
-                part = data[s : s + n]
-                if r["hot"]:
-                    whole = np.frombuffer(part, np.uint8)
-                    sums, down = tb.prefix_sums(whole, tb.PLAIN)
-                    i = np.arange(n - match + 1)
-                    key += tb.span_hashes(sums, down, i, i + match).view(np.int64).tolist()
-                    doc += [ids[k]] * len(i)
-                    at += (s + i).tolist()
-                    piece += [None] * len(i)
-                else:
-                    key.append(r["shard"])
-                    doc.append(ids[k])
-                    at.append(s)
-                    piece.append(part)
-            if len(key) >= 20_000:
-                yield pa.RecordBatch.from_arrays([pa.array(key, pa.int64()), pa.array(doc, pa.int64()), pa.array(at, pa.int64()), pa.array(piece, pa.binary())], ["key", "doc_id", "start", "piece"])
-                key, doc, at, piece = [], [], [], []
-        yield pa.RecordBatch.from_arrays([pa.array(key, pa.int64()), pa.array(doc, pa.int64()), pa.array(at, pa.int64()), pa.array(piece, pa.binary())], ["key", "doc_id", "start", "piece"])
-
-
-def shard_spans(strings: list[bytes], doc: np.ndarray, start: np.ndarray, match: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """Removed spans (doc, start, bytes) among strings that start at these places."""
+_PIECE = "key bigint, key2 bigint, doc_id bigint, row bigint, start bigint, piece binary"
+
+
+def _cut_runs(match: int):
+    """Of wanted runs, their bytes by anchor (key); of hot anchors, two hashes for each window and no bytes."""
+
+    def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            runs = b.column(1).to_pylist()
+            raw, offsets = tb.arrow_bytes(b.column(0))
+            out: list[list] = [[] for _ in range(6)]
+            for k, own in enumerate(runs):
+                data = raw[offsets[k] : offsets[k + 1]].tobytes()
+                for r in own:
+                    s, n = r["start"], r["size"]
+                    part = data[s : s + n]
+                    if r["hot"]:
+                        whole, i = np.frombuffer(part, np.uint8), np.arange(n - match + 1)
+                        made = (tb.SpanHashes(whole, tb.PLAIN).of(i, i + match).view(np.int64).tolist(), tb.SpanHashes(whole, tb.SCRAMBLED).of(i, i + match).view(np.int64).tolist(), [r["doc_id"]] * len(i), [r["row"]] * len(i), (r["shown"] + i).tolist(), [None] * len(i))
+                    else:
+                        made = ([r["shard"]], [0], [r["doc_id"]], [r["row"]], [r["shown"]], [part])
+                    for column, values in zip(out, made, strict=True):
+                        column += values
+                if len(out[0]) >= 20_000:
+                    yield pa.RecordBatch.from_arrays([*(pa.array(x, pa.int64()) for x in out[:5]), pa.array(out[5], pa.binary())], _names(_PIECE))
+                    out = [[] for _ in range(6)]
+            yield pa.RecordBatch.from_arrays([*(pa.array(x, pa.int64()) for x in out[:5]), pa.array(out[5], pa.binary())], _names(_PIECE))
+
+    return cut
+
+
+def shard_spans(strings: list[bytes], doc: np.ndarray, row: np.ndarray, start: np.ndarray, match: int) -> tuple[np.ndarray, ...]:
+    """Removed spans (doc, row, start, bytes) among strings that start at these places."""
     array = EnhancedSuffixArray(strings, match)
-    d, s = doc[array.string], start[array.string] + array.at
-    order = np.lexsort((s, d))
+    d, r, s = doc[array.string], row[array.string], start[array.string] + array.at
+    order = np.lexsort((s, r, d))
     step = np.zeros(len(order), np.int64)
-    step[1:] = np.cumsum((d[order][1:] != d[order][:-1]) | (s[order][1:] != s[order][:-1]))
+    step[1:] = np.cumsum((d[order][1:] != d[order][:-1]) | (r[order][1:] != r[order][:-1]) | (s[order][1:] != s[order][:-1]))
     rank = np.empty(len(order), np.int64)
     rank[order] = step
     places, lengths = array.removed(match, rank)
-    return d[places], s[places], lengths
+    return d[places], r[places], s[places], lengths
+
+
+_GROUP = "group bigint, size bigint, shard bigint, mark bigint, at bigint"
+
+
+def shard_groups(strings: list[bytes], shard: np.ndarray, mark: np.ndarray, match: int) -> list[np.ndarray]:
+    """Maximal repeats among strings, and the strings themselves: (hash, bytes, shard, mark, offset in the string) of every occurrence."""
+    array = EnhancedSuffixArray(strings, match)
+    name = lambda data: int.from_bytes(hashlib.blake2b(data, digest_size=8).digest(), "little", signed=True)
+    rows = [(name(s), len(s), shard[k], mark[k], 0) for k, s in enumerate(strings)]
+    for length, places in array.maximal_repeats(match):
+        k, at = array.string[places], array.at[places]
+        one = name(strings[k[0]][at[0] : at[0] + length])
+        rows += [(one, length, shard[i], mark[i], j) for i, j in zip(k.tolist(), at.tolist(), strict=True)]
+    return list(np.array(rows, np.int64).reshape(-1, 5).T)
 
 
-def _search(match: int, shard_bytes: int):
+def _search(shard_bytes: int, look, columns: str):
+    """Shards of about ``shard_bytes``, cut between anchors, each given to ``look``(pieces, key, doc, row, start)."""
+
     def search(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        keys, docs, starts, pieces, size = [], [], [], [], 0
+        held: list[tuple] = []
+        size = 0
 
-        def emit(n: int) -> pa.RecordBatch:
-            d, s, length = shard_spans(pieces[:n], np.array(docs[:n], np.int64), np.array(starts[:n], np.int64), match)
-            return pa.RecordBatch.from_arrays([pa.array(d, pa.int64()), pa.array(s, pa.int64()), pa.array(length, pa.int64())], ["doc_id", "start", "size"])
+        def emit() -> pa.RecordBatch:
+            key, _, doc, row, start, pieces = zip(*held, strict=True)
+            return _batch(look(list(pieces), *(np.array(x, np.int64) for x in (key, doc, row, start))), columns)
 
         for b in batches:
-            for key, doc, start, piece in zip(*(c.to_pylist() for c in b.columns), strict=True):
-                if size >= shard_bytes and key != keys[-1]:
-                    yield emit(len(keys))
-                    keys, docs, starts, pieces, size = [], [], [], [], 0
-                keys.append(key)
-                docs.append(doc)
-                starts.append(start)
-                pieces.append(piece)
-                size += len(piece)
-        if keys:
-            yield emit(len(keys))
+            for r in zip(*(c.to_pylist() for c in b.columns), strict=True):
+                if size >= shard_bytes and r[0] != held[-1][0]:
+                    yield emit()
+                    held, size = [], 0
+                held.append(r)
+                size += len(r[5])
+        if held:
+            yield emit()
 
     return search
 
 
+def _pieces(wanted: DataFrame, texts: DataFrame, match: int) -> DataFrame:
+    """The strings of wanted runs, whose (doc_id, row, start, size) say where they are; they are shown as of ``as_doc``, ``as_row``, ``as_start``."""
+    shown = [F.col(f"as_{a}").alias(b) for a, b in (("doc", "doc_id"), ("row", "row"), ("start", "shown"))]
+    by_row = wanted.groupBy("doc_id", "row").agg(F.collect_list(F.struct("shard", "start", "size", "hot", *shown)).alias("runs"))
+    return texts.join(by_row, ["doc_id", "row"]).select("text", "runs").mapInArrow(_cut_runs(match), _PIECE)
+
+
+def _hot(wanted: DataFrame, hot_runs: int) -> tuple[DataFrame, bool]:
+    """wanted with a column ``hot``, and whether any is."""
+    hot = stored(wanted.groupBy("shard").agg(F.count(F.lit(1)).alias("n")).where(F.col("n") > hot_runs).select("shard", F.lit(True).alias("hot")))
+    if hot.isEmpty():
+        return wanted.withColumn("hot", F.lit(False)), False
+    return wanted.join(hot, "shard", "left").withColumn("hot", F.coalesce("hot", F.lit(False))), True
+
+
 def repeated_spans(docs: DataFrame, texts: DataFrame, match: int = MATCH_BYTES, hot_runs: int = HOT_RUNS, shard_bytes: int = SHARD_BYTES) -> DataFrame:
-    """(doc_id, start, size) of spans that cover exactly the bytes to remove; texts: the documents, dealt out by doc_id."""
+    """(doc_id, row, start, size) of spans that cover exactly the bytes to remove; texts: the documents, dealt out by doc_id and row."""
+    n = partitions(docs.sparkSession)
+    runs = _read_runs(docs, match).repartition(n, "shard").sortWithinPartitions("shard", "mark", "doc_id", "row", "place")
+    settled = stored(runs.mapInArrow(_settle(match), _SPAN))
+    wanted, any_hot = _hot(settled.where("shard is not null").withColumns({f"as_{a}": F.col(b) for a, b in (("doc", "doc_id"), ("row", "row"), ("start", "start"))}), hot_runs)
+    span = ["doc_id", "row", "start", "size"]
+    dealt = _pieces(wanted.where("not hot"), texts, match).repartition(n, "key").sortWithinPartitions("key")
+    look = lambda pieces, key, doc, row, start: shard_spans(pieces, doc, row, start, match)
+    found = settled.where("shard is null").select(span).unionByName(dealt.mapInArrow(_search(shard_bytes, look, "doc_id bigint, row bigint, start bigint, size bigint"), "doc_id bigint, row bigint, start bigint, size bigint"))
+    if any_hot:
+        window = _pieces(wanted.where("hot"), texts, match).select("key", "key2", F.struct("doc_id", "row", "start").alias("place"))
+        earliest = window.groupBy("key", "key2").agg(F.min("place").alias("earliest"))
+        found = found.unionByName(window.join(earliest, ["key", "key2"]).where("place > earliest").select("place.*", F.lit(match).cast("bigint").alias("size")))
+    return found
+
+
+def repeat_groups(docs: DataFrame, match: int = MATCH_BYTES, hot_runs: int = HOT_RUNS, shard_bytes: int = SHARD_BYTES) -> DataFrame:
+    """(group, size, doc_id, row, start): maximal repeats of ``match`` bytes or more within the runs, each with all of its occurrences.
+
+    A run of several equal ones is a group; the others come from the intervals of the suffix arrays, with an occurrence for
+    every run of that content. A longer repeat is a chain of groups that overlap. ``row`` tells rows of one doc_id apart.
+    """
+    prepare(docs.sparkSession)
+    docs = _rows(docs)
     n = partitions(docs.sparkSession)
-    runs = _read_runs(docs, match).repartition(n, "shard").sortWithinPartitions("shard", "mark", "doc_id", "place")
-    settled = stored(runs.mapInArrow(_settle(match), "shard bigint, doc_id bigint, start bigint, size bigint"))
-    wanted = settled.where("shard is not null")
-    hot = wanted.groupBy("shard").agg(F.count(F.lit(1)).alias("n")).where(F.col("n") > hot_runs).select("shard", F.lit(True).alias("hot"))
-    hot = stored(hot)
-    any_hot = not hot.isEmpty()
-    wanted = wanted.join(hot, "shard", "left").withColumn("hot", F.coalesce("hot", F.lit(False))) if any_hot else wanted.withColumn("hot", F.lit(False))
-    found = [settled.where("shard is null").select("doc_id", "start", "size")]
-    for is_hot in (False, True) if any_hot else (False,):
-        by_doc = wanted.where(F.col("hot") == is_hot).groupBy("doc_id").agg(F.collect_list(F.struct("shard", "start", "size", "hot")).alias("runs"))
-        pieces = texts.join(by_doc, "doc_id").select("doc_id", "text", "runs").mapInArrow(lambda it: _cut_runs(it, match), "key bigint, doc_id bigint, start bigint, piece binary")
-        if is_hot:
-            window = pieces.select("key", "doc_id", "start")
-            earliest = window.groupBy("key").agg(F.min(F.struct("doc_id", "start")).alias("earliest"))
-            found.append(window.join(earliest, "key").where(F.struct("doc_id", "start") > F.col("earliest")).select("doc_id", "start", F.lit(match).cast("bigint").alias("size")))
-        else:
-            dealt = pieces.repartition(n, "key").sortWithinPartitions("key")
-            found.append(dealt.mapInArrow(_search(match, shard_bytes), "doc_id bigint, start bigint, size bigint"))
-    out = found[0]
-    for more in found[1:]:
-        out = out.unionByName(more)
-    return out
+    texts = docs.repartition(n, "doc_id", "row")
+    runs = stored(_read_runs(docs, match, reduce=False).distinct())
+    contents = stored(runs.groupBy("shard", "mark").agg(F.count(F.lit(1)).alias("n"), F.min(F.struct("doc_id", "row", "place")).alias("first")))
+    size = F.col("first.place").bitwiseAND(F.lit(0xFFFF)) - 1 + match
+    kinds = contents.groupBy("shard").agg(F.count(F.lit(1)).alias("kinds"))
+    met = contents.join(kinds, "shard")
+    wanted = met.where("kinds > 1").select("shard", "first.doc_id", "first.row", F.shiftright("first.place", 16).alias("start"), size.alias("size"), F.col("shard").alias("as_doc"), F.col("mark").alias("as_row"), F.lit(0).cast("bigint").alias("as_start"))
+    wanted, any_hot = _hot(wanted, hot_runs)
+    dealt = _pieces(wanted.where("not hot"), texts, match).repartition(n, "key").sortWithinPartitions("key")
+    look = lambda pieces, key, shard, mark, start: shard_groups(pieces, shard, mark, match)
+    found = dealt.mapInArrow(_search(shard_bytes, look, _GROUP), _GROUP)
+    found = found.unionByName(met.where("kinds = 1 and n > 1").select(F.col("mark").alias("group"), size.cast("bigint").alias("size"), "shard", "mark", F.lit(0).cast("bigint").alias("at")))
+    if any_hot:
+        window = _pieces(wanted.where("hot"), texts, match)
+        found = found.unionByName(window.select(F.xxhash64("key", "key2").alias("group"), F.lit(match).cast("bigint").alias("size"), F.col("doc_id").alias("shard"), F.col("row").alias("mark"), F.col("start").alias("at")))
+    every = found.join(runs, ["shard", "mark"]).select("group", "size", F.nullif("doc_id", F.lit(_LAST)).alias("doc_id"), "row", (F.shiftright("place", 16) + F.col("at")).alias("start")).distinct()
+    every = stored(every)
+    return every.join(every.groupBy("group", "size").count().where("count > 1").select("group", "size"), ["group", "size"])
 
 
 def _remove(docs: DataFrame, match: int, hot_runs: int, shard_bytes: int, finish, columns: str) -> DataFrame:
     prepare(docs.sparkSession)
-    docs = docs.select(F.coalesce(F.col("doc_id").cast("bigint"), F.lit(_LAST)).alias("doc_id"), "text")
-    texts = docs.repartition(partitions(docs.sparkSession), "doc_id")
-    spans = repeated_spans(docs, texts, match, hot_runs, shard_bytes).groupBy("doc_id").agg(F.collect_list("start").alias("starts"), F.collect_list("size").alias("sizes"))
+    docs = _rows(docs)
+    texts = docs.repartition(partitions(docs.sparkSession), "doc_id", "row")
+    spans = repeated_spans(docs, texts, match, hot_runs, shard_bytes).groupBy("doc_id", "row").agg(F.collect_list("start").alias("starts"), F.collect_list("size").alias("sizes"))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
@@ -432,8 +520,8 @@ def _remove(docs: DataFrame, match: int, hot_runs: int, shard_bytes: int, finish
             yield pa.RecordBatch.from_arrays([b.column(0), *map(pa.array, zip(*rows, strict=True))] if rows else [b.column(0)], schema=pa.schema([pa.field("doc_id", pa.int64()), *types]))
 
     types = [pa.field(c.split()[0], {"bigint": pa.int64(), "string": pa.string(), "binary": pa.binary()}[c.split()[1]]) for c in columns.split(", ")]
-    out = texts.join(spans, "doc_id", "left").select("doc_id", "text", "starts", "sizes").mapInArrow(run, f"doc_id bigint, {columns}")
-    return out.withColumn("doc_id", F.nullif("doc_id", F.lit(_LAST)))
+    out = texts.join(spans, ["doc_id", "row"], "left").select(F.col("own").alias("doc_id"), "text", "starts", "sizes")
+    return out.mapInArrow(run, f"doc_id bigint, {columns}")
 
 
 def _kept(data: bytes, starts: np.ndarray, ends: np.ndarray) -> bytes:

@@ -6,6 +6,7 @@ import random
 import re
 from itertools import combinations
 
+import pyarrow as pa
 import pytest
 
 from tallyweave.llm import jaccard, repeats, warc
@@ -56,6 +57,80 @@ def test_repeats_of_the_documents(spark, docs, rows):
     assert kept == {i: v[3] for i, v in got.items()}
 
 
+def brute_rows(rows, match, order):
+    """As ``brute_repeats``, for rows in any order: earlier means earlier in ``order`` or in the same row."""
+    first = {}
+    for place, k in enumerate(order):
+        b = (rows[k][1] or "").encode()
+        for p in range(len(b) - match + 1):
+            first.setdefault(b[p : p + match], (place, p))
+    out = []
+    for place, k in enumerate(order):
+        b = (rows[k][1] or "").encode()
+        gone = bytearray(len(b))
+        for p in range(len(b) - match + 1):
+            if first[b[p : p + match]] < (place, p):
+                gone[p : p + match] = b"\1" * match
+        out.append((rows[k][0], len(b), sum(gone), sha(bytes(c for c, g in zip(b, gone, strict=True) if not g))))
+    return sorted(out, key=repr)
+
+
+@pytest.mark.parametrize("hot", [20_000, 2])
+def test_rows_without_or_with_one_doc_id(spark, hot):
+    r = random.Random(9)
+    passage = "".join(r.choice("abcdefgh ") for _ in range(200))
+    other = "".join(r.choice("abcdefgh ") for _ in range(300))
+    rows = [(1, passage + " tail"), (None, "zz " + passage), (None, "short"), (None, other), (7, other + "x"), (7, "y" + other), (None, passage[:150]), (None, None)]
+    d = spark.createDataFrame(rows, "doc_id bigint, text string").repartition(3)
+    got = [(x.doc_id, x.n_bytes, x.n_removed, x.kept_sha256) for x in repeats.repeat_report(d, hot_runs=hot).collect()]
+    hashes = {x.text: x.h for x in d.selectExpr("text", "xxhash64(text, doc_id is null) AS h").collect()}
+    order = sorted(range(len(rows)), key=lambda k: (rows[k][0] is None, rows[k][0] or 0, hashes[rows[k][1]]))
+    assert sorted(got, key=repr) == brute_rows(rows, 100, order)
+    again = [(x.doc_id, x.n_removed) for x in repeats.repeat_report(d.union(d), hot_runs=hot).collect()]  # rows equal in both are one document
+    assert sorted(again, key=repr) == sorted(2 * [(a, c) for a, _, c, _ in got], key=repr)
+
+
+@pytest.mark.parametrize("hot", [20_000, 2])
+def test_repeat_groups_have_all_occurrences(spark, patchwork, hot):
+    docs = [*patchwork, *((1000 + i, t) for i, t in patchwork[:30])]
+    texts = {i: t.encode() for i, t in docs}
+    d = spark.createDataFrame(docs, "doc_id bigint, text string").repartition(5)
+    groups = {}
+    for r in repeats.repeat_groups(d, hot_runs=hot).collect():
+        groups.setdefault((r.group, r.size), set()).add((r.doc_id, r.start))
+    covered = {i: bytearray(len(t)) for i, t in texts.items()}
+    for (_, n), places in groups.items():
+        strings = {texts[i][a : a + n] for i, a in places}
+        assert len(strings) == 1 and len(places) > 1
+        for i, a in sorted(places)[1:]:
+            covered[i][a : a + n] = b"\1" * n
+        if hot > 2 and len(places) < 6:  # all occurrences
+            assert places == {(i, a) for i, t in texts.items() for a in range(len(t) - n + 1) if t[a : a + n] in strings}
+    want = brute_repeats(docs, 100)
+    assert {i: sum(c) for i, c in covered.items()} == {i: v[1] for i, v in want.items()}
+
+
+def test_bytes_are_compared_where_hashes_agree(spark, patchwork, monkeypatch):
+    """Runs whose hashes agree although their bytes differ are left to the suffix array."""
+    real = repeats.anchored_runs
+    monkeypatch.setattr(repeats, "anchored_runs", lambda *a: (*(x := real(*a))[:4], x[4] * 0))
+    batch = pa.RecordBatch.from_arrays([pa.array([i for i, _ in patchwork]), pa.array([0] * len(patchwork)), pa.array([t for _, t in patchwork])], ["doc_id", "row", "text"])
+
+    class Docs:  # stands for a frame: runs the task's function here
+        def select(self, *_):
+            return self
+
+        def mapInArrow(self, scan, _):
+            return list(scan(iter([batch])))
+
+    texts = {i: t.encode() for i, t in patchwork}
+    for b in repeats._read_runs(Docs(), 100):
+        for _, size, doc, _, place in zip(*(c.to_pylist() for c in b.columns), strict=True):
+            if place < 0:  # a removed span has an earlier equal run for every window
+                s = texts[doc][-1 - place : -1 - place + size]
+                assert all(any(s[k : k + 100] in t for i, t in texts.items() if i <= doc) for k in range(len(s) - 99))
+
+
 def test_maximal_repeats():
     text = b"xabcabcaby abcab z"
     array = repeats.EnhancedSuffixArray([text], 2)
@@ -143,6 +218,20 @@ def test_near_duplicates_of_the_documents(spark, docs, rows):
     assert got == brute_links(rows)
 
 
+def test_texts_that_share_a_doc_id_or_have_none(spark):
+    r = random.Random(21)
+    words_ = [f"w{r.randrange(10**6)}" for _ in range(100)]
+    a, b = " ".join(words_), " ".join([*words_[:99], "end"])
+    c = " ".join(f"v{r.randrange(10**6)}" for _ in range(60))
+    rows = [(5, c), (5, a), (7, b), (None, b + "!"), (None, " ".join([*words_[:98], "x", "y"])), (None, c + " more"), (None, "alone here"), (None, ""), (None, None), (8, ""), (7, b)]
+    d = spark.createDataFrame(rows, "doc_id bigint, text string")
+    got = sorted(((x.doc_id, x.copy_id, x.class_id, x.n_links) for x in jaccard.near_duplicates(d).collect()), key=repr)
+    want = [(5, 5, 5, 1), (5, 5, 5, 2), (7, 7, 5, 2), (7, 7, 5, 2), (None, 7, 5, 2), (None, None, 5, 2), (None, None, 5, 1), (None, None, None, 0), (None, None, None, 0), (None, None, None, 0), (8, 8, 8, 0)]
+    assert got == sorted(want, key=repr)
+    kept = jaccard.keep_one_of_each(d).collect()
+    assert sorted(map(tuple, kept), key=repr) == sorted([(5, c), (5, a), (None, "alone here"), (None, ""), (None, None), (8, "")], key=repr)
+
+
 def test_pruning_keeps_true_pairs():
     needed = jaccard.least_matches(0.8, 1e-6)
     assert needed == sorted(needed) and needed[-1] < 0.8 * jaccard.STEP * jaccard.STEPS
