@@ -7,9 +7,24 @@ import re
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
-#: The form of a number, and the date formats that count.
+#: The form of a number, and the date formats that count with the look of their texts.
 NUMBER = r"^[+-]?(\d{1,3}(,\d{3})+|\d+)(\.\d+)?([eE][+-]?\d+)?$"
-DATE_FORMATS = ("yyyy-MM-dd", "yyyy-MM-dd HH:mm:ss", "yyyy-MM-dd'T'HH:mm:ss", "yyyy/MM/dd", "MM/dd/yyyy", "dd.MM.yyyy", "yyyy-MM", "yyyy")
+DATE_FORMATS = {
+    "yyyy/MM/dd": r"^\d{4}/\d\d/\d\d$",
+    "yyyy/MM/dd HH:mm:ss": r"^\d{4}/\d\d/\d\d ",
+    "MM/dd/yyyy": r"^\d\d/\d\d/\d{4}$",
+    "MM/dd/yyyy HH:mm:ss": r"^\d\d/\d\d/\d{4} ",
+    "dd.MM.yyyy": r"^\d\d\.\d\d\.\d{4}$",
+    "yyyy-MM": r"^\d{4}-\d\d$",
+    "yyyy": r"^\d{4}$",
+    "d MMM yyyy": r"^\d{1,2} [A-Za-z]{3} \d{4}$",
+    "d MMMM yyyy": r"^\d{1,2} [A-Za-z]{3,9} \d{4}$",
+    "MMM d, yyyy": r"^[A-Za-z]{3} \d{1,2}, \d{4}$",
+    "MMMM d, yyyy": r"^[A-Za-z]{3,9} \d{1,2}, \d{4}$",
+    "d-MMM-yyyy": r"^\d{1,2}-[A-Za-z]{3}-\d{4}$",
+}
+#: A date with or without a time, a fraction of a second and a zone.
+ISO_DATE = r"^\d{4}-\d{1,2}-\d{1,2}([ T]\d{1,2}:\d{2}.*)?$"
 #: Words and phrases of a column's name that mark an identifier.
 ID_WORDS = frozenset("id uuid guid identifier".split())
 ID_PHRASES = ("student id", "user id", "order id", "record id", "customer id", "account number", "account no", "row id", "index")
@@ -43,7 +58,7 @@ def as_number(text: Column) -> Column:
 
 def looks_dated(text: Column) -> Column:
     t = F.trim(text)
-    return F.coalesce(*(F.try_to_timestamp(t, F.lit(f)) for f in DATE_FORMATS)).isNotNull()
+    return F.coalesce(F.when(t.rlike(ISO_DATE), t.try_cast("timestamp")), *(F.when(t.rlike(look), F.try_to_timestamp(t, F.lit(f))) for f, look in DATE_FORMATS.items())).isNotNull()
 
 
 def share(hits: Column, of: Column) -> Column:

@@ -11,60 +11,129 @@ import math
 from itertools import combinations
 
 import pandas as pd
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from tallyweave.functions import special
 from tallyweave.functions.text import column
 from tallyweave.operators.quality import welch
+from tallyweave.operators.quantiles import IN_MEMORY_ROWS
 from tallyweave.operators.results import assumption, result, signed
-from tallyweave.plans.batch import kept, totals
+from tallyweave.plans.batch import MOST_EXPRESSIONS, kept, total, totals
 from tallyweave.session import ship
-from tallyweave.sources.frames import ranked_values
+from tallyweave.sources.frames import running_ranks
 
 #: Least rows of a test and of a level, levels of a group test, rows of a Shapiro test.
 LEAST_ROWS, LEAST_LEVEL, MOST_LEVELS, SHAPIRO_ROWS = 10, 3, 20, 5000
 ALPHA = 0.05
+#: Cells of the rank tables that are broadcast together; larger ones are joined by a shuffle.
+BROADCAST_CELLS = 4_000_000
+_MET = "__met"
+
+
+def _product_sums(key: tuple, a: Column, b: Column) -> dict[tuple, Column]:
+    """Number, sums and sums of products of two columns that are null together."""
+    return {(*key, "n"): F.count(a), (*key, "a"): F.sum(a), (*key, "b"): F.sum(b), (*key, "ab"): F.sum(a * b), (*key, "aa"): F.sum(a * a), (*key, "bb"): F.sum(b * b)}
+
+
+def _correlation(got: dict, key: tuple) -> float | None:
+    """From the sums of ``_product_sums``; None without spread."""
+    n, a, b, ab, aa, bb = (got[*key, k] for k in ("n", "a", "b", "ab", "aa", "bb"))
+    if not n:
+        return None
+    room = max(0.0, aa - a * a / n) * max(0.0, bb - b * b / n)
+    return (ab - a * b / n) / math.sqrt(room) if room > 0 else None
 
 
 def pair_moments(df: DataFrame, numeric: list[str]) -> dict[tuple[str, str], dict]:
-    """n, r and ranges of every numeric pair, each over the rows that have both."""
-    wanted = {}
+    """n, r and ranges of every numeric pair, each over the rows that have both.
+
+    Columns are centred and scaled, so that plain sums of products serve: one for a pair without gaps, a few more for others.
+    """
+    x = {c: column(c).cast("double") for c in numeric}
+    own = total(df, {("", "n"): F.count(F.lit(1))} | {(c, k): f(v) for c, v in x.items() for k, f in (("n", F.count), ("mean", F.avg), ("sd", F.stddev_pop), ("0", F.min), ("1", F.max))})
+    z = {c: (v - float(own[c, "mean"] or 0.0)) / float(own[c, "sd"] or 1.0) for c, v in x.items()}
+    whole = {c for c in numeric if own[c, "n"] == own["", "n"]}
+    wanted: dict = {}
     for a, b in combinations(numeric, 2):
-        x, y = column(a).cast("double"), column(b).cast("double")
-        both = x.isNotNull() & y.isNotNull()
-        wanted |= {(a, b, "n"): F.regr_count(y, x), (a, b, "r"): F.try_divide(F.regr_sxy(y, x), F.sqrt(F.regr_sxx(y, x) * F.regr_syy(y, x)))}
-        for name, v in (("x", x), ("y", y)):
+        if a in whole and b in whole:
+            wanted[a, b, "ab"] = F.sum(z[a] * z[b])
+            continue
+        both = x[a].isNotNull() & x[b].isNotNull()
+        wanted |= _product_sums((a, b), F.when(both, z[a]), F.when(both, z[b]))
+        for name, v in (("x", x[a]), ("y", x[b])):
             wanted |= {(a, b, f"{name}0"): F.min(F.when(both, v)), (a, b, f"{name}1"): F.max(F.when(both, v))}
-    got = totals(df, wanted).get((), {}) if wanted else {}
+    got = total(df, wanted) if wanted else {}
     out: dict = {}
-    for (a, b, k), v in got.items():
-        out.setdefault((a, b), {})[k] = v
+    for a, b in combinations(numeric, 2):
+        if a in whole and b in whole:
+            n, spread = own["", "n"], own[a, "sd"] and own[b, "sd"]
+            out[a, b] = {"n": n, "r": got[a, b, "ab"] / n if n and spread else None} | {f"{v}{k}": own[c, k] for v, c in (("x", a), ("y", b)) for k in "01"}
+        else:
+            out[a, b] = {"n": got[a, b, "n"], "r": _correlation(got, (a, b))} | {k: got[a, b, k] for k in ("x0", "x1", "y0", "y1")}
+    return out
+
+
+def _number(name: str) -> Column:
+    x = column(name).cast("double")
+    return F.when(~F.isnan(x), x)
+
+
+def _broadcastable(sizes: dict[int, int], width: int) -> set[int]:
+    """The smallest rank tables that together have no more cells than are broadcast."""
+    out, cells = set(), 0
+    for c, n in sorted(sizes.items(), key=lambda kv: (kv[1], kv[0])):
+        cells += n * width
+        if cells > BROADCAST_CELLS:
+            break
+        out.add(c)
     return out
 
 
-def rank_correlation(df: DataFrame, a: str, b: str) -> DataFrame:
-    """One row (n, rho): the correlation of average ranks over the rows that have both."""
-    freq = kept(df.select(column(a).cast("double").alias("x"), column(b).cast("double").alias("y")).where("x is not null and y is not null").groupBy("x", "y").agg(F.count(F.lit(1)).alias("n")), "pairs")
-    rx = ranked_values(freq.groupBy("x").agg(F.sum("n").alias("n")), "x").withColumnRenamed("r", "rx")
-    ry = ranked_values(freq.groupBy("y").agg(F.sum("n").alias("n")), "y").withColumnRenamed("r", "ry")
-    pairs = freq.join(rx, "x").join(ry, "y")
-    n = F.sum("n")
-    mean = (n + 1) / 2
-    centred = {"xy": F.sum(F.col("n") * F.col("rx") * F.col("ry")), "xx": F.sum(F.col("n") * F.col("rx") * F.col("rx")), "yy": F.sum(F.col("n") * F.col("ry") * F.col("ry"))}
-    s = {k: v - n * mean * mean for k, v in centred.items()}
-    return pairs.agg(n.alias("n"), F.try_divide(s["xy"], F.sqrt(s["xx"] * s["yy"])).alias("rho"))
+def rank_correlations(df: DataFrame, numeric: list[str]) -> dict[tuple[str, str], tuple[int, float | None]]:
+    """n and the correlation of average ranks of every numeric pair, each over the rows that have both.
+
+    Each column is ranked once, and once more among the rows that have each column with gaps; the ranks are joined to the rows
+    (broadcast where the tables are small) and all pairs come from one aggregation.
+    """
+    k = len(numeric)
+    x = df.select(*(_number(c).alias(f"x{i}") for i, c in enumerate(numeric)))
+    got = total(x, {"": F.count(F.lit(1))} | {i: F.count(f"x{i}") for i in range(k)})
+    gaps = [i for i in range(k) if got[i] < got[""]]
+    entry = [F.struct(F.lit(i).alias("c"), F.col(f"x{i}").alias("v"), *(F.col(f"x{g}").isNotNull().alias(f"p{g}") for g in gaps)) for i in range(k)]
+    long = x.select(F.explode(F.array(*entry)).alias("e")).select("e.*").where("v is not null")
+    freq = long.groupBy("c", "v").agg(F.count(F.lit(1)).alias("n"), *(F.count_if(F.col(f"p{g}")).alias(f"n{g}") for g in gaps))
+    counts = ["n", *(f"n{g}" for g in gaps)]
+    ranked = kept(running_ranks(freq, ["c"], "v", counts).drop(*counts), "ranks")
+    small = _broadcastable(dict(ranked.groupBy("c").count().collect()), len(counts) + 1)
+    rows = x
+    for i in range(k):
+        table = ranked.where(F.col("c") == i).select(F.col("v").alias(f"v{i}"), *(F.col(f"r_{c}").alias(f"r{i}_{c}") for c in counts))
+        rows = rows.join(F.broadcast(table) if i in small else table, F.col(f"x{i}") == F.col(f"v{i}"), "left").drop(f"v{i}")
+    pairs = list(combinations(range(k), 2))
+    if 6 * len(pairs) > MOST_EXPRESSIONS:
+        rows = kept(rows, "ranked_rows")
+    middle = (max(got.values()) + 1) / 2
+    wanted = {}
+    for i, j in pairs:
+        both = F.col(f"x{i}").isNotNull() & F.col(f"x{j}").isNotNull()
+        a, b = (F.when(both, (F.col(f"r{p}_n{q}" if q in gaps else f"r{p}_n") - middle) / middle) for p, q in ((i, j), (j, i)))
+        wanted |= _product_sums((i, j), a, b)
+    got = total(rows, wanted) if wanted else {}
+    return {(numeric[i], numeric[j]): (got[i, j, "n"], _correlation(got, (i, j))) for i, j in pairs}
 
 
 def correlations(df: DataFrame, numeric: list[str], stats: dict[str, dict]) -> list[dict]:
     """Pearson or Spearman of every numeric pair; Spearman where a profile is skewed or has extremes."""
     out = []
     uneven = {c: abs((stats.get(c) or {}).get("skew", 0)) > 1 or (stats.get(c) or {}).get("n_outliers_5iqr", 0) > 0 for c in numeric}
-    for (a, b), m in pair_moments(df, numeric).items():
+    moments = pair_moments(df, numeric)
+    by_rank = rank_correlations(df, numeric) if moments else {}
+    for (a, b), m in moments.items():
         if m["n"] < LEAST_ROWS or m["x0"] == m["x1"] or m["y0"] == m["y1"]:
             continue
         r = special.NAN if m["r"] is None else max(-1.0, min(1.0, m["r"]))
-        rho = rank_correlation(df, a, b).first()["rho"]
+        rho = by_rank[a, b][1]
         rho = special.NAN if rho is None else max(-1.0, min(1.0, rho))
         p, q = special.pearson_p(r, m["n"]), special.pearson_p(rho, m["n"])
         ranks = uneven[a] or uneven[b]
@@ -74,19 +143,41 @@ def correlations(df: DataFrame, numeric: list[str], stats: dict[str, dict]) -> l
     return out
 
 
-def level_moments(df: DataFrame, num: list[str], cat: str) -> dict[str, dict[str, dict]]:
-    """For each numeric column, by level: n, mean, variance, median, and the same of distances from the median; commonest first."""
+def level_medians(df: DataFrame, num: list[str], level: Column) -> dict[tuple[str, str], float]:
+    """Median of each numeric column in each level, from running counts of its values: no task holds a level's values."""
+    entry = F.array(*(F.struct(F.lit(c).alias("c"), column(c).cast("double").alias("v")) for c in num))
+    long = df.select(level.alias("level"), F.explode(entry).alias("e")).select("level", "e.*").where("v is not null and level is not null")
+    ranked = kept(running_ranks(long.groupBy("c", "level", "v").agg(F.count(F.lit(1)).alias("n")), ["c", "level"], "v", ["n"]), "level_ranks")
+    size = ranked.groupBy("c", "level").agg(F.sum("n").alias("size"))
+    low, high = F.floor((F.col("size") + 1) / 2), F.ceil((F.col("size") + 1) / 2)
+    first, last = F.col("r_n") - (F.col("n") - 1) / 2, F.col("r_n") + (F.col("n") - 1) / 2
+    hits = sum(F.when((first <= at) & (at <= last), F.col("v") / 2).otherwise(0.0) for at in (low, high))
+    rows = ranked.join(F.broadcast(size), ["c", "level"]).groupBy("c", "level").agg(F.sum(hits).alias("m")).collect()  # one row for a level
+    return {(r["c"], r["level"]): r["m"] for r in rows}
+
+
+def level_moments(df: DataFrame, num: list[str], cat: str, in_memory: int = IN_MEMORY_ROWS) -> dict[str, dict[str, dict]]:
+    """For each numeric column, by level: n, mean, variance, median, and the same of distances from the median.
+
+    The commonest level comes first, of equal ones the one that is met first. Medians come from the built-in aggregate where the
+    rows are few and from running counts beyond; both give the same numbers.
+    """
     level = column(cat).cast("string")
+    some = df.where(level.isNotNull()).withColumn(_MET, F.monotonically_increasing_id())
+    few = df.count() <= in_memory
     wanted = {}
     for c in num:
         x = column(c).cast("double")
-        wanted |= {(c, "n"): F.count(x), (c, "mean"): F.avg(x), (c, "var"): F.var_samp(x), (c, "median"): F.median(x), (c, "low"): F.min(x), (c, "high"): F.max(x)}
-    some = df.where(level.isNotNull())
+        wanted |= {(c, "n"): F.count(x), (c, "mean"): F.avg(x), (c, "var"): F.var_samp(x), (c, "low"): F.min(x), (c, "high"): F.max(x), (c, "met"): F.min(F.when(x.isNotNull(), F.col(_MET)))}
+        wanted |= {(c, "median"): F.median(x)} if few else {}
     by = {k[0]: v for k, v in totals(some, wanted, [level.alias("level")]).items()}
+    if not few:
+        for (c, v), m in level_medians(df, num, level).items():
+            by[v][c, "median"] = m
     out: dict = {}
     for c in num:
         own = {v: {k: m[c, k] for k in ("n", "mean", "var", "median", "low", "high")} for v, m in by.items() if m[c, "n"] >= LEAST_LEVEL}
-        out[c] = dict(sorted(own.items(), key=lambda kv: (-kv[1]["n"], kv[0])))
+        out[c] = dict(sorted(own.items(), key=lambda kv: (-kv[1]["n"], by[kv[0]][c, "met"])))
     spread = {}
     for c in num:
         middle = F.create_map(*(F.lit(v) for k, m in out[c].items() for v in (k, float(m["median"]))))[level] if out[c] else F.lit(None).cast("double")
@@ -110,14 +201,19 @@ def one_way(groups: list[tuple[int, float, float]]) -> tuple[float, float, float
     return f, special.f_sf(f, k - 1, n - k), between / total if total > 0 else 0.0, total
 
 
-def rank_sums(df: DataFrame, num: str, cat: str, levels: list[str]) -> tuple[dict[str, tuple[int, float]], float]:
-    """By level: rows and sum of average ranks among the rows of the levels; and the sum of t^3 - t over ties."""
-    some = df.select(column(num).cast("double").alias("x"), column(cat).cast("string").alias("level")).where(F.col("x").isNotNull() & F.col("level").isin(levels))
-    freq = some.groupBy("x", "level").agg(F.count(F.lit(1)).alias("n"))
-    values = freq.groupBy("x").agg(F.sum("n").alias("n"))
-    ties = values.agg(F.sum(F.col("n").cast("double") * F.col("n") * F.col("n") - F.col("n"))).first()[0] or 0.0
-    rows = freq.join(ranked_values(values, "x"), "x").groupBy("level").agg(F.sum("n").alias("n"), F.sum(F.col("n") * F.col("r")).alias("s")).collect()
-    return {r["level"]: (r["n"], r["s"]) for r in rows}, ties
+def rank_sums(df: DataFrame, cat: str, levels: dict[str, list[str]]) -> dict[str, tuple[dict[str, tuple[int, float]], float]]:
+    """For each numeric column with its levels: rows and sum of average ranks by level, and the sum of t^3 - t over ties."""
+    names = list(levels)
+    level = column(cat).cast("string")
+    entry = F.array(*(F.struct(F.lit(i).alias("c"), F.when(level.isin(levels[c]), column(c).cast("double")).alias("v")) for i, c in enumerate(names)))
+    long = df.where(level.isNotNull()).select(level.alias("level"), F.explode(entry).alias("e")).select("level", "e.*").where("v is not null")
+    freq = kept(long.groupBy("c", "v", "level").agg(F.count(F.lit(1)).alias("n")), "level_values")
+    values = freq.groupBy("c", "v").agg(F.sum("n").alias("t"))
+    ranked = kept(running_ranks(values, ["c"], "v", ["t"]), "level_value_ranks")
+    t = F.col("t").cast("double")
+    ties = dict(ranked.groupBy("c").agg(F.sum(t * t * t - t)).collect())
+    sums = freq.join(ranked.select("c", "v", "r_t"), ["c", "v"]).groupBy("c", "level").agg(F.sum("n").alias("n"), F.sum(F.col("n") * F.col("r_t")).alias("s")).collect()
+    return {c: ({r["level"]: (r["n"], r["s"]) for r in sums if r["c"] == i}, ties.get(i) or 0.0) for i, c in enumerate(names)}
 
 
 def kruskal(sums: dict[str, tuple[int, float]], ties: float) -> tuple[float, float]:
@@ -135,34 +231,38 @@ def cohen_d(a: dict, b: dict) -> float:
     return (a["mean"] - b["mean"]) / math.sqrt(pooled) if min(a["n"], b["n"]) > 1 and pooled > 0 else 0.0
 
 
-def shapiro_by_level(df: DataFrame, num: str, cat: str, levels: list[str]) -> DataFrame:
-    """(level, n, w, p) of the levels of 3 to 5000 rows; each is a bounded group."""
+def shapiro_by_level(df: DataFrame, cat: str, levels: dict[str, list[str]]) -> DataFrame:
+    """(num, level, n, w, p) of the levels of 3 to 5000 rows; each is a bounded group."""
     ship(df.sparkSession)
-    some = df.select(column(cat).cast("string").alias("level"), column(num).cast("double").alias("x")).where(F.col("level").isin(levels) & F.col("x").isNotNull())
-    sizes = some.groupBy("level").count().where((F.col("count") >= 3) & (F.col("count") <= SHAPIRO_ROWS)).select("level")
+    level = column(cat).cast("string")
+    entry = F.array(*(F.struct(F.lit(c).alias("num"), F.when(level.isin(v), column(c).cast("double")).alias("x")) for c, v in levels.items()))
+    some = df.where(level.isNotNull()).select(level.alias("level"), F.explode(entry).alias("e")).select("level", "e.*").where("x is not null")
+    sizes = some.groupBy("num", "level").count().where((F.col("count") >= 3) & (F.col("count") <= SHAPIRO_ROWS)).select("num", "level")
 
     def test(rows: pd.DataFrame) -> pd.DataFrame:
         w, p = special.shapiro(rows["x"].to_numpy())
-        return pd.DataFrame({"level": [rows["level"].iloc[0]], "n": [len(rows)], "w": [w], "p": [p]})
+        return pd.DataFrame({"num": [rows["num"].iloc[0]], "level": [rows["level"].iloc[0]], "n": [len(rows)], "w": [w], "p": [p]})
 
-    return some.join(sizes, "level").groupBy("level").applyInPandas(test, "level string, n bigint, w double, p double")
+    return some.join(F.broadcast(sizes), ["num", "level"]).groupBy("num", "level").applyInPandas(test, "num string, level string, n bigint, w double, p double")  # levels of one column: at most 50
 
 
 def group_differences(df: DataFrame, numeric: list[str], categorical: list[str]) -> list[dict]:
     """Welch's t for two levels, analysis of variance for more, with rank tests beside them."""
     made: dict = {}
     for cat in categorical:
-        for num, levels in level_moments(df, numeric, cat).items():
-            if not 2 <= len(levels) <= MOST_LEVELS or min(m["low"] for m in levels.values()) == max(m["high"] for m in levels.values()):
-                continue
+        fit = {num: levels for num, levels in level_moments(df, numeric, cat).items() if 2 <= len(levels) <= MOST_LEVELS and min(m["low"] for m in levels.values()) < max(m["high"] for m in levels.values())}
+        few = {num: own for num, levels in fit.items() if (own := [v for v, m in levels.items() if m["n"] <= SHAPIRO_ROWS])}
+        shapiro: dict = {}
+        for r in shapiro_by_level(df, cat, few).collect() if few else ():
+            shapiro.setdefault(r["num"], []).append(r["p"])
+        ranks = rank_sums(df, cat, {num: list(levels) for num, levels in fit.items()}) if fit else {}
+        for num, levels in fit.items():
             names, groups = list(levels), list(levels.values())
             n = sum(m["n"] for m in groups)
             summary = [{"level": v, "n": m["n"], "mean": m["mean"], "std": math.sqrt(m["var"] or 0.0)} for v, m in levels.items()]
             levene = one_way([(m["n"], m["d_mean"], m["d_var"]) for m in groups])[1]
-            small = [v for v, m in levels.items() if m["n"] <= SHAPIRO_ROWS]
-            tests = [r["p"] for r in shapiro_by_level(df, num, cat, small).collect()] if small else []
-            normal = min((p for p in tests if p is not None and not math.isnan(p)), default=special.NAN)
-            sums, ties = rank_sums(df, num, cat, names)
+            normal = min((p for p in shapiro.get(num, []) if p is not None and not math.isnan(p)), default=special.NAN)
+            sums, ties = ranks[num]
             checks = [assumption("equal variances (Levene)", not levene < ALPHA, f"p = {levene:.3g}"), assumption("normal groups (Shapiro)", not normal < ALPHA, f"least p = {normal:.3g}", n < 30)]
             if len(names) == 2:
                 a, b = groups

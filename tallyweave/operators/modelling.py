@@ -36,8 +36,8 @@ def chosen_columns(frame: Frame, columns: list[Column_], most: int = MOST_COLUMN
 
 
 def category(c):
-    """A level as text; whole doubles keep their point."""
-    return c.cast("string")
+    """A level as text; whole doubles keep their point, truth values are True and False."""
+    return F.when(F.typeof(c) == "boolean", F.initcap(c.cast("string"))).otherwise(c.cast("string"))
 
 
 def analysed(frame: Frame, columns: list[Column_], names: list[str], row: Column | None = None) -> DataFrame:

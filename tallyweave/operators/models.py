@@ -1,8 +1,9 @@
-"""Least squares for every numeric column, with HC3 errors and diagnostics, in two passes over the rows.
+"""Least squares for every numeric column, with HC3 errors and diagnostics, all models together.
 
-The first pass sums the products of all design columns (the Gram matrix); the second evaluates
-residual and leverage of each row as expressions of the solved coefficients, and sums what
-the robust covariance and the diagnostics need. Only sums reach the driver.
+The first pass sums the products of all columns (one Gram matrix, of which every model and every
+partial regression is a block); the second evaluates residual and leverage of each row as
+expressions of the solved coefficients, and sums what the robust covariance and the
+diagnostics need. Only sums reach the driver.
 """
 
 from __future__ import annotations
@@ -19,9 +20,11 @@ from tallyweave.functions.text import column
 from tallyweave.operators import series
 from tallyweave.operators.association import pair_moments
 from tallyweave.operators.results import assumption, result, signed
-from tallyweave.plans.batch import total
+from tallyweave.plans.batch import kept, total
 
 LEAST_ROWS, ROWS_PER_TERM, SHAPIRO_ROWS, ALPHA = 10, 5, 5000, 0.05
+#: Pairs of terms, over the models of one plan.
+CELLS_AT_ONCE = 1200
 
 
 @dataclass
@@ -70,21 +73,21 @@ class Fit:
     vif_max: float
     sd: np.ndarray
     sd_y: float
+    gram: np.ndarray  # of the terms, centred and scaled
     fitted: Column
     resid: Column
     cooks: Column
 
 
-def gram(d: Design) -> tuple[int, np.ndarray, np.ndarray, np.ndarray]:
-    """Rows, centre and scale of the terms and the outcome, and the centred, scaled sums of products."""
-    x = [*d.terms.values(), d.y]
+def gram(rows: DataFrame, x: list[Column]) -> tuple[int, np.ndarray, np.ndarray, np.ndarray]:
+    """Rows, centre and scale of the columns, and the centred, scaled sums of products."""
     k = len(x)
-    got = total(d.df, {("n",): F.count(F.lit(1))} | {("m", i): F.avg(v) for i, v in enumerate(x)} | {("s", i): F.stddev_pop(v) for i, v in enumerate(x)})
+    got = total(rows, {("n",): F.count(F.lit(1))} | {("m", i): F.avg(v) for i, v in enumerate(x)} | {("s", i): F.stddev_pop(v) for i, v in enumerate(x)})
     n = got["n",]
     center = np.array([got["m", i] or 0.0 for i in range(k)])
     scale = np.array([got["s", i] or 1.0 for i in range(k)])
     z = [(v - float(center[i])) / float(scale[i]) for i, v in enumerate(x)]
-    sums = total(d.df, {(i, j): F.sum(z[i] * z[j]) for i in range(k) for j in range(i, k)})
+    sums = total(rows, {(i, j): F.sum(z[i] * z[j]) for i in range(k) for j in range(i, k)})
     g = np.zeros((k, k))
     for (i, j), v in sums.items():
         g[i, j] = g[j, i] = v or 0.0
@@ -99,65 +102,103 @@ def _dot(z: list[Column], weights: np.ndarray) -> Column:
 
 
 def fit(d: Design) -> Fit:
-    n, center, scale, g = gram(d)
-    k = len(d.terms)
-    z = [(v - float(center[i])) / float(scale[i]) for i, v in enumerate(d.terms.values())]
-    inner = np.linalg.pinv(g[:k, :k], rcond=1e-12, hermitian=True)
-    rank = int(np.linalg.matrix_rank(g[:k, :k], tol=1e-9 * max(1.0, float(np.abs(g).max())), hermitian=True)) + 1
-    b = inner @ g[:k, k]  # of the scaled terms
-    zy = (d.y - float(center[k])) / float(scale[k])
-    e = zy - _dot(z, b)
-    h = F.lit(1.0 / n)
-    for i in range(k):
-        h = h + z[i] * _dot(z, inner[i])
-    rows = d.df.select(*(v.alias(f"z{i}") for i, v in enumerate(z)), e.alias("e"), h.alias("h"))
-    z, e, h = [F.col(f"z{i}") for i in range(k)], F.col("e"), F.col("h")
-    one = [F.lit(1.0), *z]
-    w = F.try_divide(e * e, (1 - h) * (1 - h))
-    s2 = F.sum(e * e)
-    wanted: dict = {("m", i, j): F.sum(w * one[i] * one[j]) for i in range(k + 1) for j in range(i, k + 1)}
-    wanted |= {"sse": s2, "e4": F.sum(e * e * e * e)} | {("q", i): F.sum(e * e * one[i]) for i in range(k + 1)}
-    got = total(rows, wanted)
-    meat = np.zeros((k + 1, k + 1))
-    for i in range(k + 1):
-        for j in range(i, k + 1):
-            v = got["m", i, j]
-            meat[i, j] = meat[j, i] = special.NAN if v is None else v
-    bread = np.zeros((k + 1, k + 1))
-    bread[0, 0], bread[1:, 1:] = 1.0 / n, inner
-    cov = bread @ meat @ bread  # of scaled coefficients, centred intercept
-    sse, sst = got["sse"] or 0.0, g[k, k]
-    r2 = 1 - sse / sst if sst > 0 else special.NAN
-    adj = 1 - (1 - r2) * (n - 1) / (n - rank) if n > rank else special.NAN
-    df_model = rank - 1
-    try:
-        wald = float(b @ np.linalg.pinv(cov[1:, 1:], rcond=1e-10, hermitian=True) @ b) / df_model if df_model and np.isfinite(cov).all() else special.NAN
-    except np.linalg.LinAlgError:
-        wald = special.NAN
-    q = np.array([got["q", i] or 0.0 for i in range(k + 1)])
-    mean = q[0] / n
-    explained = float(q[1:] @ inner @ q[1:])
-    spread = (got["e4"] or 0.0) - n * mean * mean
-    bp = n * explained / spread if spread > 1e-300 else special.NAN
-    back = np.concatenate(([1.0], 1 / scale[:k])) * scale[k]
-    slopes = b * back[1:]
-    move = np.eye(k + 1)
-    move[0, 1:] = -center[:k]  # from the centred intercept to the plain one
-    scaled = np.diag(back) @ cov @ np.diag(back)
-    cov = move @ scaled @ move.T
-    beta = np.concatenate(([center[k] - float(slopes @ center[:k])], slopes))
-    mse = sse / (n - rank) if n > rank else special.NAN
-    distance = F.try_divide(e * e * h, (1 - h) * (1 - h)) / float(rank * mse) if mse and mse > 0 else F.lit(None).cast("double")
-    cooks_max = total(rows, {"c": F.max(F.when(~F.isnan(distance), distance))})["c"]
-    shapiro_p = special.shapiro([r[0] for r in rows.select("e").collect()])[1] if 3 <= n <= SHAPIRO_ROWS else special.NAN
-    plain = [F.coalesce(v, F.lit(0.0)) for v in d.terms.values()]
-    resid = d.y - float(beta[0]) - _dot(plain, slopes)
-    lever = F.lit(1.0 / n)
-    for i in range(k):
-        lever = lever + (plain[i] - float(center[i])) / float(scale[i]) * _dot([(v - float(center[j])) / float(scale[j]) for j, v in enumerate(plain)], inner[i])
-    own = F.try_divide(resid * resid * lever, (1 - lever) * (1 - lever)) / float(rank * mse * scale[k] ** 2) if mse and mse > 0 else F.lit(None).cast("double")
-    se = np.sqrt(np.where(np.diag(cov) >= 0, np.diag(cov), np.nan))
-    return Fit(list(d.terms), n, beta, se, cov, inner, center, scale, r2, adj, rank, wald, special.f_sf(wald, df_model, n - rank), bp, special.chi2_sf(bp, df_model) if not math.isnan(bp) else special.NAN, special.NAN if cooks_max is None else cooks_max, shapiro_p, vif_max(g, center, scale, k, n), scale[:k] * math.sqrt(n / (n - 1)), scale[k] * math.sqrt(n / (n - 1)), d.y - resid, resid, own)
+    return fits(d.df, {"y": d.y} | {("x", t): c for t, c in d.terms.items()}, {"y": [("x", t) for t in d.terms]})["y"]
+
+
+def fits(rows: DataFrame, columns: dict, wanted: dict) -> dict[object, Fit]:
+    """A model for each outcome with its terms (keys of ``columns``), all over the same rows."""
+    keys = list(columns)
+    place = {key: i for i, key in enumerate(keys)}
+    n, center, scale, g = gram(rows, list(columns.values()))
+    z = kept(rows.select(*(((v - float(center[i])) / float(scale[i])).alias(f"z{i}") for i, v in enumerate(columns.values()))), "scaled")
+    out: dict = {}
+    left = list(wanted)
+    while left:  # as many models in one plan as keep it small
+        some, cells = [], 0
+        while left and (not some or cells + len(wanted[left[0]]) ** 2 <= CELLS_AT_ONCE):
+            some.append(left.pop(0))
+            cells += len(wanted[some[-1]]) ** 2
+        out |= _fits(z, columns, {y: wanted[y] for y in some}, place, n, center, scale, g)
+    return out
+
+
+def _fits(z: DataFrame, columns: dict, wanted: dict, place: dict, n: int, center: np.ndarray, scale: np.ndarray, g: np.ndarray) -> dict[object, Fit]:
+    solved, made = {}, []
+    c = [F.col(f"z{i}") for i in range(len(columns))]
+    for m, (y, terms) in enumerate(wanted.items()):
+        t, yi, k = [place[x] for x in terms], place[y], len(terms)
+        own = g[np.ix_(t, t)]
+        inner = np.linalg.pinv(own, rcond=1e-12, hermitian=True)
+        top = max(1.0, float(np.abs(g[np.ix_([*t, yi], [*t, yi])]).max()))
+        rank = int(np.linalg.matrix_rank(own, tol=1e-9 * top, hermitian=True)) + 1
+        b = inner @ g[t, yi]  # of the scaled terms
+        own_z = [c[i] for i in t]
+        h = F.lit(1.0 / n)
+        for i in range(k):
+            h = h + own_z[i] * _dot(own_z, inner[i])
+        solved[y] = (t, yi, k, inner, rank, b)
+        made += [(c[yi] - _dot(own_z, b)).alias(f"e{m}"), h.alias(f"h{m}")]
+    frame = z.select("*", *made)
+    sums: dict = {}
+    for m, (t, _, k, *_) in enumerate(solved.values()):
+        e, h = F.col(f"e{m}"), F.col(f"h{m}")
+        one = [F.lit(1.0), *(c[i] for i in t)]
+        w = F.try_divide(e * e, (1 - h) * (1 - h))
+        sums |= {(m, "m", i, j): F.sum(w * one[i] * one[j]) for i in range(k + 1) for j in range(i, k + 1)}
+        sums |= {(m, "sse"): F.sum(e * e), (m, "e4"): F.sum(e * e * e * e)} | {(m, "q", i): F.sum(e * e * one[i]) for i in range(k + 1)}
+    got = total(frame, sums)
+    distance = {}
+    mse = {}
+    for m, (_, _, _, _, rank, _) in enumerate(solved.values()):
+        e, h, s = F.col(f"e{m}"), F.col(f"h{m}"), (got[m, "sse"] or 0.0)
+        mse[m] = s / (n - rank) if n > rank else special.NAN
+        distance[m] = F.try_divide(e * e * h, (1 - h) * (1 - h)) / float(rank * mse[m]) if mse[m] and mse[m] > 0 else F.lit(None).cast("double")
+    far = total(frame, {m: F.max(F.when(~F.isnan(d), d)) for m, d in distance.items()})
+    rest = frame.select(*(f"e{m}" for m in distance)).collect() if 3 <= n <= SHAPIRO_ROWS else None
+    out = {}
+    for m, (y, (t, yi, k, inner, rank, b)) in enumerate(solved.items()):
+        meat = np.zeros((k + 1, k + 1))
+        for i in range(k + 1):
+            for j in range(i, k + 1):
+                v = got[m, "m", i, j]
+                meat[i, j] = meat[j, i] = special.NAN if v is None else v
+        bread = np.zeros((k + 1, k + 1))
+        bread[0, 0], bread[1:, 1:] = 1.0 / n, inner
+        cov = bread @ meat @ bread  # of scaled coefficients, centred intercept
+        sse, sst = got[m, "sse"] or 0.0, g[yi, yi]
+        r2 = 1 - sse / sst if sst > 0 else special.NAN
+        adj = 1 - (1 - r2) * (n - 1) / (n - rank) if n > rank else special.NAN
+        df_model = rank - 1
+        try:
+            wald = float(b @ np.linalg.pinv(cov[1:, 1:], rcond=1e-10, hermitian=True) @ b) / df_model if df_model and np.isfinite(cov).all() else special.NAN
+        except np.linalg.LinAlgError:
+            wald = special.NAN
+        q = np.array([got[m, "q", i] or 0.0 for i in range(k + 1)])
+        mean = q[0] / n
+        spread = (got[m, "e4"] or 0.0) - n * mean * mean
+        bp = n * float(q[1:] @ inner @ q[1:]) / spread if spread > 1e-300 else special.NAN
+        own_center, own_scale = center[t], scale[t]
+        back = np.concatenate(([1.0], 1 / own_scale)) * scale[yi]
+        slopes = b * back[1:]
+        move = np.eye(k + 1)
+        move[0, 1:] = -own_center  # from the centred intercept to the plain one
+        cov = move @ np.diag(back) @ cov @ np.diag(back) @ move.T
+        beta = np.concatenate(([center[yi] - float(slopes @ own_center)], slopes))
+        shapiro_p = special.shapiro([r[m] for r in rest])[1] if rest is not None else special.NAN
+        values = list(columns.values())
+        target = values[yi]
+        plain = [F.coalesce(values[i], F.lit(0.0)) for i in t]
+        resid = target - float(beta[0]) - _dot(plain, slopes)
+        unit = [(v - float(own_center[j])) / float(own_scale[j]) for j, v in enumerate(plain)]
+        lever = F.lit(1.0 / n)
+        for i in range(k):
+            lever = lever + unit[i] * _dot(unit, inner[i])
+        own = F.try_divide(resid * resid * lever, (1 - lever) * (1 - lever)) / float(rank * mse[m] * scale[yi] ** 2) if mse[m] and mse[m] > 0 else F.lit(None).cast("double")
+        se = np.sqrt(np.where(np.diag(cov) >= 0, np.diag(cov), np.nan))
+        block = g[np.ix_(t, t)]
+        names = [x[1] if isinstance(x, tuple) else x for x in wanted[y]]
+        out[y] = Fit(names, n, beta, se, cov, inner, own_center, own_scale, r2, adj, rank, wald, special.f_sf(wald, df_model, n - rank), bp, special.chi2_sf(bp, df_model) if not math.isnan(bp) else special.NAN, special.NAN if far[m] is None else far[m], shapiro_p, vif_max(block, own_center, own_scale, k, n), own_scale * math.sqrt(n / (n - 1)), scale[yi] * math.sqrt(n / (n - 1)), block, target - resid, resid, own)
+    return out
 
 
 def vif_max(g: np.ndarray, center: np.ndarray, scale: np.ndarray, k: int, n: int) -> float:
@@ -175,43 +216,75 @@ def vif_max(g: np.ndarray, center: np.ndarray, scale: np.ndarray, k: int, n: int
     return float(((vectors * vectors) / values).sum(1).max())
 
 
-def partial_series(d: Design, f: Fit, term: str) -> dict | None:
-    """Outcome and term, each without what the other terms explain of them."""
+def partials(terms: dict[str, Column], f: Fit, term: str) -> tuple[Column, Column]:
+    """Term and outcome, each without what the other terms explain of them; a block of the model's Gram matrix says what that is."""
     k = f.names.index(term)
-    others = {t: c for t, c in d.terms.items() if t != term}
-    _, center, scale, g = gram(Design(d.df, d.terms[term], others))
-    m = len(others)
-    b = np.linalg.pinv(g[:m, :m], rcond=1e-12, hermitian=True) @ g[:m, m] if m else np.zeros(0)
-    z = [(v - float(center[i])) / float(scale[i]) for i, v in enumerate(others.values())]
-    ex = (d.terms[term] - float(center[m])) - _dot(z, b * scale[m])
-    ey = f.resid + ex * float(f.beta[k + 1])
-    s = series.scatter_series(d.df, ex, ey, series.PARTIAL_POINTS)
+    others = [i for i in range(len(f.names)) if i != k]
+    b = np.linalg.pinv(f.gram[np.ix_(others, others)], rcond=1e-12, hermitian=True) @ f.gram[others, k] if others else np.zeros(0)
+    z = [(terms[f.names[i]] - float(f.center[i])) / float(f.scale[i]) for i in others]
+    ex = (terms[term] - float(f.center[k])) - _dot(z, b * f.scale[k])
+    return ex, f.resid + ex * float(f.beta[k + 1])
+
+
+def _sloped(s: dict | None) -> dict | None:
     return s and s["trend"] and s | {"slope": s["trend"]["slope"]}
 
 
+def partial_series(d: Design, f: Fit, term: str) -> dict | None:
+    return _sloped(series.scatter_series(d.df, *partials(d.terms, f, term), series.PARTIAL_POINTS))
+
+
+def _thinned(df: DataFrame, outcome: str, others: list[str], n: int) -> tuple[Design, str]:
+    """The strongest few predictors where the rows are too few for all."""
+    strength = {}
+    pairs = pair_moments(df, [outcome, *others])
+    for c in others:
+        r = pairs[outcome, c]["r"]
+        if r is not None and math.isfinite(r):
+            strength[c] = abs(r)
+    keep = sorted(strength, key=strength.get, reverse=True)[: max(1, min(len(strength), n // ROWS_PER_TERM - 1))]
+    return design(df, outcome, keep, []), f"only the {len(keep)} most correlated predictors were used, for want of rows"
+
+
 def regressions(df: DataFrame, numeric: list[str], categorical: list[str], n_total: int, charts: bool = True, row: Column | None = None) -> tuple[list[dict], list[dict]]:
     """A model of each numeric column on all others, and its coefficients."""
+    if not numeric or len(numeric) + len(categorical) < 2:
+        return [], []
+    whole = design(df, numeric[0], numeric[1:], categorical)  # the rows are the same for every outcome
+    columns = {numeric[0]: whole.y} | whole.terms
+    rows, n_whole = whole.df, whole.df.count()
+    terms_of = {y: [t for t in (*numeric, *whole.terms) if t != y and t in columns] for y in numeric}
+    terms_of = {y: list(dict.fromkeys(t)) for y, t in terms_of.items()}
+    plans: dict = {}  # outcome: rows, terms, number of rows, note
+    for outcome in numeric:
+        others = [c for c in numeric if c != outcome]
+        terms = {t: columns[t] for t in terms_of[outcome]}
+        if terms and n_whole < ROWS_PER_TERM * len(terms) and others:
+            d, note = _thinned(df, outcome, others, n_whole)
+            plans[outcome] = (d.df, d.terms, d.df.count(), note, d)
+        else:
+            plans[outcome] = (rows, terms, n_whole, None, None)
+    good = {y: p for y, p in plans.items() if not (p[2] < LEAST_ROWS or not p[1] or p[2] <= len(p[1]) + 1)}
+    solved = fits(rows, columns, {y: list(p[1]) for y, p in good.items() if p[4] is None}) if any(p[4] is None for p in good.values()) else {}
+    solved |= {y: fit(p[4]) for y, p in good.items() if p[4] is not None}
+    shown: dict = {}
+    if charts:
+        for frame, own in [(rows, [y for y in good if good[y][4] is None])] + [(good[y][0], [y]) for y in good if good[y][4] is not None]:
+            if not own:
+                continue
+            for y, s in series.points_of(frame, {y: (solved[y].fitted, solved[y].resid) for y in own}, series.RESIDUAL_POINTS, ("fitted_lim", "resid_lim")).items():
+                shown[y, "resid_plot"] = s and {k: v for k, v in s.items() if k != "clipped"}
+            if row is not None:
+                shown |= {(y, "influence_plot"): s for y, s in series.influences(frame, {y: solved[y].cooks for y in own}, row).items()}
+            pairs = {(y, t): partials(good[y][1], solved[y], t) for y in own for i, t in enumerate(solved[y].names) if _p_of(solved[y], i) < ALPHA}
+            shown |= {(*key, "avp_plot"): _sloped(s) for key, s in series.points_of(frame, pairs, series.PARTIAL_POINTS, trends=True).items()}
     models, coefficients = [], []
     for outcome in numeric:
-        others, cats, note = [c for c in numeric if c != outcome], categorical, None
-        if not others and not cats:
-            continue
-        d = design(df, outcome, others, cats)
-        n = d.df.count()
-        if d.terms and n < ROWS_PER_TERM * len(d.terms) and others:
-            strength = {}
-            for c in others:
-                r = pair_moments(df, [outcome, c])[outcome, c]["r"]
-                if r is not None and math.isfinite(r):
-                    strength[c] = abs(r)
-            keep = sorted(strength, key=strength.get, reverse=True)[: max(1, min(len(strength), n // ROWS_PER_TERM - 1))]
-            d = design(df, outcome, keep, [])
-            n = d.df.count()
-            note = f"only the {len(keep)} most correlated predictors were used, for want of rows"
-        if n < LEAST_ROWS or not d.terms or n <= len(d.terms) + 1:
+        _, _, n, note, _ = plans[outcome]
+        if outcome not in solved:
             models.append(result("regression_model", "insufficient", [outcome], n, special.NAN, special.NAN, "adj_r2", special.NAN, note=note or "too few complete rows for a model"))
             continue
-        f = fit(d)
+        f = solved[outcome]
         collinear, uneven = f.vif_max > 10, f.bp_p < ALPHA
         checks = [
             assumption("even residuals (Breusch-Pagan)", not uneven, f"p = {f.bp_p:.3g}", True),
@@ -220,17 +293,10 @@ def regressions(df: DataFrame, numeric: list[str], categorical: list[str], n_tot
             assumption("no dominant row", not f.cooks_max > 4 / n, f"largest Cook's distance {f.cooks_max:.3g}", f.cooks_max > 1),
             assumption("not a near-perfect fit", f.adj_r2 < 0.999, f"adjusted R² {f.adj_r2:.4f}; look for derived columns", f.adj_r2 >= 0.9999),
         ]
-        plots = {}
-        if charts:
-            shown = series.points_series(d.df, f.fitted, f.resid, series.RESIDUAL_POINTS, ("fitted_lim", "resid_lim"))
-            plots["resid_plot"] = shown and {k: v for k, v in shown.items() if k != "clipped"}
-            if row is not None:
-                plots["influence_plot"] = series.influence_series(d.df, f.cooks, row)
+        plots = {k: shown[outcome, k] for k in ("resid_plot", "influence_plot") if (outcome, k) in shown}
         models.append(result("regression_model", "ols", [outcome], n, f.f, f.f_p, "adj_r2", f.adj_r2, "none", checks, None, r2=f.r2, adj_r2=f.adj_r2, f=f.f, f_p=f.f_p, bp_p=f.bp_p, shapiro_resid_p=f.shapiro_p, cooks_max=f.cooks_max, vif_max=f.vif_max, n_predictors=len(f.names), n_drop_frac=1 - n / n_total if n_total else 0.0, note=note, **plots))
         for i, term in enumerate(f.names):
             est, se = float(f.beta[i + 1]), float(f.se[i + 1])
-            z = est / se if se else special.NAN
-            p = 2 * special.norm_sf(abs(z)) if not math.isnan(z) else special.NAN
             std = est * float(f.sd[i]) / f.sd_y if f.sd_y else special.NAN
             wild = abs(std) > 1.5
             terms = [
@@ -238,6 +304,13 @@ def regressions(df: DataFrame, numeric: list[str], categorical: list[str], n_tot
                 assumption("even residuals", not uneven, f"the model's p = {f.bp_p:.3g}"),
                 assumption("plausible coefficient", not wild, f"standardised β = {std:.2f}", wild),
             ]
-            partial = {"avp_plot": partial_series(d, f, term)} if charts and p < ALPHA else {}
-            coefficients.append(result("regression_coefficient", "coef", [outcome, term], n, z, p, "std_beta", std, signed(est), terms, None, estimate=est, std_error=se, ci_low=est - 1.959963984540054 * se, ci_high=est + 1.959963984540054 * se, outcome=outcome, model_adj_r2=f.adj_r2, model_vif_max=f.vif_max, **partial))
+            partial = {"avp_plot": shown[outcome, term, "avp_plot"]} if (outcome, term, "avp_plot") in shown else {}
+            coefficients.append(result("regression_coefficient", "coef", [outcome, term], n, est / se if se else special.NAN, _p_of(f, i), "std_beta", std, signed(est), terms, None, estimate=est, std_error=se, ci_low=est - 1.959963984540054 * se, ci_high=est + 1.959963984540054 * se, outcome=outcome, model_adj_r2=f.adj_r2, model_vif_max=f.vif_max, **partial))
     return models, coefficients
+
+
+def _p_of(f: Fit, i: int) -> float:
+    """Two-sided p of the coefficient of term i."""
+    est, se = float(f.beta[i + 1]), float(f.se[i + 1])
+    z = est / se if se else special.NAN
+    return 2 * special.norm_sf(abs(z)) if not math.isnan(z) else special.NAN

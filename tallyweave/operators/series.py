@@ -6,13 +6,16 @@ import math
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.window import Window
 
-from tallyweave.operators.quantiles import quantiles
-from tallyweave.plans.batch import total
+from tallyweave.operators.quantiles import IN_MEMORY_ROWS, quantiles
+from tallyweave.plans.batch import total, totals
 
 #: Limits of what is shown, and the seed of what is drawn.
 LEAST_BINS, MOST_BINS, BOX_OUTLIERS, LEVELS_SHOWN, MATRIX_COLUMNS = 5, 24, 12, 12, 24
 SCATTER_POINTS, RESIDUAL_POINTS, PARTIAL_POINTS, INFLUENCE_POINTS, INFLUENCE_TOP, SEED = 160, 200, 150, 400, 20, 20260902
+#: Pairs of columns whose series are made together.
+PAIRS_AT_ONCE = 16
 BLOCKS = "▁▂▃▄▅▆▇█"
 
 
@@ -99,26 +102,47 @@ def box_of(df: DataFrame, x: Column, quartiles: list[float] | None = None) -> di
 
 
 def group_boxes(df: DataFrame, num: Column, cat: Column, levels: list[str]) -> list[dict]:
-    """A box for each level, in the order given."""
+    """A box for each level, in the order given; all levels together in three passes."""
+    rows = df.select(cat.cast("string").alias("level"), finite(num).alias("x")).where(F.col("level").isin(levels) & F.col("x").isNotNull())
+    sizes = {k[0]: v["n"] for k, v in totals(rows, {"n": F.count("x")}, ["level"]).items()}
+    probabilities = [0.25, 0.5, 0.75]
+    if sum(sizes.values()) <= IN_MEMORY_ROWS:
+        probs = F.array(*(F.lit(p) for p in probabilities))
+        quartiles = {k[0]: v["q"] for k, v in totals(rows, {"q": F.percentile("x", probs)}, ["level"]).items()}
+    else:
+        quartiles = {v: quantiles(rows.where(F.col("level") == v), {"x": F.col("x")}, probabilities)["x"] for v in sizes}
+    if not quartiles:
+        return []
+    fence = lambda sign, q: F.create_map(*(F.lit(x) for v, (q1, _, q3) in quartiles.items() for x in (v, float((q3 if q else q1) + sign * 1.5 * (q3 - q1)))))[F.col("level")]
+    rows = rows.withColumns({"low": fence(-1, 0), "high": fence(1, 1)})
+    outside = (F.col("x") < F.col("low")) | (F.col("x") > F.col("high"))
+    got = totals(rows, {"n": F.count("x"), "min": F.min("x"), "max": F.max("x"), "lo": F.min(F.when(~outside, F.col("x"))), "hi": F.max(F.when(~outside, F.col("x")))}, ["level"])
+    far: dict = {}
+    beyond = rows.where(outside).select("level", "x", F.row_number().over(Window.partitionBy("level").orderBy("x")).alias("k")).where(F.col("k") <= BOX_OUTLIERS)
+    for r in beyond.orderBy("level", "k").collect():  # a dozen for a level
+        far.setdefault(r["level"], []).append(r["x"])
     out = []
-    for level in levels:  # at most MAX_LEVELS of a group test
-        box = box_of(df.where(cat.cast("string") == level), num)
-        if box:
-            out.append({"level": level} | box)
+    for v in levels:
+        if (v,) in got:
+            m, (q1, median, q3) = got[v,], quartiles[v]
+            out.append({"level": v, "min": m["min"], "q1": q1, "median": median, "q3": q3, "max": m["max"], "whisker_lo": q1 if m["lo"] is None else m["lo"], "whisker_hi": q3 if m["hi"] is None else m["hi"], "outliers": far.get(v, []), "n": m["n"]})
     return out
 
 
-def trend_of(df: DataFrame, x: Column, y: Column) -> dict | None:
-    """End points of the least-squares line; None under three points or without spread in x."""
-    pair = x.isNotNull() & y.isNotNull()
-    x, y = F.when(pair, x), F.when(pair, y)
-    got = total(df, {"n": F.count(x), "slope": F.try_divide(F.regr_sxy(y, x), F.regr_sxx(y, x)), "mx": F.avg(x), "my": F.avg(y), "x0": F.min(x), "x1": F.max(x)})
+def _trend(got: dict) -> dict | None:
     if got["n"] < 3 or got["slope"] is None:
         return None
     at = lambda v: got["my"] + got["slope"] * (v - got["mx"])
     return {"x0": got["x0"], "y0": at(got["x0"]), "x1": got["x1"], "y1": at(got["x1"]), "slope": got["slope"]}
 
 
+def trend_of(df: DataFrame, x: Column, y: Column) -> dict | None:
+    """End points of the least-squares line; None under three points or without spread in x."""
+    pair = x.isNotNull() & y.isNotNull()
+    x, y = F.when(pair, x), F.when(pair, y)
+    return _trend(total(df, {"n": F.count(x), "slope": F.try_divide(F.regr_sxy(y, x), F.regr_sxx(y, x)), "mx": F.avg(x), "my": F.avg(y), "x0": F.min(x), "x1": F.max(x)}))
+
+
 def limits_of(q1: float, q3: float, low: float, high: float) -> list[float]:
     """Axis limits: 3 IQR fences within the data, padded by a twentieth; a unit either way without spread."""
     if q3 > q1:
@@ -133,34 +157,84 @@ def drawn(df: DataFrame, cap: int, by: Column) -> DataFrame:
     return df.orderBy(F.xxhash64(by, F.lit(SEED)), by).limit(cap)
 
 
+def drawn_by_key(long: DataFrame, cap: int, by: Column) -> DataFrame:
+    """The same for the rows of each ``key``."""
+    place = F.row_number().over(Window.partitionBy("key").orderBy(F.xxhash64(by, F.lit(SEED)), by))
+    return long.withColumn("place", place).where(F.col("place") <= cap).drop("place")
+
+
+def _long(df: DataFrame, entries: dict[int, dict[str, Column]]) -> DataFrame:
+    """A row for each key and row of the frame, with the key's columns; rows with a null among them are left out."""
+    names = list(next(iter(entries.values())))
+    entry = F.array(*(F.struct(F.lit(k).alias("key"), *(c.alias(n) for n, c in e.items())) for k, e in entries.items()))
+    return df.select(F.explode(entry).alias("e")).select("e.*").dropna(subset=names)
+
+
+def points_of(df: DataFrame, pairs: dict[object, tuple[Column, Column]], cap: int, names: tuple[str, str] = ("x_lim", "y_lim"), trends: bool = False) -> dict[object, dict | None]:
+    """Of each pair of columns: points (all, or a seeded draw), their number, limits from all of them, and the trend; None under three."""
+    keys, out = list(pairs), dict.fromkeys(pairs)
+    for at in range(0, len(keys), PAIRS_AT_ONCE):
+        some = dict(enumerate(keys[at : at + PAIRS_AT_ONCE]))
+        made = []
+        for i, key in some.items():
+            x, y = finite(pairs[key][0]), finite(pairs[key][1])
+            both = x.isNotNull() & y.isNotNull()
+            made += [F.when(both, x).alias(f"x{i}"), F.when(both, y).alias(f"y{i}")]
+        rows = df.select(*made)
+        wanted: dict = {}
+        for i in some:
+            x, y = F.col(f"x{i}"), F.col(f"y{i}")
+            wanted |= {(i, "n"): F.count(x), (i, "x0"): F.min(x), (i, "x1"): F.max(x), (i, "y0"): F.min(y), (i, "y1"): F.max(y)}
+            wanted |= {(i, "slope"): F.try_divide(F.regr_sxy(y, x), F.regr_sxx(y, x)), (i, "mx"): F.avg(x), (i, "my"): F.avg(y)} if trends else {}
+        ends = total(rows, wanted)
+        some = {i: key for i, key in some.items() if ends[i, "n"] >= 3}
+        if not some:
+            continue
+        q = quantiles(rows, {f"{v}{i}": F.col(f"{v}{i}") for i in some for v in "xy"}, [0.25, 0.75])
+        limits = {(i, v): limits_of(*q[f"{v}{i}"], ends[i, f"{v}0"], ends[i, f"{v}1"]) for i in some for v in "xy"}
+        outside = {i: F.count_if((F.col(f"x{i}") < limits[i, "x"][0]) | (F.col(f"x{i}") > limits[i, "x"][1]) | (F.col(f"y{i}") < limits[i, "y"][0]) | (F.col(f"y{i}") > limits[i, "y"][1])) for i in some}
+        clipped = total(rows, outside)
+        shown: dict = {i: [] for i in some}
+        for r in drawn_by_key(_long(rows, {i: {"x": F.col(f"x{i}"), "y": F.col(f"y{i}")} for i in some}), cap, F.struct("x", "y")).collect():  # at most ``cap`` for a key
+            shown[r["key"]].append([r["x"], r["y"]])
+        for i, key in some.items():
+            n = ends[i, "n"]
+            out[key] = {"points": sorted(shown[i]), "n": n, "sampled": n > cap, names[0]: limits[i, "x"], names[1]: limits[i, "y"], "clipped": clipped[i]}
+            if trends:
+                out[key]["trend"] = _trend({k: ends[i, k] for k in ("n", "slope", "mx", "my", "x0", "x1")})
+    return out
+
+
 def points_series(df: DataFrame, x: Column, y: Column, cap: int, names: tuple[str, str] = ("x_lim", "y_lim")) -> dict | None:
-    """Points (all, or a seeded draw), their number, and limits from all of them; None under three."""
-    pair = df.select(finite(x).alias("x"), finite(y).alias("y")).where("x is not null and y is not null")
-    ends = total(pair, {"n": F.count("x"), "x0": F.min("x"), "x1": F.max("x"), "y0": F.min("y"), "y1": F.max("y")})
-    if ends["n"] < 3:
-        return None
-    q = quantiles(pair, {"x": F.col("x"), "y": F.col("y")}, [0.25, 0.75])
-    lx, ly = limits_of(*q["x"], ends["x0"], ends["x1"]), limits_of(*q["y"], ends["y0"], ends["y1"])
-    some = drawn(pair, cap, F.struct("x", "y")) if ends["n"] > cap else pair
-    outside = (F.col("x") < lx[0]) | (F.col("x") > lx[1]) | (F.col("y") < ly[0]) | (F.col("y") > ly[1])
-    return {"points": sorted([a, b] for a, b in some.collect()), "n": ends["n"], "sampled": ends["n"] > cap, names[0]: lx, names[1]: ly, "clipped": pair.where(outside).count()}
+    return points_of(df, {0: (x, y)}, cap, names)[0]
 
 
 def scatter_series(df: DataFrame, x: Column, y: Column, cap: int = SCATTER_POINTS) -> dict | None:
-    s = points_series(df, x, y, cap)
-    return s and s | {"trend": trend_of(df, finite(x), finite(y))}
+    return points_of(df, {0: (x, y)}, cap, trends=True)[0]
+
+
+def influences(df: DataFrame, distances: dict[object, Column], row: Column, cap: int = INFLUENCE_POINTS) -> dict[object, dict | None]:
+    """Of each column of distances, by row: the largest always, a seeded draw of the others; None under three."""
+    out: dict = dict.fromkeys(distances)
+    rows = df.select(row.alias("row"), *(finite(d).alias(f"d{i}") for i, d in enumerate(distances.values())))
+    got = total(rows, {(i, k): f(f"d{i}") for i in range(len(distances)) for k, f in (("n", F.count), ("max", F.max))}) if distances else {}
+    some = {i: key for i, key in enumerate(distances) if got[i, "n"] >= 3}
+    if not some:
+        return out
+    above = total(rows, {i: F.count_if(F.col(f"d{i}") > 4.0 / got[i, "n"]) for i in some})
+    long = _long(rows, {i: {"row": F.col("row"), "d": F.col(f"d{i}")} for i in some})
+    top = long.withColumn("place", F.row_number().over(Window.partitionBy("key").orderBy(F.desc("d"), "row"))).where(F.col("place") <= INFLUENCE_TOP).drop("place")
+    shown: dict = {i: set() for i in some}
+    for r in top.unionByName(drawn_by_key(long, cap, F.col("row"))).collect():  # at most ``cap`` and the largest for a key
+        shown[r["key"]].add((r["row"], r["d"]))
+    for i, key in some.items():
+        n = got[i, "n"]
+        out[key] = {"points": sorted(map(list, shown[i])), "n": n, "threshold": 4.0 / n, "n_above": above[i], "max": got[i, "max"], "sampled": n > cap}
+    return out
 
 
 def influence_series(df: DataFrame, distance: Column, row: Column, cap: int = INFLUENCE_POINTS) -> dict | None:
-    """Distances by row: the largest always, a seeded draw of the others."""
-    d = df.select(row.alias("row"), finite(distance).alias("d")).where("d is not null")
-    got = total(d, {"n": F.count("d"), "max": F.max("d")})
-    if got["n"] < 3:
-        return None
-    above = d.where(F.col("d") > 4.0 / got["n"]).count()
-    top = d.orderBy(F.desc("d"), "row").limit(INFLUENCE_TOP)
-    some = top.unionByName(drawn(d, cap, F.col("row"))).distinct() if got["n"] > cap else d
-    return {"points": sorted([r, v] for r, v in some.collect()), "n": got["n"], "threshold": 4.0 / got["n"], "n_above": above, "max": got["max"], "sampled": got["n"] > cap}
+    return influences(df, {0: distance}, row, cap)[0]
 
 
 def contingency_series(cells: DataFrame, row_var: str, col_var: str) -> dict | None:

@@ -28,12 +28,17 @@ def total(df: DataFrame, wanted: dict[str, Column]) -> dict:
 
 
 def kept(df: DataFrame, label: str) -> DataFrame:
-    """The frame as a Parquet table in the folder of spark.checkpoint.dir; a temporary folder where that is unset."""
+    """The frame as a Parquet table in the folder of spark.checkpoint.dir (on one machine a temporary one), until the application ends."""
     spark = df.sparkSession
     where = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getCheckpointDir()
     if not where:
+        master = spark.sparkContext.master
+        if master != "local" and not master.startswith("local["):
+            raise RuntimeError("set spark.checkpoint.dir to a folder that the driver and all executors share")
         where = "file://" + tempfile.mkdtemp(prefix="tallyweave-")
         spark.sparkContext.setCheckpointDir(where)
     path = f"{where}/tallyweave/{label}-{uuid.uuid4().hex}"
+    table = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
+    table.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).deleteOnExit(table)
     df.write.parquet(path)
     return spark.read.schema(df.schema).parquet(path)

@@ -97,13 +97,17 @@ pv AS (SELECT id, greatest(0, least(1, CASE WHEN fam = 'b' THEN 2 * v ELSE 1 - 2
 # sources and scalar functions
 
 
-@query("SELECT o_orderkey, o_totalprice, o_orderstatus FROM orders")
+_NOTE = """CASE WHEN o_orderkey % 3 = 0 THEN 'say "' || o_orderstatus || '", twice' WHEN o_orderkey % 3 = 1 THEN 'first' || chr(10) || 'second ' || o_orderstatus ELSE o_orderstatus END"""
+_PRICE = "CAST(CAST(o_totalprice AS DECIMAL(18, 2)) AS STRING)"
+
+
+@query(f"SELECT o_orderkey, round(CAST({_PRICE.replace('STRING', 'VARCHAR')} AS DOUBLE), 2) AS o_totalprice, o_orderstatus, {_NOTE} AS note FROM orders")
 def scan_csv_typed(spark, sf_dir):
-    """Rows 1: the orders written as CSV in the shared folder, read again with inferred types."""
+    """Row 1: the orders with quotes and line breaks, written as CSV in the shared folder, read again with inferred types."""
     return _csv(spark, sf_dir)[0]
 
 
-@query()
+@query(f"SELECT CAST(o_orderkey AS VARCHAR) AS o_orderkey, {_PRICE.replace('STRING', 'VARCHAR')} AS o_totalprice, o_orderstatus, {_NOTE} AS note FROM orders")
 def scan_raw(spark, sf_dir):
     """Row 2: the same file, every field as text."""
     return _csv(spark, sf_dir)[1]
@@ -114,9 +118,9 @@ def _csv(spark, sf_dir):
 
     from tallyweave.sources.frames import from_csv
 
-    orders = kept(_table(spark, sf_dir, "orders").select("o_orderkey", "o_totalprice", "o_orderstatus"), "orders")
+    orders = kept(_table(spark, sf_dir, "orders").selectExpr("o_orderkey", f"{_PRICE} AS o_totalprice", "o_orderstatus", f"{_NOTE} AS note"), "orders")
     path = f"{orders.inputFiles()[0].rsplit('/', 1)[0]}-csv-{uuid.uuid4().hex}"
-    orders.write.option("header", True).csv(path)
+    orders.write.options(header=True, escape='"').csv(path)
     frame = from_csv(spark, path, rows=False)
     return frame.df.select(*frame.columns), raw_csv(spark, path)
 
@@ -475,12 +479,10 @@ def _rank_sql(a: str, b: str) -> str:
     return f"SELECT '{a}' AS a, '{b}' AS b, count(*)::BIGINT AS n, corr(x, y) AS r FROM (SELECT {rank(a)} AS x, {rank(b)} AS y FROM m WHERE {a} IS NOT NULL AND {b} IS NOT NULL)"
 
 
-@query(with_p(f"{M}, c AS ({_long([_rank_sql(a, b) for a, b in _PAIRS[:3]])})", _CORR_T, "SELECT a, b, n, round(r, 6) AS rho, round(p, 6) AS p FROM c JOIN pv ON id = a || '~' || b"))
+@query(with_p(f"{M}, c AS ({_long([_rank_sql(a, b) for a, b in _PAIRS])})", _CORR_T, "SELECT a, b, n, round(r, 6) AS rho, round(p, 6) AS p FROM c JOIN pv ON id = a || '~' || b"))
 def spearman(spark, sf_dir):
-    d, rows = _mixed(spark, sf_dir), []
-    for a, b in _PAIRS[:3]:
-        n, rho = association.rank_correlation(d, a, b).first()
-        rows.append((a, b, n, rho, special.pearson_p(rho, n)))
+    got = association.rank_correlations(_mixed(spark, sf_dir), ["qty", "price", "disc", "tax", "planted", "score"])
+    rows = [(a, b, *got[a, b], special.pearson_p(got[a, b][1], got[a, b][0])) for a, b in _PAIRS]
     return _rows(spark, rows, "a string, b string, n bigint, rho double, p double").select("a", "b", "n", _r("rho").alias("rho"), _r("p").alias("p"))
 
 
@@ -521,7 +523,7 @@ _RANKED = "rk AS (SELECT {cat} AS level, (rank() OVER (ORDER BY {num}) + (count(
 def mann_whitney(spark, sf_dir):
     d = _mixed(spark, sf_dir)
     names = list(_two(spark, sf_dir))
-    sums, ties = association.rank_sums(d, "score", "status", names)
+    sums, ties = association.rank_sums(d, "status", {"score": names})["score"]
     n, s = sums[names[0]]
     u = s - n * (n + 1) / 2
     return _rows(spark, [(u, special.mann_whitney_p(u, n, sums[names[1]][0], ties))], "u double, p double").select("u", _r("p").alias("p"))
@@ -546,7 +548,7 @@ def eta_squared(spark, sf_dir):
 
 @query(with_p(f"{M}, {_RANKED.format(cat='flag', num='score')}", "SELECT 'h' AS id, 'chi2' AS kind, (12 / (any_value(tie.n) * (any_value(tie.n) + 1)) * sum(s.s * s.s / s.n) - 3 * (any_value(tie.n) + 1)) / (1 - any_value(t) / (pow(any_value(tie.n), 3) - any_value(tie.n))) AS stat, (count(*) - 1)::DOUBLE AS d1, 1.0::DOUBLE AS d2 FROM s, tie", "SELECT round(stat, 4) AS h, round(p, 6) AS p FROM tests JOIN pv USING (id)"))
 def kruskal(spark, sf_dir):
-    h, p = association.kruskal(*association.rank_sums(_mixed(spark, sf_dir), "score", "flag", ["A", "N", "R"]))
+    h, p = association.kruskal(*association.rank_sums(_mixed(spark, sf_dir), "flag", {"score": ["A", "N", "R"]})["score"])
     return _rows(spark, [(h, p)], "h double, p double").select(_r("h", 4).alias("h"), _r("p").alias("p"))
 
 
@@ -560,7 +562,7 @@ def levene(spark, sf_dir):
 @query()
 def shapiro_min(spark, sf_dir):
     d = _table(spark, sf_dir, "customer").select("c_acctbal", F.col("c_nationkey").cast("string").alias("nation"))
-    return association.shapiro_by_level(d, "c_acctbal", "nation", [str(i) for i in range(25)])
+    return association.shapiro_by_level(d, "nation", {"c_acctbal": [str(i) for i in range(25)]}).drop("num")
 
 
 @query(f"WITH {M} SELECT (SELECT status FROM m GROUP BY status ORDER BY avg(score) DESC LIMIT 1) AS status, (SELECT flag FROM m GROUP BY flag ORDER BY avg(price) DESC LIMIT 1) AS flag")

@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import json
+import re
 from dataclasses import asdict, dataclass, field
 from datetime import UTC, datetime
 
@@ -59,8 +60,9 @@ def info() -> dict:
     return {"status": "ok", "engine": "tallyweave", "version": tallyweave.__version__}
 
 
-def analyze_csv(spark: SparkSession, path: str, name: str | None = None, **options) -> Report:
-    return analyze(spark, from_csv(spark, path, **options), name or path.rsplit("/", 1)[-1])
+def analyze_csv(spark: SparkSession, path: str, name: str | None = None, most_bytes: int | None = None, **options) -> Report:
+    """Screen a CSV file; a service that takes uploads gives its limit as ``most_bytes`` (``frames.UPLOAD_LIMIT_BYTES``)."""
+    return analyze(spark, from_csv(spark, path, most_bytes=most_bytes, **options), name or path.rsplit("/", 1)[-1])
 
 
 def analyze(spark: SparkSession, data: DataFrame | Frame, name: str = "table", rows: bool = True, charts: bool = True) -> Report:
@@ -89,8 +91,10 @@ def analyze(spark: SparkSession, data: DataFrame | Frame, name: str = "table", r
     twins = kept(findings.with_twins(findings.candidates(done), filled), "candidates")
     found = findings.entries(twins, n_rows)
     if charts:
+        pairs = {e["seq"]: tuple(map(column, e["vars"])) for e in found if e["family"] == "correlation"}
+        scatters = series.points_of(work, pairs, series.SCATTER_POINTS, trends=True)
         for e in found:
-            e["charts"] = charts_of(work, e, primary[e["seq"]])
+            e["charts"] = charts_of(work, e, primary[e["seq"]], scatters.get(e["seq"]))
     types = {k: sum(p.type == k for p in columns) for k in ("numeric", "categorical", "datetime", "excluded")}
     changed = findings.sensitivity(twins).collect()
     tests = {FAMILY_NAMES[f]: sum(r["family"] == f for r in primary) for f in results.FAMILIES}
@@ -116,12 +120,11 @@ def analyze(spark: SparkSession, data: DataFrame | Frame, name: str = "table", r
     return report
 
 
-def charts_of(df: DataFrame, entry: dict, made: dict) -> list[dict]:
-    """The plot series of one finding."""
+def charts_of(df: DataFrame, entry: dict, made: dict, s: dict | None) -> list[dict]:
+    """The plot series of one finding; ``s`` is the scatter of a correlation."""
     a, b = [*entry["vars"], None][:2]
     extra = made["extra"]
     if entry["family"] == "correlation":
-        s = series.scatter_series(df, column(a), column(b))
         return [{"type": "scatter", "x": a, "y": b, "kind": entry["kind"]} | s | ({"trend": None} if entry["kind"] == "spearman" else {})] if s else []
     if entry["family"] == "group_difference":
         boxes = series.group_boxes(df, column(a), column(b), [g["level"] for g in extra["groups"]])
@@ -134,7 +137,9 @@ def charts_of(df: DataFrame, entry: dict, made: dict) -> list[dict]:
 
 
 def _cell(v) -> str:
-    return " ".join(str(v).split()).replace("|", "\\|")
+    """Text for a cell: one line, with bars that do not end the cell."""
+    line = re.sub(r"\s+", " ", f"{v}".strip())
+    return re.sub(r"\|", r"\\|", line)
 
 
 def _table(head: list, rows: list[list]) -> list[str]:

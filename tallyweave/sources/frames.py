@@ -12,7 +12,7 @@ from pyspark.sql.window import Window
 from tallyweave.functions.text import MISSING, as_number, column
 from tallyweave.plans.batch import kept
 
-#: Reject larger uploads only where a caller asks for it; a table on a cluster has no such limit.
+#: The limit of a service that takes uploads (``most_bytes``); a table on a cluster has none.
 UPLOAD_LIMIT_BYTES = 25 * 1024 * 1024
 ROW = "__row"
 _RAW = "__raw_"
@@ -41,20 +41,16 @@ def _plain(df: DataFrame, c: str):
 def with_rows(df: DataFrame, order: list[str] | None = None) -> DataFrame:
     """The frame with a contiguous 0-based position: by ``order``, else in reading order.
 
-    Positions are offsets of the partitions (one count each, collected) plus a position within
+    Positions are offsets of the partitions (a table of one row each, broadcast) plus a position within
     the partition, so no task sees more than its own partition.
     """
     if order:
         df = df.repartitionByRange(*(column(c) for c in order)).sortWithinPartitions(*(column(c) for c in order))
     df = kept(df.withColumn("__part", F.spark_partition_id()).withColumn("__at", F.monotonically_increasing_id()), "rows")
-    sizes = sorted(df.groupBy("__part").count().collect())  # one row for each partition
-    starts, at = {}, 0
-    for part, n in sizes:
-        starts[part] = at
-        at += n
-    base = F.create_map(*(F.lit(v) for kv in starts.items() for v in kv))[F.col("__part")] if starts else F.lit(0)
+    before = Window.orderBy("__part").rowsBetween(Window.unboundedPreceding, -1)  # over one row for each partition
+    starts = df.groupBy("__part").count().select("__part", F.coalesce(F.sum("count").over(before), F.lit(0)).alias("__start"))
     place = F.col("__at") - F.shiftleft(F.col("__part").cast("bigint"), 33)
-    return df.withColumn(ROW, (base + place).cast("bigint")).drop("__part", "__at")
+    return df.join(F.broadcast(starts), "__part").withColumn(ROW, (F.col("__start") + place).cast("bigint")).drop("__part", "__at", "__start")
 
 
 def from_dataframe(df: DataFrame, rows: bool = False, order: list[str] | None = None) -> Frame:
@@ -68,30 +64,58 @@ def from_dataframe(df: DataFrame, rows: bool = False, order: list[str] | None =
     return Frame(out, names, {}, ROW if rows else None)
 
 
-def raw_csv(spark: SparkSession, path: str, **options) -> DataFrame:
-    """Every field of a CSV file as text, nothing taken as missing."""
+def _csv_options(options: dict) -> dict:
+    """Quotes are doubled within quotes, which may hold line breaks; nothing is taken as missing but fields that a row lacks."""
+    return {"quote": '"', "escape": '"', "multiLine": True, "inferSchema": False, "mode": "PERMISSIVE", "emptyValue": "", "nullValue": "\u0000"} | options
+
+
+def file_bytes(spark: SparkSession, path: str) -> int:
+    """Bytes of the files under a path of any file system."""
+    where = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
+    return where.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).getContentSummary(where).getLength()
+
+
+def raw_csv(spark: SparkSession, path: str, most_bytes: int | None = None, **options) -> DataFrame:
+    """Every field of a CSV file as text, nothing taken as missing; fields that a row lacks are null.
+
+    Whatever keeps the file from being one table is a ``BadInput``: no file, nothing in it, more than ``most_bytes``, bytes
+    that are no text, a row with more fields than the header. Repeated headers are numbered.
+    """
     try:
-        return spark.read.options(header=True, inferSchema=False, mode="FAILFAST", emptyValue="", nullValue="\u0000", **options).csv(path)
+        size = file_bytes(spark, path)
+        if most_bytes is not None and size > most_bytes:
+            raise BadInput(f"the file has {size} bytes; the limit is {most_bytes}")
+        head = spark.read.options(header=False, **_csv_options(options)).csv(path).first() if size else None
+        if head is None or not any((c or "").strip() for c in head):
+            raise BadInput("the CSV is empty")
+        if any(c and ("\ufffd" in c or "\u0000" in c) for c in head):
+            raise BadInput("the CSV is not text in UTF-8")
+        names, seen = [], {}
+        for c in (c or f"column {i + 1}" for i, c in enumerate(head)):
+            seen[c] = seen.get(c, -1) + 1
+            names.append(c if not seen[c] else f"{c}.{seen[c]}")
+        bad = _RAW + "bad"
+        schema = T.StructType([*(T.StructField(f"c{i}", T.StringType()) for i in range(len(names))), T.StructField(bad, T.StringType())])
+        read = spark.read.schema(schema).options(header=True, enforceSchema=True, columnNameOfCorruptRecord=bad, **_csv_options(options)).csv(path)
+        # a row that is too short lacks its last field, one that is too long does not
+        long = read.where(F.col(bad).isNotNull() & F.col(f"c{len(names) - 1}").isNotNull()).select(*(f"c{i}" for i in range(len(names))), bad).head(1)
+        if long:
+            raise BadInput(f"a row has more fields than the header: {long[0][-1][:200]}")
+        return read.drop(bad).toDF(*names)
+    except BadInput:
+        raise
     except Exception as error:
         raise BadInput(f"the CSV cannot be read: {error}") from error
 
 
-def from_csv(spark: SparkSession, path: str, rows: bool = True, **options) -> Frame:
+def from_csv(spark: SparkSession, path: str, rows: bool = True, most_bytes: int | None = None, **options) -> Frame:
     """A CSV file: one text scan, typed columns are projections of it.
 
     A column whose filled values are all whole numbers becomes bigint, all numbers double; the usual words for missing
-    values become null. The texts stay beside the typed columns, for the profile.
+    values and fields that a row lacks become null. The texts stay beside the typed columns, for the profile.
     """
-    raw = raw_csv(spark, path, **options)
-    if not raw.columns:
-        raise BadInput("the CSV has no columns")
-    head = spark.read.options(header=False, **options).csv(path).first()  # the header as it is written
-    if head is None or len(head) != len(raw.columns):
-        head = raw.columns
-    names, seen = [], {}
-    for c in (c or f"column {i + 1}" for i, c in enumerate(head)):  # repeated headers get a number
-        seen[c] = seen.get(c, -1) + 1
-        names.append(c if not seen[c] else f"{c}.{seen[c]}")
+    raw = raw_csv(spark, path, most_bytes, **options)
+    names = raw.columns
     raw = raw.toDF(*(_RAW + n for n in names))
     if raw.isEmpty():
         raise BadInput("the CSV has no rows")
@@ -111,13 +135,16 @@ def number_of(frame: Frame, name: str, coerced: bool):
     return as_number(column(frame.raw.get(name, name)).cast("string")) if coerced else column(name).cast("double")
 
 
-def ranked_values(freq: DataFrame, value: str, count: str = "n") -> DataFrame:
-    """(value, r): average ranks from a frequency table, range-partitioned so that no task holds all values."""
-    dealt = kept(freq.select(value, count).repartitionByRange(value).withColumn("__part", F.spark_partition_id()), "values")
-    before, at = {}, 0
-    for part, n in sorted(dealt.groupBy("__part").agg(F.sum(count)).collect()):
-        before[part] = at
-        at += n
-    start = F.create_map(*(F.lit(v) for kv in before.items() for v in kv))[F.col("__part")] if before else F.lit(0)
-    upto = F.sum(count).over(Window.partitionBy("__part").orderBy(value))
-    return dealt.select(value, (start + upto - (F.col(count) - 1) / 2).cast("double").alias("r"))
+def running_ranks(freq: DataFrame, keys: list[str], value: str, counts: list[str]) -> DataFrame:
+    """keys, value, and for each count column the value's average rank (``r_``) and its count, within the keys.
+
+    The frequency table is range-partitioned, so that no task holds all values of a key; a small table of the partitions' totals
+    (one row for a key and a partition that has it) gives each its offset.
+    """
+    dealt = kept(freq.select(*keys, value, *counts).repartitionByRange(*keys, value).withColumn("part_", F.spark_partition_id()), "values")
+    before = Window.partitionBy(*keys).orderBy("part_").rowsBetween(Window.unboundedPreceding, -1)
+    sums = dealt.groupBy(*keys, "part_").agg(*(F.sum(c).alias(c) for c in counts))
+    offsets = sums.select(*keys, "part_", *(F.coalesce(F.sum(c).over(before), F.lit(0)).alias(f"b_{c}") for c in counts))
+    upto = Window.partitionBy(*keys, "part_").orderBy(value).rowsBetween(Window.unboundedPreceding, Window.currentRow)
+    ranks = [(F.col(f"b_{c}") + F.sum(c).over(upto) - (F.col(c) - 1) / 2).cast("double").alias(f"r_{c}") for c in counts]
+    return dealt.join(F.broadcast(offsets), [*keys, "part_"]).select(*keys, value, *counts, *ranks)

@@ -12,7 +12,7 @@ from tallyweave.functions.text import identifier_name
 from tallyweave.operators import association, catalog, findings, modelling, models, quality, results, series
 from tallyweave.operators.quantiles import quantiles
 from tallyweave.plans import report
-from tallyweave.sources.frames import BadInput, from_csv, from_dataframe, ranked_values
+from tallyweave.sources.frames import BadInput, from_csv, from_dataframe, running_ranks
 
 
 def draw():
@@ -160,9 +160,41 @@ def test_quantiles_by_selection_equal_the_aggregate(spark):
 
 
 def test_ranks_are_average_ranks(spark):
-    values = [3.0, 1.0, 3.0, 2.0, 3.0, 2.0]
-    freq = spark.createDataFrame([(v,) for v in values], "v double").groupBy("v").agg(F.count(F.lit(1)).alias("n"))
-    assert {r["v"]: r["r"] for r in ranked_values(freq, "v").collect()} == pd.Series(values).rank().groupby(values).first().to_dict()
+    values = {"a": [3.0, 1.0, 3.0, 2.0, 3.0, 2.0], "b": [5.0, -1.0, 5.0]}
+    freq = spark.createDataFrame([(k, v) for k, own in values.items() for v in own], "k string, v double").groupBy("k", "v").agg(F.count(F.lit(1)).alias("n"))
+    got = {(r["k"], r["v"]): r["r_n"] for r in running_ranks(freq, ["k"], "v", ["n"]).collect()}
+    assert got == {(k, v): x for k, own in values.items() for v, x in pd.Series(own).rank().groupby(own).first().to_dict().items()}
+
+
+@pytest.mark.parametrize("cells", [4_000_000, 0])
+def test_rank_correlations_with_gaps(spark, cells, monkeypatch):
+    monkeypatch.setattr(association, "BROADCAST_CELLS", cells)
+    r = np.random.default_rng(5)
+    d = pd.DataFrame({c: r.integers(0, 30, 400).astype(float) for c in "abcd"})
+    d["c"] += d["a"] * 2
+    d.loc[r.random(400) < 0.2, "b"] = np.nan
+    d.loc[r.random(400) < 0.3, "c"] = np.nan
+    got = association.rank_correlations(spark.createDataFrame(d), list("abcd"))
+    plain = association.pair_moments(spark.createDataFrame(d).replace(float("nan"), None), list("abcd"))
+    for (x, y), (n, rho) in got.items():
+        both = d[[x, y]].dropna()
+        assert n == len(both) == plain[x, y]["n"]
+        assert rho == pytest.approx(both.rank().corr().iloc[0, 1], abs=1e-12) and plain[x, y]["r"] == pytest.approx(both.corr().iloc[0, 1], abs=1e-12)
+
+
+def test_level_medians_are_the_same_without_memory(spark):
+    r = np.random.default_rng(6)
+    d = pd.DataFrame({"x": r.integers(0, 50, 300).astype(float), "y": r.normal(size=300), "g": r.choice(list("pqr"), 300)})
+    d.loc[::7, "y"] = np.nan
+    f = spark.createDataFrame(d).replace(float("nan"), None)
+    few, many = (association.level_moments(f, ["x", "y"], "g", n) for n in (10**6, 10))
+    for c in "xy":
+        assert {v: m["median"] for v, m in few[c].items()} == {v: pytest.approx(m["median"]) for v, m in many[c].items()} == d.groupby("g")[c].median().to_dict()
+
+
+def test_equal_levels_come_in_order_of_appearance(spark):
+    d = spark.createDataFrame([("z", 1.0), ("a", 2.0), ("z", 3.0), ("a", 5.0), ("z", 1.5), ("a", 2.5)], "g string, x double").coalesce(1)
+    assert list(association.level_moments(d, ["x"], "g")["x"]) == ["z", "a"]
 
 
 def test_histogram_counts_every_value_once(spark):
@@ -213,6 +245,42 @@ def test_csv(spark, tmp_path):
         from_csv(spark, f"file://{p2}")
 
 
+def test_csv_with_quotes_line_breaks_and_short_rows(spark, tmp_path):
+    p = tmp_path / "q.csv"
+    p.write_text('id,said,n\n1,"say ""hi"" now",1\n2,"two\nlines, one field",2\n3,short\n\n4,"",4\n')
+    f = from_csv(spark, f"file://{p}")
+    rows = [tuple(r) for r in f.df.select("id", "said", "n").orderBy("id").collect()]
+    assert rows == [(1, 'say "hi" now', 1), (2, "two\nlines, one field", 2), (3, "short", None), (4, None, 4)]
+
+
+@pytest.mark.parametrize("data", [b"", b"  \n \n", bytes(range(256)) * 4, b"a,b\n1,2\n1,2,3\n", None])
+def test_bad_csv(spark, tmp_path, data):
+    p = tmp_path / "bad.csv"
+    if data is not None:
+        p.write_bytes(data)
+    with pytest.raises(BadInput):
+        from_csv(spark, f"file://{p}")
+
+
+def test_csv_over_the_limit(spark, tmp_path):
+    p = tmp_path / "large.csv"
+    p.write_text("a,b\n" + "1,2\n" * 100)
+    assert from_csv(spark, f"file://{p}", most_bytes=404).df.count() == 100
+    with pytest.raises(BadInput, match="limit"):
+        from_csv(spark, f"file://{p}", most_bytes=403)
+
+
+def test_dates_and_truth_values(spark):
+    from tallyweave.functions.text import looks_dated
+    from tallyweave.operators.modelling import category
+
+    yes = ["2024-01-02T03:04:05.123Z", "2024-01-02 03:04:05+01:00", "2024-01-02", "3 Jan 2024", "January 3, 2024", "2024/01/02", "02.01.2024"]
+    no = ["soon", "12", "2024-13-02", "3 Foo 2024", "1.5"]
+    d = spark.createDataFrame([(v,) for v in yes + no], "t string")
+    assert [r[0] for r in d.select(looks_dated(F.col("t"))).collect()] == [True] * len(yes) + [False] * len(no)
+    assert [r[0] for r in spark.createDataFrame([(True,), (False,), (None,)], "b boolean").select(category(F.col("b"))).collect()] == ["True", "False", None]
+
+
 def test_report_tables_are_written(spark, linear, tmp_path):
     report.analyze(spark, linear, "linear", rows=False, charts=False).write(f"file://{tmp_path}/out")
     assert spark.read.parquet(f"file://{tmp_path}/out/results").count() == 12
