@@ -1,15 +1,21 @@
 """BPE encoding and decoding with content-defined chunk reuse.
 
 A rolling hash of the last ``ROLL_BYTES`` bytes cuts a text into chunks where its low bits
-are zero, so a passage that many documents share is cut alike in all of them. A chunk without
-the partial words at its ends is encoded once for each worker process and then looked up. The
-word that a cut runs through is repaired: it is re-encoded together with the whole word on
-either side, and is taken only if the ids on both sides agree exactly with those of the
-chunks; if they do not, the whole document is encoded in one piece. Decoding joins the
-vocabulary's strings, which is what the tokenizers library does for a file without decoder.
-
-ASCII white space ends a pre-token for the tokenizers this is meant for; the agreement check
-holds the library to it at every join.
+are zero, so a passage that many documents share is cut alike in all of them. A chunk is
+encoded once for each worker process and then looked up, and its joins with its neighbours are
+repaired by re-encoding until both sides agree exactly.
+
+- A vocabulary for which white space ends every word and has no token itself (each file is
+  probed for that with all pairs of a set of characters and the six ASCII blanks): cuts move to
+  the ends of the word that they run through, new chunks are put together from a table of
+  words, and the cut word is re-encoded with the whole word on either side. If the ids do not
+  agree, the document goes the other way.
+- Any other vocabulary: chunks are cut anywhere and encoded as they are. At a join, the text
+  from a token before it to a token behind it is re-encoded, ``JOIN_CHARS`` either way and then
+  twice as many, until its outermost tokens are those of the chunks and the next width gives
+  the same ids; at the ends of the text there is nothing left to agree with.
+
+Where the vocabulary has no decoder, decoding joins the tokens' strings as the library does.
 
 Defined results: null and empty texts have no tokens and decode to the empty text; strings of
 special tokens within a text are those tokens, as in the library; very long texts and texts
@@ -20,6 +26,7 @@ rows. Only doc_id and text are read, whatever other columns are called.
 from __future__ import annotations
 
 import hashlib
+import json
 from collections.abc import Iterator
 
 import numpy as np
@@ -36,6 +43,8 @@ CHUNK_BYTES = 512
 #: Bytes that a worker's table of words, and its tables of chunks and joins, may hold before they start anew.
 KEPT_WORD_BYTES, KEPT_CHUNK_BYTES = 72 << 20, 32 << 20
 BLOCK_BYTES = 1 << 19
+#: Characters on either side of a join that are encoded again at first.
+JOIN_CHARS = 24
 
 _SPACE = np.zeros(256, bool)
 _SPACE[[9, 10, 11, 12, 13, 32]] = True
@@ -60,7 +69,9 @@ class ChunkEncoder:
         self.mask = np.uint64(chunk_bytes - 1)
         n = self.tokenizer.get_vocab_size()
         self.strings = [(self.tokenizer.id_to_token(i) or "").encode() + b" " for i in range(n)]
-        self.chunks_encoded = self.chunks_met = self.repairs = 0
+        self.decodes_itself = json.loads(self.tokenizer.to_str()).get("decoder") is not None
+        self.blank_ends_words = self._blank_ends_words()
+        self.chunks_encoded = self.chunks_met = self.repairs = self.joins_repaired = 0
         self.forget_words()
         self.forget_chunks()
 
@@ -71,8 +82,75 @@ class ChunkEncoder:
     def forget_chunks(self) -> None:
         self.joins: dict[bytes, bool] = {}
         self.chunks: dict[bytes, tuple[bytes, bytes]] = {}
+        self.whole: dict[str, tuple[list[int], list[int], list[int]]] = {}
         self.chunk_bytes = 0
 
+    def _blank_ends_words(self) -> bool:
+        """Whether white space has no token and what stands on its two sides is encoded as if alone."""
+        ends = ["a", "Z", "é", "7", ".", "-", "'s", "<", "日", "word"]
+        alone = {x: e.ids for x, e in zip(ends, self.tokenizer.encode_batch(ends, add_special_tokens=False), strict=True)}
+        probes = [(x, y, x + blank + y) for x in ends for y in ends for blank in " \t\n\v\f\r"]
+        return all(e.ids == alone[x] + alone[y] for (x, y, _), e in zip(probes, self.tokenizer.encode_batch([p for *_, p in probes], add_special_tokens=False), strict=True))
+
+    def _tokens(self, text: str) -> tuple[list[int], list[int], list[int]]:
+        """Ids with the places where they start and end."""
+        e = self.tokenizer.encode(text, add_special_tokens=False)
+        return e.ids, [a for a, _ in e.offsets], [b for _, b in e.offsets]
+
+    def encode_chunks(self, text: str) -> bytes:
+        """Ids of a text from its chunks, each encoded as it is, with the joins repaired."""
+        raw = np.frombuffer(text.encode(), np.uint8)
+        if len(raw) <= ROLL_BYTES:
+            return np.array(self._tokens(text)[0], "<u4").tobytes()
+        sums, down = tb.rolling_sums(raw)
+        n = len(raw)
+        at = np.arange(ROLL_BYTES, n)
+        cut = (tb.mix((sums[ROLL_BYTES:n] - sums[: n - ROLL_BYTES]) * down[: n - ROLL_BYTES]) & self.mask) == 0
+        starts = (raw & 0xC0) != 0x80
+        cuts = np.cumsum(starts)[at[cut & starts[ROLL_BYTES:]]] - 1  # in characters
+        bounds = [0, *cuts.tolist(), len(text)]
+        ids: list[int] = []
+        low: list[int] = []
+        high: list[int] = []
+        for a, b in zip(bounds[:-1], bounds[1:], strict=True):
+            piece = text[a:b]
+            self.chunks_met += 1
+            if piece not in self.whole:
+                self.chunks_encoded += 1
+                self.whole[piece] = self._tokens(piece)
+                self.chunk_bytes += 30 * len(piece) + 250
+            own, s, e = self.whole[piece]
+            if not a:
+                ids, low, high = list(own), list(s), list(e)
+                continue
+            i, j, made = self._joined(text, a, ids, low, high, own, [x + a for x in s], [x + a for x in e], b == len(text))
+            self.joins_repaired += made[0] != ids[i:] + own[:j]
+            ids, low, high = ids[:i] + made[0] + own[j:], low[:i] + made[1] + [x + a for x in s[j:]], high[:i] + made[2] + [x + a for x in e[j:]]
+        return np.array(ids, "<u4").tobytes()
+
+    def _joined(self, text: str, at: int, ids: list, low: list, high: list, own: list, s: list, e: list, last: bool) -> tuple[int, int, tuple]:
+        """How many tokens stay before the join, how many go behind it, and the tokens in between."""
+        width, before = JOIN_CHARS, None
+        while True:
+            i = len(ids)
+            while i and (i == len(ids) or low[i] > at - width or high[i - 1] > low[i]):
+                i -= 1
+            j = 0
+            while j < len(own) and (not j or e[j - 1] < at + width or j < len(own) and e[j - 1] > s[j]):
+                j += 1
+            begin = low[i] if i else 0
+            end = e[j - 1] if j < len(own) else (len(text) if last else max([at, *e]))
+            made, a, b = self._tokens(text[begin:end])
+            a, b = [x + begin for x in a], [x + begin for x in b]
+            agrees = bool(made) and (not i or made[0] == ids[i] and b[0] == high[i]) and (j == len(own) or made[-1] == own[j - 1] and a[-1] == s[j - 1])
+            now = ids[:i] + made + own[j:]
+            if agrees and (now == before or not i and j == len(own)):
+                return i, j, (made, a, b)
+            if not i and j == len(own):
+                return i, j, (made, a, b)
+            before = now if agrees else None
+            width *= 2
+
     def encode(self, texts: list[str]) -> list[bytes]:
         """Ids of each text as bytes; texts go many at a time, parted by line ends, and are told apart by their tokens' places."""
         out = []
@@ -91,6 +169,11 @@ class ChunkEncoder:
         """Decoded bytes of ids, with a blank after each token."""
         return b"".join([self.strings[i] for i in np.frombuffer(ids, "<u4").tolist()])
 
+    def decoded(self, ids: bytes) -> bytes:
+        if self.decodes_itself:
+            return self.tokenizer.decode(np.frombuffer(ids, "<u4").tolist(), skip_special_tokens=False).encode()
+        return self.text_of(ids)[:-1]
+
     def learn_words(self, words: set[bytes]) -> None:
         new = list(words - self.words.keys())
         if new:
@@ -129,6 +212,11 @@ class ChunkEncoder:
         if self.chunk_bytes > KEPT_CHUNK_BYTES:
             self.forget_chunks()
         data = raw.tobytes()
+        if not self.blank_ends_words:
+            for a, b in zip(offsets[:-1].tolist(), offsets[1:].tolist(), strict=True):
+                ids = self.encode_chunks(data[a:b].decode())
+                yield ids, self.decoded(ids)
+            return
         starts, ends, first = self.spans(raw, offsets)
         pieces = [data[a:b] for a, b in zip(starts.tolist(), ends.tolist(), strict=True)]
         limits = first.tolist()
@@ -176,8 +264,8 @@ class ChunkEncoder:
                 yield b"".join([i for i, _ in parts]), b"".join([s for _, s in parts])[:-1]
             else:
                 self.repairs += 1
-                ids = self.encode([data[offsets[k] : offsets[k + 1]].decode()])[0]
-                yield ids, self.text_of(ids)[:-1]
+                ids = self.encode_chunks(data[offsets[k] : offsets[k + 1]].decode())
+                yield ids, self.decoded(ids)
 
 
 def encoder(path: str) -> ChunkEncoder:
@@ -219,9 +307,9 @@ def decode(encoded: DataFrame, vocabulary: str | None = None) -> DataFrame:
     path = vocabulary or default_vocabulary()
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        strings = encoder(path).strings
+        own = encoder(path)
         for b in batches:
-            texts = [b"".join([strings[i] for i in ids or ()])[:-1].decode() for ids in b.column(1).to_pylist()]
+            texts = [own.decoded(np.array(ids or (), "<u4").tobytes()).decode() for ids in b.column(1).to_pylist()]
             yield pa.RecordBatch.from_arrays([b.column(0), pa.array(texts, pa.string())], ["doc_id", "text"])
 
     kind = encoded.schema["doc_id"].dataType.simpleString()
