@@ -1,16 +1,20 @@
 """Surrogates for personal data: keyed, type-consistent, distinct and coreferent. DataFrame expressions only.
 
-Found: e-mail addresses, telephone numbers, IPv4 addresses, social security numbers, payment
-cards (with a valid check digit), names after an honorific, and the same names wherever else
-the document has them. A found entity is taken apart
+Found: e-mail addresses, telephone numbers, IPv4 and IPv6 addresses, social security numbers,
+payment cards (with a valid check digit), bank account numbers (IBAN with a valid check), names
+after an honorific, and the same names wherever else the document has them. A found entity is taken apart
 into tokens with a kind: the local part and the domain of an address, the digits of a number,
 given and family names with the gender of the honorific. A token's surrogate is drawn from
 a keyed hash of its kind and value:
 
 - letters become letters of the same script and case, digits digits; separators stay;
-- a telephone number keeps its country code, a card its length and a valid check digit;
+- a telephone number keeps its country code, a card its length and a valid check digit, an
+  account number its country and valid check digits, an IPv6 address its first group;
 - domains lie under reserved example domains;
-- names are made of syllables of their script, with an ending of their gender.
+- Latin, Cyrillic and Greek names are made of syllables of their script, with an ending of
+  their gender; names in other scripts with capitals get other letters of their script.
+
+The caller gives the key; whoever has it can draw the same surrogates again.
 
 So the same token has the same surrogate in all documents, in whatever format it is written:
 numbers of country code 1 go by their national digits, and a name found with different
@@ -32,12 +36,11 @@ from pyspark.sql import functions as F
 
 from .util import stored, written
 
-DEFAULT_KEY = "surrogates-1"
 MOST_DRAWS = 40
 
 #: Honorifics by gender.
-MALE = ("Mr", "Mister", "Sir", "Herr", "Herrn", "Monsieur", "Señor", "Sr", "Signor", "г-н", "господин")
-FEMALE = ("Mrs", "Ms", "Miss", "Lady", "Frau", "Madame", "Mme", "Mlle", "Señora", "Sra", "Srta", "Signora", "г-жа", "госпожа")
+MALE = ("Mr", "Mister", "Sir", "Herr", "Herrn", "Monsieur", "Señor", "Sr", "Signor", "г-н", "господин", "κύριος", "κύριο", "Κύριος")
+FEMALE = ("Mrs", "Ms", "Miss", "Lady", "Frau", "Madame", "Mme", "Mlle", "Señora", "Sra", "Srta", "Signora", "г-жа", "госпожа", "κυρία", "Κυρία")
 NEUTRAL = ("Dr", "Prof", "Professor", "Mx")
 
 _L, _N = r"\p{L}", r"\p{N}"
@@ -46,16 +49,21 @@ PHONE = rf"(?<![{_L}\d])\+\d{{1,3}}[ .-]?(?:\(\d{{1,4}}\)|\d{{1,4}})(?:[ .-]?\d{
 _OCTET = r"(?:25[0-5]|2[0-4]\d|1\d\d|[1-9]?\d)"
 IPV4 = rf"(?<![\d.]){_OCTET}(?:\.{_OCTET}){{3}}(?!\d|\.\d)"
 SSN = r"(?<![\d-])(?!000|666|9)\d{3}-(?!00)\d{2}-(?!0000)\d{4}(?![\d-])"
+IBAN = r"(?<![\p{L}\p{N}])[A-Z]{2}\d{2}(?: ?[A-Z0-9]{4}){2,7}(?: ?[A-Z0-9]{1,3})?(?![\p{L}\p{N}])"
+_HEX = "[0-9A-Fa-f]{1,4}"
+IPV6 = rf"(?<![\p{{L}}\p{{N}}:.])(?:{_HEX}(?::{_HEX}){{7}}|(?:{_HEX}:){{2,6}}(?::{_HEX}){{1,5}}|(?:[Ff][Ee]80|[23][0-9A-Fa-f]{{3}}|[Ff][CcDd][0-9A-Fa-f]{{2}}):(?::{_HEX}){{1,6}})(?![\p{{L}}\p{{N}}:])"
 CARD = rf"(?<![{_L}\d])\d(?:[ -]?\d){{12,18}}(?![{_L}\d])"
 NAME = rf"(?<!{_L})(?:{'|'.join(MALE + FEMALE + NEUTRAL)})\.? \p{{Lu}}\p{{Ll}}+(?:[ -]\p{{Lu}}\p{{Ll}}+){{0,2}}(?!{_L})"
-ENTITY = "|".join(f"(?:{p})" for p in (EMAIL, PHONE, IPV4, SSN, CARD, NAME))
+ENTITY = "|".join(f"(?:{p})" for p in (EMAIL, IBAN, IPV6, PHONE, IPV4, SSN, CARD, NAME))
 #: What any entity must have: a look that is cheap enough for every text.
 _HINT = rf"[@0-9]|(?:{'|'.join(MALE + FEMALE + NEUTRAL)})\.? \p{{Lu}}"
 
+#: Telephone country codes of two digits; 1 and 7 have one, all others three.
+TWO_DIGIT_CODES = "20 27 30 31 32 33 34 36 39 40 41 43 44 45 46 47 48 49 51 52 53 54 55 56 57 58 60 61 62 63 64 65 66 81 82 84 86 90 91 92 93 94 95 98".split()
 #: Alphabets, syllables and endings by script.
-ALPHABETS = ("abcdefghijklmnopqrstuvwxyz", "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "абвгдежзиклмнопрстуфхцчшэюя", "АБВГДЕЖЗИКЛМНОПРСТУФХЦЧШЭЮЯ", "αβγδεζηθικλμνξοπρστυφχψω", "ΑΒΓΔΕΖΗΘΙΚΛΜΝΞΟΠΡΣΤΥΦΧΨΩ", "àáâäçèéêëìíîïñòóôöùúûü", "ÀÁÂÄÇÈÉÊËÌÍÎÏÑÒÓÔÖÙÚÛÜ")
-SYLLABLES = {"latin": "ba be bo da de di fa fe ga ge ka ke ki la le li lo ma me mi mo na ne ni no pa pe ra re ri ro sa se si ta te ti to va ve vi".split(), "cyrillic": "ба бе бо ва ве ви га го да де ди за зо ка ко ла ле ли ло ма ме ми мо на не ни но па по ра ре ри ро са се си та те ти то".split()}
-ENDINGS = {"latin": {"given_m": "n rd s k l".split(), "given_f": "na lia nelle rine ssa".split(), "given_n": "y lle x ris ne".split(), "family": "rson ller mann rley tte".split(), "family_f": "rson ller mann rley tte".split()}, "cyrillic": {"given_m": "н слав мир л р".split(), "given_f": "на лия ра са ма".split(), "given_n": "ша ня ля ся ти".split(), "family": "нов рин лев ков тин".split(), "family_f": "нова рина лева кова тина".split()}}
+ALPHABETS = ("abcdefghijklmnopqrstuvwxyz", "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "абвгдежзиклмнопрстуфхцчшэюя", "АБВГДЕЖЗИКЛМНОПРСТУФХЦЧШЭЮЯ", "αβγδεζηθικλμνξοπρστυφχψω", "ΑΒΓΔΕΖΗΘΙΚΛΜΝΞΟΠΡΣΤΥΦΧΨΩ", "աբգդեզէըթժիլխծկհձղճմյնշոչպջռսվտրցւփքօֆ", "ԱԲԳԴԵԶԷԸԹԺԻԼԽԾԿՀՁՂՃՄՅՆՇՈՉՊՋՌՍՎՏՐՑՒՓՔՕՖ", "àáâäçèéêëìíîïñòóôöùúûü", "ÀÁÂÄÇÈÉÊËÌÍÎÏÑÒÓÔÖÙÚÛÜ")
+SYLLABLES = {"latin": "ba be bo da de di fa fe ga ge ka ke ki la le li lo ma me mi mo na ne ni no pa pe ra re ri ro sa se si ta te ti to va ve vi".split(), "cyrillic": "ба бе бо ва ве ви га го да де ди за зо ка ко ла ле ли ло ма ме ми мо на не ни но па по ра ре ри ро са се си та те ти то".split(), "greek": "βα βε βο γα γε δα δε δι θε κα κε κο λα λε λι λο μα με μι να νε νι νο πα πε ρα ρε ρι ρο σα σε σι σο τα τε τι το φα φι χα".split()}
+ENDINGS = {"latin": {"given_m": "n rd s k l".split(), "given_f": "na lia nelle rine ssa".split(), "given_n": "y lle x ris ne".split(), "family": "rson ller mann rley tte".split(), "family_f": "rson ller mann rley tte".split()}, "cyrillic": {"given_m": "н слав мир л р".split(), "given_f": "на лия ра са ма".split(), "given_n": "ша ня ля ся ти".split(), "family": "нов рин лев ков тин".split(), "family_f": "нова рина лева кова тина".split()}, "greek": {"given_m": "ρης νος λης μος κος".split(), "given_f": "να ρα λια νη σσα".split(), "given_n": "λι ρι νι κι σι".split(), "family": "πουλος ίδης άκης έας ιάδης".split(), "family_f": "πούλου ίδου άκη έα ιάδου".split()}}
 _KINDS = "array<struct<kind:string,value:string,shape:string>>"
 
 
@@ -69,6 +77,11 @@ def _luhn(digits: str) -> str:
     return f"aggregate(sequence(0, length({digits}) - 1), 0, (s, u) -> s + if(u % 2 = 0, {d}, if({d} > 4, {d} * 2 - 9, {d} * 2))) % 10"
 
 
+def _mod97(text: str) -> str:
+    """SQL: capitals and digits read as a number, A as 10, modulo 97."""
+    return f"aggregate(transform(sequence(1, length({text})), j -> substring({text}, j, 1)), 0, (n, c) -> if(c between '0' and '9', (n * 10 + cast(c as int)) % 97, (n * 100 + ascii(c) - 55) % 97))"
+
+
 def _draw(key: str) -> str:
     """SQL: 256 hexadecimal digits of the keyed hash of kind, value and draw."""
     return "concat(" + ",".join(f"sha2(concat_ws('\\u0001', '{key}', kind, value, cast(draw as string), '{part}'), 256)" for part in "abcd") + ")"
@@ -103,7 +116,11 @@ def surrogate(key: str) -> Column:
     """The surrogate of a token (columns kind, value, draw, drawn)."""
     extra = f"if(draw > 3, array_join(transform(sequence(1, draw - 3), i -> substring('{ALPHABETS[0]}', {_number('i + 70')} % 26 + 1, 1)), ''), '')"
     host = "substring_index(value, '.', 1)"
-    kept = "if(substring(value, 1, 1) in ('1', '7'), 1, 2)"
+    two = ", ".join(f"'{c}'" for c in TWO_DIGIT_CODES)
+    kept = f"case when substring(value, 1, 1) in ('1', '7') then 1 when substring(value, 1, 2) in ({two}) then 2 else 3 end"
+    account = _letters("substring(value, 5)")
+    country = "substring(value, 1, 2)"
+    hexes = f"array_join(transform(sequence(1, length(value)), i -> case when i <= instr(value, ':') or substring(value, i, 1) = ':' then substring(value, i, 1) when substring(value, i, 1) between 'A' and 'F' then substring('ABCDEF', {_number('i')} % 6 + 1, 1) when substring(value, i, 1) between 'a' and 'f' then substring('abcdef', {_number('i')} % 6 + 1, 1) else cast({_number('i')} % 10 as string) end), '')"
     body = f"concat(substring(value, 1, 1), {_digits('0', 'length(value) - 2')})"
     first = f"cast(100 + {_number('0')} % 566 as string)"
     return F.expr(
@@ -115,7 +132,10 @@ def surrogate(key: str) -> Column:
         when 'ip' then concat_ws('.', cast(1 + {_number('0')} % 223 as string), cast({_number('1')} % 256 as string), cast({_number('2')} % 256 as string), cast(1 + {_number('3')} % 254 as string))
         when 'ssn' then concat({first}, lpad(cast(1 + {_number('1')} % 99 as string), 2, '0'), lpad(cast(1 + (4096 * {_number('2')} + {_number('3')}) % 9999 as string), 4, '0'))
         when 'card' then concat({body}, cast((10 - {_luhn(f"concat({body}, '0')")}) % 10 as string))
-        else if(value rlike '^[\\\\u0400-\\\\u04ff]', {_name('cyrillic')}, {_name('latin')}) end"""
+        when 'iban' then concat({country}, lpad(cast(98 - {_mod97(f"concat({account}, {country}, '00')")} as string), 2, '0'), {account})
+        when 'ip6' then {hexes}
+        else case when value rlike '^[\\\\u0400-\\\\u04ff]' then {_name('cyrillic')} when value rlike '^[\\\\u0370-\\\\u03ff\\\\u1f00-\\\\u1fff]' then {_name('greek')}
+            when value rlike '^[\\\\u0000-\\\\u024f]' then {_name('latin')} else concat({_letters('value')}, if(draw > 3, {_letters("substring(value, 2)")}, '')) end end"""
     )
 
 
@@ -123,6 +143,7 @@ def parts_of(match: str) -> str:
     """SQL: what a match consists of; kind null is text that stays, shape is the format to put digits into."""
     part = lambda kind, value, shape="null": f"named_struct('kind', {kind}, 'value', {value}, 'shape', {shape})"
     plain = rf"regexp_replace({match}, '[^0-9]', '')"
+    solid = f"replace({match}, ' ', '')"
     keep = f"cast(array({part('cast(null as string)', match)}) as {_KINDS})"
     code = f"regexp_extract({match}, '^[+]1[ .-]?', 0)"
     words = f"regexp_extract_all({match}, '[ -]|[^ -]+', 0)"
@@ -139,6 +160,8 @@ def parts_of(match: str) -> str:
         when {match} rlike '^(?:[0-9]{{1,3}}\\\\.){{3}}[0-9]{{1,3}}$' then array({part("'ip'", match)})
         when {match} rlike '^[0-9]{{3}}-[0-9]{{2}}-[0-9]{{4}}$' then array({part("'ssn'", plain, match)})
         when {match} rlike '^[0-9(]' and length({plain}) = 10 then array({part("'national'", plain, match)})
+        when {match} rlike '^[A-Z]{{2}}[0-9]{{2}}' then if({_mod97(f"concat(substring({solid}, 5), substring({solid}, 1, 4))")} = 1, array({part("'iban'", solid, match)}), {keep})
+        when {match} rlike '^[0-9A-Fa-f]*:' then array({part("'ip6'", match)})
         when {match} rlike '^[0-9]' then if({_luhn(plain)} = 0, array({part("'card'", plain, match)}), {keep})
         else transform(sequence(1, size({words})), w -> {part(kind, word)}) end"""
 
@@ -188,13 +211,15 @@ def distinct_surrogates(tokens: DataFrame, key: str) -> DataFrame:
     raise RuntimeError(f"surrogates still collide after {MOST_DRAWS} draws")
 
 
-def in_shape(digits: str, shape: str) -> str:
-    """SQL: digits put into the places of the digits of a shape."""
-    return f"array_join(transform(sequence(1, length({shape})), i -> if(substring({shape}, i, 1) between '0' and '9', substring({digits}, length(regexp_replace(substring({shape}, 1, i), '[^0-9]', '')), 1), substring({shape}, i, 1))), '')"
+def in_shape(signs: str, shape: str) -> str:
+    """SQL: digits and capitals put into the places of those of a shape."""
+    return f"array_join(transform(sequence(1, length({shape})), i -> if(substring({shape}, i, 1) rlike '[0-9A-Z]', substring({signs}, length(regexp_replace(substring({shape}, 1, i), '[^0-9A-Z]', '')), 1), substring({shape}, i, 1))), '')"
 
 
-def replace_entities(docs: DataFrame, key: str = DEFAULT_KEY) -> DataFrame:
-    """doc_id, text with every entity replaced, n_entities (tokens replaced)."""
+def replace_entities(docs: DataFrame, key: str) -> DataFrame:
+    """doc_id, text with every entity replaced, n_entities (tokens replaced); ``key`` is the caller's secret."""
+    if not key:
+        raise ValueError("surrogates need a key")
     docs = docs.select("doc_id", "text")
     has = F.coalesce(F.when(F.col("text").rlike(_HINT), F.col("text").rlike(ENTITY)), F.lit(False))
     some = stored(with_parts(docs.where(has)).select("doc_id", F.xxhash64("text", F.length("text")).alias("h"), "parts"))

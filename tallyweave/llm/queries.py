@@ -6,6 +6,10 @@ from . import bpe, decontam, jaccard, langid, oracle, pii, quality, repeats, sec
 from .util import held_out, table
 
 
+#: Of this query's surrogates alone; callers of the operator give a key of their own.
+QUERY_KEY = "registered query"
+
+
 def op1_language_id(spark, sf_dir):
     docs = table(spark, sf_dir, "documents")
     out = held_out(4, 2)
@@ -26,7 +30,7 @@ def op4_quality_rules(spark, sf_dir):
 
 
 def op5_pii_surrogates(spark, sf_dir):
-    return pii.replace_entities(table(spark, sf_dir, "documents"))
+    return pii.replace_entities(table(spark, sf_dir, "documents"), QUERY_KEY)
 
 
 def op6_decontamination(spark, sf_dir):
