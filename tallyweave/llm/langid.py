@@ -4,8 +4,8 @@ Features are hashed letter bigrams and trigrams, as shares of a text's letters.
 support vector machine for each language family (one against the rest) picks the family; a
 linear machine for each pair of the family's languages votes for the language, and equal
 votes go to the larger sum of pair probabilities. All machines are fitted in numpy on at most
-``LEARN_PER_LANG`` documents of each language and ``LEARN_TOTAL`` in all, the ones whose
-hashed doc_id is smallest. Scoring reads whole texts and nothing but the text.
+``LEARN_PER_LANG`` documents of each language and about ``LEARN_TOTAL`` in all (at least one of
+each language), the ones whose hashed doc_id is smallest. Scoring reads whole texts and nothing but the text.
 
 Defined results: a null text or one without a letter is ``und`` with score 0; with one
 learned language every text with letters is that language; with none every text is ``und``;
@@ -29,7 +29,7 @@ from pyspark.sql.window import Window
 from . import textbytes as tb
 from .util import prepare
 
-LEARN_PER_LANG, LEARN_TOTAL, MOST_LANGS = 400, 2400, 200
+LEARN_PER_LANG, LEARN_TOTAL = 400, 2400
 BIGRAMS, TRIGRAMS = 1024, 3072
 UNKNOWN = "und"
 #: Below this score the pipeline counts a language as not recognised.
@@ -199,8 +199,8 @@ def learn(docs: DataFrame, usable: Column) -> LanguageModel:
     """The model of the rows for which ``usable`` holds; docs has doc_id, text and lang."""
     prepare(docs.sparkSession)
     rows = docs.where(usable & F.col("lang").isNotNull() & F.col("text").isNotNull())
-    counts = dict(rows.groupBy("lang").count().orderBy(F.desc("count"), "lang").limit(MOST_LANGS).collect())
-    per = min(LEARN_PER_LANG, LEARN_TOTAL // max(1, len(counts)))
+    counts = dict(rows.groupBy("lang").count().collect())  # a row for each language
+    per = max(1, min(LEARN_PER_LANG, LEARN_TOTAL // max(1, len(counts))))
     rank = F.pmod(F.xxhash64(F.col("doc_id").cast("string")), F.lit(1 << 20))
     limit = F.create_map(*(F.lit(v) for k, c in counts.items() for v in (k, float(min(1.0, 2.0 * per / c + 50 / c))))) if counts else None
     if limit is None:

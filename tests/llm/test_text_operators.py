@@ -99,6 +99,45 @@ def test_bpe_on_odd_texts_with_small_chunks():
         assert np.frombuffer(ids, "<u4").tolist() == e and decoded.decode() == t.decode(e, skip_special_tokens=False)
 
 
+@pytest.mark.parametrize("name,chunk", [("byte_bpe_50k.json", 16), ("byte_bpe_50k.json", 128), ("word_bpe_49k.json", 32)])
+def test_chunks_of_vocabularies_whose_joins_fail(rows, name, chunk):
+    """Chunks cut anywhere, also within words and blanks, whose ends are other tokens than in the text."""
+    import public_tokenizers
+    from tokenizers import Tokenizer
+
+    t = Tokenizer.from_file(public_tokenizers.path(name))
+    r = np.random.default_rng(4)
+    alphabet = list("ab c\n\t<|>'é́ΣÅ’") + ["<|endoftext|>", "don't ", "    ", "日本 ", "\u200d", "😀"]
+    texts = ["", "x" * 700, " " * 500, "é" * 300, *("".join(r.choice(alphabet, 400)) for _ in range(40)), *(x for _, x in rows[:25])]
+    e = bpe.ChunkEncoder(public_tokenizers.path(name), chunk_bytes=chunk)
+    e.blank_ends_words = False
+    raw, offsets = tb.arrow_bytes(pa.array(texts))
+    for text, (ids, decoded) in zip(texts, e.encode_block(raw, offsets), strict=True):
+        want = t.encode(text, add_special_tokens=False).ids
+        assert np.frombuffer(ids, "<u4").tolist() == want and decoded.decode() == t.decode(want, skip_special_tokens=False)
+    assert e.joins_repaired > 100
+
+
+def test_vocabularies_are_probed(monkeypatch):
+    import public_tokenizers
+
+    assert bpe.ChunkEncoder(public_tokenizers.path("word_bpe_49k.json")).blank_ends_words
+    assert not bpe.ChunkEncoder(public_tokenizers.path("byte_bpe_50k.json")).blank_ends_words
+
+
+def test_joins_that_disagree_are_encoded_as_chunks():
+    from tokenizers import Tokenizer
+
+    e = bpe.ChunkEncoder(bpe.default_vocabulary(), chunk_bytes=16)
+    t = Tokenizer.from_file(bpe.default_vocabulary())
+    text = "some plain words that are cut into several chunks " * 4
+    learn = e.learn_words
+    e.learn_words = lambda words: (learn(words), e.words.update({w: b"\1\0\0\0" for w in words if w == b"words"}))  # a wrong entry of the table
+    raw, offsets = tb.arrow_bytes(pa.array([text]))
+    (ids, _), = e.encode_block(raw, offsets)
+    assert e.repairs == 1 and np.frombuffer(ids, "<u4").tolist() == t.encode(text, add_special_tokens=False).ids
+
+
 def test_chunks_are_shared():
     e = bpe.ChunkEncoder(bpe.default_vocabulary(), chunk_bytes=64)
     r = np.random.default_rng(3)
@@ -153,6 +192,30 @@ def test_secrets_after_words_of_one_run():
     assert [secrets.random_spans(t, vocabulary) for t in tame] == [[]] * len(tame)
 
 
+def test_ratio_is_calibrated(rows):
+    """Recall on random keys and precision on what documents and made-up names hold."""
+    import random
+    import string
+
+    r = random.Random(29)
+    v = secrets.default_vocabulary()
+    keys = ["".join(r.choice(a) for _ in range(n)) for a in (string.ascii_letters + string.digits, string.ascii_letters, string.ascii_letters + string.digits + "+/") for n in (24, 32, 40, 64) for _ in range(100)]
+    assert sum(bool(secrets.random_spans(f"x {k} y", v)) for k in keys) >= 0.98 * len(keys)
+    word = ["server", "backup", "monthly", "report", "customer", "invoice", "archive", "config", "production", "internal", "gateway", "payment"]
+    names = [r.choice("-_/").join(r.choice(word) for _ in range(r.randint(4, 7))) for _ in range(400)] + ["".join(w.capitalize() for w in r.choices(word, k=5)) for _ in range(400)]
+    assert sum(bool(secrets.random_spans(f"x {n} y", v)) for n in names) <= 0.01 * len(names)
+
+
+def test_equal_hashes_of_unequal_lines():
+    """Lines of a regular build on which polynomials modulo a power of two agree."""
+    t = [0]
+    while len(t) < 2048:
+        t += [1 - x for x in t]
+    a, b = ("".join("ab"[x ^ y] for x in t) for y in (0, 1))
+    raw, offsets = tb.arrow_bytes(pa.array([f"{a}\n{b}\n{a}"]))
+    assert quality.measure_block(raw, offsets)[3].tolist() == [1]
+
+
 def test_quality_equals_sql(spark, sf_dir):
     c = duckdb.connect()
     c.sql(f"CREATE VIEW documents AS SELECT * FROM '{sf_dir}/documents.parquet'")
@@ -177,6 +240,72 @@ def test_language_id(spark, sf_dir):
     assert sum(r.lang_pred == truth[r.doc_id] for r in held) >= 0.95 * len(held)
 
 
+def test_language_scores_equal_brute_force(spark, docs, rows):
+    """Bigrams and trigrams hashed one letter at a time, machines summed one by one."""
+    model = langid.learn(docs.select("doc_id", "text", "lang"), ~held_out(4, 2))
+    u32 = (1 << 32) - 1
+
+    def brute(text):
+        code = [ord(c.lower() if len(c.lower()) == 1 else c) if c.isalpha() else 0 for c in text or ""]
+        places = [k for k, c in enumerate(code) if c]
+        if not places:
+            return "und", 0.0
+        total = np.zeros(model.table.shape[1])
+        for k in places:
+            p, q = (code[k - 1] if k else 0), (code[k + 1] if k + 1 < len(code) else 0)
+            two = (p * 0x9E3779B1 & u32) ^ (code[k] * 0x85EBCA77 & u32)
+            three = two ^ (q * 0xC2B2AE3D & u32)
+            a = ((two ^ two >> 15) * 0x2C1B3C6D & u32) >> 8
+            b = ((three ^ three >> 15) * 0x297A2D39 & u32) >> 8
+            total += model.table[a % langid.BIGRAMS].astype(float) + model.table[langid.BIGRAMS + b % langid.TRIGRAMS]
+        p = 1 / (1 + np.exp(-4 * (total / len(places) + model.bias)))
+        nf = len(model.families) if len(model.families) > 1 else 0
+        family = int(p[:nf].argmax()) if nf else 0
+        share = p[family] / p[:nf].sum() if nf else 1.0
+        best = None
+        for i, lang in enumerate(model.langs):
+            if model.family_of[i] != family:
+                continue
+            own = [(p[nf + k] if a == i else 1 - p[nf + k]) for k, (a, b) in enumerate(model.pairs) if i in (a, b)]
+            votes = sum((p[nf + k] >= 0.5) == (a == i) for k, (a, b) in enumerate(model.pairs) if i in (a, b))
+            mean = sum(own) / len(own) if own else 1.0
+            if best is None or votes + mean / (len(model.langs) + 1) > best[0]:
+                best = (votes + mean / (len(model.langs) + 1), lang, share * mean)
+        return best[1], best[2]
+
+    some = [*rows[:40], (-1, None), (-2, "123 !"), (-3, "É"), (-4, "A")]
+    got = langid.identify(spark.createDataFrame(some, "doc_id bigint, text string"), model).collect()
+    assert {r.doc_id: (r.lang_pred, pytest.approx(r.score, abs=1e-5)) for r in got} == {i: brute(t) for i, t in some}
+
+
+def test_toxicity_scores_equal_brute_force():
+    """Embeddings, filters and maxima one word at a time."""
+    net = toxicity.ConvNet()
+    texts = ["one", "", "two words", "Some longer text, with seven or eight words!", None, "übergrößenträger klein"]
+    raw, offsets = tb.arrow_bytes(pa.array(texts))
+    rows, first = toxicity.word_rows(raw, offsets)
+    got = net.logits(rows, first)
+    for k in range(len(texts)):
+        own = rows[first[k] : first[k + 1]]
+        vectors = [sum(net.embed[i] for i in r) for r in own]
+        h = []
+        for s, f, o in zip(toxicity.SPANS, net.filters, net.offset, strict=True):
+            values = [np.concatenate(vectors[a : a + s]) @ f + o for a in range(len(vectors) - s + 1)]
+            h += list(np.maximum(np.max(values, axis=0), 0)) if values else [0.0] * toxicity.FILTERS
+        assert got[k] == pytest.approx(float(np.array(h) @ net.out + net.bias), abs=1e-4)
+    assert (rows[0] == toxicity.word_rows(*tb.arrow_bytes(pa.array(["ONE"])))[0][0]).all()
+
+
+def test_toxicity_query_on_held_out_labels(spark):
+    sf = "/root/testdata/sf0.1"  # of the smaller tables, too few labels are learned from
+    got = {r.doc_id: r for r in queries.op10_toxicity(spark, sf).collect()}
+    truth = duckdb.sql(f"SELECT doc_id, toxic FROM '{sf}/labels.parquet'").fetchall()
+    held = [(got[i], y) for i, y in truth if got[i].held_out]
+    assert all(r.held_out == (zlib.crc32(str(i).encode()) % 3 == 1) and 0 <= r.score <= 1 and r.predicted == int(r.score >= 0.7) for i, r in got.items())
+    hit, flagged, toxic = sum(r.predicted and y for r, y in held), sum(r.predicted for r, _ in held), sum(y for _, y in held)
+    assert hit >= 0.8 * toxic and hit >= 0.8 * flagged, (hit, flagged, toxic, len(held))
+
+
 def test_toxicity(spark):
     r = np.random.default_rng(4)
     vocabulary = ["".join(r.choice(list("abcdefgh"), 5)) for _ in range(300)]
@@ -200,7 +329,7 @@ def test_toxicity(spark):
 def test_pii(spark, docs, rows):
     made = [(9001, "Write to John.Doe7@mail3.example.com or Mr. John Smith, +1 (017) 555-7713."), (9002, "Mrs Smith and Mr John Smith: +1-017-555-7713, 10.0.0.255, 300.1.2.3"), (9003, "card 4111 1111 1111 1111 not 4111111111111112; 4111111111111111 ssn 123-45-6789"), (9004, None), (9005, ""), (9006, "г-жа Анна Петрова"), (9007, "john.doe7@mail3.example.com")] + [(9100 + i, f"{c}@q.com") for i, c in enumerate("abcdefghijklmnopqrstuvwxyz")]
     d = docs.select("doc_id", "text").unionByName(spark.createDataFrame(made, "doc_id bigint, text string"))
-    got = {r.doc_id: r.text for r in pii.replace_entities(d).collect()}
+    got = {r.doc_id: r.text for r in pii.replace_entities(d, "key").collect()}
     mail = re.compile(r"[\w.]+@[\w.]+\w")
     first, second = got[9001], got[9002]
     assert mail.search(first)[0] == got[9007] and "john" not in got[9007].lower()
@@ -221,7 +350,7 @@ def test_pii(spark, docs, rows):
 
 def test_pii_is_coreferent_in_other_wordings(spark):
     made = [(1, "Mr. John Smith came. Smith said that John Smith, not Smithson, left."), (2, "Dr Jane Smith"), (3, "Ms Jane Smith"), (4, "+1 212-555-0100"), (5, "(212) 555-0100"), (6, "Smith alone"), (7, "+12125550100")]
-    got = {r.doc_id: r.text for r in pii.replace_entities(spark.createDataFrame(made, "doc_id bigint, text string")).collect()}
+    got = {r.doc_id: r.text for r in pii.replace_entities(spark.createDataFrame(made, "doc_id bigint, text string"), "key").collect()}
     given, family = re.match(r"Mr\. (\w+) (\w+) came", got[1]).groups()
     assert got[1] == f"Mr. {given} {family} came. {family} said that {given} {family}, not Smithson, left." and "Smith" != family
     assert got[2].split()[1:] == got[3].split()[1:] and got[2].split()[2] == family
@@ -229,6 +358,29 @@ def test_pii_is_coreferent_in_other_wordings(spark):
     assert got[6] == "Smith alone" and got[7] == "+1" + re.sub(r"\D", "", got[5])
 
 
+def _iban_ok(v):
+    v = v.replace(" ", "")
+    return int("".join(str(int(c, 36)) for c in v[4:] + v[:4])) % 97 == 1
+
+
+def test_pii_formats_and_scripts(spark):
+    made = [(1, "IBAN DE89 3704 0044 0532 0130 00, again DE89370400440532013000, not DE89370400440532013001."), (2, "ping fe80::1ff:fe23:4567:890a and 2001:0DB8:85a3:0000:0000:8a2e:0370:7334; std::vector a::b 12:30:45"), (3, "ο κύριος Γιώργος Παπαδόπουλος, Dr Արամ Խաչատրյան"), (4, "+353 87 123 4567, +44 20 7946 0958"), (5, "Mr Ian Jones, Dr Ian Jones; GB82 WEST 1234 5698 7654 32")]
+    d = spark.createDataFrame(made, "doc_id bigint, text string")
+    got = {r.doc_id: r.text for r in pii.replace_entities(d, "key").collect()}
+    spaced, solid = re.search(r"IBAN ([A-Z0-9 ]+), again (\w+), not DE89370400440532013001\.", got[1]).groups()
+    assert spaced.replace(" ", "") == solid != "DE89370400440532013000" and solid[:2] == "DE" and _iban_ok(solid) and re.fullmatch(r"(\w{4} ){5}\w\w", spaced)
+    a, b = re.match(r"ping (\S+) and (\S+); std::vector a::b 12:30:45$", got[2]).groups()
+    assert re.fullmatch(r"fe80::[0-9a-f]{3}:[a-f]{2}\d\d:\d{4}:\d{3}[a-f]", a) and re.fullmatch(r"2001(:[0-9A-Fa-f]{4}){7}", b) and a not in made[1][1] and b not in made[1][1]
+    given, family, other = re.fullmatch(r"ο κύριος (\w+) (\w+), Dr (\w+ \w+)", got[3]).groups()
+    assert all("\u0370" <= c <= "\u03ff" for c in given + family) and "Γιώργος" != given and re.fullmatch(r"[\u0531-\u0556][\u0561-\u0586]+ [\u0531-\u0556][\u0561-\u0586]+", other) and other != "Արամ Խաչատրյան"
+    assert re.fullmatch(r"\+353 \d\d \d{3} \d{4}, \+44 \d\d \d{4} \d{4}", got[4]) and "123 4567" not in got[4]
+    x, y, account = re.fullmatch(r"Mr (\w+ \w+), Dr (\w+ \w+); ([A-Z0-9 ]+)", got[5]).groups()
+    assert x == y != "Ian Jones" and _iban_ok(account) and re.fullmatch(r"GB\d\d [A-Z]{4}( \d{4}){3} \d\d", account)
+    assert {r.text for r in pii.replace_entities(d, "other").collect()}.isdisjoint(got.values())
+    with pytest.raises(ValueError):
+        pii.replace_entities(d, "")
+
+
 @pytest.mark.parametrize("empty", [False, True])
 def test_odd_rows(spark, sf_dir, odd, empty):
     """Every operator gives each row a result on nulls, long texts, repeated rows and clashing names."""
@@ -243,7 +395,7 @@ def test_odd_rows(spark, sf_dir, odd, empty):
         bpe.encoding_digest(d),
         secrets.scan_secrets(d),
         quality.judge(d),
-        pii.replace_entities(d),
+        pii.replace_entities(d, "key"),
         decontam.decontamination_report(d, bench.limit(0)),
         repeats.repeat_report(d),
         jaccard.near_duplicates(d),
