@@ -4,7 +4,8 @@ Every stage works on all rows that the stage before it kept, and its decisions t
 
 1. language_id drops documents without a recognised language (no letter, or a score under
    ``langid.REJECT_BELOW``);
-2. near_duplicates keeps the document of smallest doc_id of each group of linked texts;
+2. near_duplicates keeps the document of smallest doc_id of each group of linked texts (rows
+   without a doc_id are judged by their texts like all others);
 3. decontamination drops documents that the contamination rule condemns;
 4. secrets replaces every secret in the text by a mark (n_chars follows);
 5. bpe encodes what is left and returns the digests of its ids and of its decoded text.
@@ -18,7 +19,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 
 from tallyweave.llm import bpe, decontam, jaccard, langid, secrets
-from tallyweave.llm.util import held_out, table, written
+from tallyweave.llm.util import dropped, held_out, release, table, written
 
 
 def language_id(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -49,8 +50,11 @@ ORACLE_SQL = None
 
 
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """The rows of the last stage over ``documents``."""
+    """The rows of the last stage over ``documents``; what a stage has kept goes once the next one is written."""
     docs = table(spark, sf_dir, "documents")
-    for name, stage in STAGES[:-1]:
-        docs = written(stage(spark, docs, sf_dir), name)
+    for k, (name, stage) in enumerate(STAGES[:-1]):
+        before, docs = docs, written(stage(spark, docs, sf_dir), name)
+        release()
+        if k:
+            dropped(before)
     return STAGES[-1][1](spark, docs, sf_dir)
