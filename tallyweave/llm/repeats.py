@@ -38,7 +38,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from . import textbytes as tb
@@ -127,9 +127,15 @@ def _batch(columns: list[np.ndarray], names: str) -> pa.RecordBatch:
 
 
 def _rows(docs: DataFrame) -> DataFrame:
-    """own (the doc_id as it is), doc_id (for the order), row (a hash that tells texts of one doc_id apart), text."""
+    """doc_id (for the order), row (a hash that tells texts of one doc_id apart; odd where there is no doc_id), text."""
     own = F.col("doc_id").cast("bigint")
-    return docs.select(own.alias("own"), F.coalesce(own, F.lit(_LAST)).alias("doc_id"), F.xxhash64("text", own.isNull()).alias("row"), "text")
+    row = F.shiftleft(F.xxhash64("text"), 1).bitwiseOR(own.isNull().cast("bigint"))
+    return docs.select(F.coalesce(own, F.lit(_LAST)).alias("doc_id"), row.alias("row"), "text")
+
+
+def _doc_id() -> Column:
+    """The doc_id of a row of ``_rows`` as it was."""
+    return F.when(F.col("row").bitwiseAND(F.lit(1)) == 0, F.col("doc_id"))
 
 
 def _read_runs(docs: DataFrame, match: int, reduce: bool = True) -> DataFrame:
@@ -497,7 +503,7 @@ def repeat_groups(docs: DataFrame, match: int = MATCH_BYTES, hot_runs: int = HOT
     if any_hot:
         window = _pieces(wanted.where("hot"), texts, match)
         found = found.unionByName(window.select(F.xxhash64("key", "key2").alias("group"), F.lit(match).cast("bigint").alias("size"), F.col("doc_id").alias("shard"), F.col("row").alias("mark"), F.col("start").alias("at")))
-    every = found.join(runs, ["shard", "mark"]).select("group", "size", F.nullif("doc_id", F.lit(_LAST)).alias("doc_id"), "row", (F.shiftright("place", 16) + F.col("at")).alias("start")).distinct()
+    every = found.join(runs, ["shard", "mark"]).select("group", "size", _doc_id().alias("doc_id"), "row", (F.shiftright("place", 16) + F.col("at")).alias("start")).distinct()
     every = stored(every)
     return every.join(every.groupBy("group", "size").count().where("count > 1").select("group", "size"), ["group", "size"])
 
@@ -520,7 +526,7 @@ def _remove(docs: DataFrame, match: int, hot_runs: int, shard_bytes: int, finish
             yield pa.RecordBatch.from_arrays([b.column(0), *map(pa.array, zip(*rows, strict=True))] if rows else [b.column(0)], schema=pa.schema([pa.field("doc_id", pa.int64()), *types]))
 
     types = [pa.field(c.split()[0], {"bigint": pa.int64(), "string": pa.string(), "binary": pa.binary()}[c.split()[1]]) for c in columns.split(", ")]
-    out = texts.join(spans, ["doc_id", "row"], "left").select(F.col("own").alias("doc_id"), "text", "starts", "sizes")
+    out = texts.join(spans, ["doc_id", "row"], "left").select(_doc_id().alias("doc_id"), "text", "starts", "sizes")
     return out.mapInArrow(run, f"doc_id bigint, {columns}")
 
 
