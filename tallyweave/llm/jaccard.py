@@ -257,12 +257,13 @@ def _classes(docs: DataFrame, threshold: float, tolerance: float) -> tuple[DataF
     reps = wordy.groupBy("k1", "k2").agg(F.min("doc_id").alias("rep"), F.coalesce(F.min_by("th", "doc_id"), F.min("th")).alias("th"), F.max("n_words").alias("n_words")).withColumn("d", F.coalesce("rep", F.lit(0)))
     banded = wordy.where(F.size("bands") > 0)
     chosen = banded.join(reps.select("k1", "k2", "d", "th"), ["k1", "k2", "d", "th"])
-    bucket = chosen.select("k1", "k2", F.explode("bands").alias("band"))
-    heads = bucket.groupBy("band").agg(F.min("k1").alias("h1"), F.min_by("k2", "k1").alias("h2"), F.max("k1").alias("last")).where("h1 < last").drop("last")
-    stars = bucket.join(heads, "band").where("k1 <> h1").select(F.struct("k1", "k2").alias("a"), F.struct(F.col("h1").alias("k1"), F.col("h2").alias("k2")).alias("b"))
+    # candidates alone go by one hash: texts that share it meet in one cluster, and are told apart there
+    bucket = chosen.select("k1", F.explode("bands").alias("band"))
+    heads = bucket.groupBy("band").agg(F.min("k1").alias("head"), F.max("k1").alias("last")).where("head < last").select("band", "head")
+    stars = bucket.join(heads, "band").where("k1 <> head").select(F.col("k1").alias("a"), F.col("head").alias("b"))
     clusters = components(stars)
 
-    member = clusters.select("v.k1", "v.k2", F.xxhash64("component").alias("label")).join(reps, ["k1", "k2"])
+    member = clusters.select(F.col("v").alias("k1"), F.col("component").alias("label")).join(reps, "k1")
     blocks = member.groupBy("label").agg(F.count(F.lit(1)).alias("n"), F.sum("n_words").alias("words"))
     blocks = blocks.select("label", F.ceil(F.greatest(F.col("n") / BLOCK_DOCS, F.col("words") / BLOCK_WORDS)).cast("int").alias("nb"))
     member = written(member.join(blocks, "label").select("k1", "k2", "d", "th", "label", "nb", F.pmod(F.xxhash64("k1", "k2"), F.col("nb")).cast("int").alias("block")), "members", compact=True)
