@@ -45,6 +45,8 @@ STEP, STEPS = 16, 8
 TOLERANCE = 1e-6
 #: Bounds of a block of a cluster: documents and words.
 BLOCK_DOCS, BLOCK_WORDS = 1024, 400_000
+#: Texts in clusters up to which their list (some 100 bytes each) is broadcast to the documents; beyond, both are shuffled.
+BROADCAST_MEMBERS = 500_000
 
 
 def _hash_family(n: int, seed: int) -> tuple[np.ndarray, np.ndarray]:
@@ -268,7 +270,8 @@ def _classes(docs: DataFrame, threshold: float, tolerance: float) -> tuple[DataF
     blocks = blocks.select("label", F.ceil(F.greatest(F.col("n") / BLOCK_DOCS, F.col("words") / BLOCK_WORDS)).cast("int").alias("nb"))
     member = written(member.join(blocks, "label").select("k1", "k2", "d", "th", "label", "nb", F.pmod(F.xxhash64("k1", "k2"), F.col("nb")).cast("int").alias("block")), "members", compact=True)
     d, th = row_key()
-    texts = docs.select(d.alias("d"), th.alias("th"), "text").join(member, ["d", "th"])
+    few = member.count() <= BROADCAST_MEMBERS
+    texts = docs.select(d.alias("d"), th.alias("th"), "text").join(F.broadcast(member) if few else member, ["d", "th"])
     tasks = _sets(texts).repartition(partitions(spark), "label", "p", "q").sortWithinPartitions("label", "p", "q")
     found = stored(tasks.select("label", "p", "q", "nb", "k1", "k2", "block", "shingles").mapInArrow(_verify(threshold, tolerance), _FOUND))
 

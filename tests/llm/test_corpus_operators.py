@@ -194,6 +194,7 @@ def test_near_duplicates(spark, monkeypatch):
     shape = lambda x: {r.doc_id: (r.copy_id, r.class_id, r.n_links) for r in x.collect()}
     assert shape(jaccard.near_duplicates(d)) == want
     monkeypatch.setattr(jaccard, "BLOCK_DOCS", 3)  # clusters are spread over pairs of blocks
+    monkeypatch.setattr(jaccard, "BROADCAST_MEMBERS", 0)
     assert shape(jaccard.near_duplicates(d)) == want
     kept = {r.doc_id for r in jaccard.keep_one_of_each(d).collect()}
     assert kept == {i for i, v in want.items() if v[1] == i}
