@@ -8,7 +8,6 @@ import pytest
 
 from tallyweave.plans import registry
 
-SLOW = {"imputed_twin_join", "dq_heavy_tails", "dq_skew", "dq_outliers", "dq_missing_column", "finding_rank", "flagged_columns", "candidate_gate", "all_results", "correlation_matrix", "column_cap", "type_counts", "count_tests"}
 TABLES = "region nation customer supplier part orders lineitem events documents labels".split()
 
 
@@ -24,7 +23,7 @@ def plain(v):
     return "nan" if isinstance(v, float) and math.isnan(v) else round(v + 0.0, 5) if isinstance(v, float) else v
 
 
-@pytest.mark.parametrize("name", sorted(set(registry.oracle_sql()) - SLOW))
+@pytest.mark.parametrize("name", sorted(registry.oracle_sql()))
 def test_query_equals_sql(spark, sf_dir, duck, name):
     df = registry.queries()[name](spark, sf_dir)
     relation = duck.sql(registry.oracle_sql()[name])
