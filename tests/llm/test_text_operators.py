@@ -381,6 +381,47 @@ def test_pii_formats_and_scripts(spark):
         pii.replace_entities(d, "")
 
 
+def test_decontamination_of_rows_without_or_with_one_doc_id(spark, sf_dir):
+    """The same results whatever number of blocks the items come in, for rows that share a doc_id or have none."""
+    item = " ".join(f"word{k}" for k in range(20))
+    items = [(1, item), (None, " ".join(f"other{k}" for k in range(15))), (2, "short item"), (2, item), (3, None)]
+    rows = [(None, item), (None, "clean text of no interest"), (None, "x " * 500 + item), (5, "a short item here"), (5, "clean"), (None, None), (None, ""), (None, item)]
+    d, b = spark.createDataFrame(rows, "doc_id bigint, text string"), spark.createDataFrame(items, "item_id bigint, text string")
+    want = [(None, 20, [(0, 20)], ["1", "2"])] * 2 + [(None, 5, [], []), (None, 520, [(500, 520)], ["1", "2"]), (5, 4, [(1, 3)], ["2"]), (5, 1, [], []), (None, 0, [], []), (None, 0, [], [])]
+    extra = d.selectExpr("text AS spans_met", "doc_id", "text", "7 AS Items_Met")
+    for size in (decontam.ITEM_BLOCK_BYTES, 40, 5):
+        got = [(r.doc_id, r.n_words, [tuple(s) for s in r.spans], r["items"]) for r in decontam.find_contamination(d, b, block_bytes=size).collect()]
+        assert sorted(got, key=repr) == sorted(want, key=repr)
+        kept = decontam.drop_contaminated(extra, b, block_bytes=size)
+        assert kept.columns == extra.columns
+        assert sorted(map(repr, (r.text for r in kept.collect()))) == sorted(map(repr, ["clean text of no interest", "x " * 500 + item, "clean", None, ""]))
+
+
+def test_odd_rows_have_the_values_of_plain_ones(spark, odd):
+    """Repeated rows, rows without doc_id and long texts get what their text alone would."""
+    from tokenizers import Tokenizer
+
+    t = Tokenizer.from_file(bpe.default_vocabulary())
+    texts = [r.text for r in odd.collect()]
+    tokens = [t.encode(x or "", add_special_tokens=False).ids for x in texts]
+    got = [(r.n_tokens, r.ids_sha256) for r in bpe.encoding_digest(odd).collect()]
+    assert sorted(got) == sorted((len(i), sha(struct.pack(f"<{len(i)}I", *i))) for i in tokens)
+    assert sorted((r.n_assign, r.spans) for r in secrets.scan_secrets(odd).collect()) == sorted((1, "assign:0:20") if "token = " in (x or "") else (0, "") for x in texts)
+    measured = [(r.n_words, r.word_chars, r.n_symbols, r.n_repeat_words, r.base_failed) for r in quality.judge(odd).collect()]
+    plain = []
+    for x in texts:
+        w = re.findall(r"[^\x20\x09-\x0D]+", x or "")
+        windows = [tuple(w[k : k + 3]) for k in range(len(w) - 2)]
+        again = {k + j for k, v in enumerate(windows) if windows.count(v) > 1 for j in range(3)} if len(w) < 100 else set(range(len(w)))
+        plain.append((len(w), sum(map(len, w)), 0, len(again), len(w) < 50 or 100 * len(again) > 50 * len(w)))
+    assert sorted(measured) == sorted(plain)
+    assert sorted((repr(r.text), r.n_entities) for r in pii.replace_entities(odd, "key").collect()) == sorted((repr(x), 0) for x in texts)
+    redacted = secrets.redact(odd)
+    assert redacted.columns == odd.columns and sorted(repr(r.text) for r in redacted.collect()) == sorted(repr("[REDACTED] é" if "token" in (x or "") else x) for x in texts)
+    recognised = langid.identify(odd, langid.learn(odd, ~held_out(4, 2)), least=0.0)
+    assert recognised.columns == odd.columns and recognised.count() == 6
+
+
 @pytest.mark.parametrize("empty", [False, True])
 def test_odd_rows(spark, sf_dir, odd, empty):
     """Every operator gives each row a result on nulls, long texts, repeated rows and clashing names."""
