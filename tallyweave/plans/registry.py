@@ -179,10 +179,12 @@ def effect_magnitude(spark, sf_dir):
     return _table(spark, sf_dir, "lineitem").select("l_linenumber", _r(F.col("l_discount")).alias("value"), results.magnitude_column(F.lit("r"), x).alias("r"), results.magnitude_column(F.lit("cohen_d"), x).alias("d"))
 
 
-@query("SELECT greatest(0.0::DOUBLE, least(100.0::DOUBLE, round_even(100 - sum(CASE severity WHEN 'high' THEN 15.0::DOUBLE WHEN 'medium' THEN 6.0::DOUBLE ELSE 1.5::DOUBLE END), 1)))::DOUBLE AS score FROM (SELECT CASE WHEN p_size % 3 = 0 THEN 'high' WHEN p_size % 3 = 1 THEN 'medium' ELSE 'low' END AS severity FROM part WHERE p_partkey < 8)")
+@query("SELECT greatest(0.0::DOUBLE, least(100.0::DOUBLE, round_even(100 - sum(CASE severity WHEN 'high' THEN 15.0::DOUBLE WHEN 'medium' THEN 6.0::DOUBLE ELSE 1.5::DOUBLE END), 1)))::DOUBLE AS score FROM (SELECT CASE WHEN count(*) % 11 = 0 THEN 'high' WHEN count(*) % 11 = 1 THEN 'medium' ELSE 'low' END AS severity FROM part GROUP BY p_brand)")
 def quality_score(spark, sf_dir):
-    kind = F.when(F.col("p_size") % 3 == 0, "high").when(F.col("p_size") % 3 == 1, "medium").otherwise("low")
-    return quality.score_frame(_table(spark, sf_dir, "part").where("p_partkey < 8").select(kind.alias("severity")))
+    """Row 81: an issue for each brand, its severity by the brand's parts."""
+    n = F.count(F.lit(1)) % 11
+    kind = F.when(n == 0, "high").when(n == 1, "medium").otherwise("low")
+    return quality.score_frame(_table(spark, sf_dir, "part").groupBy("p_brand").agg(kind.alias("severity")))
 
 
 @query(f"WITH {M}, c AS (SELECT echo, count(*)::DOUBLE AS n FROM m GROUP BY echo) SELECT round(-sum(n / s * ln(n / s + 1e-12)), 6) AS entropy FROM c, (SELECT sum(n) AS s FROM c)")
@@ -212,11 +214,9 @@ def listwise_deletion(spark, sf_dir):
 
 @query(f"WITH {M} SELECT count(*) AS n FROM m WHERE price IS NULL OR tax IS NULL OR holed IS NULL")
 def missing_rows(spark, sf_dir):
-    d = _mixed(spark, sf_dir)
-    any_null = F.lit(False)
-    for c in d.columns:
-        any_null = any_null | column(c).isNull()
-    return d.where(any_null).agg(F.count(F.lit(1)).alias("n"))
+    frame = from_dataframe(_mixed(spark, sf_dir).select("price", "tax", "holed"), rows=True)
+    issues = quality.issues_of(frame, *catalog.profile(frame))
+    return _rows(spark, [(i["location_count"],) for i in issues if i["kind"] == "missing_rows"], "n bigint")
 
 
 @query(f"WITH {M}, k AS (SELECT flag, status FROM m WHERE price IS NOT NULL GROUP BY ALL HAVING count(*) >= 3) SELECT flag, status, count(*) AS n FROM m SEMI JOIN k USING (flag, status) WHERE price IS NOT NULL GROUP BY ALL")
@@ -426,13 +426,13 @@ def _docs(spark, sf_dir):
 
 _issue_query("missing_column", "dq_missing_column", f"WITH {M} " + _long([f"""SELECT CASE WHEN p > 0.5 THEN 'high' WHEN p > 0.2 THEN 'medium' ELSE 'low' END AS severity, 'missing_column' AS kind, '{c}' AS "column" FROM (SELECT round_even((count(*) - count({c}))::DOUBLE / count(*), 4) AS p FROM m) WHERE p > 0""" for c in _COLS]))
 _issue_query("constant_column|near_constant_column", "dq_constant", """SELECT 'low' AS severity, 'constant_column' AS kind, 'same' AS "column" """, _docs)
-_issue_query("excluded_column", "dq_excluded", """SELECT 'low' AS severity, 'excluded_column' AS kind, name AS "column" FROM (VALUES ('o_orderdate')) v(name)""", lambda s, d: _table(s, d, "orders").select("o_orderdate", "o_orderstatus", "o_totalprice"))
-_issue_query("coerced_type", "dq_coerced", """SELECT 'low' AS severity, 'coerced_type' AS kind, 'commas' AS "column" """, lambda s, d: _from(s, d, TEXTS).select("commas", "dated"))
+_issue_query("excluded_column", "dq_excluded", """SELECT 'low' AS severity, 'excluded_column' AS kind, name AS "column" FROM (SELECT 'o_orderdate' AS name FROM orders HAVING any_value(typeof(o_orderdate)) LIKE 'TIMESTAMP%')""", lambda s, d: _table(s, d, "orders").select("o_orderdate", "o_orderstatus", "o_totalprice"))
+_issue_query("coerced_type", "dq_coerced", f"""WITH {T} SELECT 'low' AS severity, 'coerced_type' AS kind, 'commas' AS "column" FROM t HAVING count(*) FILTER (regexp_matches(trim(commas), '^[+-]?(\\d{{1,3}}(,\\d{{3}})+|\\d+)(\\.\\d+)?([eE][+-]?\\d+)?$')) >= 0.9 * count(*) FILTER (trim(commas) <> '')""", lambda s, d: _from(s, d, TEXTS).select("commas", "dated"))
 _issue_query("extreme_values|outliers", "dq_outliers", f"""WITH {M} """ + _long([f"""SELECT CASE WHEN n5 > 0 THEN 'medium' ELSE 'low' END AS severity, CASE WHEN n5 > 0 THEN 'extreme_values' ELSE 'outliers' END AS kind, '{c}' AS "column" FROM (SELECT count(*) FILTER ({c} < q1 - 5 * (q3 - q1) OR {c} > q3 + 5 * (q3 - q1)) AS n5, count(*) FILTER ({c} < q1 - 3 * (q3 - q1) OR {c} > q3 + 3 * (q3 - q1)) AS n3 FROM m, (SELECT quantile_cont({c}, 0.25) AS q1, quantile_cont({c}, 0.75) AS q3 FROM m)) WHERE n3 > 0""" for c in NUMERIC]))
 _issue_query("skew", "dq_skew", f"WITH {M} " + _long([f"""SELECT CASE WHEN abs(s) > 2 THEN 'medium' ELSE 'low' END AS severity, 'skew' AS kind, '{c}' AS "column" FROM (SELECT skewness({c}) AS s FROM m) WHERE abs(s) > 1""" for c in NUMERIC]))
 _issue_query("heavy_tails", "dq_heavy_tails", f"WITH {M} " + _long([f"""SELECT 'low' AS severity, 'heavy_tails' AS kind, '{c}' AS "column" FROM (SELECT kurtosis({c}) AS k FROM m) WHERE k > 3""" for c in NUMERIC]))
-_issue_query("sample_size", "dq_sample_size", """SELECT 'high' AS severity, 'sample_size' AS kind, NULL::VARCHAR AS "column" """, lambda s, d: _table(s, d, "region"))
-_issue_query("wide_data", "dq_wide", """SELECT 'high' AS severity, 'wide_data' AS kind, NULL::VARCHAR AS "column" """, lambda s, d: _table(s, d, "region").select(*((F.col("r_regionkey") * (i + 1) + i % 3).alias(f"v{i}") for i in range(6))))
+_issue_query("sample_size", "dq_sample_size", """SELECT 'high' AS severity, 'sample_size' AS kind, NULL::VARCHAR AS "column" FROM region HAVING count(*) < 30""", lambda s, d: _table(s, d, "region"))
+_issue_query("wide_data", "dq_wide", """SELECT 'high' AS severity, 'wide_data' AS kind, NULL::VARCHAR AS "column" FROM region HAVING count(*) BETWEEN 1 AND 6""", lambda s, d: _table(s, d, "region").select(*((F.col("r_regionkey") * (i + 1) + i % 3).alias(f"v{i}") for i in range(6))))
 
 
 @query("SELECT * FROM (VALUES ('high', 1::BIGINT), ('low', 2::BIGINT), ('medium', 1::BIGINT)) v(severity, n)")
@@ -444,7 +444,7 @@ def dq_issues(spark, sf_dir):
     return quality.as_frame(spark, [i for i in quality.issues_of(frame, n, columns) if i["kind"] != "missing_rows"]).groupBy("severity").agg(F.count(F.lit(1)).alias("n"))
 
 
-@query("SELECT 'event_id' AS name")
+@query("SELECT 'event_id' AS name FROM events HAVING count(DISTINCT event_id) >= 0.95 * count(*)")
 def detect_id_column(spark, sf_dir):
     return spark.createDataFrame([(catalog.identifier_column(catalog.profile(from_dataframe(_table(spark, sf_dir, "events")))[1]),)], "name string")
 
@@ -878,7 +878,7 @@ def correlation_matrix(spark, sf_dir):
     return series.correlation_matrix(_SWEEP_COLS[0], _results(spark, sf_dir)).select("i", "j", _r("value").alias("value"))
 
 
-@query("SELECT 'wild' AS name")
+@query('SELECT DISTINCT "column" AS name FROM (' + " UNION ALL ".join(f"(SELECT * FROM ({_oracles[k]}))" for k in ("dq_outliers", "dq_skew", "dq_heavy_tails")) + f""") WHERE "column" IN ({", ".join(f"'{c}'" for c in NUMERIC)})""")
 def flagged_columns(spark, sf_dir):
     """Row 144: columns with an issue of shape, that have a box."""
     frame = _profile_frame(spark, sf_dir)
