@@ -1,12 +1,13 @@
 """Secret scans: fixed patterns, and a token-efficiency test that exposes random strings.
 
 A tokenizer's vocabulary compresses what people write; a random string of the same characters
-falls into many short tokens. Every run of ``MIN_CHARS`` or more key characters with a letter
-is cut into tokens of a tiktoken vocabulary, and is reported (kind ``rand``) where it has fewer
-than ``CHARS_PER_TOKEN`` characters to a token, unless it is a known digest (hexadecimal of a
-digest's length), a UUID, a number, or made of words and numbers joined by separators. In a
-run that is not reported whole, as words before a key may hide it, each part between separators
-and each stretch of ``MIN_CHARS`` characters are tested in the same way.
+falls into many short tokens. Of every run of ``MIN_CHARS`` or more key characters, digests
+(hexadecimal of a digest's length) and UUIDs are set aside, wherever they stand in it. What is
+left between them, if as long and with a letter, is cut into tokens of a tiktoken vocabulary, and
+is reported (kind ``rand``) where it has fewer than ``CHARS_PER_TOKEN`` characters to a token,
+unless it is a number, or made of words and numbers joined by separators. In a run that is not
+reported whole, as words before a key may hide it, each part between separators and each
+stretch of ``MIN_CHARS`` characters are tested in the same way.
 
 The texts are screened as bytes for runs and keywords, so the patterns themselves run only
 on documents that can hold a match.
@@ -21,6 +22,7 @@ from __future__ import annotations
 import base64
 import hashlib
 import re
+from bisect import bisect_left, bisect_right
 from collections.abc import Iterator
 
 import numpy as np
@@ -40,7 +42,7 @@ _ASSIGN = re.compile(r"""(password|passwd|secret|token|api_?key)["']?\x20*[:=]\x
 _ACCESS = re.compile(r"AKIA[A-Z0-9]+")
 _LONG_HEX = re.compile(r"(?<![0-9a-f])[0-9a-f]{24,}")
 _RUN = re.compile(r"[A-Za-z0-9+/_=-]{%d,}" % MIN_CHARS)
-_UUID = re.compile(r"[0-9A-Fa-f]{8}-(?:[0-9A-Fa-f]{4}-){3}[0-9A-Fa-f]{12}")
+_UUID = re.compile(r"(?<![A-Za-z0-9])[0-9A-Fa-f]{8}-(?:[0-9A-Fa-f]{4}-){3}[0-9A-Fa-f]{12}(?![A-Za-z0-9])")
 _DIGEST = re.compile(r"[0-9a-f]+|[0-9A-F]+")
 _PIECE = re.compile(r"[A-Za-z0-9]+")
 _LETTER = re.compile(r"[A-Za-z]")
@@ -91,37 +93,35 @@ def _plain(s: str, encoding) -> bool:
 def _hidden(s: str, encoding) -> list[tuple[int, int]]:
     """Spans in a run that are random though the run as a whole is not."""
     pieces = [m.span() for m in _PIECE.finditer(s)]
-    fixed = [m.span() for m in _UUID.finditer(s)] + [(a, b) for a, b in pieces if known(s[a:b])]
-    free = lambda a, b: all(b <= x or a >= y for x, y in fixed)
-    marked = [(a, b) for a, b in pieces if b - a >= MIN_CHARS and free(a, b) and _LETTER.search(s[a:b]) and _incompressible(s[a:b], encoding)]
+    starts, stops = [a for a, _ in pieces], [b for _, b in pieces]
+    marked = [(a, b) for a, b in pieces if b - a >= MIN_CHARS and _LETTER.search(s[a:b]) and _incompressible(s[a:b], encoding)]
     ends = np.cumsum([0] + [len(encoding.decode_single_token_bytes(t)) for t in encoding.encode_ordinary(s)])
     last = np.searchsorted(ends, ends + MIN_CHARS)
-    for i in np.flatnonzero(last < len(ends)).tolist():
-        a, b = int(ends[i]), int(ends[last[i]])
-        if b - a < CHARS_PER_TOKEN * (last[i] - i) and free(a, b):
-            marked.append((a, b))
+    i = np.flatnonzero(last < len(ends))
+    a, b = ends[i], ends[last[i]]
+    dense = b - a < CHARS_PER_TOKEN * (last[i] - i)
+    marked += zip(a[dense].tolist(), b[dense].tolist(), strict=True)
     merged: list[list[int]] = []
     for a, b in sorted(marked):
         if merged and a < merged[-1][1]:
             merged[-1][1] = max(merged[-1][1], b)
         else:
             merged.append([a, b])
+    word = lambda p: 4 <= p[1] - p[0] < MIN_CHARS and _WORD.fullmatch(s[p[0] : p[1]]) and not _incompressible(s[p[0] : p[1]], encoding)
+    rest = lambda p: not word(p) and (p[1] - p[0] < 4 or _incompressible(s[p[0] : p[1]], encoding))
     out: list[tuple[int, int]] = []
     for a, b in merged:  # whole parts, without the words at both ends
-        own = [p for p in pieces if p[0] < b and p[1] > a and free(*p)]
-        word = lambda p: 4 <= p[1] - p[0] < MIN_CHARS and _WORD.fullmatch(s[p[0] : p[1]]) and not _incompressible(s[p[0] : p[1]], encoding)
-        while own and word(own[0]):
-            own.pop(0)
-        while own and word(own[-1]):
-            own.pop()
-        if own and own[-1][1] - own[0][0] >= MIN_CHARS and not _plain(s[own[0][0] : own[-1][1]], encoding):
-            first, final = pieces.index(own[0]), pieces.index(own[-1])
-            rest = lambda p: free(*p) and not word(p) and (p[1] - p[0] < 4 or _incompressible(s[p[0] : p[1]], encoding))
-            while first and (rest(pieces[first - 1]) or s[pieces[first][0] - 1] == "+" and free(*pieces[first - 1])):
+        first, final = bisect_right(stops, a), bisect_left(starts, b) - 1
+        while first <= final and word(pieces[first]):
+            first += 1
+        while first <= final and word(pieces[final]):
+            final -= 1
+        if first <= final and stops[final] - starts[first] >= MIN_CHARS and not _plain(s[starts[first] : stops[final]], encoding):
+            while first and (rest(pieces[first - 1]) or s[starts[first] - 1] == "+"):
                 first -= 1
-            while final + 1 < len(pieces) and (rest(pieces[final + 1]) or s[pieces[final][1]] == "+" and free(*pieces[final + 1])):
+            while final + 1 < len(pieces) and (rest(pieces[final + 1]) or s[stops[final]] == "+"):
                 final += 1
-            start, end = pieces[first][0], pieces[final][1]
+            start, end = starts[first], stops[final]
             while end < len(s) and s[end] == "=":
                 end += 1
             if out and start < out[-1][1]:
@@ -131,17 +131,34 @@ def _hidden(s: str, encoding) -> list[tuple[int, int]]:
     return out
 
 
+def _unknown(s: str) -> Iterator[tuple[int, int]]:
+    """What a run holds besides digests and UUIDs, without the separators next to these."""
+    fixed = sorted([m.span() for m in _UUID.finditer(s)] + [m.span() for m in _PIECE.finditer(s) if known(m[0])])
+    at = 0
+    for a, b in [*fixed, (len(s), len(s))]:
+        start, end = at, a
+        while at and start < end and s[start] in "/_+=-":
+            start += 1
+        while a < len(s) and end > start and s[end - 1] in "/_+=-":
+            end -= 1
+        if end - start >= MIN_CHARS:
+            yield start, end
+        at = b
+
+
 def random_spans(text: str, vocabulary: str) -> list[tuple[int, int]]:
     """Runs of key characters, or what is hidden in them, that the vocabulary compresses badly."""
     out = []
+    encoding = _encoding(vocabulary)
     for m in _RUN.finditer(text):
-        s = m[0]
-        if known(s) or _plain(s, _encoding(vocabulary)):
-            continue
-        if _incompressible(s, _encoding(vocabulary)):
-            out.append(m.span())
-        else:
-            out += [(m.start() + a, m.start() + b) for a, b in _hidden(s, _encoding(vocabulary))]
+        for a, b in _unknown(m[0]):
+            s, at = m[0][a:b], m.start() + a
+            if _plain(s, encoding):
+                continue
+            if _incompressible(s, encoding):
+                out.append((at, at + len(s)))
+            else:
+                out += [(at + x, at + y) for x, y in _hidden(s, encoding)]
     return out
 
 
