@@ -56,7 +56,7 @@ CARD = rf"(?<![{_L}\d])\d(?:[ -]?\d){{12,18}}(?![{_L}\d])"
 NAME = rf"(?<!{_L})(?:{'|'.join(MALE + FEMALE + NEUTRAL)})\.? \p{{Lu}}\p{{Ll}}+(?:[ -]\p{{Lu}}\p{{Ll}}+){{0,2}}(?!{_L})"
 ENTITY = "|".join(f"(?:{p})" for p in (EMAIL, IBAN, IPV6, PHONE, IPV4, SSN, CARD, NAME))
 #: What any entity must have: a look that is cheap enough for every text.
-_HINT = rf"[@0-9]|(?:{'|'.join(MALE + FEMALE + NEUTRAL)})\.? \p{{Lu}}"
+_HINT = rf"[@0-9]|[A-Fa-f]:[A-Fa-f:]|(?:{'|'.join(MALE + FEMALE + NEUTRAL)})\.? \p{{Lu}}"
 
 #: Telephone country codes of two digits; 1 and 7 have one, all others three.
 TWO_DIGIT_CODES = "20 27 30 31 32 33 34 36 39 40 41 43 44 45 46 47 48 49 51 52 53 54 55 56 57 58 60 61 62 63 64 65 66 81 82 84 86 90 91 92 93 94 95 98".split()
@@ -84,7 +84,7 @@ def _mod97(text: str) -> str:
 
 def _draw(key: str) -> str:
     """SQL: 256 hexadecimal digits of the keyed hash of kind, value and draw."""
-    return "concat(" + ",".join(f"sha2(concat_ws('\\u0001', '{key}', kind, value, cast(draw as string), '{part}'), 256)" for part in "abcd") + ")"
+    return "concat(" + ",".join(f"sha2(concat_ws('\\u0001', {_quoted(key)}, kind, value, cast(draw as string), '{part}'), 256)" for part in "abcd") + ")"
 
 
 def _number(i: str) -> str:
@@ -179,10 +179,12 @@ def with_parts(docs: DataFrame) -> DataFrame:
     # names found are looked for in the texts between entities, too
     made = made.withColumn("names", F.expr("array_distinct(transform(filter(parts, p -> p.kind like 'given%' or p.kind like 'family%'), p -> named_struct('value', p.value, 'kind', p.kind)))"))
     made = made.withColumn("bare", F.expr(r"if(size(names) > 0, concat('(?<!\\p{L})(?:', array_join(array_distinct(names.value), '|'), ')(?!\\p{L})'), null)"))
-    rest = f"cast(array(named_struct('kind', null, 'value', element_at(split(p.value, bare, -1), k), 'shape', null)) as {_KINDS})"
-    name = "element_at(regexp_extract_all(p.value, bare, 0), k - 1)"
+    rest = f"cast(array(named_struct('kind', null, 'value', element_at(s.gaps, k), 'shape', null)) as {_KINDS})"
+    name = "element_at(s.found, k - 1)"
     named = f"cast(array(named_struct('kind', element_at(filter(names, n -> n.value = {name}), 1).kind, 'value', {name}, 'shape', null)) as {_KINDS})"
-    split = f"flatten(transform(sequence(1, size(split(p.value, bare, -1))), k -> if(k = 1, {rest}, concat({named}, {rest}))))"
+    # an array of one holds what is cut once for all places
+    cut = "array(named_struct('gaps', split(p.value, bare, -1), 'found', regexp_extract_all(p.value, bare, 0)))"
+    split = f"flatten(flatten(transform({cut}, s -> transform(sequence(1, size(s.gaps)), k -> if(k = 1, {rest}, concat({named}, {rest}))))))"
     return made.select("doc_id", "text", F.expr(f"if(bare is null, parts, flatten(transform(parts, p -> if(p.kind is null and p.value rlike bare, {split}, array(p)))))").alias("parts"))
 
 
@@ -226,8 +228,9 @@ def replace_entities(docs: DataFrame, key: str) -> DataFrame:
     tokens = some.select("doc_id", "h", F.posexplode("parts").alias("at", "part")).where("part.kind is not null").select("doc_id", "h", "at", "part.*")
     known = distinct_surrogates(tokens.select("kind", "value"), key)
     put = tokens.withColumn("group", _group()).join(known, ["group", "value"]).select("doc_id", "h", "at", F.expr(f"if(shape is null, surrogate, {in_shape('surrogate', 'shape')})").alias("new"))
-    put = put.groupBy("doc_id", "h").agg(F.map_from_entries(F.collect_set(F.struct("at", "new"))).alias("new")).select(F.col("doc_id").alias("d"), F.col("h").alias("g"), "new")
+    put = put.groupBy("doc_id", "h").agg(F.collect_set(F.struct("at", "new")).alias("new")).select(F.col("doc_id").alias("d"), F.col("h").alias("g"), "new")
     joined = some.join(put, F.col("doc_id").eqNullSafe(F.col("d")) & (F.col("h") == F.col("g")), "left")
-    text = F.expr("array_join(transform(parts, (p, i) -> coalesce(new[i], p.value)), '')")
+    stays = "filter(transform(parts, (p, i) -> named_struct('at', i, 'new', if(p.kind is null, p.value, null))), x -> x.new is not null)"
+    text = F.expr(f"array_join(sort_array(if(new is null, {stays}, concat({stays}, new))).new, '')")
     changed = joined.select("doc_id", text.alias("text"), F.coalesce(F.expr("cardinality(new)"), F.lit(0)).cast("bigint").alias("n_entities"))
     return changed.unionByName(docs.where(~has).withColumn("n_entities", F.lit(0).cast("bigint")))

@@ -189,7 +189,26 @@ def test_secrets_after_words_of_one_run():
             assert sum(map(bool, found)) >= least, (letters, n, start)
             assert whole >= least - 3, (letters, n, start, whole)  # an end that looks like a word after / stays
     tame = ["/documents/projects/archive/2024/01/02/reports/annual/summary", "/objects/123e4567-e89b-12d3-a456-426614174000/versions/latest", "/blobs/d41d8cd98f00b204e9800998ecf8427e/download/original", "2024-01-02-2024-03-04-2025-06-07", "--------------------------------", "internationalization_of_things_2024_and_later"]
+    tame += ["request_id=550e8400-e29b-41d4-a716-446655440000", "user-550e8400-e29b-41d4-a716-446655440000_6ba7b810-9dad-11d1-80b4-00c04fd430c8", "/commit/DA39A3EE5E6B4B0D3255BFEF95601890AFD80709"]
     assert [secrets.random_spans(t, vocabulary) for t in tame] == [[]] * len(tame)
+    uuid, k = "550e8400-e29b-41d4-a716-446655440000", "q7XzR9kLw2Vb8TnYp4Jd0Gs6"
+    assert secrets.random_spans(f"{uuid}_{k}-{uuid}", vocabulary) == [(37, 61)]
+
+
+def test_secrets_in_very_long_runs():
+    import random
+    import string
+    import time
+
+    r = random.Random(31)
+    v = secrets.default_vocabulary()
+    word = "documents projects archive reports annual summary table index volume chapter".split()
+    parts = [p for _ in range(8000) for p in (*r.sample(word, 6), "".join(r.choice(string.ascii_letters + string.digits) for _ in range(24)))]
+    text = "/".join(parts)
+    began = time.perf_counter()
+    found = secrets.random_spans(text, v)
+    assert time.perf_counter() - began < 15  # 48 s where each key is compared with each part
+    assert len(found) >= 7800 and all(20 <= b - a < 60 for a, b in found)
 
 
 def test_ratio_is_calibrated(rows):
@@ -358,6 +377,23 @@ def test_pii_is_coreferent_in_other_wordings(spark):
     assert got[6] == "Smith alone" and got[7] == "+1" + re.sub(r"\D", "", got[5])
 
 
+def test_pii_of_a_long_text_and_keys_with_quotes(spark):
+    import time
+
+    many = 6000
+    text = "Mr John Smith wrote. " + "then Smith said yes and " * many + "".join(f"mail a{i}@q.com " for i in range(many)) + "card 4111111111111112"
+    d = spark.createDataFrame([(1, text), (None, text), (None, text), (2, "call dead:beef::cafe"), (3, "4111111111111112")], "doc_id bigint, text string")
+    began = time.perf_counter()
+    got = pii.replace_entities(d, "it's a \\ key").collect()
+    assert time.perf_counter() - began < 60
+    long = [r for r in got if r.doc_id in (1, None)]
+    assert len(long) == 3 and len({r.text for r in long}) == 1 and long[0].n_entities == 2 + many + 2 * many
+    family = long[0].text.split()[2]
+    assert "Smith" not in long[0].text and long[0].text.count(f"then {family} said") == many and long[0].text.endswith("card 4111111111111112")
+    rest = {r.doc_id: (r.text, r.n_entities) for r in got if r.doc_id in (2, 3)}
+    assert rest[3] == ("4111111111111112", 0) and rest[2][1] == 1 and "cafe" not in rest[2][0]
+
+
 def _iban_ok(v):
     v = v.replace(" ", "")
     return int("".join(str(int(c, 36)) for c in v[4:] + v[:4])) % 97 == 1
