@@ -125,12 +125,12 @@ class ChunkEncoder:
                 continue
             i, j, made = self._joined(text, a, ids, low, high, own, [x + a for x in s], [x + a for x in e], b == len(text))
             self.joins_repaired += made[0] != ids[i:] + own[:j]
-            ids, low, high = ids[:i] + made[0] + own[j:], low[:i] + made[1] + [x + a for x in s[j:]], high[:i] + made[2] + [x + a for x in e[j:]]
+            ids[i:], low[i:], high[i:] = made[0] + own[j:], made[1] + [x + a for x in s[j:]], made[2] + [x + a for x in e[j:]]
         return np.array(ids, "<u4").tobytes()
 
     def _joined(self, text: str, at: int, ids: list, low: list, high: list, own: list, s: list, e: list, last: bool) -> tuple[int, int, tuple]:
         """How many tokens stay before the join, how many go behind it, and the tokens in between."""
-        width, before = JOIN_CHARS, None
+        width, before, last_i = JOIN_CHARS, None, 0
         while True:
             i = len(ids)
             while i and (i == len(ids) or low[i] > at - width or high[i - 1] > low[i]):
@@ -143,12 +143,10 @@ class ChunkEncoder:
             made, a, b = self._tokens(text[begin:end])
             a, b = [x + begin for x in a], [x + begin for x in b]
             agrees = bool(made) and (not i or made[0] == ids[i] and b[0] == high[i]) and (j == len(own) or made[-1] == own[j - 1] and a[-1] == s[j - 1])
-            now = ids[:i] + made + own[j:]
-            if agrees and (now == before or not i and j == len(own)):
+            now = made + own[j:]  # of the ids from i on
+            if not i and j == len(own) or agrees and before is not None and now == ids[i:last_i] + before:
                 return i, j, (made, a, b)
-            if not i and j == len(own):
-                return i, j, (made, a, b)
-            before = now if agrees else None
+            before, last_i = now if agrees else None, i
             width *= 2
 
     def encode(self, texts: list[str]) -> list[bytes]:
