@@ -183,14 +183,15 @@ def _verify(threshold: float, tolerance: float):
     needed = least_matches(threshold, tolerance)
     family = _hash_family(STEP * STEPS, 88)
 
-    def task(p: int, q: int, rows: list[tuple]) -> tuple[list, list, list]:
+    def task(p: int, q: int, rows: Iterator[tuple]) -> tuple[list, list, list]:
         """rows: (text's key, block, set) of the blocks p and q; each text's links here and the root of its tree.
 
         Blocks are drawn by hash, so one may be empty: what is left of a pair of blocks is then one block, whose pairs are task (p, p)'s.
         """
         seen: dict = {}
         for k1, k2, block, data in rows:
-            seen.setdefault((k1, k2), (block, np.frombuffer(data, np.uint64)))
+            if (k1, k2) not in seen:  # repeated rows of the table give the same set again
+                seen[k1, k2] = (block, np.frombuffer(data, np.uint64))
         ids = sorted(seen)
         sides = np.array([seen[x][0] for x in ids])
         if p != q and sides.min() == sides.max():
@@ -218,7 +219,7 @@ def _verify(threshold: float, tolerance: float):
 
         out: list[list] = [[], [], [], []]
         for key, rows in groupby(stream(), key=lambda r: r[:4]):
-            ids, degree, root = task(key[1], key[2], [r[4:] for r in rows])
+            ids, degree, root = task(key[1], key[2], (r[4:] for r in rows))
             for column, values in zip(out, (ids, degree, root, [key[3] > 1] * len(ids)), strict=True):
                 column += values
             if len(out[0]) >= 5000:
@@ -231,10 +232,16 @@ def _verify(threshold: float, tolerance: float):
 
 
 def _sets(docs: DataFrame) -> DataFrame:
-    """label, p, q, nb, text's key, block and the sorted shingle set, from (k1, k2, text, label, nb, block)."""
+    """label, p, q, nb, text's key, block and the sorted shingle set, from (k1, k2, text, label, nb, block); repeated rows of one task go once."""
 
     def build(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        seen: set[tuple[int, int]] = set()
         for b in batches:
+            new = []
+            for key in zip(b.column(0).to_pylist(), b.column(1).to_pylist(), strict=True):
+                new.append(key not in seen)
+                seen.add(key)
+            b = b if all(new) else b.filter(pa.array(new))
             raw, offsets = tb.arrow_bytes(b.column(2))
             sets = []
             for _, _, shingles, cut, words in shingle_sets(raw, offsets):
