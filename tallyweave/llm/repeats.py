@@ -196,11 +196,16 @@ def _settle(match: int):
     """Removed spans (shard null) and runs that go on (shard: their anchor), from sorted runs; one row is remembered."""
 
     def settle(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        shard0 = mark0 = None  # of the row before; first: document and place of the earliest run of that content
+        shard0 = mark0 = before = None  # of the row before; first: document and place of the earliest run of that content
         first = (0, 0, 0)
         waiting = False  # that run is its anchor's only content so far and has not been passed on
         for b in batches:
-            shard, mark, doc, row, place = (c.to_numpy() for c in b.columns)
+            rows = np.stack([c.to_numpy() for c in b.columns])
+            if not rows.size:
+                continue
+            new = np.append(before is None or (rows[:, 0] != before).any(), (rows[:, 1:] != rows[:, :-1]).any(0))
+            before = rows[:, -1]
+            shard, mark, doc, row, place = rows[:, new]  # repeated rows of the table give the same rows: one is enough
             out = place < 0
             removed = [(doc[out], row[out], -1 - place[out], mark[out])]
             wanted = []
@@ -424,11 +429,15 @@ def shard_groups(strings: list[bytes], shard: np.ndarray, mark: np.ndarray, matc
 
 
 def _search(shard_bytes: int, look, columns: str):
-    """Shards of about ``shard_bytes``, cut between anchors, each given to ``look``(pieces, key, doc, row, start)."""
+    """Shards of about ``shard_bytes``, cut between anchors, each given to ``look``(pieces, key, doc, row, start).
+
+    Rows come sorted; repeated rows of the table give equal ones, of which one is enough.
+    """
 
     def search(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         held: list[tuple] = []
         size = 0
+        before = None
 
         def emit() -> pa.RecordBatch:
             key, _, doc, row, start, pieces = zip(*held, strict=True)
@@ -436,6 +445,9 @@ def _search(shard_bytes: int, look, columns: str):
 
         for b in batches:
             for r in zip(*(c.to_pylist() for c in b.columns), strict=True):
+                if r[:5] == before:
+                    continue
+                before = r[:5]
                 if size >= shard_bytes and r[0] != held[-1][0]:
                     yield emit()
                     held, size = [], 0
@@ -469,11 +481,11 @@ def repeated_spans(docs: DataFrame, texts: DataFrame, match: int = MATCH_BYTES,
     settled = stored(runs.mapInArrow(_settle(match), _SPAN))
     wanted, any_hot = _hot(settled.where("shard is not null").withColumns({f"as_{a}": F.col(b) for a, b in (("doc", "doc_id"), ("row", "row"), ("start", "start"))}), hot_runs)
     span = ["doc_id", "row", "start", "size"]
-    dealt = _pieces(wanted.where("not hot"), texts, match).repartition(n, "key").sortWithinPartitions("key")
+    dealt = _pieces(wanted.where("not hot"), texts, match).repartition(n, "key").sortWithinPartitions("key", "key2", "doc_id", "row", "start")
     look = lambda pieces, key, doc, row, start: shard_spans(pieces, doc, row, start, match)
     found = settled.where("shard is null").select(span).unionByName(dealt.mapInArrow(_search(shard_bytes, look, "doc_id bigint, row bigint, start bigint, size bigint"), "doc_id bigint, row bigint, start bigint, size bigint"))
     if any_hot:
-        window = _pieces(wanted.where("hot"), texts, match).select("key", "key2", F.struct("doc_id", "row", "start").alias("place"))
+        window = _pieces(wanted.where("hot"), texts, match).select("key", "key2", F.struct("doc_id", "row", "start").alias("place")).distinct()
         earliest = window.groupBy("key", "key2").agg(F.min("place").alias("earliest"))
         found = found.unionByName(window.join(earliest, ["key", "key2"]).where("place > earliest").select("place.*", F.lit(match).cast("bigint").alias("size")))
     return found
@@ -496,7 +508,7 @@ def repeat_groups(docs: DataFrame, match: int = MATCH_BYTES, hot_runs: int = HOT
     met = contents.join(kinds, "shard")
     wanted = met.where("kinds > 1").select("shard", "first.doc_id", "first.row", F.shiftright("first.place", 16).alias("start"), size.alias("size"), F.col("shard").alias("as_doc"), F.col("mark").alias("as_row"), F.lit(0).cast("bigint").alias("as_start"))
     wanted, any_hot = _hot(wanted, hot_runs)
-    dealt = _pieces(wanted.where("not hot"), texts, match).repartition(n, "key").sortWithinPartitions("key")
+    dealt = _pieces(wanted.where("not hot"), texts, match).repartition(n, "key").sortWithinPartitions("key", "key2", "doc_id", "row", "start")
     look = lambda pieces, key, shard, mark, start: shard_groups(pieces, shard, mark, match)
     found = dealt.mapInArrow(_search(shard_bytes, look, _GROUP), _GROUP)
     found = found.unionByName(met.where("kinds = 1 and n > 1").select(F.col("mark").alias("group"), size.cast("bigint").alias("size"), "shard", "mark", F.lit(0).cast("bigint").alias("at")))

@@ -90,6 +90,29 @@ def test_rows_without_or_with_one_doc_id(spark, hot):
     assert sorted(again, key=repr) == sorted(2 * [(a, c) for a, _, c, _ in got], key=repr)
 
 
+def test_rows_that_repeat_many_times_are_settled_once():
+    runs = [(1, 5, 7, 9, 3 << 16 | 4), (1, 5, 8, 9, 3 << 16 | 4), (1, 6, 8, 9, 200 << 16 | 4), (2, 5, 7, 9, 9 << 16 | 1), (3, 90, 8, 9, -1 - 40)]
+    names = ["shard", "mark", "doc_id", "row", "place"]
+    batch = lambda rows: pa.RecordBatch.from_arrays([pa.array(x, pa.int64()) for x in zip(*rows, strict=True)], names)
+    once = [r for b in repeats._settle(100)(iter([batch(runs)])) for r in b.to_pylist()]
+    assert [tuple(r.values()) for r in once] == [(None, 8, 9, 40, 90), (None, 8, 9, 3, 103), (1, 7, 9, 3, 103), (1, 8, 9, 200, 103)]
+    many = [r for r in runs for _ in range(500)]
+    again = [r for b in repeats._settle(100)(batch(many[k : k + 300]) for k in range(0, len(many), 300)) for r in b.to_pylist()]
+    assert sorted(map(repr, again)) == sorted(map(repr, once))
+
+
+def test_rows_that_repeat_many_times_are_compared_once(spark):
+    r = random.Random(17)
+    words_ = [f"w{r.randrange(10**6)}" for _ in range(100)]
+    rows = [(None, " ".join(words_))] * 300 + [(None, " ".join([*words_[:99], "end"]))] * 300 + [(4, " ".join(words_))] * 50
+    d = spark.createDataFrame(rows, "doc_id bigint, text string")
+    sets = jaccard._sets(d.selectExpr("xxhash64(text) AS k1", "xxhash64(text, 1) AS k2", "text", "1L AS label", "2 AS nb", "0 AS block").coalesce(1))
+    assert sets.count() == 4  # two texts in two pairs of blocks
+    got = {(x.doc_id, x.copy_id, x.class_id, x.n_links) for x in jaccard.near_duplicates(d).collect()}
+    assert got == {(None, 4, 4, 1), (None, None, 4, 1), (4, 4, 4, 1)}
+    assert [x.doc_id for x in jaccard.keep_one_of_each(d).collect()] == [4]
+
+
 @pytest.mark.parametrize("hot", [20_000, 2])
 def test_repeat_groups_have_all_occurrences(spark, patchwork, hot):
     docs = [*patchwork, *((1000 + i, t) for i, t in patchwork[:30])]

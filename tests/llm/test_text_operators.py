@@ -118,6 +118,21 @@ def test_chunks_of_vocabularies_whose_joins_fail(rows, name, chunk):
     assert e.joins_repaired > 100
 
 
+def test_joins_of_a_long_text_take_time_in_proportion(rows):
+    import time
+
+    import public_tokenizers
+    from tokenizers import Tokenizer
+
+    name = public_tokenizers.path("byte_bpe_50k.json")
+    text = " ".join(t for _, t in rows)[:600_000]
+    raw, offsets = tb.arrow_bytes(pa.array([text]))
+    began = time.perf_counter()
+    (ids, _), = bpe.ChunkEncoder(name).encode_block(raw, offsets)
+    assert time.perf_counter() - began < 10  # 20 s and more where all ids are copied at each join
+    assert np.frombuffer(ids, "<u4").tolist() == Tokenizer.from_file(name).encode(text, add_special_tokens=False).ids
+
+
 def test_vocabularies_are_probed(monkeypatch):
     import public_tokenizers
 
