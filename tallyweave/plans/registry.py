@@ -751,16 +751,12 @@ def needs_review_router(spark, sf_dir):
     return findings.candidates(made).select(F.col("vars")[0].alias("a"), F.col("vars")[1].alias("b"), "route")
 
 
-#: Those of count_tests, as its SQL has them.
-_COUNT_COLS = (["qty", "price", "planted"], ["flag", "status"])
-
-
-def _all(spark, sf_dir, imputed=True, cols=_SWEEP_COLS):
+def _all(spark, sf_dir, imputed=True):
     """The sweep of five numeric and three categorical columns, and that of its filled copy."""
-    d = kept(_mixed(spark, sf_dir).select(*cols[0], *cols[1]), "mixed")
-    stats = catalog.numeric_stats(d, {c: column(c) for c in cols[0]})
-    run = lambda x: findings.with_q(results.as_frame(spark, report.sweep(x, *cols, stats, x.count(), charts=False)))
-    return run(d), run(modelling.imputed(d, *cols)) if imputed else None
+    d = kept(_mixed(spark, sf_dir).select(*_SWEEP_COLS[0], *_SWEEP_COLS[1]), "mixed")
+    stats = catalog.numeric_stats(d, {c: column(c) for c in _SWEEP_COLS[0]})
+    run = lambda x: findings.with_q(results.as_frame(spark, report.sweep(x, *_SWEEP_COLS, stats, x.count(), charts=False)))
+    return run(d), run(modelling.imputed(d, *_SWEEP_COLS)) if imputed else None
 
 
 @query()
@@ -769,9 +765,9 @@ def sweep_all(spark, sf_dir):
     return _all(spark, sf_dir, False)[0]
 
 
-@query(f"WITH {M} SELECT * FROM (VALUES ('correlation', 3::BIGINT), ('group_difference', 6::BIGINT), ('contingency', 1::BIGINT), ('regression_model', 3::BIGINT)) v(family, n_tests) UNION ALL SELECT 'regression_coefficient', 3 * (2 + count(DISTINCT flag) - 1 + count(DISTINCT status) - 1) FROM m")
+@query(f"WITH {M} SELECT * FROM (VALUES ('correlation', 10::BIGINT), ('group_difference', 15::BIGINT), ('contingency', 3::BIGINT), ('regression_model', 5::BIGINT)) v(family, n_tests) UNION ALL SELECT 'regression_coefficient', 5 * (4 + count(DISTINCT flag) - 1 + count(DISTINCT status) - 1 + count(DISTINCT echo) - 1) FROM m")
 def count_tests(spark, sf_dir):
-    return findings.count_tests(_all(spark, sf_dir, False, _COUNT_COLS)[0])
+    return findings.count_tests(_all(spark, sf_dir, False)[0])
 
 
 @query()
