@@ -31,6 +31,9 @@ no rows. Columns other than doc_id and text are not read.
 
 from __future__ import annotations
 
+from functools import reduce
+from operator import or_
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -55,8 +58,10 @@ IPV6 = rf"(?<![\p{{L}}\p{{N}}:.])(?:{_HEX}(?::{_HEX}){{7}}|(?:{_HEX}:){{2,6}}(?:
 CARD = rf"(?<![{_L}\d])\d(?:[ -]?\d){{12,18}}(?![{_L}\d])"
 NAME = rf"(?<!{_L})(?:{'|'.join(MALE + FEMALE + NEUTRAL)})\.? \p{{Lu}}\p{{Ll}}+(?:[ -]\p{{Lu}}\p{{Ll}}+){{0,2}}(?!{_L})"
 ENTITY = "|".join(f"(?:{p})" for p in (EMAIL, IBAN, IPV6, PHONE, IPV4, SSN, CARD, NAME))
-#: What any entity must have: a look that is cheap enough for every text.
-_HINT = rf"[@0-9]|[A-Fa-f]:[A-Fa-f:]|(?:{'|'.join(MALE + FEMALE + NEUTRAL)})\.? \p{{Lu}}"
+#: What any entity must have, an honorific or a sign: looks that are cheap enough for every text.
+_SIGN = r"[@0-9]|[A-Fa-f]:[A-Fa-f:]"
+_TITLES = [t for t in MALE + FEMALE + NEUTRAL if not any(t != o and o in t for o in MALE + FEMALE + NEUTRAL)]
+_TITLED = rf"(?:{'|'.join(MALE + FEMALE + NEUTRAL)})\.? \p{{Lu}}"
 
 #: Telephone country codes of two digits; 1 and 7 have one, all others three.
 TWO_DIGIT_CODES = "20 27 30 31 32 33 34 36 39 40 41 43 44 45 46 47 48 49 51 52 53 54 55 56 57 58 60 61 62 63 64 65 66 81 82 84 86 90 91 92 93 94 95 98".split()
@@ -223,7 +228,8 @@ def replace_entities(docs: DataFrame, key: str) -> DataFrame:
     if not key:
         raise ValueError("surrogates need a key")
     docs = docs.select("doc_id", "text")
-    has = F.coalesce(F.when(F.col("text").rlike(_HINT), F.col("text").rlike(ENTITY)), F.lit(False))
+    titled = reduce(or_, (F.col("text").contains(t) for t in _TITLES)) & F.col("text").rlike(_TITLED)
+    has = F.coalesce(F.when(F.col("text").rlike(_SIGN) | titled, F.col("text").rlike(ENTITY)), F.lit(False))
     some = stored(with_parts(docs.where(has)).select("doc_id", F.xxhash64("text", F.length("text")).alias("h"), "parts"))
     tokens = some.select("doc_id", "h", F.posexplode("parts").alias("at", "part")).where("part.kind is not null").select("doc_id", "h", "at", "part.*")
     known = distinct_surrogates(tokens.select("kind", "value"), key)
