@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+from .audit import ORACLE_SQL as AUDIT
 from .quality import ORACLE_SQL as QUALITY
 from .warc import BASE32
 
@@ -42,4 +43,17 @@ SELECT doc_id, coalesce(rep, doc_id) AS copy_id, coalesce(class_id, doc_id) AS c
 FROM c LEFT JOIN class ON class.a = rep LEFT JOIN links ON links.a = rep
 """
 
-SQL = {"op4_quality_rules": QUALITY, "op6_decontamination": CONTAMINATION, "op8_ngram_jaccard_join": NEAR_DUPLICATES, "op9_warc": ARCHIVE}
+SEARCH = rf"""
+WITH d AS (SELECT row_number() OVER () AS rid, doc_id, {_WORDS} AS w FROM documents),
+g AS (SELECT count(*) AS n_docs, sum(len(w))::BIGINT AS n_terms FROM d WHERE len(w) > 0),
+tf AS (SELECT rid, t, count(*) AS tf FROM (SELECT rid, unnest(w) AS t FROM d) GROUP BY ALL),
+df AS (SELECT t, floor(1000 * ln((2 * n_docs + 2)::DOUBLE / (2 * count(*) + 1)::DOUBLE))::BIGINT AS weight FROM tf, g GROUP BY t, n_docs),
+i AS (SELECT row_number() OVER () AS iid, item_id, {_WORDS} AS w FROM benchmark),
+q AS (SELECT iid, item_id, t, count(*) AS q FROM (SELECT iid, item_id, unnest(w) AS t FROM i) GROUP BY ALL),
+m AS (SELECT rid, doc_id, 75 + (25 * len(w) * n_docs) // n_terms AS m FROM d, g WHERE len(w) > 0),
+s AS (SELECT iid, item_id, rid, doc_id, sum(q * weight * ((1000000000 * tf) // (1000 * tf + 12 * m)))::BIGINT AS score FROM q JOIN df USING (t) JOIN tf USING (t) JOIN m USING (rid) GROUP BY ALL),
+r AS (SELECT *, row_number() OVER (PARTITION BY iid ORDER BY score DESC, doc_id NULLS LAST) AS rank FROM s WHERE score > 0)
+SELECT item_id, rank::INT AS rank, doc_id, score FROM r WHERE rank <= 20
+"""
+
+SQL = {"op4_quality_rules": QUALITY, "op6_decontamination": CONTAMINATION, "op8_ngram_jaccard_join": NEAR_DUPLICATES, "op9_warc": ARCHIVE, "op11_vbm_wand": SEARCH, "op12_filter_audit": AUDIT}

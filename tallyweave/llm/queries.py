@@ -1,8 +1,8 @@
-"""The queries op1 to op10 over whole tables, and SQL for those that SQL can express."""
+"""The queries op1 to op13 over whole tables, and SQL for those that SQL can express."""
 
 from __future__ import annotations
 
-from . import bpe, decontam, jaccard, langid, oracle, pii, quality, repeats, secrets, toxicity, warc
+from . import audit, bpe, decontam, jaccard, langid, oracle, passages, pii, quality, repeats, search, secrets, toxicity, warc
 from .util import held_out, table
 
 
@@ -56,8 +56,23 @@ def op10_toxicity(spark, sf_dir):
     return toxicity.score(docs, model).select("doc_id", out.alias("held_out"), "score", "predicted")
 
 
+def op11_vbm_wand(spark, sf_dir):
+    return search.search(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
+
+
+def op12_filter_audit(spark, sf_dir):
+    return audit.audit(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
+
+
+def op13_attention_quality(spark, sf_dir):
+    docs = table(spark, sf_dir, "documents")
+    out = held_out(3, 1)
+    model = passages.learn(docs.select("doc_id", "text"), table(spark, sf_dir, "labels"), ~out)
+    return passages.score(docs, model).select("doc_id", out.alias("held_out"), "score", "predicted")
+
+
 def queries() -> dict:
-    return {"op1_language_id": op1_language_id, "op2_bpe": op2_bpe, "op3_secrets": op3_secrets, "op4_quality_rules": op4_quality_rules, "op5_pii_surrogates": op5_pii_surrogates, "op6_decontamination": op6_decontamination, "op7_suffix_array_dedup": op7_suffix_array_dedup, "op8_ngram_jaccard_join": op8_ngram_jaccard_join, "op9_warc": op9_warc, "op10_toxicity": op10_toxicity}
+    return {"op1_language_id": op1_language_id, "op2_bpe": op2_bpe, "op3_secrets": op3_secrets, "op4_quality_rules": op4_quality_rules, "op5_pii_surrogates": op5_pii_surrogates, "op6_decontamination": op6_decontamination, "op7_suffix_array_dedup": op7_suffix_array_dedup, "op8_ngram_jaccard_join": op8_ngram_jaccard_join, "op9_warc": op9_warc, "op10_toxicity": op10_toxicity, "op11_vbm_wand": op11_vbm_wand, "op12_filter_audit": op12_filter_audit, "op13_attention_quality": op13_attention_quality}
 
 
 def oracle_sql() -> dict:
