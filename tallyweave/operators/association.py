@@ -10,12 +10,14 @@ from __future__ import annotations
 import math
 from itertools import combinations
 
+import numpy as np
 import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from tallyweave.functions import special
 from tallyweave.functions.text import column
+from tallyweave.operators import matrix
 from tallyweave.operators.quality import welch
 from tallyweave.operators.quantiles import IN_MEMORY_ROWS
 from tallyweave.operators.results import assumption, result, signed
@@ -46,31 +48,22 @@ def _correlation(got: dict, key: tuple) -> float | None:
 
 
 def pair_moments(df: DataFrame, numeric: list[str]) -> dict[tuple[str, str], dict]:
-    """n, r and ranges of every numeric pair, each over the rows that have both.
+    """n, r and ranges of every numeric pair, each over the rows that have both, from one scan.
 
-    Columns are centred and scaled, so that plain sums of products serve: one for a pair without gaps, a few more for others.
+    r is None without spread and NaN where a value is infinite or sums overflow.
     """
-    x = {c: column(c).cast("double") for c in numeric}
-    own = total(df, {("", "n"): F.count(F.lit(1))} | {(c, k): f(v) for c, v in x.items() for k, f in (("n", F.count), ("mean", F.avg), ("sd", F.stddev_pop), ("0", F.min), ("1", F.max))})
-    z = {c: (v - float(own[c, "mean"] or 0.0)) / float(own[c, "sd"] or 1.0) for c, v in x.items()}
-    whole = {c for c in numeric if own[c, "n"] == own["", "n"]}
-    wanted: dict = {}
-    for a, b in combinations(numeric, 2):
-        if a in whole and b in whole:
-            wanted[a, b, "ab"] = F.sum(z[a] * z[b])
-            continue
-        both = x[a].isNotNull() & x[b].isNotNull()
-        wanted |= _product_sums((a, b), F.when(both, z[a]), F.when(both, z[b]))
-        for name, v in (("x", x[a]), ("y", x[b])):
-            wanted |= {(a, b, f"{name}0"): F.min(F.when(both, v)), (a, b, f"{name}1"): F.max(F.when(both, v))}
-    got = total(df, wanted) if wanted else {}
+    k = len(numeric)
+    got = matrix.fold(df, [column(c) for c in numeric], matrix.Pairs()) if k > 1 else None
+    if got is None:
+        got = {v: np.zeros((k, k)) for v in ("n", "f", "m2", "co", "low", "high")}
     out: dict = {}
-    for a, b in combinations(numeric, 2):
-        if a in whole and b in whole:
-            n, spread = own["", "n"], own[a, "sd"] and own[b, "sd"]
-            out[a, b] = {"n": n, "r": got[a, b, "ab"] / n if n and spread else None} | {f"{v}{k}": own[c, k] for v, c in (("x", a), ("y", b)) for k in "01"}
-        else:
-            out[a, b] = {"n": got[a, b, "n"], "r": _correlation(got, (a, b))} | {k: got[a, b, k] for k in ("x0", "x1", "y0", "y1")}
+    for i, j in combinations(range(k), 2):
+        n = int(got["n"][i, j])
+        ends = {f"{v}{e}": float(got[side][p, q]) if n else None for v, p, q in (("x", i, j), ("y", j, i)) for e, side in ((0, "low"), (1, "high"))}
+        flat = not n or ends["x0"] == ends["x1"] or ends["y0"] == ends["y1"]
+        room = math.sqrt(got["m2"][i, j]) * math.sqrt(got["m2"][j, i]) if not flat and got["f"][i, j] == n and min(got["m2"][i, j], got["m2"][j, i]) > 0 else 0.0
+        whole = got["f"][i, j] == n and math.isfinite(room)
+        out[numeric[i], numeric[j]] = {"n": n, "r": None if flat else float(got["co"][i, j] / room) if whole and room > 0 else special.NAN} | ends
     return out
 
 
@@ -123,6 +116,11 @@ def rank_correlations(df: DataFrame, numeric: list[str]) -> dict[tuple[str, str]
     return {(numeric[i], numeric[j]): (got[i, j, "n"], _correlation(got, (i, j))) for i, j in pairs}
 
 
+def _clamped(r: float | None) -> float:
+    """A correlation within its limits; NaN where there is none."""
+    return max(-1.0, min(1.0, r)) if r is not None and math.isfinite(r) else special.NAN
+
+
 def correlations(df: DataFrame, numeric: list[str], stats: dict[str, dict]) -> list[dict]:
     """Pearson or Spearman of every numeric pair; Spearman where a profile is skewed or has extremes."""
     out = []
@@ -132,9 +130,7 @@ def correlations(df: DataFrame, numeric: list[str], stats: dict[str, dict]) -> l
     for (a, b), m in moments.items():
         if m["n"] < LEAST_ROWS or m["x0"] == m["x1"] or m["y0"] == m["y1"]:
             continue
-        r = special.NAN if m["r"] is None else max(-1.0, min(1.0, m["r"]))
-        rho = by_rank[a, b][1]
-        rho = special.NAN if rho is None else max(-1.0, min(1.0, rho))
+        r, rho = _clamped(m["r"]), _clamped(by_rank[a, b][1])
         p, q = special.pearson_p(r, m["n"]), special.pearson_p(rho, m["n"])
         ranks = uneven[a] or uneven[b]
         value = rho if ranks else r
