@@ -101,13 +101,18 @@ _NOTE = """CASE WHEN o_orderkey % 3 = 0 THEN 'say "' || o_orderstatus || '", twi
 _PRICE = "CAST(CAST(o_totalprice AS DECIMAL(18, 2)) AS STRING)"
 
 
-@query(f"SELECT o_orderkey, round(CAST({_PRICE.replace('STRING', 'VARCHAR')} AS DOUBLE), 2) AS o_totalprice, o_orderstatus, {_NOTE} AS note FROM orders")
+_CODE, _TAIL = "CAST(CAST(o_orderkey AS BIGINT) % 10 AS STRING) || CASE WHEN o_orderkey % 2 = 0 THEN 'd' ELSE 'f' END", "CASE WHEN o_orderkey % 5 = 0 THEN NULL ELSE CAST(CAST(o_orderkey AS BIGINT) % 7 AS STRING) END"
+_VARCHAR = {k: v.replace("STRING", "VARCHAR") for k, v in {"price": _PRICE, "code": _CODE, "tail": _TAIL}.items()}
+
+
+@query(f"SELECT o_orderkey, round(CAST({_VARCHAR['price']} AS DOUBLE), 2) AS o_totalprice, o_orderstatus, {_NOTE} AS note, {_VARCHAR['code']} AS code, CAST({_VARCHAR['tail']} AS BIGINT) AS tail FROM orders")
 def scan_csv_typed(spark, sf_dir):
-    """Row 1: the orders with quotes and line breaks, written as CSV in the shared folder, read again with inferred types."""
+    """Row 1: the orders with quotes and line breaks, codes that end in d or f and a last field that may be empty, written as CSV in the shared
+    folder, read again with inferred types."""
     return _csv(spark, sf_dir)[0]
 
 
-@query(f"SELECT CAST(o_orderkey AS VARCHAR) AS o_orderkey, {_PRICE.replace('STRING', 'VARCHAR')} AS o_totalprice, o_orderstatus, {_NOTE} AS note FROM orders")
+@query(f"SELECT CAST(o_orderkey AS VARCHAR) AS o_orderkey, {_VARCHAR['price']} AS o_totalprice, o_orderstatus, {_NOTE} AS note, {_VARCHAR['code']} AS code, coalesce({_VARCHAR['tail']}, '') AS tail FROM orders")
 def scan_raw(spark, sf_dir):
     """Row 2: the same file, every field as text."""
     return _csv(spark, sf_dir)[1]
@@ -118,7 +123,7 @@ def _csv(spark, sf_dir):
 
     from tallyweave.sources.frames import from_csv
 
-    orders = kept(_table(spark, sf_dir, "orders").selectExpr("o_orderkey", f"{_PRICE} AS o_totalprice", "o_orderstatus", f"{_NOTE} AS note"), "orders")
+    orders = kept(_table(spark, sf_dir, "orders").selectExpr("o_orderkey", f"{_PRICE} AS o_totalprice", "o_orderstatus", f"{_NOTE} AS note", f"{_CODE} AS code", f"{_TAIL} AS tail"), "orders")
     path = f"{orders.inputFiles()[0].rsplit('/', 1)[0]}-csv-{uuid.uuid4().hex}"
     orders.write.options(header=True, escape='"').csv(path)
     frame = from_csv(spark, path, rows=False)

@@ -10,7 +10,8 @@ from pyspark.sql import types as T
 from pyspark.sql.window import Window
 
 from tallyweave.functions.text import MISSING, as_number, column
-from tallyweave.plans.batch import kept
+from tallyweave.plans.batch import kept, total
+from tallyweave.sources import records
 
 #: The limit of a service that takes uploads (``most_bytes``); a table on a cluster has none.
 UPLOAD_LIMIT_BYTES = 25 * 1024 * 1024
@@ -64,69 +65,86 @@ def from_dataframe(df: DataFrame, rows: bool = False, order: list[str] | None =
     return Frame(out, names, {}, ROW if rows else None)
 
 
-def _csv_options(options: dict) -> dict:
-    """Quotes are doubled within quotes, which may hold line breaks; nothing is taken as missing but fields that a row lacks."""
-    return {"quote": '"', "escape": '"', "multiLine": True, "inferSchema": False, "mode": "PERMISSIVE", "emptyValue": "", "nullValue": "\u0000"} | options
-
-
 def file_bytes(spark: SparkSession, path: str) -> int:
     """Bytes of the files under a path of any file system."""
     where = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
     return where.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).getContentSummary(where).getLength()
 
 
-def raw_csv(spark: SparkSession, path: str, most_bytes: int | None = None, **options) -> DataFrame:
-    """Every field of a CSV file as text, nothing taken as missing; fields that a row lacks are null.
+def _named(head: list[str]) -> list[str]:
+    """Names of the columns; empty ones are numbered by place, repeated ones (also those that differ in case alone) get a number."""
+    names: list[str] = []
+    taken: set[str] = set()
+    for i, c in enumerate(head):
+        name, k = c or f"column {i + 1}", 0
+        while name.lower() in taken:
+            k += 1
+            name = f"{c or f'column {i + 1}'}.{k}"
+        taken.add(name.lower())
+        names.append(name)
+    return names
 
-    Whatever keeps the file from being one table is a ``BadInput``: no file, nothing in it, more than ``most_bytes``, bytes
-    that are no text, a row with more fields than the header. Repeated headers are numbered.
-    """
+
+def _records(spark: SparkSession, path: str, most_bytes: int | None, sep: str) -> tuple[DataFrame, list[str]]:
+    """row, c0, c1, ... of a CSV path, written once, and the columns' names; whatever keeps it from being one table is a ``BadInput``."""
     try:
         size = file_bytes(spark, path)
         if most_bytes is not None and size > most_bytes:
             raise BadInput(f"the file has {size} bytes; the limit is {most_bytes}")
-        head = spark.read.options(header=False, **_csv_options(options)).csv(path).first() if size else None
-        if head is None or not any((c or "").strip() for c in head):
+        dialect, lines = records.Dialect(sep), records.lines_of(spark, path)
+        plan = records.composed(records.scanned(lines, dialect).collect() if size else [])  # a row for each range of a file
+        if not plan.heads and not plan.rows:
             raise BadInput("the CSV is empty")
-        if any(c and ("\ufffd" in c or "\u0000" in c) for c in head):
+        if plan.unclosed:
+            raise BadInput("the CSV ends within quotes")
+        (n, head), *others = [dialect.fields(h) for h in dict.fromkeys(plan.heads)] or [(records.NO_RECORD, [])]
+        if n == records.NO_TEXT or any("\u0000" in c for c in head):
             raise BadInput("the CSV is not text in UTF-8")
-        names, seen = [], {}
-        for c in (c or f"column {i + 1}" for i, c in enumerate(head)):
-            seen[c] = seen.get(c, -1) + 1
-            names.append(c if not seen[c] else f"{c}.{seen[c]}")
-        bad = _RAW + "bad"
-        schema = T.StructType([*(T.StructField(f"c{i}", T.StringType()) for i in range(len(names))), T.StructField(bad, T.StringType())])
-        read = spark.read.schema(schema).options(header=True, enforceSchema=True, columnNameOfCorruptRecord=bad, **_csv_options(options)).csv(path)
-        # a row that is too short lacks its last field, one that is too long does not
-        long = read.where(F.col(bad).isNotNull() & F.col(f"c{len(names) - 1}").isNotNull()).select(*(f"c{i}" for i in range(len(names))), bad).head(1)
-        if long:
-            raise BadInput(f"a row has more fields than the header: {long[0][-1][:200]}")
-        return read.drop(bad).toDF(*names)
+        if n == records.NO_RECORD or others or not any(c.strip() for c in head):
+            raise BadInput("the files have different headers" if others else "the CSV has no header")
+        table = kept(records.rows_of(lines, plan, dialect, len(head)), "csv")
+        bad = table.where((F.col("n") > len(head)) | (F.col("n") < 0)).select("row", "n").orderBy("row").head(1)
+        if bad:
+            row, n = bad[0]
+            raise BadInput(f"row {row + 1} " + ("is not text in UTF-8" if n == records.NO_TEXT else "has a line end outside quotes" if n == records.NO_RECORD else f"has {n} fields; the header has {len(head)}"))
+        return table.drop("n"), _named(head)
     except BadInput:
         raise
     except Exception as error:
         raise BadInput(f"the CSV cannot be read: {error}") from error
 
 
-def from_csv(spark: SparkSession, path: str, rows: bool = True, most_bytes: int | None = None, **options) -> Frame:
-    """A CSV file: one text scan, typed columns are projections of it.
+def raw_csv(spark: SparkSession, path: str, most_bytes: int | None = None, sep: str = ",") -> DataFrame:
+    """Every field of a CSV file (or of a folder of them) as text, nothing taken as missing; fields that a row lacks are null.
+
+    Files are read in many ranges, whatever their quotes hold. A ``BadInput`` is: no file, nothing in it, more than ``most_bytes``,
+    bytes that are no UTF-8, a row with more fields than the header, quotes that are not closed.
+    """
+    table, names = _records(spark, path, most_bytes, sep)
+    return table.drop("row").toDF(*names)
+
+
+#: What a number in a CSV file looks like; the words for no number are among the missing values.
+_CSV_NUMBER = r"^[+-]?((\d+\.?\d*|\.\d+)([eE][+-]?\d+)?|[iI][nN][fF]([iI][nN][iI][tT][yY])?)$"
+
+
+def from_csv(spark: SparkSession, path: str, rows: bool = True, most_bytes: int | None = None, sep: str = ",") -> Frame:
+    """A CSV file: its records are read once, typed columns are projections of them.
 
     A column whose filled values are all whole numbers becomes bigint, all numbers double; the usual words for missing
     values and fields that a row lacks become null. The texts stay beside the typed columns, for the profile.
     """
-    raw = raw_csv(spark, path, most_bytes, **options)
-    names = raw.columns
-    raw = raw.toDF(*(_RAW + n for n in names))
-    if raw.isEmpty():
-        raise BadInput("the CSV has no rows")
+    raw, names = _records(spark, path, most_bytes, sep)
+    raw = raw.toDF(ROW, *(_RAW + n for n in names))
     text = {c: F.coalesce(column(_RAW + c), F.lit("")) for c in names}
     present = {c: ~F.trim(t).isin(*MISSING) for c, t in text.items()}
-    flat = raw.agg(*(F.count_if(present[c]).alias(f"n{i}") for i, c in enumerate(names)), *(F.count_if(present[c] & F.trim(text[c]).try_cast("double").isNotNull()).alias(f"k{i}") for i, c in enumerate(names)), *(F.count_if(present[c] & F.trim(text[c]).rlike(r"^[+-]?\d{1,18}$")).alias(f"w{i}") for i, c in enumerate(names))).first()
-    kind = {c: None if flat[f"n{i}"] != flat[f"k{i}"] else "bigint" if flat[f"w{i}"] == flat[f"n{i}"] and flat[f"n{i}"] else "double" for i, c in enumerate(names)}
-    typed = [F.when(present[c], F.trim(text[c]).try_cast(kind[c]) if kind[c] else column(_RAW + c)).alias(c) for c in names]
-    out = raw.select(*typed, *(text[c].alias(_RAW + c) for c in names))
-    if rows:
-        out = with_rows(out)
+    kinds = {"n": present, "k": {c: present[c] & F.trim(t).rlike(_CSV_NUMBER) for c, t in text.items()}, "w": {c: present[c] & F.trim(t).rlike(r"^[+-]?\d{1,18}$") for c, t in text.items()}}
+    got = total(raw, {("", "rows"): F.count(F.lit(1))} | {(c, k): F.count_if(of[c]) for k, of in kinds.items() for c in names})
+    if not got["", "rows"]:
+        raise BadInput("the CSV has no rows")
+    kind = {c: None if got[c, "n"] != got[c, "k"] else "bigint" if got[c, "w"] == got[c, "n"] and got[c, "n"] else "double" for c in names}
+    typed = [F.when(present[c], F.regexp_replace(F.trim(text[c]), r"(?i)^([+-]?)inf(inity)?$", "$1Infinity").try_cast(kind[c]) if kind[c] else column(_RAW + c)).alias(c) for c in names]
+    out = raw.select(*typed, *(text[c].alias(_RAW + c) for c in names), *([ROW] if rows else []))
     return Frame(out, names, {c: _RAW + c for c in names}, ROW if rows else None)
 
 

@@ -233,43 +233,6 @@ def test_odd_frames(spark):
         report.analyze(spark, spark.createDataFrame([], "x double"))
 
 
-def test_csv(spark, tmp_path):
-    p = tmp_path / "t.csv"
-    p.write_text("id,a,a,when,amount\n1,2.5,x,2024-01-02,\"1,000\"\n2,NA,y,2024-01-03,\"2,500\"\n3,4.5,x,2024-02-01,30\n")
-    f = from_csv(spark, f"file://{p}")
-    assert f.columns == ["id", "a", "a.1", "when", "amount"]
-    assert f.df.schema["id"].dataType.simpleString() == "bigint" and f.df.schema["a"].dataType.simpleString() == "double"
-    p2 = tmp_path / "empty.csv"
-    p2.write_text("a,b\n")
-    with pytest.raises(BadInput):
-        from_csv(spark, f"file://{p2}")
-
-
-def test_csv_with_quotes_line_breaks_and_short_rows(spark, tmp_path):
-    p = tmp_path / "q.csv"
-    p.write_text('id,said,n\n1,"say ""hi"" now",1\n2,"two\nlines, one field",2\n3,short\n\n4,"",4\n')
-    f = from_csv(spark, f"file://{p}")
-    rows = [tuple(r) for r in f.df.select("id", "said", "n").orderBy("id").collect()]
-    assert rows == [(1, 'say "hi" now', 1), (2, "two\nlines, one field", 2), (3, "short", None), (4, None, 4)]
-
-
-@pytest.mark.parametrize("data", [b"", b"  \n \n", bytes(range(256)) * 4, b"a,b\n1,2\n1,2,3\n", None])
-def test_bad_csv(spark, tmp_path, data):
-    p = tmp_path / "bad.csv"
-    if data is not None:
-        p.write_bytes(data)
-    with pytest.raises(BadInput):
-        from_csv(spark, f"file://{p}")
-
-
-def test_csv_over_the_limit(spark, tmp_path):
-    p = tmp_path / "large.csv"
-    p.write_text("a,b\n" + "1,2\n" * 100)
-    assert from_csv(spark, f"file://{p}", most_bytes=404).df.count() == 100
-    with pytest.raises(BadInput, match="limit"):
-        from_csv(spark, f"file://{p}", most_bytes=403)
-
-
 def test_dates_and_truth_values(spark):
     from tallyweave.functions.text import looks_dated
     from tallyweave.operators.modelling import category
