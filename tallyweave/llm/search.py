@@ -6,9 +6,11 @@ index of each shard (as many documents as stay under ``SHARD_POSTINGS`` postings
 with integer impacts, cut into blocks of different lengths. Dynamic programming chooses the
 borders that make the sum of (block's maximum - impact) over all postings plus a charge for each
 block least. A query's lists split the documents of a shard into ranges between block borders,
-and the maxima of the blocks that cover a range bound every score in it; ranges are scored from
-the highest bound down, and those whose bound is under the threshold (the score of the k-th best
-so far, carried from shard to shard of a task) are skipped. What the tasks find is merged.
+and the maxima of the blocks that cover a range bound every score in it. The most promising ranges
+give a threshold (the score of the k-th best so far, carried from shard to shard of a task); lists
+whose maxima together stay under it cannot lift a document over it alone, so the pivots are the
+documents of the other lists, read in blocks that touch a range whose bound reaches the threshold;
+the former lists are looked up for pivots that can still reach it. What the tasks find is merged.
 
 Scores are whole numbers: a term's weight floor(1000 ln((2N+2)/(2df+1))) times
 (10^9 tf) div (1000 tf + 12 m), with m = 75 + (25 n N) div L for a document of n terms.
@@ -37,10 +39,10 @@ MOST_FOUND = 20
 QUERY_BLOCK_BYTES = 4 << 20
 #: Postings and documents of one shard's index.
 SHARD_POSTINGS, SHARD_DOCS = 2 << 20, 1 << 16
-#: Block borders lie at multiples of so many postings of a list; a block has at most so many such steps; what a block costs, in
-#: standard deviations of its list's impacts.
-STEP, MOST_STEPS, BLOCK_CHARGE = 8, 48, 24.0
-#: Ranges that are scored first; each later round takes four times as many.
+#: Block borders lie at multiples of so many postings of a list (of one posting up to ``SHORT_LIST``); a block has at most so many
+#: such steps; what a block costs, in standard deviations of its list's impacts.
+STEP, SHORT_LIST, MOST_STEPS, BLOCK_CHARGE = 8, 1000, 48, 8.0
+#: Ranges that are scored first, for a threshold.
 FIRST_RANGES = 64
 #: Parts in which a query's results are reduced before the last ranking.
 MERGE_PARTS = 32
@@ -112,12 +114,13 @@ def block_ends(impacts: np.ndarray, first: np.ndarray) -> tuple[np.ndarray, np.n
     all lists go through their i-th step together, longest first.
     """
     size = np.diff(first)
-    steps = -(-size // STEP)
+    step = np.where(size <= SHORT_LIST, 1, STEP)
+    steps = -(-size // step)
     order = np.argsort(-steps, kind="stable")
     base = np.concatenate(([0], np.cumsum(steps)))  # of each list's steps
-    at = np.repeat(first[:-1] - base[:-1] * STEP, steps) + np.arange(base[-1]) * STEP
+    at = np.repeat(first[:-1] - base[:-1] * step, steps) + np.arange(base[-1]) * np.repeat(step, steps)
     highest = np.maximum.reduceat(impacts, at).astype(np.float64) if len(at) else np.zeros(0)
-    ends = np.minimum(at + STEP, np.repeat(first[1:], steps))
+    ends = np.minimum(at + np.repeat(step, steps), np.repeat(first[1:], steps))
     length = (ends - at).astype(np.float64)
     mean = np.array([0.0]) if not len(impacts) else np.add.reduceat(impacts.astype(np.float64), first[:-1][size > 0]) / size[size > 0]
     spread = np.zeros(len(size))
@@ -165,7 +168,11 @@ class Shard:
         self.first = np.concatenate(([0], np.cumsum(np.bincount(term, minlength=n_terms))))
         ends, self.blocks = block_ends(self.impacts, self.first)
         starts = np.concatenate(([0], ends[:-1])) if len(ends) else ends
+        self.starts, self.ends = starts, ends
         self.most = np.maximum.reduceat(self.impacts, starts) if len(ends) else np.zeros(0, np.int64)
+        self.highest = np.zeros(n_terms, np.int64)
+        held = np.flatnonzero(np.diff(self.first))
+        self.highest[held] = np.maximum.reduceat(self.impacts, self.first[held]) if len(held) else 0
         self.opens, self.closes = self.docs[starts], self.docs[ends - 1] + 1  # documents of a block
         self.scores = np.zeros(n_docs, np.int64)
 
@@ -191,22 +198,54 @@ class Shard:
         self.scores[docs] = 0
         return docs, found
 
-    def best(self, terms: np.ndarray, weights: np.ndarray, top: Top, ids: np.ndarray) -> None:
-        """Put this shard's best documents for one query into ``top``; skips what cannot be among them."""
+    def pivots(self, terms: np.ndarray, weights: np.ndarray, low: np.ndarray, high: np.ndarray, alive: np.ndarray) -> np.ndarray:
+        """Documents of the terms' lists within alive ranges, with what these lists add already in ``scores``; blocks that touch no
+        alive range are not read."""
+        before = np.concatenate(([0], np.cumsum(alive)))
+        met = np.zeros(self.n_docs, bool)
+        for t, w in zip(terms, weights, strict=True):
+            blocks = np.arange(self.blocks[t], self.blocks[t + 1])
+            touched = before[np.searchsorted(low, self.closes[blocks])] > before[np.searchsorted(high, self.opens[blocks], "right")]
+            at = _spread(self.starts[blocks[touched]], self.ends[blocks[touched]])
+            own = self.docs[at]
+            self.scores[own] += w * self.impacts[at]
+            met[own] = True
+        docs = np.flatnonzero(met)
+        inside = np.searchsorted(low, docs, "right") - 1
+        keep = (inside >= 0) & (docs < high[inside]) & alive[inside]
+        self.scores[docs[~keep]] = 0
+        return docs[keep]
+
+    def best(self, terms: np.ndarray, weights: np.ndarray, top: Top, ids: np.ndarray) -> int:
+        """Put this shard's best documents for one query into ``top``; returns how many documents were scored to the end."""
         some = self.first[terms + 1] > self.first[terms]
         terms, weights = terms[some], weights[some]
         if not len(terms):
-            return
+            return 0
         low, high, bound = self.ranges(terms, weights)
-        order = np.argsort(-bound, kind="stable")
-        at, width = 0, FIRST_RANGES
-        while at < len(order):
-            part = order[at : at + width]
-            part = np.sort(part[bound[part] >= top.least])
-            if not len(part):
+        first = np.sort(np.argpartition(-bound, min(FIRST_RANGES, len(bound)) - 1)[:FIRST_RANGES])
+        docs, scores = self.score(terms, weights, low[first], high[first])
+        top.add(docs, scores, ids)
+        alive = bound >= top.least
+        alive[first] = False
+        most = weights * self.highest[terms]
+        order = np.argsort(most, kind="stable")
+        terms, weights, most = terms[order], weights[order], most[order]
+        upto = np.concatenate(([0], np.cumsum(most)))  # what the weaker lists can add together
+        weak = int(np.searchsorted(upto[1:], top.least))  # so many stay under the threshold by themselves
+        found = self.pivots(terms[weak:], weights[weak:], low, high, alive)
+        scores = self.scores[found]
+        self.scores[found] = 0
+        for k in range(weak - 1, -1, -1):
+            keep = scores + upto[k + 1] >= top.least
+            found, scores = found[keep], scores[keep]
+            if not len(found):
                 break
-            top.add(*self.score(terms, weights, low[part], high[part]), ids)
-            at, width = at + width, 4 * width
+            own = self.docs[self.first[terms[k]] : self.first[terms[k] + 1]]
+            at = np.minimum(np.searchsorted(own, found), len(own) - 1)
+            scores = scores + np.where(own[at] == found, weights[k] * self.impacts[self.first[terms[k]] + at], 0)
+        top.add(found, scores, ids)
+        return len(docs) + len(found)
 
 
 class Top:
