@@ -19,9 +19,9 @@ from tallyweave.functions import special
 from tallyweave.functions.text import column
 from tallyweave.operators import matrix
 from tallyweave.operators.quality import welch
-from tallyweave.operators.quantiles import IN_MEMORY_ROWS
+from tallyweave.operators.quantiles import level_quantiles
 from tallyweave.operators.results import assumption, result, signed
-from tallyweave.plans.batch import MOST_EXPRESSIONS, kept, total, totals
+from tallyweave.plans.batch import kept, total, totals
 from tallyweave.session import ship
 from tallyweave.sources.frames import running_ranks
 
@@ -33,20 +33,6 @@ BROADCAST_CELLS = 4_000_000
 _MET = "__met"
 
 
-def _product_sums(key: tuple, a: Column, b: Column) -> dict[tuple, Column]:
-    """Number, sums and sums of products of two columns that are null together."""
-    return {(*key, "n"): F.count(a), (*key, "a"): F.sum(a), (*key, "b"): F.sum(b), (*key, "ab"): F.sum(a * b), (*key, "aa"): F.sum(a * a), (*key, "bb"): F.sum(b * b)}
-
-
-def _correlation(got: dict, key: tuple) -> float | None:
-    """From the sums of ``_product_sums``; None without spread."""
-    n, a, b, ab, aa, bb = (got[*key, k] for k in ("n", "a", "b", "ab", "aa", "bb"))
-    if not n:
-        return None
-    room = max(0.0, aa - a * a / n) * max(0.0, bb - b * b / n)
-    return (ab - a * b / n) / math.sqrt(room) if room > 0 else None
-
-
 def pair_moments(df: DataFrame, numeric: list[str]) -> dict[tuple[str, str], dict]:
     """n, r and ranges of every numeric pair, each over the rows that have both, from one scan.
 
@@ -83,37 +69,66 @@ def _broadcastable(sizes: dict[int, int], width: int) -> set[int]:
     return out
 
 
-def rank_correlations(df: DataFrame, numeric: list[str]) -> dict[tuple[str, str], tuple[int, float | None]]:
+def _classes(x: DataFrame, gaps: list[int], k: int) -> tuple[list[Column], np.ndarray]:
+    """Classes of rows that tell which rows have a column, as conditions on ``mask``, and which of them add up for each column.
+
+    The patterns of missing values that occur are such classes; where they are more than the columns with gaps, the (overlapping)
+    rows that have each of these, and all rows, are used instead.
+    """
+    every = np.ones((1, k), np.int64)
+    if not gaps:
+        return [F.lit(True)], every
+    patterns = sorted(r[0] for r in x.select("mask").distinct().limit(len(gaps) + 2).collect())
+    if len(patterns) <= len(gaps) + 1:
+        return [F.col("mask") == p for p in patterns], np.array([[i not in gaps or p >> gaps.index(i) & 1 for i in range(k)] for p in patterns], np.int64)
+    partner = np.zeros((len(gaps) + 1, k), np.int64)
+    partner[[gaps.index(i) + 1 if i in gaps else 0 for i in range(k)], range(k)] = 1
+    return [F.lit(True), *(F.col("mask").bitwiseAND(1 << g) != 0 for g in range(len(gaps)))], partner
+
+
+def rank_correlations(df: DataFrame, numeric: list[str], moments: dict | None = None) -> dict[tuple[str, str], tuple[int, float | None]]:
     """n and the correlation of average ranks of every numeric pair, each over the rows that have both.
 
-    Each column is ranked once, and once more among the rows that have each column with gaps; the ranks are joined to the rows
-    (broadcast where the tables are small) and all pairs come from one aggregation.
+    A value is ranked within classes of rows with the same gaps, from one frequency table of all columns; ranks among the rows that
+    have another column are sums over classes. Ranks reach the rows by broadcast where the tables are small; the other columns
+    travel together, as one long table, to the ranks and back. ``moments``: those of ``pair_moments``, if known.
     """
     k = len(numeric)
+    moments = moments or pair_moments(df, numeric)
     x = df.select(*(_number(c).alias(f"x{i}") for i, c in enumerate(numeric)))
     got = total(x, {"": F.count(F.lit(1))} | {i: F.count(f"x{i}") for i in range(k)})
     gaps = [i for i in range(k) if got[i] < got[""]]
-    entry = [F.struct(F.lit(i).alias("c"), F.col(f"x{i}").alias("v"), *(F.col(f"x{g}").isNotNull().alias(f"p{g}") for g in gaps)) for i in range(k)]
-    long = x.select(F.explode(F.array(*entry)).alias("e")).select("e.*").where("v is not null")
-    freq = long.groupBy("c", "v").agg(F.count(F.lit(1)).alias("n"), *(F.count_if(F.col(f"p{g}")).alias(f"n{g}") for g in gaps))
-    counts = ["n", *(f"n{g}" for g in gaps)]
-    ranked = kept(running_ranks(freq, ["c"], "v", counts).drop(*counts), "ranks")
+    mask = F.lit(0).cast("bigint")  # at most MOST_COLUMNS = 40 bits
+    for g, i in enumerate(gaps):
+        mask = mask.bitwiseOR(F.when(F.col(f"x{i}").isNotNull(), 1 << g).otherwise(0).cast("bigint"))
+    x = x.withColumn("mask", mask)
+    classes, partner = _classes(x, gaps, k)
+    counts = [f"n{e}" for e in range(len(classes))]
+    entry = F.array(*(F.struct(F.lit(i).alias("c"), F.col(f"x{i}").alias("v")) for i in range(k)))
+    long = x.select("mask", F.explode(entry).alias("e")).select("mask", "e.*").where("v is not null")
+    freq = long.groupBy("c", "v").agg(*(F.count_if(w).alias(n) for w, n in zip(classes, counts, strict=True)))
+    ranked = kept(running_ranks(freq, ["c"], "v", counts).select("c", "v", F.array(*(F.col(f"r_{n}") - 0.5 for n in counts)).alias("r")), "ranks")
     small = _broadcastable(dict(ranked.groupBy("c").count().collect()), len(counts) + 1)
+    large = [i for i in range(k) if i not in small]
     rows = x
-    for i in range(k):
-        table = ranked.where(F.col("c") == i).select(F.col("v").alias(f"v{i}"), *(F.col(f"r_{c}").alias(f"r{i}_{c}") for c in counts))
-        rows = rows.join(F.broadcast(table) if i in small else table, F.col(f"x{i}") == F.col(f"v{i}"), "left").drop(f"v{i}")
-    pairs = list(combinations(range(k), 2))
-    if 6 * len(pairs) > MOST_EXPRESSIONS:
-        rows = kept(rows, "ranked_rows")
-    middle = (max(got.values()) + 1) / 2
-    wanted = {}
-    for i, j in pairs:
-        both = F.col(f"x{i}").isNotNull() & F.col(f"x{j}").isNotNull()
-        a, b = (F.when(both, (F.col(f"r{p}_n{q}" if q in gaps else f"r{p}_n") - middle) / middle) for p, q in ((i, j), (j, i)))
-        wanted |= _product_sums((i, j), a, b)
-    got = total(rows, wanted) if wanted else {}
-    return {(numeric[i], numeric[j]): (got[i, j, "n"], _correlation(got, (i, j))) for i, j in pairs}
+    if large:
+        rows = kept(x.withColumn("id", F.monotonically_increasing_id()), "numbered")
+        entry = F.array(*(F.struct(F.lit(i).alias("c"), F.col(f"x{i}").alias("v")) for i in large))
+        far = rows.select("id", F.explode(entry).alias("e")).select("id", "e.*").where("v is not null").join(ranked.where(F.col("c").isin(large)), ["c", "v"])
+        rows = rows.join(far.groupBy("id").agg(*(F.first(F.when(F.col("c") == i, F.col("r")), True).alias(f"r{i}") for i in large)), "id", "left")
+    for i in sorted(small):
+        table = ranked.where(F.col("c") == i).select(F.col("v").alias(f"v{i}"), F.col("r").alias(f"r{i}"))
+        rows = rows.join(F.broadcast(table), F.col(f"x{i}") == F.col(f"v{i}"), "left")
+    nothing = F.array_repeat(F.lit(float("nan")), len(counts))
+    mean = np.zeros((k, k))  # ranks less a half of n rows have the mean n / 2
+    for i, j in combinations(range(k), 2):
+        mean[i, j] = mean[j, i] = moments[numeric[i], numeric[j]]["n"] / 2
+    s = matrix.fold(rows, [F.coalesce(f"r{i}", nothing) for i in range(k)], matrix.RankProducts(partner, mean), len(counts)) if k > 1 else None
+    out: dict = {}
+    for i, j in combinations(range(k), 2):
+        n, ab, aa, bb = (int(s["n"][i, j]), s["ab"][i, j], s["aa"][i, j], s["aa"][j, i]) if s else (0, 0.0, 0.0, 0.0)
+        out[numeric[i], numeric[j]] = n, float(ab / math.sqrt(aa) / math.sqrt(bb)) if n and min(aa, bb) > 1e-6 * n * n else None  # one value that differs makes n * n / 4
+    return out
 
 
 def _clamped(r: float | None) -> float:
@@ -126,7 +141,7 @@ def correlations(df: DataFrame, numeric: list[str], stats: dict[str, dict]) -> l
     out = []
     uneven = {c: abs((stats.get(c) or {}).get("skew", 0)) > 1 or (stats.get(c) or {}).get("n_outliers_5iqr", 0) > 0 for c in numeric}
     moments = pair_moments(df, numeric)
-    by_rank = rank_correlations(df, numeric) if moments else {}
+    by_rank = rank_correlations(df, numeric, moments) if moments else {}
     for (a, b), m in moments.items():
         if m["n"] < LEAST_ROWS or m["x0"] == m["x1"] or m["y0"] == m["y1"]:
             continue
@@ -139,37 +154,20 @@ def correlations(df: DataFrame, numeric: list[str], stats: dict[str, dict]) -> l
     return out
 
 
-def level_medians(df: DataFrame, num: list[str], level: Column) -> dict[tuple[str, str], float]:
-    """Median of each numeric column in each level, from running counts of its values: no task holds a level's values."""
-    entry = F.array(*(F.struct(F.lit(c).alias("c"), column(c).cast("double").alias("v")) for c in num))
-    long = df.select(level.alias("level"), F.explode(entry).alias("e")).select("level", "e.*").where("v is not null and level is not null")
-    ranked = kept(running_ranks(long.groupBy("c", "level", "v").agg(F.count(F.lit(1)).alias("n")), ["c", "level"], "v", ["n"]), "level_ranks")
-    size = ranked.groupBy("c", "level").agg(F.sum("n").alias("size"))
-    low, high = F.floor((F.col("size") + 1) / 2), F.ceil((F.col("size") + 1) / 2)
-    first, last = F.col("r_n") - (F.col("n") - 1) / 2, F.col("r_n") + (F.col("n") - 1) / 2
-    hits = sum(F.when((first <= at) & (at <= last), F.col("v") / 2).otherwise(0.0) for at in (low, high))
-    rows = ranked.join(F.broadcast(size), ["c", "level"]).groupBy("c", "level").agg(F.sum(hits).alias("m")).collect()  # one row for a level
-    return {(r["c"], r["level"]): r["m"] for r in rows}
-
-
-def level_moments(df: DataFrame, num: list[str], cat: str, in_memory: int = IN_MEMORY_ROWS) -> dict[str, dict[str, dict]]:
+def level_moments(df: DataFrame, num: list[str], cat: str) -> dict[str, dict[str, dict]]:
     """For each numeric column, by level: n, mean, variance, median, and the same of distances from the median.
 
-    The commonest level comes first, of equal ones the one that is met first. Medians come from the built-in aggregate where the
-    rows are few and from running counts beyond; both give the same numbers.
+    The commonest level comes first, of equal ones the one that is met first.
     """
     level = column(cat).cast("string")
     some = df.where(level.isNotNull()).withColumn(_MET, F.monotonically_increasing_id())
-    few = df.count() <= in_memory
     wanted = {}
     for c in num:
         x = column(c).cast("double")
         wanted |= {(c, "n"): F.count(x), (c, "mean"): F.avg(x), (c, "var"): F.var_samp(x), (c, "low"): F.min(x), (c, "high"): F.max(x), (c, "met"): F.min(F.when(x.isNotNull(), F.col(_MET)))}
-        wanted |= {(c, "median"): F.median(x)} if few else {}
     by = {k[0]: v for k, v in totals(some, wanted, [level.alias("level")]).items()}
-    if not few:
-        for (c, v), m in level_medians(df, num, level).items():
-            by[v][c, "median"] = m
+    for (c, v), (median,) in level_quantiles(df, {c: column(c) for c in num}, [0.5], level).items():
+        by[v][c, "median"] = median
     out: dict = {}
     for c in num:
         own = {v: {k: m[c, k] for k in ("n", "mean", "var", "median", "low", "high")} for v, m in by.items() if m[c, "n"] >= LEAST_LEVEL}

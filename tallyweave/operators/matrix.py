@@ -20,10 +20,18 @@ from pyspark.sql import Column, DataFrame
 from tallyweave.session import ship
 
 
-def fold(df: DataFrame, columns: list[Column], kernel):
-    """The kernel's state over all rows (columns as doubles); None without rows. One scan of the frame."""
+def fold(df: DataFrame, columns: list[Column], kernel, width: int = 0):
+    """The kernel's state over all rows; None without rows. One scan of the frame.
+
+    Columns are doubles, or with ``width`` arrays of so many doubles; the kernel sees rows x columns (x width).
+    """
     ship(df.sparkSession)
-    rows = df.select(*(c.cast("double").alias(f"x{i}") for i, c in enumerate(columns)))
+    rows = df.select(*(c.cast("array<double>" if width else "double").alias(f"x{i}") for i, c in enumerate(columns)))
+
+    def block(b: pa.RecordBatch) -> np.ndarray:
+        if width:
+            return np.stack([c.flatten().to_numpy(zero_copy_only=False).reshape(-1, width) for c in b.columns], 1)
+        return np.column_stack([c.to_numpy(zero_copy_only=False) for c in b.columns]).astype(np.float64)
 
     def packed(state) -> Iterator[pa.RecordBatch]:
         if state is not None:
@@ -33,7 +41,7 @@ def fold(df: DataFrame, columns: list[Column], kernel):
         state = None
         for b in batches:
             if b.num_rows:
-                new = kernel.of(np.column_stack([c.to_numpy(zero_copy_only=False) for c in b.columns]).astype(np.float64))
+                new = kernel.of(block(b))
                 state = new if state is None else kernel.merge(state, new)
         yield from packed(state)
 
@@ -92,6 +100,39 @@ class Pairs:
             return {"n": a["n"] + b["n"], "f": n, "mean": mean, "m2": a["m2"] + b["m2"] + d * d * both, "co": a["co"] + b["co"] + d * d.T * both, "low": np.minimum(a["low"], b["low"]), "high": np.maximum(a["high"], b["high"])}
 
 
+@dataclass
+class RankProducts:
+    """Products of the ranks of all pairs of columns, each over the rows that have both.
+
+    A value comes with one number for each of some classes of rows: how many rows of the class lie under it, and half of those that
+    equal it. ``partner`` says which classes add up to the rows that have a column; adding their numbers gives the value's rank
+    (less a half) among these rows. State: rows with both (n), products of centred ranks (ab), squares of the row's column (aa).
+    """
+
+    partner: np.ndarray  # classes x columns, 0 or 1
+    mean: np.ndarray  # of the ranks of each pair, columns x columns
+
+    def of(self, x: np.ndarray) -> dict:
+        here = ~np.isnan(x[:, :, 0])
+        k = x.shape[1]
+        m = here.astype(np.float64)
+        state = {"n": m.T @ m, "ab": np.zeros((k, k)), "aa": np.zeros((k, k))}
+        if len(self.partner) == 1 and self.partner.all():
+            a = np.where(here, x[:, :, 0] - self.mean[0, -1], 0.0)
+            state["ab"], state["aa"] = a.T @ a, (a * a).T @ m
+            return state
+        for at in range(0, len(x), 256):
+            own = here[at : at + 256]
+            r = np.where(own[:, :, None], x[at : at + 256], 0.0) @ self.partner - self.mean
+            r *= own[:, :, None] & own[:, None, :]
+            state["ab"] += np.einsum("rij,rji->ij", r, r)
+            state["aa"] += np.einsum("rij,rij->ij", r, r)
+        return state
+
+    def merge(self, a: dict, b: dict) -> dict:
+        return {k: a[k] + b[k] for k in a}
+
+
 @dataclass
 class Wide:
     """What models read: numeric columns, then a 0/1 column for each level of a categorical column but the first."""

@@ -1,68 +1,141 @@
-"""Exact quantiles with linear interpolation, for columns of any size."""
+"""Exact quantiles with linear interpolation, of many columns, and of levels, in two passes whatever their size.
+
+The first pass keeps a rank sketch of each column (and level): the built-in mergeable summary, whose
+rank error is bounded. Two of its quantiles bracket each wanted rank. The second pass counts what
+lies under each bracket and gathers the different values within, a few ten-thousandths of all; the
+value at the wanted rank follows. A bracket that misses its rank is widened to the whole column, so
+the numbers are exact whatever the sketch says.
+"""
 
 from __future__ import annotations
 
 import math
+from bisect import bisect_right
+from itertools import accumulate
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from tallyweave.plans.batch import totals
+from tallyweave.plans.batch import kept, totals
+from tallyweave.sources.frames import running_ranks
 
-#: Values up to which the built-in exact aggregate may hold a column's distinct values.
-IN_MEMORY_ROWS = 2_000_000
-BINS = 2048
-#: Distinct values of a bin that may be collected for the last step.
-LAST_VALUES = 20_000
+#: Ranks of the sketch are within 1 / ACCURACY of all rows; a bracket reaches so many of these parts to either side.
+ACCURACY, REACH = 4000, 2
+#: Different values within brackets that may reach the driver; more are ranked where they are.
+LAST_VALUES = 200_000
+_LEVEL = "__level"
 
 
-def quantiles(df: DataFrame, columns: dict[str, Column], probabilities: list[float], in_memory: int = IN_MEMORY_ROWS) -> dict[str, list[float] | None]:
+def quantiles(df: DataFrame, columns: dict[str, Column], probabilities: list[float]) -> dict[str, list[float] | None]:
     """Of each named column; None where it has no value."""
-    sizes = totals(df, {n: F.count(c) for n, c in columns.items()}).get((), {})
-    small = {n: c for n, c in columns.items() if sizes[n] <= in_memory}
-    probs = F.array(*(F.lit(float(p)) for p in probabilities))
-    out = dict(totals(df, {n: F.percentile(c, probs) for n, c in small.items()}).get((), {})) if small else {}
-    for n, c in columns.items():
-        if n not in small:
-            out[n] = _selected(df, c, sizes[n], probabilities)
+    got = level_quantiles(df, columns, probabilities, F.lit(""))
+    return {n: got.get((n, "")) for n in columns}
+
+
+def level_quantiles(df: DataFrame, columns: dict[str, Column], probabilities: list[float], level: Column, accuracy: int = ACCURACY, last_values: int = LAST_VALUES) -> dict[tuple[str, str], list[float]]:
+    """Of each named column in each level that has a value of it; rows without a level are left out. Levels are few."""
+    names = list(columns)
+    rows = df.select(level.cast("string").alias(_LEVEL), *(columns[n].cast("double").alias(f"x{i}") for i, n in enumerate(names))).where(F.col(_LEVEL).isNotNull())
+    around = sorted({min(1.0, max(0.0, p + side * REACH / accuracy)) for p in probabilities for side in (-1, 1)} | {0.0, 1.0})
+    sketch = {}
+    for i in range(len(names)):
+        x = F.col(f"x{i}")
+        sketch |= {(i, "n"): F.count(x), (i, "low"): F.min(x), (i, "high"): F.max(x), (i, "q"): F.percentile_approx(x, around, accuracy)}
+    got = totals(rows, sketch, [_LEVEL])
+    wanted: dict = {}  # (column, level): ranks, brackets, and the lowest and highest value
+    for (v,), s in got.items():
+        for i in range(len(names)):
+            n = s[i, "n"]
+            if n:
+                at = dict(zip(around, s[i, "q"], strict=True))
+                ranks = sorted({r for p in probabilities for r in (math.floor(p * (n - 1)), math.ceil(p * (n - 1)))})
+                wanted[i, v] = n, ranks, _brackets(at, ranks, n, accuracy, s[i, "low"], s[i, "high"])
+    found = _settled(rows, wanted, last_values)
+    short = {k: (n, missing, [(s_low, s_high)]) for k, (n, ranks, _) in wanted.items() if (missing := [r for r in ranks if r not in found[k]]) for s_low, s_high in [(got[k[1],][k[0], "low"], got[k[1],][k[0], "high"])]}
+    if short:
+        for k, more in _settled(rows, short, last_values).items():
+            found[k] |= more
+    out = {}
+    for (i, v), (n, _, _) in wanted.items():
+        values = []
+        for p in probabilities:
+            place = p * (n - 1)
+            a, b = found[i, v][math.floor(place)], found[i, v][math.ceil(place)]
+            values.append(a if a == b else a + (b - a) * (place - math.floor(place)))
+        out[names[i], v] = values
+    return out
+
+
+def _brackets(at: dict[float, float], ranks: list[int], n: int, accuracy: int, low: float, high: float) -> list[tuple[float, float]]:
+    """Disjoint value ranges, in order, that should hold the ranks."""
+    points = sorted(at)
+    out: list[tuple[float, float]] = []
+    for r in ranks:
+        a = [q for q in points if q * n <= r - (REACH - 1) / accuracy * n]
+        b = [q for q in points if q * n >= r + (REACH - 1) / accuracy * n]
+        pair = (at[a[-1]] if a and a[-1] > 0 else low, at[b[0]] if b and b[0] < 1 else high)
+        if out and pair[0] <= out[-1][1]:
+            out[-1] = (out[-1][0], max(out[-1][1], pair[1]))
+        else:
+            out.append(pair)
+    return out
+
+
+def _settled(rows: DataFrame, wanted: dict, last_values: int) -> dict[tuple[int, str], dict[int, float]]:
+    """The value at each wanted rank that its column's brackets hold, by one pass over the rows."""
+    entries = []
+    for i in sorted({i for i, _ in wanted}):
+        x = F.col(f"x{i}")
+        own = {v: brackets for (c, v), (_, _, brackets) in wanted.items() if c == i}
+        most = max(map(len, own.values()))
+        edge = lambda side, k, own=own: F.create_map(*(F.lit(y) for v, b in own.items() for y in (v, float(b[min(k, len(b) - 1)][side]))))[F.col(_LEVEL)]
+        place = F.lit(None).cast("double")  # the value itself within a bracket
+        for k in range(most):
+            place = F.when((x >= edge(0, k)) & (x <= edge(1, k)), x).otherwise(place)
+        under = F.lit(0)  # how many brackets lie under a value that none holds
+        for k in range(most):
+            under = under + F.when(F.lit(k) < F.create_map(*(F.lit(y) for v, b in own.items() for y in (v, len(b))))[F.col(_LEVEL)], (x > edge(1, k)).cast("int")).otherwise(0)
+        entries.append(F.struct(F.lit(i).alias("c"), F.when(place.isNull(), under).alias("gap"), place.alias("v"), x.isNotNull().alias("there")))
+    if not entries:
+        return {}
+    long = rows.select(F.col(_LEVEL).alias("level"), F.explode(F.array(*entries)).alias("e")).select("level", "e.*").where("there")
+    counts = long.groupBy("c", "level", "gap", "v").agg(F.count(F.lit(1)).alias("n"))
+    counts = kept(counts, "brackets")
+    gaps: dict = {}
+    for r in counts.where("gap is not null").collect():  # a row for each column, level and gap between brackets
+        gaps.setdefault((r["c"], r["level"]), {})[r["gap"]] = r["n"]
+    held = counts.where("gap is null")
+    many = held.groupBy("c", "level").count().collect()
+    if sum(r["count"] for r in many) <= last_values:
+        values: dict = {}
+        for r in held.select("c", "level", "v", "n").collect():
+            values.setdefault((r["c"], r["level"]), []).append((r["v"], r["n"]))
+        return {k: _picked(ranks, brackets, gaps.get(k, {}), sorted(values.get(k, []))) for k, (_, ranks, brackets) in wanted.items()}
+    ranked = running_ranks(held, ["c", "level"], "v", ["n"])
+    out: dict = {k: {} for k in wanted}
+    targets = [(i, v, r, float(r + 1 - sum(gaps.get((i, v), {}).get(g, 0) for g in range(b + 1)))) for (i, v), (_, ranks, brackets) in wanted.items() for r in ranks for b in range(len(brackets))]
+    # a row for each wanted rank and bracket: few
+    asked = rows.sparkSession.createDataFrame(targets, "c int, level string, rank bigint, place double").withColumnRenamed("level", "own")
+    spans = {(i, v): brackets for (i, v), (_, _, brackets) in wanted.items()}
+    last = F.col("r_n") + (F.col("n") - 1) / 2
+    hit = ranked.join(F.broadcast(asked), (ranked["c"] == asked["c"]) & (ranked["level"] == asked["own"]) & (last - F.col("n") < F.col("place")) & (F.col("place") <= last)).select(asked["c"], "own", "rank", "place", "v").collect()
+    for r in hit:
+        key = r["c"], r["own"]
+        for b, (low, high) in enumerate(spans[key]):
+            if low <= r["v"] <= high and r["place"] == r["rank"] + 1 - sum(gaps.get(key, {}).get(g, 0) for g in range(b + 1)):
+                out[key][r["rank"]] = r["v"]
     return out
 
 
-def _selected(df: DataFrame, c: Column, n: int, probabilities: list[float]) -> list[float]:
-    """By narrowing value ranges: each pass counts bins, and only a bin that holds a wanted rank is looked into."""
-    ranks = sorted({r for p in probabilities for r in (math.floor(p * (n - 1)), math.ceil(p * (n - 1)))})
-    x = df.select(c.cast("double").alias("x")).where("x is not null")
-    low, high = x.agg(F.min("x"), F.max("x")).first()
-    found: dict[int, float] = {}
-
-    def look(low: float, high: float, before: int, wanted: list[int]) -> None:
-        if low == high:
-            found.update(dict.fromkeys(wanted, low))
-            return
-        inside = x.where((F.col("x") >= low) & (F.col("x") <= high))
-        width = (high - low) / BINS
-        if width == 0 or low + width == low:
-            values = inside.groupBy("x").count().orderBy("x").collect()
-            at = before
-            for v, k in values:
-                found.update({r: v for r in wanted if at <= r < at + k})
-                at += k
-            return
-        bin_of = F.least(F.floor((F.col("x") - low) / width), F.lit(BINS - 1))
-        at = before
-        for _, k, a, b, distinct in sorted(inside.groupBy(bin_of.alias("b")).agg(F.count("x"), F.min("x"), F.max("x"), F.approx_count_distinct("x")).collect()):
-            here = [r for r in wanted if at <= r < at + k]
-            if here and distinct <= LAST_VALUES and k <= LAST_VALUES:
-                values = sorted(v for (v,) in inside.where((F.col("x") >= a) & (F.col("x") <= b)).collect())
-                found.update({r: values[r - at] for r in here})
-            elif here:
-                look(a, b, at, here)
-            at += k
-
-    look(low, high, 0, ranks)
-    out = []
-    for p in probabilities:
-        place = p * (n - 1)
-        a, b = found[math.floor(place)], found[math.ceil(place)]
-        out.append(a + (b - a) * (place - math.floor(place)))
+def _picked(ranks: list[int], brackets: list[tuple[float, float]], gaps: dict[int, int], values: list[tuple[float, int]]) -> dict[int, float]:
+    """The values at the ranks, from counted values of the brackets and the counts of the gaps between them."""
+    out, before, at = {}, 0, 0
+    for b, (_, high) in enumerate(brackets):
+        before += gaps.get(b, 0)
+        end = bisect_right(values, (high, math.inf), at)
+        upto = list(accumulate((n for _, n in values[at:end]), initial=before))
+        for r in ranks:
+            if upto[0] <= r < upto[-1]:
+                out[r] = values[at + bisect_right(upto, r) - 1][0]
+        before, at = upto[-1], end
     return out

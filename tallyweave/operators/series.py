@@ -8,7 +8,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
-from tallyweave.operators.quantiles import IN_MEMORY_ROWS, quantiles
+from tallyweave.operators.quantiles import level_quantiles, quantiles
 from tallyweave.plans.batch import total, totals
 
 #: Limits of what is shown, and the seed of what is drawn.
@@ -102,15 +102,9 @@ def box_of(df: DataFrame, x: Column, quartiles: list[float] | None = None) -> di
 
 
 def group_boxes(df: DataFrame, num: Column, cat: Column, levels: list[str]) -> list[dict]:
-    """A box for each level, in the order given; all levels together in three passes."""
+    """A box for each level, in the order given; all levels together."""
     rows = df.select(cat.cast("string").alias("level"), finite(num).alias("x")).where(F.col("level").isin(levels) & F.col("x").isNotNull())
-    sizes = {k[0]: v["n"] for k, v in totals(rows, {"n": F.count("x")}, ["level"]).items()}
-    probabilities = [0.25, 0.5, 0.75]
-    if sum(sizes.values()) <= IN_MEMORY_ROWS:
-        probs = F.array(*(F.lit(p) for p in probabilities))
-        quartiles = {k[0]: v["q"] for k, v in totals(rows, {"q": F.percentile("x", probs)}, ["level"]).items()}
-    else:
-        quartiles = {v: quantiles(rows.where(F.col("level") == v), {"x": F.col("x")}, probabilities)["x"] for v in sizes}
+    quartiles = {v: q for (_, v), q in level_quantiles(rows, {"x": F.col("x")}, [0.25, 0.5, 0.75], F.col("level")).items()}
     if not quartiles:
         return []
     fence = lambda sign, q: F.create_map(*(F.lit(x) for v, (q1, _, q3) in quartiles.items() for x in (v, float((q3 if q else q1) + sign * 1.5 * (q3 - q1)))))[F.col("level")]

@@ -10,7 +10,6 @@ from pyspark.sql import functions as F
 
 from tallyweave.functions.text import identifier_name
 from tallyweave.operators import association, catalog, findings, modelling, models, quality, results, series
-from tallyweave.operators.quantiles import quantiles
 from tallyweave.plans import report
 from tallyweave.sources.frames import BadInput, from_csv, from_dataframe, running_ranks
 
@@ -150,15 +149,6 @@ def test_magnitude_boundaries(value, size):
     assert results.magnitude("r", value) == size
 
 
-def test_quantiles_by_selection_equal_the_aggregate(spark):
-    r = draw()
-    values = [*r.normal(size=500).tolist(), *[1.5] * 300, None, 1e12, -1e12]
-    d = spark.createDataFrame([(v,) for v in values], "x double")
-    probs = [0.0, 0.25, 0.5, 0.75, 0.9, 1.0]
-    c = {"x": F.col("x")}
-    assert quantiles(d, c, probs, in_memory=0)["x"] == pytest.approx(quantiles(d, c, probs)["x"])
-
-
 def test_ranks_are_average_ranks(spark):
     values = {"a": [3.0, 1.0, 3.0, 2.0, 3.0, 2.0], "b": [5.0, -1.0, 5.0]}
     freq = spark.createDataFrame([(k, v) for k, own in values.items() for v in own], "k string, v double").groupBy("k", "v").agg(F.count(F.lit(1)).alias("n"))
@@ -182,16 +172,6 @@ def test_rank_correlations_with_gaps(spark, cells, monkeypatch):
         assert rho == pytest.approx(both.rank().corr().iloc[0, 1], abs=1e-12) and plain[x, y]["r"] == pytest.approx(both.corr().iloc[0, 1], abs=1e-12)
 
 
-def test_level_medians_are_the_same_without_memory(spark):
-    r = np.random.default_rng(6)
-    d = pd.DataFrame({"x": r.integers(0, 50, 300).astype(float), "y": r.normal(size=300), "g": r.choice(list("pqr"), 300)})
-    d.loc[::7, "y"] = np.nan
-    f = spark.createDataFrame(d).replace(float("nan"), None)
-    few, many = (association.level_moments(f, ["x", "y"], "g", n) for n in (10**6, 10))
-    for c in "xy":
-        assert {v: m["median"] for v, m in few[c].items()} == {v: pytest.approx(m["median"]) for v, m in many[c].items()} == d.groupby("g")[c].median().to_dict()
-
-
 def test_equal_levels_come_in_order_of_appearance(spark):
     d = spark.createDataFrame([("z", 1.0), ("a", 2.0), ("z", 3.0), ("a", 5.0), ("z", 1.5), ("a", 2.5)], "g string, x double").coalesce(1)
     assert list(association.level_moments(d, ["x"], "g")["x"]) == ["z", "a"]

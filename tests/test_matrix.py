@@ -7,6 +7,8 @@ import numpy as np
 import pandas as pd
 import pytest
 
+from pyspark.sql.functions import col as F_col
+
 from tallyweave.operators import association, matrix, models
 from tallyweave.plans import report
 
@@ -64,7 +66,7 @@ def test_a_pair_that_is_constant_where_both_are_there(spark):
 def scans(spark, monkeypatch):
     seen = []
     fold = matrix.fold
-    monkeypatch.setattr(matrix, "fold", lambda df, columns, kernel: seen.append(type(kernel).__name__) or fold(df, columns, kernel))
+    monkeypatch.setattr(matrix, "fold", lambda df, columns, kernel, width=0: seen.append(type(kernel).__name__) or fold(df, columns, kernel, width))
     return seen
 
 
@@ -145,3 +147,35 @@ def test_infinite_values_leave_no_model(spark):
     x[3, 0] = math.inf
     made, terms = models.regressions(frame(spark, a=x[:, 0].tolist(), b=x[:, 1].tolist(), c=x[:, 2].tolist()), list("abc"), [], 60, charts=False)
     assert [m["kind"] for m in made] == ["insufficient"] * 3 and not terms
+
+
+@pytest.mark.parametrize("cells", [4_000_000, 0, 100])
+@pytest.mark.parametrize("patterns", ["few", "many", "none"])
+def test_rank_correlations_by_pattern(spark, cells, patterns, monkeypatch):
+    monkeypatch.setattr(association, "BROADCAST_CELLS", cells)
+    r = np.random.default_rng(8)
+    d = pd.DataFrame({f"x{i}": r.integers(0, 8 + 12 * i, 500).astype(float) for i in range(11)})
+    d["x3"] += 2 * d["x0"]
+    d["x4"] = 7.0
+    d.loc[::5, "x5"] = -0.0
+    gone = {"none": np.zeros((500, 11), bool), "few": np.array([[1, 1, 0, 0, 0, 0, 0, 1, 0, 0, 0], [0] * 11, [0, 0, 1, 1, 1, 1, 1, 0, 1, 1, 0]], bool)[r.integers(0, 3, 500)], "many": r.random((500, 11)) < 0.25}[patterns]
+    gone[:, 10] = False
+    d = d.mask(gone)
+    frame_ = spark.createDataFrame(d.astype(object).where(d.notna(), None).values.tolist(), ", ".join(f"`{c}` double" for c in d)).repartition(3)
+    for (a, b), (n, rho) in association.rank_correlations(frame_, list(d)).items():
+        both = d[[a, b]].dropna()
+        assert n == len(both)
+        if n < 2 or both[a].nunique() < 2 or both[b].nunique() < 2:
+            assert rho is None
+        else:
+            assert rho == pytest.approx(both.rank().corr().iloc[0, 1], abs=1e-11)
+
+
+def test_the_state_grows_with_the_patterns_that_occur(spark, monkeypatch):
+    seen = []
+    fold = matrix.fold
+    monkeypatch.setattr(matrix, "fold", lambda df, columns, kernel, width=0: seen.append((type(kernel).__name__, width)) or fold(df, columns, kernel, width))
+    d = spark.range(60).selectExpr(*(f"IF(id % 2 = 0, NULL, double(id * {i + 1} % 17)) AS x{i}" for i in range(12)), "double(id) AS whole")
+    association.rank_correlations(d, [f"x{i}" for i in range(12)] + ["whole"])
+    association.rank_correlations(d.select("whole", (F_col("whole") * 2).alias("twice")), ["whole", "twice"])
+    assert [w for name, w in seen if name == "RankProducts"] == [2, 1]
