@@ -300,11 +300,22 @@ def chi_square_of(table: dict[tuple, int]) -> dict:
     return {"chi2": chi2, "p": special.chi2_sf(chi2, dof), "dof": dof, "v": math.sqrt(phi / room) if room > 0 else 0.0, "expected": expected, "rows": rows, "cols": cols, "n": n}
 
 
+def tables(df: DataFrame, categorical: list[str]) -> dict[tuple[str, str], dict[tuple[str, str], int]]:
+    """The counts (by pair of levels) of every pair of categorical columns over the rows that have both, from one scan."""
+    levels, codes = matrix.coded(df, categorical)
+    pairs = list(combinations(range(len(categorical)), 2))
+    got = matrix.fold(df, codes, matrix.Tables([max(1, len(v)) for v in levels], pairs)) if pairs else None
+    out = {}
+    for k, (i, j) in enumerate(pairs):
+        counts = got[k] if got else np.zeros((0, 0), np.int64)
+        out[categorical[i], categorical[j]] = {(levels[i][a], levels[j][b]): int(counts[a, b]) for a, b in zip(*np.nonzero(counts), strict=True)}
+    return out
+
+
 def contingency(df: DataFrame, categorical: list[str]) -> list[dict]:
     """Chi-square of every pair of categorical columns; Fisher's p for a sparse 2 x 2 table."""
     out = []
-    for a, b in combinations(categorical, 2):
-        table = {(r["a"], r["b"]): r["n"] for r in crosstab(df, a, b).collect()}  # at most 50 x 50 levels
+    for (a, b), table in tables(df, categorical).items():
         if sum(table.values()) < LEAST_ROWS or min(len({k[i] for k in table}) for i in (0, 1)) < 2:
             continue
         t = chi_square_of(table)

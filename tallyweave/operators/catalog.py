@@ -10,7 +10,7 @@ from pyspark.sql import types as T
 
 from tallyweave.functions.text import column, filled, identifier_name, looks_dated, looks_numeric, share
 from tallyweave.operators.quantiles import quantiles
-from tallyweave.operators.series import box_of, histograms
+from tallyweave.operators.series import column_boxes, histograms
 from tallyweave.plans.batch import total
 from tallyweave.sources.frames import Frame, number_of
 
@@ -32,6 +32,7 @@ class Column_:
     unique_ratio: float = 0.0
     coerced_from_text: bool = False
     stats: dict | None = None
+    level_counts = (0, 0, 0)  # values, and how often the commonest and the rarest of them; no part of the record
 
 
 def adjusted_skew(x: Column) -> Column:
@@ -49,10 +50,10 @@ def adjusted_kurtosis(x: Column) -> Column:
 
 
 def distinct_counts(df: DataFrame, texts: dict[str, Column]) -> DataFrame:
-    """(name, n_unique, top): distinct values of each column and the count of its commonest, by one unpivot."""
+    """(name, n_unique, top, least): distinct values of each column and the counts of its commonest and rarest, by one unpivot."""
     pairs = F.explode(F.array(*(F.struct(F.lit(n).alias("name"), c.cast("string").alias("value")) for n, c in texts.items())))
     long = df.select(pairs.alias("p")).select("p.name", "p.value").where("value is not null")
-    return long.groupBy("name", "value").count().groupBy("name").agg(F.count(F.lit(1)).alias("n_unique"), F.max("count").alias("top"))
+    return long.groupBy("name", "value").count().groupBy("name").agg(F.count(F.lit(1)).alias("n_unique"), F.max("count").alias("top"), F.min("count").alias("least"))
 
 
 def numeric_stats(df: DataFrame, columns: dict[str, Column]) -> dict[str, dict]:
@@ -78,8 +79,9 @@ def numeric_stats(df: DataFrame, columns: dict[str, Column]) -> dict[str, dict]:
         out[n][key] = value
     some = {n: x for n, x in columns.items() if out[n]}
     shown = histograms(df, some, {n: (out[n]["q1"], out[n]["q3"]) for n in some})
-    for n, x in some.items():
-        out[n]["histogram"], out[n]["box"] = shown[n], box_of(df, x, [out[n]["q1"], out[n]["median"], out[n]["q3"]])
+    drawn = column_boxes(df, some, {n: [out[n]["q1"], out[n]["median"], out[n]["q3"]] for n in some})
+    for n in some:
+        out[n]["histogram"], out[n]["box"] = shown[n], drawn.get(n)
     return out
 
 
@@ -99,15 +101,16 @@ def profile(frame: Frame) -> tuple[int, list[Column_]]:
     rows = got["", "rows"]
     coerced = {c for c in usable if got.get((c, "numeric"), 0) >= TEXT_SHARE and isinstance(kinds[c], T.StringType)}
     values = {c: number_of(frame, c, c in coerced) if c in numeric | coerced else column(c) for c in usable}
-    counts = {r["name"]: (r["n_unique"], r["top"]) for r in distinct_counts(df, values).collect()} if usable else {}
+    counts = {r["name"]: (r["n_unique"], r["top"], r["least"]) for r in distinct_counts(df, values).collect()} if usable else {}
     parsed = {r["name"]: r["top"] for r in distinct_counts(df, {c: column(c) for c in coerced}).collect()} if coerced else {}
     out, measured = [], {}
     for c in frame.columns:
         n = got[c, "n"]
         missing = (rows - n) / rows if rows else 0.0
-        unique, top = counts.get(c, (0, 0))
+        unique, top, least = counts.get(c, (0, 0, 0))
         ratio = unique / rows if rows else 0.0
         p = Column_(c, "excluded", None, rows - n, round(missing, 4), unique, round(ratio, 4), c in coerced)
+        p.level_counts = (n, top, least)
         named = identifier_name(c)
         if c not in usable:
             p.exclude_reason = "unsupported type"

@@ -16,7 +16,9 @@ from dataclasses import dataclass, field
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame
+from pyspark.sql import functions as F
 
+from tallyweave.functions.text import column
 from tallyweave.session import ship
 
 
@@ -100,6 +102,39 @@ class Pairs:
             return {"n": a["n"] + b["n"], "f": n, "mean": mean, "m2": a["m2"] + b["m2"] + d * d * both, "co": a["co"] + b["co"] + d * d.T * both, "low": np.minimum(a["low"], b["low"]), "high": np.maximum(a["high"], b["high"])}
 
 
+@dataclass
+class Tables:
+    """Counts of all pairs of codes (whole numbers from 0) of some pairs of columns, each over the rows that have both."""
+
+    sizes: list[int]
+    pairs: list[tuple[int, int]]
+
+    def of(self, x: np.ndarray) -> list[np.ndarray]:
+        here, code = ~np.isnan(x), np.nan_to_num(x).astype(np.int64)
+        out = []
+        for i, j in self.pairs:
+            both = here[:, i] & here[:, j]
+            size = self.sizes[i] * self.sizes[j]
+            out.append(np.bincount(code[both, i] * self.sizes[j] + code[both, j], minlength=size).reshape(self.sizes[i], self.sizes[j]))
+        return out
+
+    def merge(self, a: list[np.ndarray], b: list[np.ndarray]) -> list[np.ndarray]:
+        return [x + y for x, y in zip(a, b, strict=True)]
+
+
+def coded(df: DataFrame, columns: list[str]) -> tuple[list[list[str]], list[Column]]:
+    """The levels of each categorical column (as text, in order), and the column as their numbers; one pass for all.
+
+    Categorical columns have few levels (the catalog takes no others), so they are written out in the expression.
+    """
+    if not columns:
+        return [], []
+    text = [column(c).cast("string") for c in columns]
+    met = df.agg(*(F.collect_set(t).alias(f"l{i}") for i, t in enumerate(text))).first()
+    levels = [sorted(v) for v in met]
+    return levels, [F.create_map(*(F.lit(y) for i, v in enumerate(own) for y in (v, float(i))))[t] if own else F.lit(None).cast("double") for t, own in zip(text, levels, strict=True)]
+
+
 @dataclass
 class RankProducts:
     """Products of the ranks of all pairs of columns, each over the rows that have both.

@@ -86,43 +86,60 @@ def sparkline_text(counts: list[int]) -> str:
     return "".join(BLOCKS[round(c * 7 / top) if top > 0 else 0] for c in counts)
 
 
-def box_of(df: DataFrame, x: Column, quartiles: list[float] | None = None) -> dict | None:
-    """Five numbers, whiskers within 1.5 IQR, and the smallest few values beyond them."""
-    x = finite(x)
-    if quartiles is None:
-        quartiles = quantiles(df, {"x": x}, [0.25, 0.5, 0.75])["x"]
+def boxes(long: DataFrame, quartiles: dict[tuple[str, str], list[float]]) -> dict[tuple[str, str], dict]:
+    """From rows (name, level, x): five numbers, whiskers within 1.5 IQR, and the smallest few values beyond them, in two passes."""
     if not quartiles:
-        return None
-    q1, median, q3 = quartiles
-    low, high = q1 - 1.5 * (q3 - q1), q3 + 1.5 * (q3 - q1)
-    inside = F.when((x >= low) & (x <= high), x)
-    got = total(df, {"n": F.count(x), "min": F.min(x), "max": F.max(x), "lo": F.min(inside), "hi": F.max(inside)})
-    beyond = [v for (v,) in df.select(x.alias("x")).where((F.col("x") < low) | (F.col("x") > high)).orderBy("x").limit(BOX_OUTLIERS).collect()] if got["min"] < low or got["max"] > high else []
-    return {"min": got["min"], "q1": q1, "median": median, "q3": q3, "max": got["max"], "whisker_lo": got["lo"] if got["lo"] is not None else q1, "whisker_hi": got["hi"] if got["hi"] is not None else q3, "outliers": beyond, "n": got["n"]}
+        return {}
+    spark = long.sparkSession
+    fences = spark.createDataFrame([(n, v, q1 - 1.5 * (q3 - q1), q3 + 1.5 * (q3 - q1)) for (n, v), (q1, _, q3) in quartiles.items()], "name string, level string, low double, high double")
+    rows = long.where("x is not null").join(F.broadcast(fences), ["name", "level"])  # a row for a box
+    x = F.col("x")
+    outside = (x < F.col("low")) | (x > F.col("high"))
+    got = totals(rows, {"n": F.count(x), "min": F.min(x), "max": F.max(x), "lo": F.min(F.when(~outside, x)), "hi": F.max(F.when(~outside, x))}, ["name", "level"])
+    far: dict = {}
+    if any(m["min"] < q1 - 1.5 * (q3 - q1) or m["max"] > q3 + 1.5 * (q3 - q1) for k, m in got.items() for q1, _, q3 in [quartiles[k]]):
+        beyond = rows.where(outside).select("name", "level", "x", F.row_number().over(Window.partitionBy("name", "level").orderBy("x")).alias("k")).where(F.col("k") <= BOX_OUTLIERS)
+        for r in beyond.orderBy("k").collect():  # a dozen for a box
+            far.setdefault((r["name"], r["level"]), []).append(r["x"])
+    return {k: {"min": m["min"], "q1": q1, "median": median, "q3": q3, "max": m["max"], "whisker_lo": q1 if m["lo"] is None else m["lo"], "whisker_hi": q3 if m["hi"] is None else m["hi"], "outliers": far.get(k, []), "n": m["n"]} for k, m in got.items() for q1, median, q3 in [quartiles[k]]}
 
 
-def group_boxes(df: DataFrame, num: Column, cat: Column, levels: list[str]) -> list[dict]:
-    """A box for each level, in the order given; all levels together."""
-    rows = df.select(cat.cast("string").alias("level"), finite(num).alias("x")).where(F.col("level").isin(levels) & F.col("x").isNotNull())
-    quartiles = {v: q for (_, v), q in level_quantiles(rows, {"x": F.col("x")}, [0.25, 0.5, 0.75], F.col("level")).items()}
+def column_boxes(df: DataFrame, columns: dict[str, Column], quartiles: dict[str, list[float]] | None = None) -> dict[str, dict]:
+    """A box for each column that has a finite value."""
+    columns = {n: finite(x) for n, x in columns.items()}
+    if quartiles is None:
+        quartiles = {n: q for n, q in quantiles(df, columns, [0.25, 0.5, 0.75]).items() if q}
     if not quartiles:
-        return []
-    fence = lambda sign, q: F.create_map(*(F.lit(x) for v, (q1, _, q3) in quartiles.items() for x in (v, float((q3 if q else q1) + sign * 1.5 * (q3 - q1)))))[F.col("level")]
-    rows = rows.withColumns({"low": fence(-1, 0), "high": fence(1, 1)})
-    outside = (F.col("x") < F.col("low")) | (F.col("x") > F.col("high"))
-    got = totals(rows, {"n": F.count("x"), "min": F.min("x"), "max": F.max("x"), "lo": F.min(F.when(~outside, F.col("x"))), "hi": F.max(F.when(~outside, F.col("x")))}, ["level"])
-    far: dict = {}
-    beyond = rows.where(outside).select("level", "x", F.row_number().over(Window.partitionBy("level").orderBy("x")).alias("k")).where(F.col("k") <= BOX_OUTLIERS)
-    for r in beyond.orderBy("level", "k").collect():  # a dozen for a level
-        far.setdefault(r["level"], []).append(r["x"])
-    out = []
-    for v in levels:
-        if (v,) in got:
-            m, (q1, median, q3) = got[v,], quartiles[v]
-            out.append({"level": v, "min": m["min"], "q1": q1, "median": median, "q3": q3, "max": m["max"], "whisker_lo": q1 if m["lo"] is None else m["lo"], "whisker_hi": q3 if m["hi"] is None else m["hi"], "outliers": far.get(v, []), "n": m["n"]})
+        return {}
+    long = df.select(F.explode(F.array(*(F.struct(F.lit(n).alias("name"), F.lit("").alias("level"), columns[n].alias("x")) for n in quartiles))).alias("e")).select("e.*")
+    return {n: b for (n, _), b in boxes(long, {(n, ""): q for n, q in quartiles.items()}).items()}
+
+
+def box_of(df: DataFrame, x: Column) -> dict | None:
+    return column_boxes(df, {"x": x}).get("x")
+
+
+def level_boxes(df: DataFrame, wanted: dict[object, tuple[Column, Column, list[str]]]) -> dict[object, list[dict]]:
+    """For each key a box for each of its levels (numeric column, categorical column, levels in order), all keys together."""
+    out: dict = {}
+    keys = list(wanted)
+    for at in range(0, len(keys), PAIRS_AT_ONCE):
+        some = {str(i): wanted[k] for i, k in enumerate(keys[at : at + PAIRS_AT_ONCE])}
+        entry = F.array(*(F.struct(F.lit(i).alias("name"), F.when(cat.cast("string").isin(levels), cat.cast("string")).alias("level"), finite(num).alias("x")) for i, (num, cat, levels) in some.items()))
+        long = df.select(F.explode(entry).alias("e")).select("e.*").where("level is not null and x is not null")
+        key = F.concat("name", F.lit(" "), "level")
+        quartiles = {tuple(v.split(" ", 1)): q for (_, v), q in level_quantiles(long, {"x": F.col("x")}, [0.25, 0.5, 0.75], key).items()}
+        made = boxes(long, quartiles)
+        for i, k in enumerate(keys[at : at + PAIRS_AT_ONCE]):
+            out[k] = [{"level": v} | made[str(i), v] for v in wanted[k][2] if (str(i), v) in made]
     return out
 
 
+def group_boxes(df: DataFrame, num: Column, cat: Column, levels: list[str]) -> list[dict]:
+    """A box for each level, in the order given."""
+    return level_boxes(df, {"": (num, cat, levels)})[""]
+
+
 def _trend(got: dict) -> dict | None:
     if got["n"] < 3 or got["slope"] is None:
         return None
@@ -231,9 +248,8 @@ def influence_series(df: DataFrame, distance: Column, row: Column, cap: int = IN
     return influences(df, {0: distance}, row, cap)[0]
 
 
-def contingency_series(cells: DataFrame, row_var: str, col_var: str) -> dict | None:
-    """From (a, b, n): the commonest levels of either side, counts, and shares of the shown cells by row."""
-    rows = {(a, b): n for a, b, n in cells.collect()}  # levels of two categorical columns: at most 2,500
+def contingency_series(rows: dict[tuple[str, str], int], row_var: str, col_var: str) -> dict | None:
+    """From counts by pair of levels: the commonest levels of either side, counts, and shares of the shown cells by row."""
     if not rows:
         return None
     order = {}

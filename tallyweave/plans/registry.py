@@ -866,7 +866,7 @@ def influence_series(spark, sf_dir):
 
 @query(f"WITH {M}, c AS (SELECT flag AS a, echo AS b, count(*) AS n FROM m GROUP BY ALL), f AS (SELECT r.a, k.b, coalesce(n, 0) AS n FROM (SELECT DISTINCT a FROM c) r CROSS JOIN (SELECT DISTINCT b FROM c) k LEFT JOIN c ON c.a = r.a AND c.b = k.b) SELECT a, b, n, round(n::DOUBLE / sum(n) OVER (PARTITION BY a), 6) AS share FROM f")
 def contingency_series(spark, sf_dir):
-    s = series.contingency_series(association.crosstab(_mixed(spark, sf_dir), "flag", "echo"), "flag", "echo")
+    s = series.contingency_series(association.tables(_mixed(spark, sf_dir), ["flag", "echo"])["flag", "echo"], "flag", "echo")
     rows = [(a, b, s["counts"][i][j], s["row_shares"][i][j]) for i, a in enumerate(s["rows"]) for j, b in enumerate(s["cols"])]
     return _rows(spark, rows, "a string, b string, n bigint, share double").select("a", "b", "n", _r("share").alias("share"))
 

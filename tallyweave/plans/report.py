@@ -93,8 +93,10 @@ def analyze(spark: SparkSession, data: DataFrame | Frame, name: str = "table", r
     if charts:
         pairs = {e["seq"]: tuple(map(column, e["vars"])) for e in found if e["family"] == "correlation"}
         scatters = series.points_of(work, pairs, series.SCATTER_POINTS, trends=True)
+        groups = {e["seq"]: (column(e["vars"][0]), column(e["vars"][1]), [g["level"] for g in primary[e["seq"]]["extra"]["groups"]]) for e in found if e["family"] == "group_difference"}
+        drawn = scatters | series.level_boxes(work, groups)
         for e in found:
-            e["charts"] = charts_of(work, e, primary[e["seq"]], scatters.get(e["seq"]))
+            e["charts"] = charts_of(e, primary[e["seq"]], drawn.get(e["seq"]))
     types = {k: sum(p.type == k for p in columns) for k in ("numeric", "categorical", "datetime", "excluded")}
     changed = findings.sensitivity(twins).collect()
     tests = {FAMILY_NAMES[f]: sum(r["family"] == f for r in primary) for f in results.FAMILIES}
@@ -120,17 +122,16 @@ def analyze(spark: SparkSession, data: DataFrame | Frame, name: str = "table", r
     return report
 
 
-def charts_of(df: DataFrame, entry: dict, made: dict, s: dict | None) -> list[dict]:
-    """The plot series of one finding; ``s`` is the scatter of a correlation."""
+def charts_of(entry: dict, made: dict, s) -> list[dict]:
+    """The plot series of one finding; ``s`` is the scatter of a correlation or the boxes of a group difference."""
     a, b = [*entry["vars"], None][:2]
     extra = made["extra"]
     if entry["family"] == "correlation":
         return [{"type": "scatter", "x": a, "y": b, "kind": entry["kind"]} | s | ({"trend": None} if entry["kind"] == "spearman" else {})] if s else []
     if entry["family"] == "group_difference":
-        boxes = series.group_boxes(df, column(a), column(b), [g["level"] for g in extra["groups"]])
-        return [{"type": "box", "num": a, "cat": b, "groups": boxes, "higher_group": extra["higher_group"]}] if boxes else []
+        return [{"type": "box", "num": a, "cat": b, "groups": s, "higher_group": extra["higher_group"]}] if s else []
     if entry["family"] == "contingency":
-        s = series.contingency_series(association.crosstab(df, a, b), a, b)
+        s = series.contingency_series({(r, c): n for r, own in extra["table"].items() for c, n in own.items() if n}, a, b)
         return [{"type": "contingency"} | s] if s else []
     plots = {"resid_plot": {"type": "residual", "outcome": a, "bp_p": extra.get("bp_p")}, "influence_plot": {"type": "influence", "outcome": a}, "avp_plot": {"type": "added_variable", "outcome": a, "term": b}}
     return [head | extra[k] for k, head in plots.items() if extra.get(k)]
