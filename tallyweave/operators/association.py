@@ -30,7 +30,7 @@ LEAST_ROWS, LEAST_LEVEL, MOST_LEVELS, SHAPIRO_ROWS = 10, 3, 20, 5000
 ALPHA = 0.05
 #: Cells of the rank tables that are broadcast together; larger ones are joined by a shuffle.
 BROADCAST_CELLS = 4_000_000
-_MET = "__met"
+_MET, _LEVEL = "__met", "__level"
 
 
 def pair_moments(df: DataFrame, numeric: list[str]) -> dict[tuple[str, str], dict]:
@@ -195,19 +195,21 @@ def one_way(groups: list[tuple[int, float, float]]) -> tuple[float, float, float
     return f, special.f_sf(f, k - 1, n - k), between / total if total > 0 else 0.0, total
 
 
-def rank_sums(df: DataFrame, cat: str, levels: dict[str, list[str]]) -> dict[str, tuple[dict[str, tuple[int, float]], float]]:
-    """For each numeric column with its levels: rows and sum of average ranks by level, and the sum of t^3 - t over ties."""
+def rank_sums(df: DataFrame, levels: dict[tuple[str, str], list[str]]) -> dict[tuple[str, str], tuple[dict[str, tuple[int, float]], float]]:
+    """For each pair of a numeric and a categorical column with its levels: rows and sum of average ranks by level, and the sum of
+    t^3 - t over ties; from one frequency table of all pairs."""
     names = list(levels)
-    level = column(cat).cast("string")
-    entry = F.array(*(F.struct(F.lit(i).alias("c"), F.when(level.isin(levels[c]), column(c).cast("double")).alias("v")) for i, c in enumerate(names)))
-    long = df.where(level.isNotNull()).select(level.alias("level"), F.explode(entry).alias("e")).select("level", "e.*").where("v is not null")
+    entry = []
+    for i, (num, cat) in enumerate(names):
+        level = column(cat).cast("string")
+        entry.append(F.struct(F.lit(i).alias("c"), F.when(level.isin(levels[num, cat]), level).alias("level"), column(num).cast("double").alias("v")))
+    long = df.select(F.explode(F.array(*entry)).alias("e")).select("e.*").where("level is not null and v is not null")
     freq = kept(long.groupBy("c", "v", "level").agg(F.count(F.lit(1)).alias("n")), "level_values")
-    values = freq.groupBy("c", "v").agg(F.sum("n").alias("t"))
-    ranked = kept(running_ranks(values, ["c"], "v", ["t"]), "level_value_ranks")
+    ranked = kept(running_ranks(freq.groupBy("c", "v").agg(F.sum("n").alias("t")), ["c"], "v", ["t"]), "level_value_ranks")
     t = F.col("t").cast("double")
     ties = dict(ranked.groupBy("c").agg(F.sum(t * t * t - t)).collect())
     sums = freq.join(ranked.select("c", "v", "r_t"), ["c", "v"]).groupBy("c", "level").agg(F.sum("n").alias("n"), F.sum(F.col("n") * F.col("r_t")).alias("s")).collect()
-    return {c: ({r["level"]: (r["n"], r["s"]) for r in sums if r["c"] == i}, ties.get(i) or 0.0) for i, c in enumerate(names)}
+    return {pair: ({r["level"]: (r["n"], r["s"]) for r in sums if r["c"] == i}, ties.get(i) or 0.0) for i, pair in enumerate(names)}
 
 
 def kruskal(sums: dict[str, tuple[int, float]], ties: float) -> tuple[float, float]:
@@ -243,20 +245,32 @@ def shapiro_by_level(df: DataFrame, cat: str, levels: dict[str, list[str]]) -> D
 def group_differences(df: DataFrame, numeric: list[str], categorical: list[str]) -> list[dict]:
     """Welch's t for two levels, analysis of variance for more, with rank tests beside them."""
     made: dict = {}
+    if not numeric or not categorical:
+        return []
+    # a row for each categorical column, so that the levels of all of them are groups of the same passes
+    entry = F.array(*(F.concat(F.lit(f"{i} "), column(c).cast("string")) for i, c in enumerate(categorical)))
+    long = df.select(*(column(c) for c in numeric), F.explode(entry).alias(_LEVEL))
+    met = level_moments(long, numeric, _LEVEL)
+    of = {(num, cat): {v.split(" ", 1)[1]: m for v, m in met[num].items() if v.startswith(f"{i} ")} for num in numeric for i, cat in enumerate(categorical)}
+    fit = {pair: levels for pair, levels in of.items() if 2 <= len(levels) <= MOST_LEVELS and min(m["low"] for m in levels.values()) < max(m["high"] for m in levels.values())}
+    few: dict = {}
+    for (num, cat), levels in fit.items():
+        few.setdefault(num, []).extend(f"{categorical.index(cat)} {v}" for v, m in levels.items() if m["n"] <= SHAPIRO_ROWS)
+    shapiro: dict = {}
+    for r in shapiro_by_level(long, _LEVEL, {num: own for num, own in few.items() if own}).collect() if any(few.values()) else ():
+        shapiro.setdefault((r["num"], categorical[int(r["level"].split(" ", 1)[0])]), []).append(r["p"])
+    ranks = rank_sums(df, {pair: list(levels) for pair, levels in fit.items()}) if fit else {}
     for cat in categorical:
-        fit = {num: levels for num, levels in level_moments(df, numeric, cat).items() if 2 <= len(levels) <= MOST_LEVELS and min(m["low"] for m in levels.values()) < max(m["high"] for m in levels.values())}
-        few = {num: own for num, levels in fit.items() if (own := [v for v, m in levels.items() if m["n"] <= SHAPIRO_ROWS])}
-        shapiro: dict = {}
-        for r in shapiro_by_level(df, cat, few).collect() if few else ():
-            shapiro.setdefault(r["num"], []).append(r["p"])
-        ranks = rank_sums(df, cat, {num: list(levels) for num, levels in fit.items()}) if fit else {}
-        for num, levels in fit.items():
+        for num in numeric:
+            if (num, cat) not in fit:
+                continue
+            levels = fit[num, cat]
             names, groups = list(levels), list(levels.values())
             n = sum(m["n"] for m in groups)
             summary = [{"level": v, "n": m["n"], "mean": m["mean"], "std": math.sqrt(m["var"] or 0.0)} for v, m in levels.items()]
             levene = one_way([(m["n"], m["d_mean"], m["d_var"]) for m in groups])[1]
-            normal = min((p for p in shapiro.get(num, []) if p is not None and not math.isnan(p)), default=special.NAN)
-            sums, ties = ranks[num]
+            normal = min((p for p in shapiro.get((num, cat), []) if p is not None and not math.isnan(p)), default=special.NAN)
+            sums, ties = ranks[num, cat]
             checks = [assumption("equal variances (Levene)", not levene < ALPHA, f"p = {levene:.3g}"), assumption("normal groups (Shapiro)", not normal < ALPHA, f"least p = {normal:.3g}", n < 30)]
             if len(names) == 2:
                 a, b = groups

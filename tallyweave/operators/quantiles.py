@@ -11,19 +11,23 @@ from __future__ import annotations
 
 import math
 from bisect import bisect_right
+from collections.abc import Iterator
 from itertools import accumulate
 
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from tallyweave.plans.batch import kept, totals
+from tallyweave.session import ship
 from tallyweave.sources.frames import running_ranks
 
 #: Ranks of the sketch are within 1 / ACCURACY of all rows; a bracket reaches so many of these parts to either side.
 ACCURACY, REACH = 4000, 2
 #: Different values within brackets that may reach the driver; more are ranked where they are.
 LAST_VALUES = 200_000
-_LEVEL = "__level"
+_LEVEL = "__level_of"
 
 
 def quantiles(df: DataFrame, columns: dict[str, Column], probabilities: list[float]) -> dict[str, list[float] | None]:
@@ -81,35 +85,54 @@ def _brackets(at: dict[float, float], ranks: list[int], n: int, accuracy: int, l
     return out
 
 
+def _counted(rows: DataFrame, spans: dict[tuple[int, str], list[tuple[float, float]]]) -> DataFrame:
+    """(c, level, gap, v, n): how many values of a column and level lie in each gap between its brackets, and how often each value
+    within a bracket occurs (then v is set and gap null)."""
+    ship(rows.sparkSession)
+    places, levels = sorted({i for i, _ in spans}), sorted({v for _, v in spans})
+    edges = [(places.index(i), levels.index(v), i, v, np.array(b)) for (i, v), b in spans.items()]
+    kinds = [pa.int32(), pa.string(), pa.int32(), pa.float64(), pa.int64()]
+    names = ["c", "level", "gap", "v", "n"]
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        gaps: dict = {}
+        for b in batches:
+            code = b.column(0).to_numpy(zero_copy_only=False)
+            own = [np.flatnonzero(code == k) for k in range(len(levels))] if len(levels) > 1 else [slice(None)]
+            x = [c.to_numpy(zero_copy_only=False).astype(np.float64) for c in b.columns[1:]]
+            for c, k, i, v, span in edges:
+                some = x[c][own[k]]
+                some = some[~np.isnan(some)]
+                under = np.searchsorted(span[:, 1], some)  # brackets that end under the value
+                inside = (under < len(span)) & (some >= span[np.minimum(under, len(span) - 1), 0])
+                gaps[i, v] = gaps.get((i, v), 0) + np.bincount(under[~inside], minlength=len(span) + 1)
+                values, n = np.unique(some[inside], return_counts=True)
+                if len(n):
+                    yield pa.RecordBatch.from_arrays([pa.array([i] * len(n), kinds[0]), pa.array([v] * len(n)), pa.nulls(len(n), kinds[2]), pa.array(values), pa.array(n)], names)
+        told = [(i, v, g, None, int(n)) for (i, v), own in gaps.items() for g, n in enumerate(own) if n]
+        if told:
+            yield pa.RecordBatch.from_arrays([pa.array(c, kind) for c, kind in zip(zip(*told, strict=True), kinds, strict=True)], names)
+
+    numbered = F.create_map(*(F.lit(y) for k, v in enumerate(levels) for y in (v, k)))[F.col(_LEVEL)] if len(levels) > 1 else F.lit(0)
+    made = rows.select(numbered.alias("code"), *(f"x{i}" for i in places)).mapInArrow(run, "c int, level string, gap int, v double, n bigint")
+    return made.groupBy("c", "level", "gap", "v").agg(F.sum("n").alias("n"))
+
+
 def _settled(rows: DataFrame, wanted: dict, last_values: int) -> dict[tuple[int, str], dict[int, float]]:
     """The value at each wanted rank that its column's brackets hold, by one pass over the rows."""
-    entries = []
-    for i in sorted({i for i, _ in wanted}):
-        x = F.col(f"x{i}")
-        own = {v: brackets for (c, v), (_, _, brackets) in wanted.items() if c == i}
-        most = max(map(len, own.values()))
-        edge = lambda side, k, own=own: F.create_map(*(F.lit(y) for v, b in own.items() for y in (v, float(b[min(k, len(b) - 1)][side]))))[F.col(_LEVEL)]
-        place = F.lit(None).cast("double")  # the value itself within a bracket
-        for k in range(most):
-            place = F.when((x >= edge(0, k)) & (x <= edge(1, k)), x).otherwise(place)
-        under = F.lit(0)  # how many brackets lie under a value that none holds
-        for k in range(most):
-            under = under + F.when(F.lit(k) < F.create_map(*(F.lit(y) for v, b in own.items() for y in (v, len(b))))[F.col(_LEVEL)], (x > edge(1, k)).cast("int")).otherwise(0)
-        entries.append(F.struct(F.lit(i).alias("c"), F.when(place.isNull(), under).alias("gap"), place.alias("v"), x.isNotNull().alias("there")))
-    if not entries:
+    if not wanted:
         return {}
-    long = rows.select(F.col(_LEVEL).alias("level"), F.explode(F.array(*entries)).alias("e")).select("level", "e.*").where("there")
-    counts = long.groupBy("c", "level", "gap", "v").agg(F.count(F.lit(1)).alias("n"))
-    counts = kept(counts, "brackets")
-    gaps: dict = {}
-    for r in counts.where("gap is not null").collect():  # a row for each column, level and gap between brackets
-        gaps.setdefault((r["c"], r["level"]), {})[r["gap"]] = r["n"]
+    counts = kept(_counted(rows, {k: brackets for k, (_, _, brackets) in wanted.items()}), "brackets")
     held = counts.where("gap is null")
-    many = held.groupBy("c", "level").count().collect()
-    if sum(r["count"] for r in many) <= last_values:
-        values: dict = {}
-        for r in held.select("c", "level", "v", "n").collect():
+    few = counts.count() <= last_values
+    gaps: dict = {}
+    values: dict = {}
+    for r in (counts if few else counts.where("gap is not null")).collect():  # a row for each column, level and gap, and a few values
+        if r["gap"] is None:
             values.setdefault((r["c"], r["level"]), []).append((r["v"], r["n"]))
+        else:
+            gaps.setdefault((r["c"], r["level"]), {})[r["gap"]] = r["n"]
+    if few:
         return {k: _picked(ranks, brackets, gaps.get(k, {}), sorted(values.get(k, []))) for k, (_, ranks, brackets) in wanted.items()}
     ranked = running_ranks(held, ["c", "level"], "v", ["n"])
     out: dict = {k: {} for k in wanted}

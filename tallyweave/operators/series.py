@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import math
+from collections import Counter
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
@@ -168,10 +169,17 @@ def drawn(df: DataFrame, cap: int, by: Column) -> DataFrame:
     return df.orderBy(F.xxhash64(by, F.lit(SEED)), by).limit(cap)
 
 
-def drawn_by_key(long: DataFrame, cap: int, by: Column) -> DataFrame:
-    """The same for the rows of each ``key``."""
-    place = F.row_number().over(Window.partitionBy("key").orderBy(F.xxhash64(by, F.lit(SEED)), by))
-    return long.withColumn("place", place).where(F.col("place") <= cap).drop("place")
+def drawn_by_key(long: DataFrame, cap: int, by: Column, sizes: dict[int, int]) -> list:
+    """The same for the rows of each ``key``, which has so many rows; sorted are only rows whose hash is small, unless they are too few."""
+    place = F.row_number().over(Window.partitionBy("key").orderBy("hash_", by))
+    hashed = long.withColumn("hash_", F.xxhash64(by, F.lit(SEED)))
+    bounds = F.create_map(*(F.lit(v) for k, n in sizes.items() for v in (k, min(2**63 - 1, int(min(1.0, (4 * cap + 100) / n) * 2**64) - 2**63))))[F.col("key")]
+    for some in (hashed.where(F.col("hash_") <= bounds), hashed):
+        rows = some.withColumn("place", place).where(F.col("place") <= cap).drop("place", "hash_").collect()  # at most ``cap`` for a key
+        met = Counter(r["key"] for r in rows)
+        if all(met[k] >= min(cap, n) for k, n in sizes.items()):
+            break
+    return rows
 
 
 def _long(df: DataFrame, entries: dict[int, dict[str, Column]]) -> DataFrame:
@@ -206,7 +214,7 @@ def points_of(df: DataFrame, pairs: dict[object, tuple[Column, Column]], cap: in
         outside = {i: F.count_if((F.col(f"x{i}") < limits[i, "x"][0]) | (F.col(f"x{i}") > limits[i, "x"][1]) | (F.col(f"y{i}") < limits[i, "y"][0]) | (F.col(f"y{i}") > limits[i, "y"][1])) for i in some}
         clipped = total(rows, outside)
         shown: dict = {i: [] for i in some}
-        for r in drawn_by_key(_long(rows, {i: {"x": F.col(f"x{i}"), "y": F.col(f"y{i}")} for i in some}), cap, F.struct("x", "y")).collect():  # at most ``cap`` for a key
+        for r in drawn_by_key(_long(rows, {i: {"x": F.col(f"x{i}"), "y": F.col(f"y{i}")} for i in some}), cap, F.struct("x", "y"), {i: ends[i, "n"] for i in some}):
             shown[r["key"]].append([r["x"], r["y"]])
         for i, key in some.items():
             n = ends[i, "n"]
@@ -236,7 +244,7 @@ def influences(df: DataFrame, distances: dict[object, Column], row: Column, cap:
     long = _long(rows, {i: {"row": F.col("row"), "d": F.col(f"d{i}")} for i in some})
     top = long.withColumn("place", F.row_number().over(Window.partitionBy("key").orderBy(F.desc("d"), "row"))).where(F.col("place") <= INFLUENCE_TOP).drop("place")
     shown: dict = {i: set() for i in some}
-    for r in top.unionByName(drawn_by_key(long, cap, F.col("row"))).collect():  # at most ``cap`` and the largest for a key
+    for r in [*top.collect(), *drawn_by_key(long, cap, F.col("row"), {i: got[i, "n"] for i in some})]:  # at most ``cap`` and the largest for a key
         shown[r["key"]].add((r["row"], r["d"]))
     for i, key in some.items():
         n = got[i, "n"]

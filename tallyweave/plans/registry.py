@@ -528,7 +528,7 @@ _RANKED = "rk AS (SELECT {cat} AS level, (rank() OVER (ORDER BY {num}) + (count(
 def mann_whitney(spark, sf_dir):
     d = _mixed(spark, sf_dir)
     names = list(_two(spark, sf_dir))
-    sums, ties = association.rank_sums(d, "status", {"score": names})["score"]
+    sums, ties = association.rank_sums(d, {("score", "status"): names})["score", "status"]
     n, s = sums[names[0]]
     u = s - n * (n + 1) / 2
     return _rows(spark, [(u, special.mann_whitney_p(u, n, sums[names[1]][0], ties))], "u double, p double").select("u", _r("p").alias("p"))
@@ -553,7 +553,7 @@ def eta_squared(spark, sf_dir):
 
 @query(with_p(f"{M}, {_RANKED.format(cat='flag', num='score')}", "SELECT 'h' AS id, 'chi2' AS kind, (12 / (any_value(tie.n) * (any_value(tie.n) + 1)) * sum(s.s * s.s / s.n) - 3 * (any_value(tie.n) + 1)) / (1 - any_value(t) / (pow(any_value(tie.n), 3) - any_value(tie.n))) AS stat, (count(*) - 1)::DOUBLE AS d1, 1.0::DOUBLE AS d2 FROM s, tie", "SELECT round(stat, 4) AS h, round(p, 6) AS p FROM tests JOIN pv USING (id)"))
 def kruskal(spark, sf_dir):
-    h, p = association.kruskal(*association.rank_sums(_mixed(spark, sf_dir), "flag", {"score": ["A", "N", "R"]})["score"])
+    h, p = association.kruskal(*association.rank_sums(_mixed(spark, sf_dir), {("score", "flag"): ["A", "N", "R"]})["score", "flag"])
     return _rows(spark, [(h, p)], "h double, p double").select(_r("h", 4).alias("h"), _r("p").alias("p"))
 
 
