@@ -20,7 +20,7 @@ from tallyweave.functions.text import column
 from tallyweave.operators import matrix
 from tallyweave.operators.quality import welch
 from tallyweave.operators.quantiles import level_quantiles
-from tallyweave.operators.results import assumption, result, signed
+from tallyweave.operators.results import Assumption, result, signed
 from tallyweave.plans.batch import kept, total, totals
 from tallyweave.session import ship
 from tallyweave.sources.frames import running_ranks
@@ -150,7 +150,7 @@ def correlations(df: DataFrame, numeric: list[str], stats: dict[str, dict]) -> l
         ranks = uneven[a] or uneven[b]
         value = rho if ranks else r
         agrees = (r > 0) - (r < 0) == (rho > 0) - (rho < 0) and (p < ALPHA) == (q < ALPHA)
-        out.append(result("correlation", "spearman" if ranks else "pearson", [a, b], m["n"], value, q if ranks else p, "spearman_rho" if ranks else "r", value, signed(value), [assumption("linear, without extreme skew", not ranks, "ranks were used because a column is skewed or has extremes")], agrees, pearson_r=r, pearson_p=p, spearman_rho=rho, spearman_p=q))
+        out.append(result("correlation", "spearman" if ranks else "pearson", [a, b], m["n"], value, q if ranks else p, "spearman_rho" if ranks else "r", value, signed(value), [Assumption("linear, without extreme skew", not ranks, "ranks were used because a column is skewed or has extremes")], agrees, pearson_r=r, pearson_p=p, spearman_rho=rho, spearman_p=q))
     return out
 
 
@@ -271,7 +271,7 @@ def group_differences(df: DataFrame, numeric: list[str], categorical: list[str])
             levene = one_way([(m["n"], m["d_mean"], m["d_var"]) for m in groups])[1]
             normal = min((p for p in shapiro.get((num, cat), []) if p is not None and not math.isnan(p)), default=special.NAN)
             sums, ties = ranks[num, cat]
-            checks = [assumption("equal variances (Levene)", not levene < ALPHA, f"p = {levene:.3g}"), assumption("normal groups (Shapiro)", not normal < ALPHA, f"least p = {normal:.3g}", n < 30)]
+            checks = [Assumption("equal variances (Levene)", not levene < ALPHA, f"p = {levene:.3g}"), Assumption("normal groups (Shapiro)", not normal < ALPHA, f"least p = {normal:.3g}", n < 30)]
             if len(names) == 2:
                 a, b = groups
                 t, _, p = welch(a["n"], a["mean"], a["var"], b["n"], b["mean"], b["var"])
@@ -338,5 +338,5 @@ def contingency(df: DataFrame, categorical: list[str]) -> list[dict]:
         if low and len(t["rows"]) == len(t["cols"]) == 2:
             kind, p = "fisher_exact", special.fisher_2x2(*(table.get((r, c), 0) for r in t["rows"] for c in t["cols"]))
         cells = {r: {c: table.get((r, c), 0) for c in t["cols"]} for r in t["rows"]}
-        out.append(result("contingency", kind, [a, b], t["n"], t["chi2"], p, "cramers_v", t["v"], "none", [assumption("expected counts of 5 or more", not low, f"{low} cell(s) under 5", low > 0)], None, chi2=t["chi2"], dof=t["dof"], min_expected=min(t["expected"]), low_expected_cells=low, table=cells))
+        out.append(result("contingency", kind, [a, b], t["n"], t["chi2"], p, "cramers_v", t["v"], "none", [Assumption("expected counts of 5 or more", not low, f"{low} cell(s) under 5", low > 0)], None, chi2=t["chi2"], dof=t["dof"], min_expected=min(t["expected"]), low_expected_cells=low, table=cells))
     return out

@@ -22,7 +22,7 @@ from tallyweave.functions import special
 from tallyweave.functions.text import column
 from tallyweave.operators import matrix, series
 from tallyweave.operators.association import pair_moments
-from tallyweave.operators.results import assumption, result, signed
+from tallyweave.operators.results import Assumption, result, signed
 from tallyweave.plans.batch import kept
 from tallyweave.session import ship
 
@@ -340,11 +340,11 @@ def regressions(df: DataFrame, numeric: list[str], categorical: list[str], n_tot
         f = solved[outcome]
         collinear, uneven = f.vif_max > 10, f.bp_p < ALPHA
         checks = [
-            assumption("even residuals (Breusch-Pagan)", not uneven, f"p = {f.bp_p:.3g}", True),
-            assumption("normal residuals (Shapiro)", not f.shapiro_p < ALPHA, f"p = {f.shapiro_p:.3g}"),
-            assumption("no strong collinearity", not collinear, f"largest VIF {f.vif_max:.1f}", math.isfinite(f.vif_max) and f.vif_max > 100),
-            assumption("no dominant row", not f.cooks_max > 4 / n, f"largest Cook's distance {f.cooks_max:.3g}", f.cooks_max > 1),
-            assumption("not a near-perfect fit", f.adj_r2 < 0.999, f"adjusted R² {f.adj_r2:.4f}; look for derived columns", f.adj_r2 >= 0.9999),
+            Assumption("even residuals (Breusch-Pagan)", not uneven, f"p = {f.bp_p:.3g}", True),
+            Assumption("normal residuals (Shapiro)", not f.shapiro_p < ALPHA, f"p = {f.shapiro_p:.3g}"),
+            Assumption("no strong collinearity", not collinear, f"largest VIF {f.vif_max:.1f}", math.isfinite(f.vif_max) and f.vif_max > 100),
+            Assumption("no dominant row", not f.cooks_max > 4 / n, f"largest Cook's distance {f.cooks_max:.3g}", f.cooks_max > 1),
+            Assumption("not a near-perfect fit", f.adj_r2 < 0.999, f"adjusted R² {f.adj_r2:.4f}; look for derived columns", f.adj_r2 >= 0.9999),
         ]
         plots = {k: shown[outcome, k] for k in ("resid_plot", "influence_plot") if (outcome, k) in shown}
         models.append(result("regression_model", "ols", [outcome], n, f.f, f.f_p, "adj_r2", f.adj_r2, "none", checks, None, r2=f.r2, adj_r2=f.adj_r2, f=f.f, f_p=f.f_p, bp_p=f.bp_p, shapiro_resid_p=f.shapiro_p, cooks_max=f.cooks_max, vif_max=f.vif_max, n_predictors=len(f.names), n_drop_frac=1 - n / n_total if n_total else 0.0, note=note[outcome], **plots))
@@ -353,9 +353,9 @@ def regressions(df: DataFrame, numeric: list[str], categorical: list[str], n_tot
             std = est * float(f.sd[i]) / f.sd_y if f.sd_y else special.NAN
             wild = abs(std) > 1.5
             terms = [
-                assumption("identifiable coefficients (no strong collinearity)", not collinear, f"the model's largest VIF is {f.vif_max:.1f}", collinear and math.isfinite(f.vif_max)),
-                assumption("even residuals", not uneven, f"the model's p = {f.bp_p:.3g}"),
-                assumption("plausible coefficient", not wild, f"standardised β = {std:.2f}", wild),
+                Assumption("identifiable coefficients (no strong collinearity)", not collinear, f"the model's largest VIF is {f.vif_max:.1f}", collinear and math.isfinite(f.vif_max)),
+                Assumption("even residuals", not uneven, f"the model's p = {f.bp_p:.3g}"),
+                Assumption("plausible coefficient", not wild, f"standardised β = {std:.2f}", wild),
             ]
             partial = {"avp_plot": shown[outcome, term, "avp_plot"]} if (outcome, term, "avp_plot") in shown else {}
             coefficients.append(result("regression_coefficient", "coef", [outcome, term], n, est / se if se else special.NAN, _p_of(f, i), "std_beta", std, signed(est), terms, None, estimate=est, std_error=se, ci_low=est - 1.959963984540054 * se, ci_high=est + 1.959963984540054 * se, outcome=outcome, model_adj_r2=f.adj_r2, model_vif_max=f.vif_max, **partial))

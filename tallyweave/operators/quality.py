@@ -7,7 +7,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
@@ -71,6 +71,16 @@ def located(frame: Frame, wanted: dict, identifier: str | None) -> dict[object,
     return out
 
 
+def beyond(x: Column, q1: float, q3: float, reach: float) -> Column:
+    """Whether a value lies more than so many interquartile ranges outside the quartiles."""
+    return (x < q1 - reach * (q3 - q1)) | (x > q3 + reach * (q3 - q1))
+
+
+def level_issues(n: int, top: int, least: int) -> tuple[bool, bool]:
+    """Whether one level has nearly all values, and whether a level is rare."""
+    return n > 0 and top / n > 0.9, least < 5
+
+
 def welch(n1: int, m1: float, v1: float, n2: int, m2: float, v2: float) -> tuple[float, float, float]:
     """t, degrees of freedom and two-sided p of two samples with variances v."""
     a, b = v1 / n1, v2 / n2
@@ -143,8 +153,8 @@ def issues_of(frame: Frame, rows: int, columns: list[Column_]) -> list[dict]:
         s = p.stats or {}
         outer[p.name] = next((k for k in (5, 3) if s.get(f"n_outliers_{k}iqr")), None)
         if outer[p.name]:
-            x, reach = number_of(frame, p.name, p.coerced_from_text), outer[p.name] * (s["q3"] - s["q1"])
-            where[p.name, "far"] = (x < s["q1"] - reach) | (x > s["q3"] + reach), x
+            x = number_of(frame, p.name, p.coerced_from_text)
+            where[p.name, "far"] = beyond(x, s["q1"], s["q3"], outer[p.name]), x
     places = located(frame, where, identifier)
 
     def at(key, most: int | None = None) -> dict:
@@ -186,9 +196,10 @@ def issues_of(frame: Frame, rows: int, columns: list[Column_]) -> list[dict]:
                 add("low", "heavy_tails", f"{p.name} has heavy tails (excess kurtosis {s['kurtosis']:.2f}).", p.name)
         if p.type == "categorical":
             size, high, low = p.level_counts
-            if high / size > 0.9:
+            imbalanced, rare = level_issues(size, high, low)
+            if imbalanced:
                 add("medium", "class_imbalance", f"{high / size:.0%} of {p.name} is one level.", p.name)
-            if low < 5:
+            if rare:
                 add("medium", "rare_category", f"A level of {p.name} has only {low} row(s).", p.name)
     same = duplicate_rows(frame.df, frame.columns).first()[0]
     if same > 1:

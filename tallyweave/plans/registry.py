@@ -28,6 +28,7 @@ TEXTS = """SELECT o_orderkey AS k, CASE WHEN o_orderkey % 13 = 0 THEN 'none' WHE
  CASE WHEN o_orderkey >= 1000 THEN concat(CAST(CAST(floor(o_orderkey / 1000) AS BIGINT) AS STRING), ',', lpad(CAST(CAST(o_orderkey % 1000 AS BIGINT) AS STRING), 3, '0')) ELSE CAST(CAST(o_orderkey AS BIGINT) AS STRING) END AS commas,
  CASE WHEN o_orderkey % 5 = 0 THEN 'soon' ELSE CAST(CAST(o_orderdate AS DATE) AS STRING) END AS dated FROM {orders}"""
 NUMERIC, CATEGORICAL = ["qty", "price", "disc", "tax", "planted", "score", "wild"], ["flag", "status", "echo", "holed"]
+_COLS = [*NUMERIC, *CATEGORICAL]
 _TABLES = ("lineitem", "orders", "events", "documents", "labels", "part", "customer")
 
 _queries: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -165,9 +166,14 @@ def cast_categorical(spark, sf_dir):
     return _mixed(spark, sf_dir).select("l_orderkey", "l_linenumber", modelling.category(F.col("holed")).alias("level"))
 
 
-@query("SELECT * FROM (VALUES ('event_id', true), ('userId', true), ('l_orderkey', false), ('body mass index', true), ('video', false), ('Account No', true), ('paid', false)) v(name, looks_like_id)")
+_NAMES = "CASE n_nationkey % 9 WHEN 0 THEN n_name || '_id' WHEN 1 THEN 'the' || n_name || 'Id' WHEN 2 THEN n_name || ' Account No' WHEN 3 THEN 'video ' || n_name WHEN 4 THEN n_name || ' body mass index' WHEN 5 THEN 'UUID.' || n_name WHEN 6 THEN n_name || 'id' WHEN 7 THEN 'paid ' || n_name || ' idea' ELSE lower(n_name) || 'OrderId' END"
+
+
+@query(f"""WITH n AS (SELECT {_NAMES} AS name FROM nation), w AS (SELECT name, regexp_extract_all(lower(regexp_replace(name, '([a-z])([A-Z])', '\\1 \\2', 'g')), '[a-z0-9]+') AS w FROM n)
+SELECT name, list_has_any(w, ['id', 'uuid', 'guid', 'identifier']) OR regexp_matches(array_to_string(w, ' '), 'student id|user id|order id|record id|customer id|account number|account no|row id|index') AS looks_like_id FROM w""")
 def id_name_heuristic(spark, sf_dir):
-    names = ("event_id", "userId", "l_orderkey", "body mass index", "video", "Account No", "paid")
+    """Row 19: names made of the nations' names."""
+    names = [r[0] for r in _table(spark, sf_dir, "nation").selectExpr(f"{_NAMES} AS name").collect()]  # 25 names of columns
     return spark.createDataFrame([(n, identifier_name(n)) for n in names], "name string, looks_like_id boolean")
 
 
@@ -226,9 +232,8 @@ def missing_rows(spark, sf_dir):
 
 @query(f"WITH {M}, k AS (SELECT flag, status FROM m WHERE price IS NOT NULL GROUP BY ALL HAVING count(*) >= 3) SELECT flag, status, count(*) AS n FROM m SEMI JOIN k USING (flag, status) WHERE price IS NOT NULL GROUP BY ALL")
 def group_level_semi_filter(spark, sf_dir):
-    d = _mixed(spark, sf_dir).where("price is not null")
-    levels = d.groupBy("flag", "status").count().where(F.col("count") >= association.LEAST_LEVEL).select("flag", "status")
-    return d.join(levels, ["flag", "status"], "left_semi").groupBy("flag", "status").agg(F.count(F.lit(1)).alias("n"))
+    levels = association.level_moments(_mixed(spark, sf_dir).withColumn("both", F.concat("flag", F.lit("|"), "status")), ["price"], "both")["price"]
+    return spark.createDataFrame([(*v.split("|"), m["n"]) for v, m in levels.items()], "flag string, status string, n bigint")
 
 
 _Q = "q AS (SELECT quantile_cont(wild, 0.25) AS q1, quantile_cont(wild, 0.75) AS q3 FROM m)"
@@ -237,21 +242,22 @@ _Q = "q AS (SELECT quantile_cont(wild, 0.25) AS q1, quantile_cont(wild, 0.75) AS
 @query(f"WITH {M}, {_Q} SELECT l_orderkey, l_linenumber, round(wild, 4) AS wild FROM m, q WHERE wild < q1 - 1.5 * (q3 - q1) OR wild > q3 + 1.5 * (q3 - q1)")
 def tukey_outliers(spark, sf_dir):
     d = _mixed(spark, sf_dir)
-    q1, q3 = quantiles(d, {"x": F.col("wild")}, [0.25, 0.75])["x"]
-    w = F.col("wild")
-    return d.where((w < q1 - 1.5 * (q3 - q1)) | (w > q3 + 1.5 * (q3 - q1))).select("l_orderkey", "l_linenumber", _r(w, 4).alias("wild"))
+    q1, _, q3 = quantiles(d, {"x": F.col("wild")}, [0.25, 0.5, 0.75])["x"]
+    return d.where(quality.beyond(F.col("wild"), q1, q3, 1.5)).select("l_orderkey", "l_linenumber", _r("wild", 4).alias("wild"))
 
 
-@query(_long([f"SELECT '{a}' AS a, '{b}' AS b" for i, a in enumerate(NUMERIC) for b in NUMERIC[i + 1 :]]))
+@query(f"WITH {M} " + _long([f"SELECT '{a}' AS a, '{b}' AS b, count(*) AS n, min({a})::DOUBLE AS least_a, max({b})::DOUBLE AS most_b FROM m WHERE {a} IS NOT NULL AND {b} IS NOT NULL" for i, a in enumerate(NUMERIC) for b in NUMERIC[i + 1 :]]))
 def column_pairs(spark, sf_dir):
-    from itertools import combinations
+    """Row 38: every pair of numeric columns, each over the rows that have both."""
+    got = association.pair_moments(_mixed(spark, sf_dir), NUMERIC)
+    return spark.createDataFrame([(a, b, m["n"], m["x0"], m["y1"]) for (a, b), m in got.items()], "a string, b string, n bigint, least_a double, most_b double")
 
-    return spark.createDataFrame(list(combinations(NUMERIC, 2)), "a string, b string")
 
-
-@query(_long([f"SELECT '{a}' AS num, '{b}' AS cat" for a in NUMERIC for b in CATEGORICAL]))
+@query(f"WITH {M} " + _long([f"SELECT '{a}' AS num, '{b}' AS cat, sum(n)::BIGINT AS n, count(*) AS n_levels FROM (SELECT count({a}) AS n FROM m WHERE {b} IS NOT NULL GROUP BY {b} HAVING count({a}) >= 3) HAVING count(*) BETWEEN 2 AND 20" for a in NUMERIC for b in CATEGORICAL]))
 def num_cat_pairs(spark, sf_dir):
-    return spark.createDataFrame([(a, b) for a in NUMERIC for b in CATEGORICAL], "num string, cat string")
+    """Row 39: every numeric column with every categorical one that has levels enough for a test."""
+    made = association.group_differences(_mixed(spark, sf_dir).select(*NUMERIC, *CATEGORICAL), NUMERIC, CATEGORICAL)
+    return spark.createDataFrame([(*r["vars"], r["n"], len(r["extra"]["groups"])) for r in made], "num string, cat string, n bigint, n_levels bigint")
 
 
 # profiling
@@ -261,7 +267,6 @@ def _profile_frame(spark, sf_dir):
     return from_dataframe(_mixed(spark, sf_dir).select(*NUMERIC, *CATEGORICAL))
 
 
-_COLS = [*NUMERIC, *CATEGORICAL]
 
 
 @query(f"WITH {M} " + _long([f"SELECT '{c}' AS name, count(*) - count({c}) AS n_missing, round_even((count(*) - count({c}))::DOUBLE / count(*), 4) AS pct FROM m" for c in _COLS]))
@@ -362,9 +367,10 @@ def value_counts(spark, sf_dir):
 
 @query(f"WITH {M}, c AS (SELECT near_constant, count(*) AS n FROM m GROUP BY 1) SELECT round(max(n)::DOUBLE / sum(n), 6) AS top, min(n) AS least, max(n)::DOUBLE / sum(n) > 0.9 AS imbalanced, min(n) < 5 AS rare FROM c")
 def class_imbalance(spark, sf_dir):
-    c = _mixed(spark, sf_dir).groupBy("near_constant").agg(F.count(F.lit(1)).alias("n"))
-    top = F.max("n").cast("double") / F.sum("n")
-    return c.agg(_r(top).alias("top"), F.min("n").alias("least"), (top > 0.9).alias("imbalanced"), (F.min("n") < 5).alias("rare"))
+    p = catalog.profile(from_dataframe(_mixed(spark, sf_dir).select("near_constant")))[1][0]
+    n, top, least = p.level_counts
+    imbalanced, rare = quality.level_issues(n, top, least)
+    return _rows(spark, [(top / n, least, imbalanced, rare)], "top double, least bigint, imbalanced boolean, rare boolean").withColumn("top", _r("top"))
 
 
 @query("WITH d AS (SELECT l_returnflag, l_linestatus, l_quantity, l_tax FROM lineitem) SELECT coalesce(sum(c), 0)::BIGINT AS n_duplicates FROM (SELECT count(*) AS c FROM d GROUP BY l_returnflag, l_linestatus, l_quantity, l_tax HAVING count(*) > 1)")
@@ -378,7 +384,10 @@ def crosstab(spark, sf_dir):
     return association.crosstab(_mixed(spark, sf_dir), "flag", "echo")
 
 
-@query("SELECT * FROM (VALUES ('numeric', 7::BIGINT), ('categorical', 4::BIGINT)) v(type, n)")
+_TYPES = _long([f"SELECT CASE WHEN count({c}) < 0.5 * count(*) OR count(DISTINCT {c}) <= 1 OR (SELECT max(n) FROM (SELECT count(*) AS n FROM m WHERE {c} IS NOT NULL GROUP BY {c})) >= 0.99 * count({c}) THEN 'excluded' " + ("ELSE 'numeric'" if c in NUMERIC else f"WHEN count(DISTINCT {c}) > 50 OR count(DISTINCT {c}) >= 0.5 * count(*) THEN 'excluded' ELSE 'categorical'") + " END AS type FROM m" for c in _COLS])
+
+
+@query(f"WITH {M}, t AS ({_TYPES}) SELECT type, count(*) AS n FROM t GROUP BY type")
 def type_counts(spark, sf_dir):
     return catalog.type_counts(catalog.as_frame(spark, catalog.profile(_profile_frame(spark, sf_dir))[1]))
 
@@ -430,7 +439,7 @@ def _docs(spark, sf_dir):
 
 
 _issue_query("missing_column", "dq_missing_column", f"WITH {M} " + _long([f"""SELECT CASE WHEN p > 0.5 THEN 'high' WHEN p > 0.2 THEN 'medium' ELSE 'low' END AS severity, 'missing_column' AS kind, '{c}' AS "column" FROM (SELECT round_even((count(*) - count({c}))::DOUBLE / count(*), 4) AS p FROM m) WHERE p > 0""" for c in _COLS]))
-_issue_query("constant_column|near_constant_column", "dq_constant", """SELECT 'low' AS severity, 'constant_column' AS kind, 'same' AS "column" """, _docs)
+_issue_query("constant_column|near_constant_column", "dq_constant", "WITH d AS (SELECT d.*, l.quality, 'x' AS same FROM documents d LEFT JOIN labels l USING (doc_id)) " + _long([f"""SELECT 'low' AS severity, CASE WHEN count(DISTINCT {c}) = 1 THEN 'constant_column' ELSE 'near_constant_column' END AS kind, '{c}' AS "column" FROM d HAVING count({c}) >= 0.5 * count(*) AND (count(DISTINCT {c}) = 1 OR (SELECT max(n) FROM (SELECT count(*) AS n FROM d WHERE {c} IS NOT NULL GROUP BY {c})) >= 0.99 * count({c}))""" for c in ("lang", "source", "n_chars", "quality", "same")]), _docs)
 _issue_query("excluded_column", "dq_excluded", """SELECT 'low' AS severity, 'excluded_column' AS kind, name AS "column" FROM (SELECT 'o_orderdate' AS name FROM orders HAVING any_value(typeof(o_orderdate)) LIKE 'TIMESTAMP%')""", lambda s, d: _table(s, d, "orders").select("o_orderdate", "o_orderstatus", "o_totalprice"))
 _issue_query("coerced_type", "dq_coerced", f"""WITH {T} SELECT 'low' AS severity, 'coerced_type' AS kind, 'commas' AS "column" FROM t HAVING count(*) FILTER (regexp_matches(trim(commas), '^[+-]?(\\d{{1,3}}(,\\d{{3}})+|\\d+)(\\.\\d+)?([eE][+-]?\\d+)?$')) >= 0.9 * count(*) FILTER (trim(commas) <> '')""", lambda s, d: _from(s, d, TEXTS).select("commas", "dated"))
 _issue_query("extreme_values|outliers", "dq_outliers", f"""WITH {M} """ + _long([f"""SELECT CASE WHEN n5 > 0 THEN 'medium' ELSE 'low' END AS severity, CASE WHEN n5 > 0 THEN 'extreme_values' ELSE 'outliers' END AS kind, '{c}' AS "column" FROM (SELECT count(*) FILTER ({c} < q1 - 5 * (q3 - q1) OR {c} > q3 + 5 * (q3 - q1)) AS n5, count(*) FILTER ({c} < q1 - 3 * (q3 - q1) OR {c} > q3 + 3 * (q3 - q1)) AS n3 FROM m, (SELECT quantile_cont({c}, 0.25) AS q1, quantile_cont({c}, 0.75) AS q3 FROM m)) WHERE n3 > 0""" for c in NUMERIC]))
@@ -440,7 +449,10 @@ _issue_query("sample_size", "dq_sample_size", """SELECT 'high' AS severity, 'sam
 _issue_query("wide_data", "dq_wide", """SELECT 'high' AS severity, 'wide_data' AS kind, NULL::VARCHAR AS "column" FROM region HAVING count(*) BETWEEN 1 AND 6""", lambda s, d: _table(s, d, "region").select(*((F.col("r_regionkey") * (i + 1) + i % 3).alias(f"v{i}") for i in range(6))))
 
 
-@query("SELECT * FROM (VALUES ('high', 1::BIGINT), ('low', 2::BIGINT), ('medium', 1::BIGINT)) v(severity, n)")
+@query("""WITH r AS (SELECT r_name, 'k' AS c, CASE WHEN r_regionkey > 1 THEN r_regionkey::DOUBLE END AS v FROM region), i AS (SELECT 'high' AS severity FROM r HAVING count(*) < 30
+UNION ALL SELECT CASE WHEN p > 0.5 THEN 'high' WHEN p > 0.2 THEN 'medium' ELSE 'low' END FROM (SELECT avg((v IS NULL)::INT) AS p FROM r) WHERE p > 0 UNION ALL SELECT 'low' FROM r HAVING count(DISTINCT c) = 1
+UNION ALL SELECT 'low' FROM r HAVING count(DISTINCT r_name) >= 0.95 * count(*) UNION ALL SELECT CASE WHEN abs(s) > 2 THEN 'medium' ELSE 'low' END FROM (SELECT skewness(v) AS s FROM r) WHERE abs(s) > 1
+UNION ALL SELECT 'medium' FROM (SELECT count(*) AS n FROM r GROUP BY r_name, c, v HAVING count(*) > 1) HAVING count(*) > 0) SELECT severity, count(*) AS n FROM i GROUP BY severity""")
 def dq_issues(spark, sf_dir):
     """Row 80: severities of all issues of a frame of five regions with a constant and a text-number."""
     d = _table(spark, sf_dir, "region").select("r_name", F.lit("k").alias("c"), F.when(F.col("r_regionkey") > 1, F.col("r_regionkey").cast("double")).alias("v"))
@@ -503,6 +515,26 @@ def correlation_sweep(spark, sf_dir):
     return _rows(spark, rows, "a string, b string, kind string, n bigint, effect double, p double, direction string").select("a", "b", "kind", "n", _r("effect").alias("effect"), _r("p").alias("p"), "direction")
 
 
+@query(f"SELECT a, b, sign(x.r) = sign(y.rho) AND (x.p < 0.05) = (y.p < 0.05) AS agrees FROM ({_oracles['pearson']}) x JOIN ({_oracles['spearman']}) y USING (a, b)")
+def agreement(spark, sf_dir):
+    """Row 88: whether both correlations of a pair have one direction and one verdict."""
+    cols = ["qty", "price", "disc", "tax", "planted", "score"]
+    made = {tuple(r["vars"]): r["nonparametric_agrees"] for r in association.correlations(_mixed(spark, sf_dir).select(*cols), cols, {})}
+    return spark.createDataFrame([(a, b, made[a, b]) for a, b in _PAIRS], "a string, b string, agrees boolean")
+
+
+_UNEVEN = _long([f"SELECT '{c}' AS c, abs(skewness({c})) > 1 OR count(*) FILTER ({c} < q1 - 5 * (q3 - q1) OR {c} > q3 + 5 * (q3 - q1)) > 0 AS uneven FROM m, (SELECT quantile_cont({c}, 0.25) AS q1, quantile_cont({c}, 0.75) AS q3 FROM m)" for c in ("qty", "planted", "wild")])
+
+
+@query(f"WITH {M}, u AS ({_UNEVEN}) SELECT x.c AS a, y.c AS b, NOT (x.uneven OR y.uneven) AS ok, false AS critical FROM u x JOIN u y ON list_position(['qty', 'planted', 'wild'], x.c) < list_position(['qty', 'planted', 'wild'], y.c)")
+def correlation_checks(spark, sf_dir):
+    """Row 119: what a correlation rests on, by pair."""
+    cols = ["qty", "planted", "wild"]
+    d = _mixed(spark, sf_dir).select(*cols)
+    made = association.correlations(d, cols, catalog.numeric_stats(d, {c: column(c) for c in cols}))
+    return spark.createDataFrame([(*r["vars"], c["ok"], c["critical"]) for r in made for c in r["assumptions"]], "a string, b string, ok boolean, critical boolean")
+
+
 _TWO = "g AS (SELECT status, count(*) AS n, avg(score) AS m, var_samp(score) AS v, row_number() OVER (ORDER BY count(*) DESC, status) AS k FROM m GROUP BY status), w AS (SELECT a.n AS n1, a.m AS m1, a.v AS v1, b.n AS n2, b.m AS m2, b.v AS v2, a.status AS l1, b.status AS l2 FROM g a, g b WHERE a.k = 1 AND b.k = 2)"
 
 
@@ -564,6 +596,13 @@ def levene(spark, sf_dir):
     return _rows(spark, [(f, p)], "f double, p double").select(_r("f", 4).alias("f"), _r("p").alias("p"))
 
 
+@query(f"SELECT 'price' AS num, 'flag' AS cat, NOT p < 0.05 AS ok, false AS critical FROM ({_oracles['levene']})")
+def group_checks(spark, sf_dir):
+    """Row 117: whether the groups' variances are equal enough, as the group test reports it."""
+    made = association.group_differences(_mixed(spark, sf_dir).select("price", "flag"), ["price"], ["flag"])
+    return spark.createDataFrame([(*r["vars"], c["ok"], c["critical"]) for r in made for c in r["assumptions"] if "Levene" in c["name"]], "num string, cat string, ok boolean, critical boolean")
+
+
 @query()
 def shapiro_min(spark, sf_dir):
     d = _table(spark, sf_dir, "customer").select("c_acctbal", F.col("c_nationkey").cast("string").alias("nation"))
@@ -756,6 +795,22 @@ def needs_review_router(spark, sf_dir):
     return findings.candidates(made).select(F.col("vars")[0].alias("a"), F.col("vars")[1].alias("b"), "route")
 
 
+@query(f"WITH {M}, c AS (SELECT count(*) AS total, count(*) FILTER (price IS NOT NULL AND tax IS NOT NULL AND qty IS NOT NULL) AS n FROM m) SELECT outcome, n, round(1 - n / total, 6) AS lost FROM c, (VALUES ('price'), ('qty'), ('tax')) v(outcome)")
+def row_loss(spark, sf_dir):
+    """Row 118: rows that a model has, and the share that it lacks."""
+    d = _mixed(spark, sf_dir).select("price", "qty", "tax", "flag")
+    made, _ = models.regressions(d, ["price", "qty", "tax"], ["flag"], d.count(), charts=False)
+    return spark.createDataFrame([(r["vars"][0], r["n"], r["extra"]["n_drop_frac"]) for r in made], "outcome string, n bigint, lost double").withColumn("lost", _r("lost"))
+
+
+@query(f"WITH {M}, c AS (SELECT regr_slope(planted, qty) AS b, regr_intercept(planted, qty) AS a, avg(qty) AS mx, count(*) AS n, regr_sxx(planted, qty) AS sxx FROM m), e AS (SELECT planted - a - b * qty AS e, 1.0::DOUBLE / n + (qty - mx) * (qty - mx) / sxx AS h, n FROM m, c), s AS (SELECT sum(e * e) / (any_value(n) - 2) AS mse FROM e), d AS (SELECT e * e * h / (2 * mse * (1 - h) * (1 - h)) AS d, n FROM e, s) SELECT count(*) AS n, round(4.0::DOUBLE / count(*), 9) AS threshold, count(*) FILTER (d > 4.0::DOUBLE / n) AS n_above, round(max(d), 9) AS most FROM d")
+def influence_counts(spark, sf_dir):
+    """Row 138: what the series of Cook's distances says of all rows; its points are those of ``influence_series``."""
+    d = models.design(_mixed(spark, sf_dir).withColumn("row", F.col("l_orderkey") * 10 + F.col("l_linenumber")), "planted", ["qty"], [])
+    s = series.influence_series(d.df, models.fit(d).cooks, F.col("row"))
+    return _rows(spark, [(s["n"], s["threshold"], s["n_above"], s["max"])], "n bigint, threshold double, n_above bigint, most double").select("n", _r("threshold", 9).alias("threshold"), "n_above", _r("most", 9).alias("most"))
+
+
 def _all(spark, sf_dir, imputed=True):
     """The sweep of five numeric and three categorical columns, and that of its filled copy."""
     d = kept(_mixed(spark, sf_dir).select(*_SWEEP_COLS[0], *_SWEEP_COLS[1]), "mixed")
@@ -770,7 +825,20 @@ def sweep_all(spark, sf_dir):
     return _all(spark, sf_dir, False)[0]
 
 
-@query(f"WITH {M} SELECT * FROM (VALUES ('correlation', 10::BIGINT), ('group_difference', 15::BIGINT), ('contingency', 3::BIGINT), ('regression_model', 5::BIGINT)) v(family, n_tests) UNION ALL SELECT 'regression_coefficient', 5 * (4 + count(DISTINCT flag) - 1 + count(DISTINCT status) - 1 + count(DISTINCT echo) - 1) FROM m")
+def _tests_sql() -> str:
+    """How many tests of each family the rules ask for, of the swept columns."""
+    num, cat = _SWEEP_COLS
+    pairs = lambda c: [(a, b) for i, a in enumerate(c) for b in c[i + 1 :]]
+    one = [f"SELECT 'correlation' AS family, (count(*) >= 10 AND min({a}) < max({a}) AND min({b}) < max({b}))::INT AS n FROM m WHERE {a} IS NOT NULL AND {b} IS NOT NULL" for a, b in pairs(num)]
+    one += [f"SELECT 'group_difference', (count(*) BETWEEN 2 AND 20 AND min(lo) < max(hi))::INT FROM (SELECT min({a}) AS lo, max({a}) AS hi FROM m WHERE {b} IS NOT NULL GROUP BY {b} HAVING count({a}) >= 3)" for a in num for b in cat]
+    one += [f"SELECT 'contingency', (count(*) >= 10 AND count(DISTINCT {a}) > 1 AND count(DISTINCT {b}) > 1)::INT FROM m WHERE {a} IS NOT NULL AND {b} IS NOT NULL" for a, b in pairs(cat)]
+    one += [f"SELECT 'regression_model', (count({a}) > 0)::INT FROM m" for a in num]
+    terms = f"{len(num) - 1} + " + " + ".join(f"count(DISTINCT coalesce({c}, 'nan')) - 1" for c in cat)
+    one += [f"SELECT 'regression_coefficient', CASE WHEN count(*) FILTER ({' AND '.join(f'{a} IS NOT NULL' for a in num)}) >= 5 * ({terms}) THEN {terms} END FROM m" for _ in num]
+    return f"WITH {M}, one AS ({_long(one)}) SELECT family, sum(n)::BIGINT AS n_tests FROM one GROUP BY family HAVING sum(n) > 0"
+
+
+@query(_tests_sql())
 def count_tests(spark, sf_dir):
     return findings.count_tests(_all(spark, sf_dir, False)[0])
 

@@ -3,7 +3,6 @@
 from __future__ import annotations
 
 import json
-import re
 from dataclasses import asdict, dataclass, field
 from datetime import UTC, datetime
 
@@ -137,14 +136,18 @@ def charts_of(entry: dict, made: dict, s) -> list[dict]:
     return [head | extra[k] for k, head in plots.items() if extra.get(k)]
 
 
-def _cell(v) -> str:
-    """Text for a cell: one line, with bars that do not end the cell."""
-    line = re.sub(r"\s+", " ", f"{v}".strip())
-    return re.sub(r"\|", r"\\|", line)
+#: Signs that would end a cell or escape its end.
+_ESCAPED = str.maketrans({"|": "\\|", "\\": "\\\\"})
 
 
 def _table(head: list, rows: list[list]) -> list[str]:
-    return ["| " + " | ".join(map(_cell, r)) + " |" for r in (head, ["---"] * len(head), *rows)]
+    """A Markdown table: white space in a cell is one blank, bars and backslashes are escaped, what is not there is a dash."""
+    lines = []
+    for cells in (head, *rows):
+        told = ("–" if c is None else " ".join(str(c).split()).translate(_ESCAPED) for c in cells)
+        lines.append(f"| {' | '.join(told)} |")
+    lines.insert(1, "|" + " --- |" * len(head))
+    return lines
 
 
 def _number(v, digits: int = 2) -> str:

@@ -138,7 +138,7 @@ def test_q_values(spark):
 
 
 def test_critical_assumptions_go_to_review(spark):
-    bad = [results.assumption("x", False, "d", True)]
+    bad = [results.Assumption("x", False, "d", True)]
     rows = [results.result("correlation", "pearson", ["a", "b"], 20, 0.5, 1e-6, "r", 0.4), results.result("correlation", "pearson", ["a", "c"], 20, 0.9, 1e-6, "r", 0.9, assumptions=bad), results.result("correlation", "pearson", ["b", "c"], 20, 0.7, 1e-6, "r", 0.7)]
     got = {tuple(r["vars"]): (r["route"], r["rank"]) for r in findings.candidates(findings.with_q(results.as_frame(spark, rows))).collect()}
     assert got == {("b", "c"): ("finding", 1), ("a", "b"): ("finding", 2), ("a", "c"): ("needs_review", None)}
@@ -227,3 +227,51 @@ def test_dates_and_truth_values(spark):
 def test_report_tables_are_written(spark, linear, tmp_path):
     report.analyze(spark, linear, "linear", rows=False, charts=False).write(f"file://{tmp_path}/out")
     assert spark.read.parquet(f"file://{tmp_path}/out/results").count() == 12
+
+
+def test_markdown_tables_escape_cells():
+    assert report._table(["a|b", "c\n d"], [[None, "x\\|y"], [1.5, ""]]) == ["| a\\|b | c d |", "| --- | --- |", "| – | x\\\\\\|y |", "| 1.5 |  |"]
+
+
+def test_first_rows_of_every_issue_in_one_scan(spark):
+    d = spark.range(200).selectExpr("CAST(id AS STRING) AS name", "IF(id % 3 = 0, NULL, id) AS a", "IF(id = 150, 1e9, CAST(id % 7 AS DOUBLE)) AS b").repartition(4)
+    f = from_dataframe(d, rows=True, order=["name"])
+    order = sorted(range(200), key=str)
+    got = quality.located(f, {"a": (F.col("a").isNull(), None), "b": (F.col("b") > 100, F.col("b")), "none": (F.lit(False), None)}, "name")
+    gone = [(k + 1, str(i)) for k, i in enumerate(order) if i % 3 == 0]
+    assert got["a"][0] == len(gone) and [(p["row"], p["id"]) for p in got["a"][1]] == gone[:15]
+    assert got["b"] == (1, [{"row": order.index(150) + 1, "id": "150", "value": 1e9}]) and got["none"] == (0, [])
+
+
+@pytest.mark.parametrize("weak", [False, True])
+def test_duplicates_do_not_rest_on_their_hashes(spark, weak):
+    d = spark.range(300).selectExpr("id % 90 AS a", "IF(id % 90 = 3, NULL, 'x') AS b", "IF(id < 200, CAST(id % 2 AS DOUBLE), -0.0) AS c", "array(id % 3) AS e")
+    hashes = (lambda c: [F.abs(F.hash(*c)) % 4]) if weak else quality._fingerprints
+    expected = d.toPandas().assign(e=lambda x: x["e"].map(str), b=lambda x: x["b"].fillna("")).duplicated(keep=False).sum()
+    assert quality.duplicate_rows(d, d.columns, hashes).first()[0] == expected
+
+
+def test_missingness_of_all_columns_equals_one_by_one(spark):
+    r = np.random.default_rng(12)
+    n = 400
+    x, y = r.normal(size=n), r.normal(size=n)
+    g = r.choice(list("pq"), n)
+    z = np.where(x > 0.8, np.nan, r.normal(size=n))
+    h = np.where((g == "p") & (r.random(n) < 0.5), None, r.choice(list("uvw"), n))
+    f = from_dataframe(frame(spark, x=x.tolist(), y=y.tolist(), g=g.tolist(), z=z.tolist(), h=h.tolist()))
+    columns = catalog.profile(f)[1]
+    got = quality.missingness(f, ["z", "h"], columns)
+    assert got["z"][0] == "x" and got["h"][0] == "g"
+    a, b = x[np.isnan(z)], x[~np.isnan(z)]
+    assert got["z"][1] == pytest.approx(quality.welch(len(a), a.mean(), a.var(ddof=1), len(b), b.mean(), b.var(ddof=1))[2], rel=1e-9)
+    counts = pd.crosstab(pd.Series(h).isna().astype(int), g)
+    table = {(i, v): int(counts.loc[i, v]) for i in counts.index for v in counts.columns}
+    assert got["h"][1] == pytest.approx(association.chi_square_of(table)["p"], rel=1e-12)
+
+
+def test_tables_of_all_pairs(spark):
+    r = np.random.default_rng(13)
+    d = pd.DataFrame({c: r.choice([*v, None], 300) for c, v in (("a", "xy"), ("b", "pqr"), ("c", "k"))})
+    got = association.tables(frame(spark, **{c: d[c].tolist() for c in d}), list("abc"))
+    for (a, b), t in got.items():
+        assert t == {k: int(n) for k, n in d.dropna(subset=[a, b]).groupby([a, b]).size().items()}
