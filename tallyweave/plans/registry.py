@@ -660,12 +660,13 @@ def design_matrix(spark, sf_dir):
     return d.df.select("l_orderkey", "l_linenumber", *(c.alias(t.replace("=", "_").lower()) for t, c in d.terms.items()))
 
 
-@query()
+@query("""WITH d AS (SELECT n_nationkey::DOUBLE AS a, (n_nationkey * 2 % 7)::DOUBLE AS v, n_name FROM nation), c AS (SELECT count(*) AS n, 1 + count(DISTINCT n_name) - 1 AS terms, corr(a, v) AS r FROM d)
+SELECT outcome, CASE WHEN n >= 10 THEN 'ols' ELSE 'insufficient' END AS kind, n, CASE WHEN n < 5 * terms THEN 'only the ' || greatest(1, least((r IS NOT NULL)::INT, n // 5 - 1)) || ' most correlated predictors were used, for want of rows' END AS note FROM c, (VALUES ('n_nationkey'), ('v')) o(outcome)""")
 def predictor_thinning(spark, sf_dir):
     """Row 104: five regions, more dummies than rows: the note of the model."""
     d = _table(spark, sf_dir, "nation").select("n_nationkey", (F.col("n_nationkey") * 2 % 7).cast("double").alias("v"), "n_name")
     made, _ = models.regressions(d.select("n_nationkey", "v", "n_name"), ["n_nationkey", "v"], ["n_name"], 25, charts=False)
-    return results.as_frame(spark, made).select("vars", "kind", "n", "note")
+    return results.as_frame(spark, made).select(F.col("vars")[0].alias("outcome"), "kind", "n", "note")
 
 
 _OLS = "d AS (SELECT planted AS y, tax AS x FROM m WHERE tax IS NOT NULL), o AS (SELECT count(*)::DOUBLE AS n, avg(x) AS mx, avg(y) AS my, regr_sxx(y, x) AS sxx, regr_sxy(y, x) AS sxy, regr_syy(y, x) AS syy FROM d), e AS (SELECT x, y, n, sxx, x - mx AS dx, y - my - sxy / sxx * (x - mx) AS e, 1 / n + (x - mx) * (x - mx) / sxx AS h FROM d, o), hc AS (SELECT sum(dx * dx * e * e / pow(1 - h, 2)) / pow(any_value(sxx), 2) AS v, sum(e * e) AS sse, any_value(n) AS n FROM e)"
@@ -849,8 +850,21 @@ def imputation_robustness(spark, sf_dir):
     return findings.with_twins(findings.candidates(done), filled_in).select("family", "vars", "robustness")
 
 
-@query()
+_SPARSE = "CASE WHEN l_orderkey % 40 = 0 THEN planted END"
+
+
+@query(with_p(f"{M}, x AS (SELECT qty, {_SPARSE} AS sparse FROM m), f AS (SELECT qty, coalesce(sparse, (SELECT median(sparse) FROM x)) AS sparse FROM x), c AS (SELECT 'complete' AS id, regr_count(sparse, qty) AS n, corr(sparse, qty) AS r FROM x UNION ALL SELECT 'filled', count(*), corr(sparse, qty) FROM f)", "SELECT id, 't' AS kind, abs(r) * sqrt((n - 2) / (1 - r * r)) AS stat, 1.0::DOUBLE AS d1, (n - 2)::DOUBLE AS d2 FROM c", "SELECT 'qty' AS a, 'sparse' AS b, round(x.r, 6) AS effect, round(p.p, 6) AS q, round(y.r, 6) AS filled_effect, round(o.p, 6) AS filled_q FROM c x, c y, pv p, pv o WHERE x.id = 'complete' AND y.id = 'filled' AND p.id = 'complete' AND o.id = 'filled' AND abs(x.r) >= 0.3 AND p.p < 0.05 AND NOT (abs(y.r) >= 0.3 AND o.p < 0.05)"))
 def imputation_sensitivity(spark, sf_dir):
+    """Row 126: a correlation of a column with many gaps that filling them takes away, with both effects and both q."""
+    d = _mixed(spark, sf_dir).selectExpr("qty", f"{_SPARSE} AS sparse")
+    run = lambda x: findings.with_q(results.as_frame(spark, association.correlations(x, ["qty", "sparse"], {})))
+    changed = findings.sensitivity(findings.with_twins(findings.candidates(run(d)), run(modelling.imputed(d, ["qty", "sparse"], []))))
+    return changed.select(F.col("vars")[0].alias("a"), F.col("vars")[1].alias("b"), _r("complete_case.effect").alias("effect"), _r("complete_case.q").alias("q"), _r("imputed.effect").alias("filled_effect"), _r("imputed.q").alias("filled_q"))
+
+
+@query()
+def imputation_sensitivity_of_all(spark, sf_dir):
+    """Row 126 over the whole sweep."""
     done, filled_in = _all(spark, sf_dir)
     return findings.sensitivity(findings.with_twins(findings.candidates(done), filled_in))
 
