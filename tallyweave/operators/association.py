@@ -8,6 +8,7 @@ the driver, where the closed forms and tail probabilities are evaluated.
 from __future__ import annotations
 
 import math
+from collections.abc import Iterable
 from itertools import combinations
 
 import numpy as np
@@ -314,10 +315,13 @@ def chi_square_of(table: dict[tuple, int]) -> dict:
     return {"chi2": chi2, "p": special.chi2_sf(chi2, dof), "dof": dof, "v": math.sqrt(phi / room) if room > 0 else 0.0, "expected": expected, "rows": rows, "cols": cols, "n": n}
 
 
-def tables(df: DataFrame, categorical: list[str]) -> dict[tuple[str, str], dict[tuple[str, str], int]]:
-    """The counts (by pair of levels) of every pair of categorical columns over the rows that have both, from one scan."""
+def tables(df: DataFrame, categorical: list[str], touched: Iterable[str] | None = None) -> dict[tuple[str, str], dict[tuple[str, str], int]]:
+    """The counts (by pair of levels) of every pair of categorical columns over the rows that have both, from one scan; with
+    ``touched`` only of pairs that have one of these."""
+    pairs = [(i, j) for i, j in combinations(range(len(categorical)), 2) if touched is None or not {categorical[i], categorical[j]}.isdisjoint(touched)]
+    if not pairs:
+        return {}
     levels, codes = matrix.coded(df, categorical)
-    pairs = list(combinations(range(len(categorical)), 2))
     got = matrix.fold(df, codes, matrix.Tables([max(1, len(v)) for v in levels], pairs)) if pairs else None
     out = {}
     for k, (i, j) in enumerate(pairs):
@@ -326,10 +330,10 @@ def tables(df: DataFrame, categorical: list[str]) -> dict[tuple[str, str], dict[
     return out
 
 
-def contingency(df: DataFrame, categorical: list[str]) -> list[dict]:
-    """Chi-square of every pair of categorical columns; Fisher's p for a sparse 2 x 2 table."""
+def contingency(df: DataFrame, categorical: list[str], touched: Iterable[str] | None = None) -> list[dict]:
+    """Chi-square of every pair of categorical columns (that has one of ``touched``); Fisher's p for a sparse 2 x 2 table."""
     out = []
-    for (a, b), table in tables(df, categorical).items():
+    for (a, b), table in tables(df, categorical, touched).items():
         if sum(table.values()) < LEAST_ROWS or min(len({k[i] for k in table}) for i in (0, 1)) < 2:
             continue
         t = chi_square_of(table)

@@ -63,6 +63,7 @@ def split(columns: list[Column_], names: list[str]) -> tuple[list[str], list[str
     return tuple([p.name for p in columns if p.name in names and p.type == k] for k in ("numeric", "categorical"))
 
 
-def has_gaps(df: DataFrame) -> bool:
+def gappy(df: DataFrame) -> set[str]:
+    """The columns that lack a value somewhere."""
     got = total(df, {c: F.count(column(c)) for c in df.columns} | {"": F.count(F.lit(1))})
-    return any(got[c] < got[""] for c in df.columns)
+    return {c for c in df.columns if got[c] < got[""]}

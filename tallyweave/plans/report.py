@@ -5,6 +5,7 @@ from __future__ import annotations
 import json
 from dataclasses import asdict, dataclass, field
 from datetime import UTC, datetime
+from itertools import combinations
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -54,6 +55,23 @@ def sweep(df: DataFrame, numeric: list[str], categorical: list[str], stats: dict
     return [*association.correlations(df, numeric, stats), *association.group_differences(df, numeric, categorical), *association.contingency(df, categorical), *fitted, *terms]
 
 
+def sweep_of_filled(df: DataFrame, numeric: list[str], categorical: list[str], stats: dict, n_total: int, gappy: set[str], before: list[dict]) -> list[dict]:
+    """The same on a copy whose ``gappy`` columns are filled: tests of columns that had no gaps are those of ``before``.
+
+    A test of two columns without gaps reads the same values of the same rows. Models use the rows that have all columns, which
+    change with any filled one, so all are made again.
+    """
+    filled, whole = [c for c in numeric if c in gappy], [c for c in numeric if c not in gappy]
+    cats = [c for c in categorical if c in gappy]
+    fitted, terms = models.regressions(df, numeric, categorical, n_total, False)
+    made = association.correlations(df, numeric, stats) if filled else []
+    made += association.group_differences(df, filled, categorical) + association.group_differences(df, whole, cats) + association.contingency(df, categorical, cats)
+    again = {(r["family"], *r["vars"]): r for r in made}
+    kept_ = {(r["family"], *r["vars"]): r for r in before if gappy.isdisjoint(r["vars"])}
+    pairs = [("correlation", *p) for p in combinations(numeric, 2)] + [("group_difference", a, b) for a in numeric for b in categorical] + [("contingency", *p) for p in combinations(categorical, 2)]
+    return [r for k in pairs if (r := kept_.get(k) if gappy.isdisjoint(k[1:]) else again.get(k))] + fitted + terms
+
+
 def info() -> dict:
     """What a service would answer when asked whether it is well."""
     return {"status": "ok", "engine": "tallyweave", "version": tallyweave.__version__}
@@ -76,7 +94,8 @@ def analyze(spark: SparkSession, data: DataFrame | Frame, name: str = "table", r
     numeric, categorical = modelling.split(columns, names)
     stats = {p.name: p.stats for p in columns if p.stats}
     base = modelling.analysed(frame, columns, names)
-    gaps = bool(names) and modelling.has_gaps(base)
+    gappy = modelling.gappy(base) if names else set()
+    gaps = bool(gappy)
     row = F.col(frame.row) if frame.row else None
     if row is not None:  # the position travels along for the influence series
         base = modelling.analysed(frame, columns, names, row)
@@ -86,7 +105,7 @@ def analyze(spark: SparkSession, data: DataFrame | Frame, name: str = "table", r
     filled = None
     if gaps:
         other = kept(modelling.imputed(work, numeric, categorical), "filled")
-        filled = kept(findings.with_q(results.as_frame(spark, sweep(other, numeric, categorical, stats, n_rows, False))), "filled_results")
+        filled = kept(findings.with_q(results.as_frame(spark, sweep_of_filled(other, numeric, categorical, stats, n_rows, gappy, primary))), "filled_results")
     twins = kept(findings.with_twins(findings.candidates(done), filled), "candidates")
     found = findings.entries(twins, n_rows)
     if charts:

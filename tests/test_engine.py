@@ -275,3 +275,28 @@ def test_tables_of_all_pairs(spark):
     got = association.tables(frame(spark, **{c: d[c].tolist() for c in d}), list("abc"))
     for (a, b), t in got.items():
         assert t == {k: int(n) for k, n in d.dropna(subset=[a, b]).groupby([a, b]).size().items()}
+
+
+@pytest.mark.parametrize("gaps", [("x1",), ("g0",), ("x0", "g1")])
+def test_the_filled_copy_repeats_only_what_filling_changes(spark, gaps, monkeypatch):
+    r = np.random.default_rng(14)
+    n = 150
+    d = pd.DataFrame({f"x{i}": r.normal(size=n) for i in range(4)} | {f"g{i}": r.choice(list("pqr"), n) for i in range(3)})
+    d["x1"] += d["x0"]
+    d = d.astype(object)
+    for c in gaps:
+        d.loc[r.random(n) < 0.2, c] = None
+    numeric, categorical = [f"x{i}" for i in range(4)], [f"g{i}" for i in range(3)]
+    f = frame(spark, **{c: d[c].tolist() for c in d})
+    assert modelling.gappy(f) == set(gaps)
+    before = report.sweep(f, numeric, categorical, {}, n, False)
+    filled = modelling.imputed(f, numeric, categorical)
+    whole = report.sweep(filled, numeric, categorical, {}, n, False)
+    tested = []
+    group = association.group_differences
+    monkeypatch.setattr(association, "group_differences", lambda df, a, b: tested.append((a, b)) or group(df, a, b))
+    got = report.sweep_of_filled(filled, numeric, categorical, {}, n, set(gaps), before)
+    assert [(r["family"], r["kind"], r["vars"], r["n"]) for r in got] == [(r["family"], r["kind"], r["vars"], r["n"]) for r in whole]
+    assert [r["p_raw"] for r in got] == pytest.approx([r["p_raw"] for r in whole], rel=1e-9, nan_ok=True)
+    assert [r["effect_value"] for r in got] == pytest.approx([r["effect_value"] for r in whole], rel=1e-9, nan_ok=True)
+    assert tested == [([c for c in numeric if c in gaps], categorical), ([c for c in numeric if c not in gaps], [c for c in categorical if c in gaps])]
