@@ -5,9 +5,11 @@ more, the one with the largest page_id is a response and the others are revisits
 response's payload goes in chunked transfer framing, and a block of more than
 ``SEGMENT_BYTES`` is cut into a first segment and continuation records. Records are written
 as text whose line separator is the blank line pair that ends a WARC record, so that any
-file system Spark can write to will do; files are gzip streams and ``FILE_RECORDS`` bounds them.
+file system Spark can write to will do; files are gzip streams, bounded by ``FILE_RECORDS`` and ``FILE_BYTES``.
+Payloads are not shuffled while at most ``BROADCAST_RESPONSES`` payloads have revisits.
 
-Reading parses whole archive files (gzip members too), groups segments by their origin's
+Reading unpacks an archive file (gzip members too) piece by piece and lets a record go as soon
+as it is whole, groups segments by their origin's
 identifier, orders them by segment number, verifies the numbering, the total length and the
 payload digest, and decodes the chunked framing. Revisits carry the length of the payload
 they stand for in their HTTP header.
@@ -32,11 +34,17 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .util import prepare, scratch_path
+from .util import prepare, scratch_path, stored, written
 
 SEGMENT_BYTES = 4096
 CHUNK_BYTES = 1024
 FILE_RECORDS = 2000
+#: A file's records, unpacked, with a header of HEADER_BYTES each, come to this much.
+FILE_BYTES, HEADER_BYTES = 16 << 20, 1024
+#: Bytes of a packed file that are unpacked at a time, and of rows in a batch.
+PIECE_BYTES, BATCH_BYTES = 64 << 10, 4 << 20
+#: Payloads with revisits whose list is broadcast (some 60 bytes each); beyond, rows are shuffled with this many salts.
+BROADCAST_RESPONSES, SALTS = 500_000, 16
 LEAST_REVISIT_BYTES = 0
 DATE = "2024-01-01T00:00:00Z"
 #: Fixed value: the alphabet of base32.
@@ -62,8 +70,15 @@ def with_record_types(pages: DataFrame, least: int = LEAST_REVISIT_BYTES) -> Dat
     every = pages.select("page_id", F.col("url").cast("string").alias("url"), payload.alias("payload")).withColumn("sha1", F.sha1("payload"))
     light = every.select("page_id", "sha1", F.octet_length("payload").alias("size")).where("page_id is not null")
     last = light.where(F.col("size") >= least).groupBy("sha1").agg(F.max("page_id").alias("last"), F.min("page_id").alias("first")).where("first < last").select("sha1", "last")
-    refers = light.join(last, "sha1").where("page_id <> last").select("page_id", "sha1", F.col("last").alias("refers_to")).distinct()
-    return every.join(refers, ["page_id", "sha1"], "left").withColumn("digest", base32_of_hex(F.col("sha1")))
+    last = written(last, "responses", compact=True)
+    if last.count() <= BROADCAST_RESPONSES:
+        every = every.join(F.broadcast(last), "sha1", "left").withColumn("refers_to", F.when(F.col("page_id") != F.col("last"), F.col("last"))).drop("last")
+    else:  # a common payload's pages are spread by a salt
+        salted = last.withColumn("salt", F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1))))
+        refers = light.withColumn("salt", F.pmod(F.xxhash64("page_id"), F.lit(SALTS)).cast("int")).join(salted, ["sha1", "salt"])
+        refers = refers.where("page_id <> last").select("page_id", "sha1", F.col("last").alias("refers_to")).distinct()
+        every = every.join(refers, ["page_id", "sha1"], "left")
+    return every.withColumn("digest", base32_of_hex(F.col("sha1")))
 
 
 def archive_records(pages: DataFrame, least: int = LEAST_REVISIT_BYTES, segment: int = SEGMENT_BYTES, chunk: int = CHUNK_BYTES) -> DataFrame:
@@ -104,33 +119,74 @@ def archive_records(pages: DataFrame, least: int = LEAST_REVISIT_BYTES, segment:
 
 
 def write_archives(pages: DataFrame, path: str, least: int = LEAST_REVISIT_BYTES, segment: int = SEGMENT_BYTES) -> None:
-    archive_records(pages, least, segment).write.option("lineSep", _CRLF * 2).option("maxRecordsPerFile", FILE_RECORDS).option("compression", "gzip").text(path)
+    records = max(1, min(FILE_RECORDS, FILE_BYTES // (segment + HEADER_BYTES)))
+    archive_records(pages, least, segment).write.option("lineSep", _CRLF * 2).option("maxRecordsPerFile", records).option("compression", "gzip").text(path)
+
+
+def unpacked(data: bytes) -> Iterator[bytes]:
+    """A file's bytes as they are, or those of its gzip members in small pieces."""
+    if data[:2] != b"\x1f\x8b":
+        yield data
+        return
+    view, at = memoryview(data), 0
+    while view[at : at + 2] == b"\x1f\x8b":
+        z = zlib.decompressobj(31)
+        while not z.eof and at < len(data):
+            yield z.decompress(view[at : at + PIECE_BYTES])
+            at = min(at + PIECE_BYTES, len(data))
+        at -= len(z.unused_data)
+
+
+class _Window:
+    """The part of a stream that is being looked at: ``held`` from ``at`` on."""
+
+    def __init__(self, pieces: Iterator[bytes]):
+        self.pieces, self.held, self.at = pieces, b"", 0
+
+    def reach(self, size: int) -> bool:
+        """Hold ``size`` bytes from here on, or what there is; whether more came."""
+        parts, have = [self.held[self.at :]] if self.at < len(self.held) else [], len(self.held) - self.at
+        before = have
+        while have < size and (piece := next(self.pieces, None)) is not None:
+            parts.append(piece)
+            have += len(piece)
+        if have > before:
+            self.held, self.at = b"".join(parts), 0
+        return have > before
+
+    def find(self, what: bytes) -> int:
+        return self.held.find(what, self.at)
 
 
 def parse_records(data: bytes) -> Iterator[tuple[dict[str, str], bytes]]:
     """Headers (names in lower case) and block of each record; what is not a record is skipped."""
-    if data[:2] == b"\x1f\x8b":
-        out, rest = [], data
-        while rest[:2] == b"\x1f\x8b":
-            z = zlib.decompressobj(31)
-            out.append(z.decompress(rest))
-            rest = z.unused_data
-        data = b"".join(out)
-    at = data.find(b"WARC/1.")
-    while at >= 0:
-        end = data.find(b"\r\n\r\n", at)
-        if end < 0:
-            return
+    w = _Window(unpacked(data))
+    while True:
+        start = w.find(b"WARC/1.")
+        if start < 0:
+            w.at = max(w.at, len(w.held) - 6)
+            if not w.reach(len(w.held) - w.at + 1):
+                return
+            continue
+        w.at = start
+        end = w.find(b"\r\n\r\n")
+        if end < 0:  # twice as much, so that a header without an end is searched a few times only
+            if not w.reach(2 * (len(w.held) - w.at)):
+                return
+            continue
         headers = {}
-        for text in data[at:end].decode("utf-8", "replace").split("\r\n")[1:]:
+        for text in w.held[w.at : end].decode("utf-8", "replace").split("\r\n")[1:]:
             key, _, value = text.partition(":")
             headers[key.strip().lower()] = value.strip()
         size = headers.get("content-length", "")
-        if not size.isdigit():
-            at = data.find(b"WARC/1.", at + 7)
+        if not (size.isascii() and size.isdigit()):
+            w.at += 7
             continue
-        yield headers, data[end + 4 : end + 4 + int(size)]
-        at = data.find(b"WARC/1.", end + 4 + int(size))
+        head = end + 4 - w.at
+        if len(w.held) - w.at < head + int(size):
+            w.reach(head + int(size))
+        yield headers, w.held[w.at + head : w.at + head + int(size)]
+        w.at = min(w.at + head + int(size), len(w.held))
 
 
 def decode_chunked(body: bytes) -> bytes:
@@ -149,13 +205,14 @@ def decode_chunked(body: bytes) -> bytes:
 
 
 def assemble(segments: list[dict]) -> list[dict]:
-    """The records that one origin's segments make up, one for each copy that was archived."""
+    """The records that one origin's segments make up, one for each copy that was archived (``times``: equal segments as one)."""
     by_number: dict[int, list[dict]] = {}
     for s in segments:
         by_number.setdefault(s["number"], []).append(s)
     order = sorted(by_number)
-    copies = len(by_number[order[0]])
-    whole = order == list(range(1, len(order) + 1)) and all(len(x) == copies for x in by_number.values())
+    times = {k: sum(s.get("times", 1) for s in x) for k, x in by_number.items()}
+    copies = times[order[0]]
+    whole = order == list(range(1, len(order) + 1)) and set(times.values()) == {copies}
     first, last = by_number[order[0]][0], by_number[order[-1]][0]
     block = b"".join(by_number[k][0]["block"] for k in order)
     whole = whole and (last["total"] == len(block) if len(order) > 1 else last["total"] in (None, len(block)))
@@ -185,6 +242,36 @@ def _is_whole(segments: list[dict]) -> bool:
     return numbers == sorted([*range(1, last + 1)] * copies) and (last == 1 and not segments[0]["cut"] or any(s["number"] == last and s["total"] is not None for s in segments))
 
 
+def _batch(rows: list[tuple]) -> pa.RecordBatch:
+    names = [c.split()[0] for c in _ARCHIVED.split(", ")]
+    types = [pa.string(), pa.int32(), pa.int64(), pa.string(), pa.string(), pa.string(), pa.string(), pa.binary(), pa.bool_()]
+    return pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*rows, strict=True), types, strict=True)], names)
+
+
+def _rows_of(data: bytes, payload: bool) -> Iterator[tuple]:
+    """Rows of one file: a record once its segments are there, at the end the segments of records that lie elsewhere, too."""
+    waiting: dict[str, list[dict]] = {}
+    for h, block in parse_records(data):
+        if h.get("warc-type") not in ("response", "revisit", "continuation"):
+            continue
+        origin = (h.get("warc-segment-origin-id") or h.get("warc-record-id", "")).strip("<>")
+        number, total = h.get("warc-segment-number", ""), h.get("warc-segment-total-length", "")
+        digest = h.get("warc-payload-digest")
+        own = waiting.setdefault(origin, [])
+        own.append({"number": int(number) if number.isdigit() else 1, "cut": number != "", "total": int(total) if total.isdigit() else None, "kind": h.get("warc-type"), "page_id": h.get("warc-page-id"), "refers_to": h.get("warc-refers-to-page-id"), "digest": digest.removeprefix("sha1:") if digest else None, "block": block})
+        if (number == "" or total.isdigit()) and _is_whole(own):
+            del waiting[origin]
+            for r in assemble(own):
+                yield origin, 0, r["payload_bytes"], r["record_type"], r["page_id"], r["refers_to"], r["payload_digest"], r["payload"] if payload else None, r["verified"]
+    for origin, own in waiting.items():
+        if _is_whole(own):  # a record whose last segment came before others
+            for r in assemble(own):
+                yield origin, 0, r["payload_bytes"], r["record_type"], r["page_id"], r["refers_to"], r["payload_digest"], r["payload"] if payload else None, r["verified"]
+        else:
+            for s in own:
+                yield origin, s["number"], s["total"], s["kind"], s["page_id"], s["refers_to"], s["digest"], s["block"], None
+
+
 def read_archives(spark: SparkSession, path: str, payload: bool = True) -> DataFrame:
     """The records of the archive files under ``path``, where a file has all of a record's segments; else the segments.
 
@@ -193,49 +280,39 @@ def read_archives(spark: SparkSession, path: str, payload: bool = True) -> DataF
     only records that are spread over files travel in pieces.
     """
     prepare(spark)
-    names = [c.split()[0] for c in _ARCHIVED.split(", ")]
-    types = [pa.string(), pa.int32(), pa.int64(), pa.string(), pa.string(), pa.string(), pa.string(), pa.binary(), pa.bool_()]
 
     def parse(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
             for data in b.column(0):
-                met: dict[str, list[dict]] = {}
-                for h, block in parse_records(data.as_py()):
-                    if h.get("warc-type") not in ("response", "revisit", "continuation"):
-                        continue
-                    origin = (h.get("warc-segment-origin-id") or h.get("warc-record-id", "")).strip("<>")
-                    number, total = h.get("warc-segment-number", ""), h.get("warc-segment-total-length", "")
-                    digest = h.get("warc-payload-digest")
-                    met.setdefault(origin, []).append({"number": int(number) if number.isdigit() else 1, "cut": number != "", "total": int(total) if total.isdigit() else None, "kind": h.get("warc-type"), "page_id": h.get("warc-page-id"), "refers_to": h.get("warc-refers-to-page-id"), "digest": digest.removeprefix("sha1:") if digest else None, "block": block})
-                rows = []
-                for origin, own in met.items():
-                    if _is_whole(own):
-                        rows += [(origin, 0, r["payload_bytes"], r["record_type"], r["page_id"], r["refers_to"], r["payload_digest"], r["payload"] if payload else None, r["verified"]) for r in assemble(own)]
-                    else:
-                        rows += [(origin, s["number"], s["total"], s["kind"], s["page_id"], s["refers_to"], s["digest"], s["block"], None) for s in own]
+                rows, held = [], 0
+                for row in _rows_of(data.as_py(), payload):
+                    rows.append(row)
+                    held += len(row[7] or b"") + 256
+                    if held >= BATCH_BYTES:
+                        yield _batch(rows)
+                        rows, held = [], 0
                 if rows:
-                    yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*rows, strict=True), types, strict=True)], names)
+                    yield _batch(rows)
 
     return spark.read.format("binaryFile").load(path).select("content").mapInArrow(parse, _ARCHIVED)
 
 
 def reassemble(segments: DataFrame, page_id_type: str = "bigint", payload: bool = True) -> DataFrame:
-    """The archived records, verified, from the rows of ``read_archives``; segments of one record meet in one row."""
-    grouped = segments.groupBy("origin").agg(F.collect_list(F.struct("number", "total", "kind", "page_id", "refers_to", "digest", "block", "verified")).alias("segments"))
+    """The archived records, verified, from the rows of ``read_archives``; of those spread over files, equal segments are counted first, then all of a record meet in one row."""
+    segments = stored(segments)
+    names = ["page_id", "payload_bytes", "payload_digest", "record_type", "refers_to", "verified"] + ["payload"] * payload
+    ready = segments.where("number = 0").select("page_id", F.col("total").alias("payload_bytes"), F.col("digest").alias("payload_digest"), F.col("kind").alias("record_type"), "refers_to", "verified", F.col("block").alias("payload")).select(names)
+    equal = segments.where("number > 0").groupBy("origin", "number", "total", "kind", "page_id", "refers_to", "digest", "block").agg(F.count("*").alias("times"))
+    spread = equal.groupBy("origin").agg(F.collect_list(F.struct("number", "total", "kind", "page_id", "refers_to", "digest", "block", "times")).alias("segments"))
     types = {"page_id": pa.string(), "payload_bytes": pa.int64(), "payload_digest": pa.string(), "record_type": pa.string(), "refers_to": pa.string(), "verified": pa.bool_()} | ({"payload": pa.binary()} if payload else {})
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
-            rows = []
-            for own in b.column(0):
-                parts = own.as_py()
-                rows += [{"page_id": s["page_id"], "payload_bytes": s["total"], "payload_digest": s["digest"], "record_type": s["kind"], "refers_to": s["refers_to"], "verified": s["verified"], "payload": s["block"]} for s in parts if s["number"] == 0]
-                if spread := [s for s in parts if s["number"]]:
-                    rows += assemble(spread)
+            rows = [r for own in b.column(0) for r in assemble(own.as_py())]
             yield pa.RecordBatch.from_arrays([pa.array([r[c] for r in rows], t) for c, t in types.items()], list(types))
 
     schema = "page_id string, payload_bytes bigint, payload_digest string, record_type string, refers_to string, verified boolean" + ", payload binary" * payload
-    out = grouped.select("segments").mapInArrow(run, schema)
+    out = ready.unionByName(spread.select("segments").mapInArrow(run, schema))
     return out.withColumns({c: F.col(c).cast(page_id_type) for c in ("page_id", "refers_to")})
 
 

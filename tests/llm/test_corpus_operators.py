@@ -1,6 +1,7 @@
 """Operators that compare documents with each other, the archives, and the pipeline, against brute force."""
 
 import base64
+import gzip
 import hashlib
 import random
 import re
@@ -314,6 +315,33 @@ def test_segments_spread_over_files(spark):
     assert {bytes(r.payload) for r in made.where("record_type = 'response'").collect()} == {(h or "").encode() for _, _, h in PAGES}
 
 
+def test_common_payloads_beyond_the_broadcast(spark, monkeypatch):
+    monkeypatch.setattr(warc, "BROADCAST_RESPONSES", 0)
+    rows = PAGES + [(100 + i, None, "") for i in range(300)] + [(1000, "r", "same")] * 40
+    made = spark.createDataFrame(rows, "page_id bigint, url string, html string").repartition(6)
+    assert shown(warc.round_trip(made)) == expected_pages(rows)
+
+
+def test_equal_records_spread_over_files(spark):
+    rows = [(7, "u", "y" * 9000)] * 30 + [(8, "v", "z")] * 30
+    path = f"{shared_dir(spark)}/spread-{random.random()}"
+    warc.archive_records(spark.createDataFrame(rows, "page_id bigint, url string, html string")).repartition(9).write.option("lineSep", "\r\n\r\n").text(path)
+    assert shown(warc.reassemble(warc.read_archives(spark, path))) == expected_pages(rows)
+
+
+def test_files_are_unpacked_in_pieces():
+    blocks = [bytes([97 + i % 26]) * (i * i * 7) for i in range(120)] + [random.Random(4).randbytes(3 << 20), b"", b"\r\n\r\nWARC/1.1\r\n"]
+    records = [f"WARC/1.1\r\nWARC-Type: response\r\nX: {i}\r\nContent-Length: {len(b)}\r\n\r\n".encode() + b + b"\r\n\r\n" for i, b in enumerate(blocks)]
+    junk = b"no record" * 30000 + b"WARC/1.0\r\nContent-Length: x\r\n\r\n"
+    for data in (junk + b"".join(records), gzip.compress(junk + b"".join(records)), b"".join(map(gzip.compress, [junk, *records]))):
+        got = list(warc.parse_records(data))
+        assert [b for _, b in got] == blocks and [h["x"] for h, _ in got] == [str(i) for i in range(len(blocks))]
+        assert sum(map(len, warc.unpacked(data))) == len(junk) + sum(map(len, records))
+    cut = gzip.compress(b"".join(records[:40]))
+    assert [b for _, b in warc.parse_records(cut[:-30])][:30] == blocks[:30]
+    assert list(warc.parse_records(b"")) == [] and list(warc.parse_records(b"WARC/1.1\r\nno end" * 9)) == []
+
+
 def test_damage_is_noticed():
     good = {"number": 1, "total": None, "kind": "response", "page_id": "1", "refers_to": None, "digest": None, "block": b"HTTP/1.1 200 OK\r\nTransfer-Encoding: chunked\r\n\r\n3\r\nabc\r\n0\r\n\r\n"}
     assert warc.assemble([good])[0]["payload"] == b"abc"
