@@ -7,7 +7,10 @@ left between them, if as long and with a letter, is cut into tokens of a tiktoke
 is reported (kind ``rand``) where it has fewer than ``CHARS_PER_TOKEN`` characters to a token,
 unless it is a number, or made of words and numbers joined by separators. In a run that is not
 reported whole, as words before a key may hide it, each part between separators and each
-stretch of ``MIN_CHARS`` characters are tested in the same way.
+stretch of ``MIN_CHARS`` characters are tested in the same way. Runs that hold other signs of
+keys, too (``.!@#$%^&*~``), are tested with these: between rules of one sign, percent escapes,
+digests and UUIDs, unless they are an address or mostly words, numbers and versions. Parts of a
+key that a dot joins are one span.
 
 The texts are screened as bytes for runs and keywords, so the patterns themselves run only
 on documents that can hold a match.
@@ -42,6 +45,12 @@ _ASSIGN = re.compile(r"""(password|passwd|secret|token|api_?key)["']?\x20*[:=]\x
 _ACCESS = re.compile(r"AKIA[A-Z0-9]+")
 _LONG_HEX = re.compile(r"(?<![0-9a-f])[0-9a-f]{24,}")
 _RUN = re.compile(r"[A-Za-z0-9+/_=-]{%d,}" % MIN_CHARS)
+_SIGNED = re.compile(r"[A-Za-z0-9+/_=.!@#$%%^&*~-]{%d,}" % MIN_CHARS)
+_SIGN = re.compile(r"[.!@#$%^&*~]")
+_RULE = re.compile(r"([+/_=.!@#$%^&*~-])\1{3,}")
+_EMAIL = re.compile(r"[A-Za-z0-9._%+-]+@[A-Za-z0-9-]+(?:\.[A-Za-z0-9-]+)+")
+_ESCAPES = re.compile(r"(?:%[0-9A-Fa-f]{2}){3,}")
+_VERSION = re.compile(r"(?<![A-Za-z0-9])v?[0-9]+(?:\.[0-9]+)+(?![A-Za-z0-9])|%[0-9A-F]{2}")
 _UUID = re.compile(r"(?<![A-Za-z0-9])[0-9A-Fa-f]{8}-(?:[0-9A-Fa-f]{4}-){3}[0-9A-Fa-f]{12}(?![A-Za-z0-9])")
 _DIGEST = re.compile(r"[0-9a-f]+|[0-9A-F]+")
 _PIECE = re.compile(r"[A-Za-z0-9]+")
@@ -49,11 +58,13 @@ _LETTER = re.compile(r"[A-Za-z]")
 _WORD = re.compile(r"[A-Z]?[a-z]+|[A-Z]+|[0-9]+")
 _PARTS = re.compile(r"(?:[A-Z]?[a-z]+|[A-Z]+|[0-9]+)(?:[/_=+-](?:[A-Z]?[a-z]+|[A-Z]+|[0-9]+))*[=]*")
 
+_SEPARATORS = "/_+=-.!@#$%^&*~"
+
 _HEX_BYTES = np.zeros(256, bool)
 _HEX_BYTES[48:58] = _HEX_BYTES[97:103] = True
 _KEY_BYTES = np.zeros(256, bool)
 _KEY_BYTES[48:58] = _KEY_BYTES[65:91] = _KEY_BYTES[97:123] = True
-_KEY_BYTES[[43, 47, 95, 61, 45]] = True
+_KEY_BYTES[[ord(c) for c in _SEPARATORS]] = True
 _encodings: dict[str, object] = {}
 
 
@@ -101,16 +112,10 @@ def _hidden(s: str, encoding) -> list[tuple[int, int]]:
     a, b = ends[i], ends[last[i]]
     dense = b - a < CHARS_PER_TOKEN * (last[i] - i)
     marked += zip(a[dense].tolist(), b[dense].tolist(), strict=True)
-    merged: list[list[int]] = []
-    for a, b in sorted(marked):
-        if merged and a < merged[-1][1]:
-            merged[-1][1] = max(merged[-1][1], b)
-        else:
-            merged.append([a, b])
     word = lambda p: 4 <= p[1] - p[0] < MIN_CHARS and _WORD.fullmatch(s[p[0] : p[1]]) and not _incompressible(s[p[0] : p[1]], encoding)
     rest = lambda p: not word(p) and (p[1] - p[0] < 4 or _incompressible(s[p[0] : p[1]], encoding))
     out: list[tuple[int, int]] = []
-    for a, b in merged:  # whole parts, without the words at both ends
+    for a, b in _merged(marked):  # whole parts, without the words at both ends
         first, final = bisect_right(stops, a), bisect_left(starts, b) - 1
         while first <= final and word(pieces[first]):
             first += 1
@@ -146,8 +151,54 @@ def _unknown(s: str) -> Iterator[tuple[int, int]]:
         at = b
 
 
+def _signed_plain(s: str, encoding) -> bool:
+    """Words and numbers between signs, as in addresses and formulas; not where hardly a part is a word."""
+    if not _LETTER.search(s) or _EMAIL.fullmatch(s):
+        return True
+    rest = _VERSION.sub("=", s)
+    words = len(s) - len(rest) + sum(len(w) for w in _WORD.findall(rest) if len(w) >= 3 and not _incompressible(w, encoding))
+    if all(_WORD.fullmatch(p) for p in _PIECE.findall(rest)):
+        return len(set(_SIGN.findall(rest))) < 3 or 2 * words >= len(s)
+    return 3 * words >= 2 * len(s)
+
+
+def _signed_spans(s: str, encoding) -> Iterator[tuple[int, int]]:
+    """Spans in a run with signs: all of a stretch between rules, digests and UUIDs, or its dense parts."""
+    fixed = sorted([m.span() for m in _UUID.finditer(s)] + [m.span() for m in _PIECE.finditer(s) if known(m[0])] + [m.span() for m in _RULE.finditer(s)] + [m.span() for m in _ESCAPES.finditer(s)])
+    at = 0
+    for a, b in [*fixed, (len(s), len(s))]:
+        start = at + len(s[at:a]) - len(s[at:a].lstrip(_SEPARATORS)) if at else at
+        end = start + len(s[start:a].rstrip(_SEPARATORS if a < len(s) else ".!*~"))
+        at = max(at, b)
+        t = s[start:end]
+        if len(t) < MIN_CHARS or not _SIGN.search(t) or _signed_plain(t, encoding):
+            continue
+        if _incompressible(t, encoding):
+            yield start, end
+            continue
+        ends = np.cumsum([0] + [len(encoding.decode_single_token_bytes(k)) for k in encoding.encode_ordinary(t)])
+        last = np.searchsorted(ends, ends + MIN_CHARS)
+        i = np.flatnonzero(last < len(ends))
+        i = i[ends[last[i]] - ends[i] < CHARS_PER_TOKEN * (last[i] - i)]
+        for x, y in _merged(zip(ends[i].tolist(), ends[last[i]].tolist(), strict=True)):
+            x += len(t[x:y]) - len(t[x:y].lstrip(_SEPARATORS))
+            y = x + len(t[x:y].rstrip("."))
+            if y - x >= MIN_CHARS and _SIGN.search(t, x, y) and not _signed_plain(t[x:y], encoding):
+                yield start + x, start + y
+
+
+def _merged(spans) -> list[tuple[int, int]]:
+    out: list[tuple[int, int]] = []
+    for a, b in sorted(spans):
+        if out and a < out[-1][1]:
+            out[-1] = (out[-1][0], max(out[-1][1], b))
+        else:
+            out.append((a, b))
+    return out
+
+
 def random_spans(text: str, vocabulary: str) -> list[tuple[int, int]]:
-    """Runs of key characters, or what is hidden in them, that the vocabulary compresses badly."""
+    """Runs of key characters, or what is hidden in them, that the vocabulary compresses badly; parts joined by a dot are one."""
     out = []
     encoding = _encoding(vocabulary)
     for m in _RUN.finditer(text):
@@ -159,7 +210,16 @@ def random_spans(text: str, vocabulary: str) -> list[tuple[int, int]]:
                 out.append((at, at + len(s)))
             else:
                 out += [(at + x, at + y) for x, y in _hidden(s, encoding)]
-    return out
+    for m in _SIGNED.finditer(text):
+        if _SIGN.search(m[0]):
+            out += [(m.start() + x, m.start() + y) for x, y in _signed_spans(m[0], encoding)]
+    joined: list[tuple[int, int]] = []
+    for a, b in _merged(out):
+        if joined and a == joined[-1][1] + 1 and text[a - 1] == ".":
+            joined[-1] = (joined[-1][0], b)
+        else:
+            joined.append((a, b))
+    return joined
 
 
 def base_spans(text: str) -> list[tuple[str, int, int]]:

@@ -1,7 +1,9 @@
 """Operators that work on one text at a time or on words of all texts, against brute force."""
 
 import hashlib
+import random
 import re
+import string
 import struct
 import zlib
 
@@ -188,9 +190,6 @@ def test_secrets(spark, sf_dir, rows):
 
 
 def test_secrets_after_words_of_one_run():
-    import random
-    import string
-
     r = random.Random(13)
     vocabulary = secrets.default_vocabulary()
     key = lambda letters, n: "".join(r.choice(letters) for _ in range(n))
@@ -210,6 +209,36 @@ def test_secrets_after_words_of_one_run():
     assert secrets.random_spans(f"{uuid}_{k}-{uuid}", vocabulary) == [(37, 61)]
 
 
+SIGNS = "!@#$%^&*~"
+
+
+@pytest.mark.parametrize("letters", [string.ascii_letters + string.digits + SIGNS, string.ascii_letters + string.digits + "._-", string.ascii_lowercase + string.digits + SIGNS, string.ascii_letters + string.digits + secrets._SEPARATORS])
+def test_secrets_over_other_signs(letters):
+    r, v = random.Random(letters), secrets.default_vocabulary()
+    for size, least in ((20, 0.88), (24, 0.95), (32, 0.98), (40, 0.98)):
+        keys = ["".join(r.choice(letters) for _ in range(size)) for _ in range(150)]
+        found = [secrets.random_spans(f"é {k} y", v) for k in keys]
+        assert sum(sum(b - a for a, b in f) >= 0.8 * size for f in found) >= least * len(keys)
+        assert all(2 <= a < b <= 2 + size for f in found for a, b in f)
+
+
+def test_no_secrets_between_signs():
+    v = secrets.default_vocabulary()
+    tame = ["john.smith.long@mail-server.example.com", "www.example.com/path/to-page/2024.html", "x*x+y*y=z*z+a*b*c-d*e", "node.js@14.17.0&foo=bar&baz=qux", "*" * 50, "." * 60, "word...another...third", "v1.2.3-beta.4+build.567", "127.0.0.1/24&10.0.0.1", "$HOME/.config/app-2/settings.json", "A.B.C.D.E.F.G.H.I.J.K.L.M", "index.php?id=5&cat=2&utm_source=news&utm_medium=email", "wiki/%D0%9C%D0%BE%D1%81%D0%BA%D0%B2%D0%B0.html", "100%@home#tag#other#more", "!@" * 50000, "a.b!" * 20000]
+    assert [secrets.random_spans(f"x {t} y", v) for t in tame] == [[]] * len(tame)
+    jwt = "eyJhbGciOiJIUzI1NiJ9.eyJzdWIiOiIxMjM0NTY3ODkwIn0.dozjgNryP4J3jVmNHl0w5N_XgL0n3I9PlFUP0THsR8U"
+    assert secrets.random_spans(f"x {jwt}. y", v) == [(2, 2 + len(jwt))]
+
+
+def test_screened_texts_equal_unscreened(docs):
+    v = secrets.default_vocabulary()
+    r = random.Random(8)
+    texts = [t or "" for t in docs.select("text").toPandas()["text"].tolist()[:300]]
+    texts += [f"{t[:60]} {''.join(r.choice(string.ascii_letters + string.digits + SIGNS) for _ in range(30))} {t[60:90]}" for t in texts[:100]]
+    _, every = secrets.batch_spans(pa.array(texts), v)
+    assert every == [secrets.in_order(secrets.base_spans(t) + [("rand", *x) for x in secrets.random_spans(t, v)]) for t in texts]
+
+
 def test_secrets_in_very_long_runs():
     import random
     import string
