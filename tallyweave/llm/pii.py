@@ -1,15 +1,18 @@
 """Surrogates for personal data: keyed, type-consistent, distinct and coreferent. DataFrame expressions only.
 
-Found: e-mail addresses, telephone numbers, IPv4 and IPv6 addresses, social security numbers,
+Found: e-mail addresses, telephone numbers (international, of ten digits in groups, or with a
+trunk zero; bare digits are no number), IPv4 and IPv6 addresses, social security numbers,
 payment cards (with a valid check digit), bank account numbers (IBAN with a valid check), names
-after an honorific, and the same names wherever else the document has them. A found entity is taken apart
-into tokens with a kind: the local part and the domain of an address, the digits of a number,
-given and family names with the gender of the honorific. A token's surrogate is drawn from
-a keyed hash of its kind and value:
+after an honorific (also in capitals, with an apostrophe, particles or initials), and the same
+names wherever else the document has them, unless it has the word in small letters, too. A
+found entity is taken apart into tokens with a kind: the local part and the domain of an
+address, the digits of a number, given and family names with the gender of the honorific.
+Particles and initials stay. A token's surrogate is drawn from a keyed hash of its kind and value:
 
 - letters become letters of the same script and case, digits digits; separators stay;
-- a telephone number keeps its country code, a card its length and a valid check digit, an
-  account number its country and valid check digits, an IPv6 address its first group;
+- a telephone number keeps its country code (a national one begins its groups with 2 to 9), a
+  card its length and a valid check digit, an account number its country and valid check digits,
+  an IPv6 address its first group, its zeros and the way it is shortened;
 - domains lie under reserved example domains;
 - Latin, Cyrillic and Greek names are made of syllables of their script, with an ending of
   their gender; names in other scripts with capitals get other letters of their script.
@@ -17,7 +20,8 @@ a keyed hash of its kind and value:
 The caller gives the key; whoever has it can draw the same surrogates again.
 
 So the same token has the same surrogate in all documents, in whatever format it is written:
-numbers of country code 1 go by their national digits, and a name found with different
+numbers of country code 1 go by their national digits (a number with a trunk zero names no
+country, so it is a token of its own), addresses by their small letters and whole groups, and a name found with different
 honorifics has one gender (female before male before neutral).
 All distinct tokens of the corpus are then checked: two tokens of a kind with one surrogate,
 or a surrogate that is itself a real token, are drawn again (with longer words from the
@@ -48,7 +52,7 @@ NEUTRAL = ("Dr", "Prof", "Professor", "Mx")
 
 _L, _N = r"\p{L}", r"\p{N}"
 EMAIL = rf"(?<![{_L}{_N}._%+-])[{_L}{_N}._%+-]{{1,64}}+@[{_L}{_N}][{_L}{_N}-]{{0,62}}(?:\.[{_L}{_N}-]{{1,63}})*\.{_L}{{2,24}}(?![{_L}{_N}])"
-PHONE = rf"(?<![{_L}\d])\+\d{{1,3}}[ .-]?(?:\(\d{{1,4}}\)|\d{{1,4}})(?:[ .-]?\d{{2,4}}){{2,4}}(?!\d)|(?<![{_L}\d])\(\d{{3}}\) ?\d{{3}}-\d{{4}}(?!\d)|(?<![\d-])\d{{3}}-\d{{3}}-\d{{4}}(?![\d-])"
+PHONE = rf"(?<![{_L}\d])\+\d{{1,3}}[ .-]?(?:\(\d{{1,4}}\)|\d{{1,4}})(?:[ .-]?\d{{2,4}}){{2,4}}(?!\d)|(?<![{_L}\d])\(\d{{3}}\) ?\d{{3}}-\d{{4}}(?!\d)|(?<![\d-])\d{{3}}-\d{{3}}-\d{{4}}(?![\d-])|(?<![\d.])[2-9]\d{{2}}\.\d{{3}}\.\d{{4}}(?!\.?\d)|(?<![{_L}\d.,+-])(?<!\d )0\d{{2,4}} \d{{3,4}} \d{{3,4}}(?! ?\d)"
 _OCTET = r"(?:25[0-5]|2[0-4]\d|1\d\d|[1-9]?\d)"
 IPV4 = rf"(?<![\d.]){_OCTET}(?:\.{_OCTET}){{3}}(?!\d|\.\d)"
 SSN = r"(?<![\d-])(?!000|666|9)\d{3}-(?!00)\d{2}-(?!0000)\d{4}(?![\d-])"
@@ -56,12 +60,20 @@ IBAN = r"(?<![\p{L}\p{N}])[A-Z]{2}\d{2}(?: ?[A-Z0-9]{4}){2,7}(?: ?[A-Z0-9]{1,3})
 _HEX = "[0-9A-Fa-f]{1,4}"
 IPV6 = rf"(?<![\p{{L}}\p{{N}}:.])(?:{_HEX}(?::{_HEX}){{7}}|(?:{_HEX}:){{2,6}}(?::{_HEX}){{1,5}}|(?:[Ff][Ee]80|[23][0-9A-Fa-f]{{3}}|[Ff][CcDd][0-9A-Fa-f]{{2}}):(?::{_HEX}){{1,6}})(?![\p{{L}}\p{{N}}:])"
 CARD = rf"(?<![{_L}\d])\d(?:[ -]?\d){{12,18}}(?![{_L}\d])"
-NAME = rf"(?<!{_L})(?:{'|'.join(MALE + FEMALE + NEUTRAL)})\.? \p{{Lu}}\p{{Ll}}+(?:[ -]\p{{Lu}}\p{{Ll}}+){{0,2}}(?!{_L})"
+#: Honorifics in capitals (those that are common abbreviations need a dot), particles and prefixes of names.
+CAPITAL_TITLES = r"MRS?\.?|(?:MS|DR|PROF)\."
+PARTICLES = ("van", "von", "der", "den", "de", "del", "della", "di", "da", "dos", "du", "la", "le", "ten", "ter", "zu", "bin", "ibn", "al")
+_PREFIX = "[ODL]['’]"
+_WORD = rf"(?:{_PREFIX})?(?:\p{{Lu}}\p{{Ll}}+(?:\p{{Lu}}\p{{Ll}}+)?|\p{{Lu}}{{2,}})(?!{_L})"
+_PARTS = rf"(?:(?:{'|'.join(PARTICLES)}) ){{0,2}}"
+_TITLE = rf"(?:(?:{'|'.join(MALE + FEMALE + NEUTRAL)})\.?|{CAPITAL_TITLES})"
+NAME = rf"(?<!{_L}){_TITLE} (?:\p{{Lu}}\. ?){{0,3}}{_PARTS}{_WORD}(?: \p{{Lu}}\.(?= \p{{Lu}}))?(?:[ -]{_PARTS}{_WORD}){{0,2}}"
 ENTITY = "|".join(f"(?:{p})" for p in (EMAIL, IBAN, IPV6, PHONE, IPV4, SSN, CARD, NAME))
 #: What any entity must have, an honorific or a sign: looks that are cheap enough for every text.
 _SIGN = r"[@0-9]|[A-Fa-f]:[A-Fa-f:]"
-_TITLES = [t for t in MALE + FEMALE + NEUTRAL if not any(t != o and o in t for o in MALE + FEMALE + NEUTRAL)]
-_TITLED = rf"(?:{'|'.join(MALE + FEMALE + NEUTRAL)})\.? \p{{Lu}}"
+_SHORT = MALE + FEMALE + NEUTRAL + ("MR", "MS.", "DR.", "PROF.")
+_TITLES = [t for t in _SHORT if not any(t != o and o in t for o in _SHORT)]
+_TITLED = rf"{_TITLE} [\p{{Lu}}{''.join(sorted({p[0] for p in PARTICLES}))}]"
 
 #: Telephone country codes of two digits; 1 and 7 have one, all others three.
 TWO_DIGIT_CODES = "20 27 30 31 32 33 34 36 39 40 41 43 44 45 46 47 48 49 51 52 53 54 55 56 57 58 60 61 62 63 64 65 66 81 82 84 86 90 91 92 93 94 95 98".split()
@@ -69,6 +81,7 @@ TWO_DIGIT_CODES = "20 27 30 31 32 33 34 36 39 40 41 43 44 45 46 47 48 49 51 52 5
 ALPHABETS = ("abcdefghijklmnopqrstuvwxyz", "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "абвгдежзиклмнопрстуфхцчшэюя", "АБВГДЕЖЗИКЛМНОПРСТУФХЦЧШЭЮЯ", "αβγδεζηθικλμνξοπρστυφχψω", "ΑΒΓΔΕΖΗΘΙΚΛΜΝΞΟΠΡΣΤΥΦΧΨΩ", "աբգդեզէըթժիլխծկհձղճմյնշոչպջռսվտրցւփքօֆ", "ԱԲԳԴԵԶԷԸԹԺԻԼԽԾԿՀՁՂՃՄՅՆՇՈՉՊՋՌՍՎՏՐՑՒՓՔՕՖ", "àáâäçèéêëìíîïñòóôöùúûü", "ÀÁÂÄÇÈÉÊËÌÍÎÏÑÒÓÔÖÙÚÛÜ")
 SYLLABLES = {"latin": "ba be bo da de di fa fe ga ge ka ke ki la le li lo ma me mi mo na ne ni no pa pe ra re ri ro sa se si ta te ti to va ve vi".split(), "cyrillic": "ба бе бо ва ве ви га го да де ди за зо ка ко ла ле ли ло ма ме ми мо на не ни но па по ра ре ри ро са се си та те ти то".split(), "greek": "βα βε βο γα γε δα δε δι θε κα κε κο λα λε λι λο μα με μι να νε νι νο πα πε ρα ρε ρι ρο σα σε σι σο τα τε τι το φα φι χα".split()}
 ENDINGS = {"latin": {"given_m": "n rd s k l".split(), "given_f": "na lia nelle rine ssa".split(), "given_n": "y lle x ris ne".split(), "family": "rson ller mann rley tte".split(), "family_f": "rson ller mann rley tte".split()}, "cyrillic": {"given_m": "н слав мир л р".split(), "given_f": "на лия ра са ма".split(), "given_n": "ша ня ля ся ти".split(), "family": "нов рин лев ков тин".split(), "family_f": "нова рина лева кова тина".split()}, "greek": {"given_m": "ρης νος λης μος κος".split(), "given_f": "να ρα λια νη σσα".split(), "given_n": "λι ρι νι κι σι".split(), "family": "πουλος ίδης άκης έας ιάδης".split(), "family_f": "πούλου ίδου άκη έα ιάδου".split()}}
+_UPPER = r"\p{Lu}"
 _KINDS = "array<struct<kind:string,value:string,shape:string>>"
 
 
@@ -125,7 +138,11 @@ def surrogate(key: str) -> Column:
     kept = f"case when substring(value, 1, 1) in ('1', '7') then 1 when substring(value, 1, 2) in ({two}) then 2 else 3 end"
     account = _letters("substring(value, 5)")
     country = "substring(value, 1, 2)"
-    hexes = f"array_join(transform(sequence(1, length(value)), i -> case when i <= instr(value, ':') or substring(value, i, 1) = ':' then substring(value, i, 1) when substring(value, i, 1) between 'A' and 'F' then substring('ABCDEF', {_number('i')} % 6 + 1, 1) when substring(value, i, 1) between 'a' and 'f' then substring('abcdef', {_number('i')} % 6 + 1, 1) else cast({_number('i')} % 10 as string) end), '')"
+    # letters stay letters and digits digits; from the fourth draw on, groups are as long as they can be
+    sign = lambda j, least: f"case when draw > 3 then substring('0123456789abcdef', {least} + 1 + {_number(f'4 * k + {j}')} % (16 - {least}), 1) when substring(g, {j + 1}, 1) = '' then '' when substring(g, {j + 1}, 1) >= 'a' then substring('abcdef', 1 + {_number(f'4 * k + {j}')} % 6, 1) else cast({least} + {_number(f'4 * k + {j}')} % (10 - {least}) as string) end"
+    group = f"concat({sign(0, 1)}, {sign(1, 0)}, {sign(2, 0)}, {sign(3, 0)})"
+    hexes = f"array_join(transform(split(value, ':'), (g, k) -> if(k = 0 or g = '0', g, {group})), ':')"
+    exchange = lambda i: f"cast(2 + {_number(i)} % 8 as string)"
     body = f"concat(substring(value, 1, 1), {_digits('0', 'length(value) - 2')})"
     first = f"cast(100 + {_number('0')} % 566 as string)"
     return F.expr(
@@ -133,7 +150,8 @@ def surrogate(key: str) -> Column:
         when 'local' then concat({_letters('value')}, {extra})
         when 'domain' then concat({_letters(host)}, {extra}, element_at(array('.example.com', '.example.net', '.example.org'), {_number('80')} % 3 + 1))
         when 'phone' then concat(substring(value, 1, {kept}), {_digits('0', f'length(value) - {kept}')})
-        when 'national' then {_digits('0', 'length(value)')}
+        when 'national' then concat({exchange('0')}, {_digits('1', '2')}, {exchange('3')}, {_digits('4', 'length(value) - 4')})
+        when 'trunk' then concat('0', cast(1 + {_number('0')} % 9 as string), {_digits('1', 'length(value) - 2')})
         when 'ip' then concat_ws('.', cast(1 + {_number('0')} % 223 as string), cast({_number('1')} % 256 as string), cast({_number('2')} % 256 as string), cast(1 + {_number('3')} % 254 as string))
         when 'ssn' then concat({first}, lpad(cast(1 + {_number('1')} % 99 as string), 2, '0'), lpad(cast(1 + (4096 * {_number('2')} + {_number('3')}) % 9999 as string), 4, '0'))
         when 'card' then concat({body}, cast((10 - {_luhn(f"concat({body}, '0')")}) % 10 as string))
@@ -144,31 +162,47 @@ def surrogate(key: str) -> Column:
     )
 
 
+def _whole_ip6(match: str) -> str:
+    """SQL: all eight groups of an address, in lower case and without leading zeros."""
+    groups = lambda at: f"filter(split(substring_index(lower({match}), '::', {at}), ':'), g -> g <> '')"
+    zeros = f"array_repeat('0', 8 - size({groups(1)}) - size({groups(-1)}))"
+    every = f"if(instr({match}, '::') > 0, concat({groups(1)}, {zeros}, {groups(-1)}), split(lower({match}), ':'))"
+    return f"array_join(transform({every}, g -> regexp_replace(g, '^0+(?=.)', '')), ':')"
+
+
+def _one_case(word: str) -> str:
+    """SQL: a name in capitals with small letters; others as they are."""
+    return f"if(length({word}) > 1 and {word} = upper({word}) and {word} <> lower({word}), initcap({word}), {word})"
+
+
 def parts_of(match: str) -> str:
     """SQL: what a match consists of; kind null is text that stays, shape is the format to put digits into."""
     part = lambda kind, value, shape="null": f"named_struct('kind', {kind}, 'value', {value}, 'shape', {shape})"
     plain = rf"regexp_replace({match}, '[^0-9]', '')"
+    local, domain = f"substring_index({match}, '@', 1)", f"substring_index({match}, '@', -1)"
     solid = f"replace({match}, ' ', '')"
     keep = f"cast(array({part('cast(null as string)', match)}) as {_KINDS})"
     code = f"regexp_extract({match}, '^[+]1[ .-]?', 0)"
-    words = f"regexp_extract_all({match}, '[ -]|[^ -]+', 0)"
+    words = f"regexp_extract_all({match}, {_quoted(rf'[ -]|{_PREFIX}(?={_UPPER})|{_UPPER}[.]|[^ -]+')}, 0)"
     titles = lambda names: f"{match} rlike '^(?:{'|'.join(names)})\\\\.? '"
     # the honorific г-н / г-жа holds a hyphen: it is two words and a hyphen before the first blank
     blank = f"array_position({words}, ' ')"
     word = f"element_at({words}, w)"
-    gender = f"case when {titles(MALE)} then 'm' when {titles(FEMALE)} then 'f' else 'n' end"
-    kind = f"case when w <= {blank} or {word} in (' ', '-') then null when w = size({words}) then if({gender} = 'f' and {word} rlike '^[\\\\u0400-\\\\u04ff]', 'family_f', 'family') else concat('given_', {gender}) end"
+    gender = f"case when {titles((*MALE, 'MR'))} then 'm' when {titles((*FEMALE, 'MRS', 'MS'))} then 'f' else 'n' end"
+    stays = f"{word} in (' ', '-') or {word} in ({', '.join(repr(p) for p in PARTICLES)}) or {word} rlike {_quoted(rf'^(?:{_PREFIX}|{_UPPER}[.])$')}"
+    kind = f"case when w <= {blank} or {stays} then null when w = size({words}) then if({gender} = 'f' and {word} rlike '^[\\\\u0400-\\\\u04ff]', 'family_f', 'family') else concat('given_', {gender}) end"
     return f"""case
-        when instr({match}, '@') > 0 then array({part("'local'", f"lower(substring_index({match}, '@', 1))")}, {part('cast(null as string)', "'@'")}, {part("'domain'", f"lower(substring_index({match}, '@', -1))")})
+        when instr({match}, '@') > 0 then array({part("'local'", f"lower({local})", local)}, {part('cast(null as string)', "'@'")}, {part("'domain'", f"lower({domain})", domain)})
+        when {match} rlike '^[0-9A-Fa-f]*:' then array({part("'ip6'", _whole_ip6(match), match)})
         when {match} rlike '^\\\\+1' and length({plain}) = 11 then array({part('cast(null as string)', code)}, {part("'national'", f"substring({plain}, 2)", f"substring({match}, length({code}) + 1)")})
         when {match} rlike '^\\\\+' then array({part("'phone'", plain, match)})
         when {match} rlike '^(?:[0-9]{{1,3}}\\\\.){{3}}[0-9]{{1,3}}$' then array({part("'ip'", match)})
         when {match} rlike '^[0-9]{{3}}-[0-9]{{2}}-[0-9]{{4}}$' then array({part("'ssn'", plain, match)})
+        when {match} rlike '^0[0-9]{{2,4}} [0-9]' and length({plain}) < 14 then array({part("'trunk'", plain, match)})
         when {match} rlike '^[0-9(]' and length({plain}) = 10 then array({part("'national'", plain, match)})
         when {match} rlike '^[A-Z]{{2}}[0-9]{{2}}' then if({_mod97(f"concat(substring({solid}, 5), substring({solid}, 1, 4))")} = 1, array({part("'iban'", solid, match)}), {keep})
-        when {match} rlike '^[0-9A-Fa-f]*:' then array({part("'ip6'", match)})
         when {match} rlike '^[0-9]' then if({_luhn(plain)} = 0, array({part("'card'", plain, match)}), {keep})
-        else transform(sequence(1, size({words})), w -> {part(kind, word)}) end"""
+        else transform(sequence(1, size({words})), w -> {part(kind, f"if({kind} is null, {word}, {_one_case(word)})", f"if({kind} is null, null, {word})")}) end"""
 
 
 def _quoted(pattern: str) -> str:
@@ -183,10 +217,15 @@ def with_parts(docs: DataFrame) -> DataFrame:
     made = found.select("doc_id", "text", F.expr(f"flatten(transform(sequence(1, size(gaps)), i -> if(i = 1, {gap}, concat({inner}, {gap}))))").alias("parts"))
     # names found are looked for in the texts between entities, too
     made = made.withColumn("names", F.expr("array_distinct(transform(filter(parts, p -> p.kind like 'given%' or p.kind like 'family%'), p -> named_struct('value', p.value, 'kind', p.kind)))"))
-    made = made.withColumn("bare", F.expr(r"if(size(names) > 0, concat('(?<!\\p{L})(?:', array_join(array_distinct(names.value), '|'), ')(?!\\p{L})'), null)"))
+    # but for those that the document also has as common words
+    spelt = lambda values: rf"concat('(?<!\\p{{L}})(?:', array_join({values}, '|'), ')(?!\\p{{L}})')"
+    made = made.withColumn("common", F.expr(f"if(size(names) > 0, array_distinct(regexp_extract_all(text, {spelt('array_distinct(transform(names, n -> lower(n.value)))')}, 0)), null)"))
+    made = made.withColumn("names", F.expr("if(size(common) > 0, filter(names, n -> lower(n.value) = n.value or not array_contains(common, lower(n.value))), names)"))
+    made = made.withColumn("bare", F.expr(f"if(size(names) > 0, {spelt('array_distinct(concat(names.value, transform(names, n -> upper(n.value))))')}, null)"))
     rest = f"cast(array(named_struct('kind', null, 'value', element_at(s.gaps, k), 'shape', null)) as {_KINDS})"
     name = "element_at(s.found, k - 1)"
-    named = f"cast(array(named_struct('kind', element_at(filter(names, n -> n.value = {name}), 1).kind, 'value', {name}, 'shape', null)) as {_KINDS})"
+    own = f"element_at(filter(names, n -> n.value = {name} or upper(n.value) = {name}), 1)"
+    named = f"cast(array(named_struct('kind', {own}.kind, 'value', {own}.value, 'shape', {name})) as {_KINDS})"
     # an array of one holds what is cut once for all places
     cut = "array(named_struct('gaps', split(p.value, bare, -1), 'found', regexp_extract_all(p.value, bare, 0)))"
     split = f"flatten(flatten(transform({cut}, s -> transform(sequence(1, size(s.gaps)), k -> if(k = 1, {rest}, concat({named}, {rest}))))))"
@@ -223,6 +262,33 @@ def in_shape(signs: str, shape: str) -> str:
     return f"array_join(transform(sequence(1, length({shape})), i -> if(substring({shape}, i, 1) rlike '[0-9A-Z]', substring({signs}, length(regexp_replace(substring({shape}, 1, i), '[^0-9A-Z]', '')), 1), substring({shape}, i, 1))), '')"
 
 
+def in_case(text: str, shape: str, size: str) -> str:
+    """SQL: capitals where the first ``size`` characters of a shape have them; all of them if the shape has no small letter."""
+    c = f"substring({shape}, i, 1)"
+    each = f"concat(array_join(transform(sequence(1, greatest({size}, 1)), i -> if({c} <> lower({c}), upper(substring({text}, i, 1)), substring({text}, i, 1))), ''), substring({text}, {size} + 1))"
+    return f"case when {shape} = lower({shape}) then {text} when {shape} = upper({shape}) then upper({text}) else {each} end"
+
+
+def ip6_in_shape(text: str, shape: str) -> str:
+    """SQL: the eight groups as the shape writes them: shortened, with leading zeros, in capitals."""
+    groups = f"split({text}, ':')"
+    before = f"(size(split({shape}, ':')) - i)"  # groups from here to the end
+    at = f"if(instr({shape}, '::') > 0 and i > size(split(substring_index({shape}, '::', 1), ':')), 9 - {before}, i + 1)"
+    put = f"array_join(transform(split({shape}, ':'), (g, i) -> if(g = '', '', lpad(element_at({groups}, {at}), greatest(length(g), length(element_at({groups}, {at}))), '0'))), ':')"
+    return f"if({shape} <> lower({shape}), upper({put}), {put})"
+
+
+def _as_found() -> str:
+    """SQL: the surrogate of a token in the format in which it was found."""
+    whole = "case when length(shape) > 1 and shape = upper(shape) and shape <> lower(shape) then upper(surrogate) else surrogate end"
+    return f"""case when shape is null then surrogate
+        when kind = 'local' then {in_case('surrogate', 'shape', 'length(shape)')}
+        when kind = 'domain' then {in_case('surrogate', 'shape', "(instr(shape, '.') - 1)")}
+        when kind = 'ip6' then {ip6_in_shape('surrogate', 'shape')}
+        when kind like 'given%' or kind like 'family%' then {whole}
+        else {in_shape('surrogate', 'shape')} end"""
+
+
 def replace_entities(docs: DataFrame, key: str) -> DataFrame:
     """doc_id, text with every entity replaced, n_entities (tokens replaced); ``key`` is the caller's secret."""
     if not key:
@@ -233,7 +299,7 @@ def replace_entities(docs: DataFrame, key: str) -> DataFrame:
     some = stored(with_parts(docs.where(has)).select("doc_id", F.xxhash64("text", F.length("text")).alias("h"), "parts"))
     tokens = some.select("doc_id", "h", F.posexplode("parts").alias("at", "part")).where("part.kind is not null").select("doc_id", "h", "at", "part.*")
     known = distinct_surrogates(tokens.select("kind", "value"), key)
-    put = tokens.withColumn("group", _group()).join(known, ["group", "value"]).select("doc_id", "h", "at", F.expr(f"if(shape is null, surrogate, {in_shape('surrogate', 'shape')})").alias("new"))
+    put = tokens.withColumn("group", _group()).join(known, ["group", "value"]).select("doc_id", "h", "at", F.expr(_as_found()).alias("new"))
     put = put.groupBy("doc_id", "h").agg(F.collect_set(F.struct("at", "new")).alias("new")).select(F.col("doc_id").alias("d"), F.col("h").alias("g"), "new")
     joined = some.join(put, F.col("doc_id").eqNullSafe(F.col("d")) & (F.col("h") == F.col("g")), "left")
     stays = "filter(transform(parts, (p, i) -> named_struct('at', i, 'new', if(p.kind is null, p.value, null))), x -> x.new is not null)"
