@@ -6,13 +6,14 @@ import hashlib
 import random
 import re
 from itertools import combinations
+from pathlib import Path
 
 import pyarrow as pa
 import pytest
 
-from tallyweave.llm import jaccard, repeats, warc
+from tallyweave.llm import graph, jaccard, repeats, warc
 from tallyweave.llm.graph import components
-from tallyweave.llm.util import shared_dir
+from tallyweave.llm.util import shared_dir, written
 
 from .test_text_operators import sha, words
 
@@ -276,6 +277,30 @@ def test_components(spark, shape):
     assert got == {v: c for v, c in up.items() if any(v in e and e[0] != e[1] for e in edges)}
 
 
+def test_components_take_few_rounds_and_small_plans(spark, monkeypatch):
+    """A star around its smallest vertex takes one round; the result's plan holds no plan of an earlier round, and only its own table stays."""
+    rounds, kept = [], []
+
+    def counted(df, label, **options):
+        out = written(df, label, **options)
+        rounds.append(label == "steps")
+        kept.append(out.inputFiles()[0])
+        return out
+
+    monkeypatch.setattr(graph, "written", counted)
+    star = spark.createDataFrame([(0, i) for i in range(1, 400)], "a bigint, b bigint")
+    assert {x.component for x in components(star).collect()} == {0}
+    assert sum(rounds) == 1
+    rounds.clear()
+    kept.clear()
+    chain = components(spark.createDataFrame([(i, i + 1) for i in range(200)], "a bigint, b bigint"))
+    assert {(x.v, x.component) for x in chain.collect()} == {(i, 0) for i in range(201)}
+    assert sum(rounds) > graph.OWN_ORDER
+    plan = chain._jdf.queryExecution().optimizedPlan().toString()
+    assert "InMemoryRelation" not in plan and plan.count("Relation [") <= 2
+    assert sum(Path(f.removeprefix("file://")).exists() for f in kept) <= 2
+
+
 def expected_pages(rows):
     last = {}
     for i, _, h in rows:
