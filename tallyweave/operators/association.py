@@ -10,6 +10,7 @@ from __future__ import annotations
 import math
 from collections.abc import Iterable
 from itertools import combinations
+from typing import TYPE_CHECKING
 
 import numpy as np
 import pandas as pd
@@ -26,6 +27,9 @@ from tallyweave.plans.batch import kept, total, totals
 from tallyweave.session import ship
 from tallyweave.sources.frames import running_ranks
 
+if TYPE_CHECKING:
+    from tallyweave.operators.values import Values
+
 #: Least rows of a test and of a level, levels of a group test, rows of a Shapiro test.
 LEAST_ROWS, LEAST_LEVEL, MOST_LEVELS, SHAPIRO_ROWS = 10, 3, 20, 5000
 ALPHA = 0.05
@@ -205,7 +209,11 @@ def rank_sums(df: DataFrame, levels: dict[tuple[str, str], list[str]]) -> dict[t
         level = column(cat).cast("string")
         entry.append(F.struct(F.lit(i).alias("c"), F.when(level.isin(levels[num, cat]), level).alias("level"), column(num).cast("double").alias("v")))
     long = df.select(F.explode(F.array(*entry)).alias("e")).select("e.*").where("level is not null and v is not null")
-    freq = kept(long.groupBy("c", "v", "level").agg(F.count(F.lit(1)).alias("n")), "level_values")
+    return sums_of_ranks(kept(long.groupBy("c", "v", "level").agg(F.count(F.lit(1)).alias("n")), "level_values"), names)
+
+
+def sums_of_ranks(freq: DataFrame, names: list[tuple[str, str]]) -> dict[tuple[str, str], tuple[dict[str, tuple[int, float]], float]]:
+    """The same from the table (c, v, level, n); c is the number of a pair."""
     ranked = kept(running_ranks(freq.groupBy("c", "v").agg(F.sum("n").alias("t")), ["c"], "v", ["t"]), "level_value_ranks")
     t = F.col("t").cast("double")
     ties = dict(ranked.groupBy("c").agg(F.sum(t * t * t - t)).collect())
@@ -243,16 +251,20 @@ def shapiro_by_level(df: DataFrame, cat: str, levels: dict[str, list[str]]) -> D
     return some.join(F.broadcast(sizes), ["num", "level"]).groupBy("num", "level").applyInPandas(test, "num string, level string, n bigint, w double, p double")  # levels of one column: at most 50
 
 
-def group_differences(df: DataFrame, numeric: list[str], categorical: list[str]) -> list[dict]:
-    """Welch's t for two levels, analysis of variance for more, with rank tests beside them."""
+def group_differences(df: DataFrame, numeric: list[str], categorical: list[str], values: Values | None = None) -> list[dict]:
+    """Welch's t for two levels, analysis of variance for more, with rank tests beside them. ``values``: the counts of these columns,
+    if known."""
     made: dict = {}
     if not numeric or not categorical:
         return []
     # a row for each categorical column, so that the levels of all of them are groups of the same passes
     entry = F.array(*(F.concat(F.lit(f"{i} "), column(c).cast("string")) for i, c in enumerate(categorical)))
     long = df.select(*(column(c) for c in numeric), F.explode(entry).alias(_LEVEL))
-    met = level_moments(long, numeric, _LEVEL)
-    of = {(num, cat): {v.split(" ", 1)[1]: m for v, m in met[num].items() if v.startswith(f"{i} ")} for num in numeric for i, cat in enumerate(categorical)}
+    if values:
+        of = values.level_moments()
+    else:
+        met = level_moments(long, numeric, _LEVEL)
+        of = {(num, cat): {v.split(" ", 1)[1]: m for v, m in met[num].items() if v.startswith(f"{i} ")} for num in numeric for i, cat in enumerate(categorical)}
     fit = {pair: levels for pair, levels in of.items() if 2 <= len(levels) <= MOST_LEVELS and min(m["low"] for m in levels.values()) < max(m["high"] for m in levels.values())}
     few: dict = {}
     for (num, cat), levels in fit.items():
@@ -260,7 +272,8 @@ def group_differences(df: DataFrame, numeric: list[str], categorical: list[str])
     shapiro: dict = {}
     for r in shapiro_by_level(long, _LEVEL, {num: own for num, own in few.items() if own}).collect() if any(few.values()) else ():
         shapiro.setdefault((r["num"], categorical[int(r["level"].split(" ", 1)[0])]), []).append(r["p"])
-    ranks = rank_sums(df, {pair: list(levels) for pair, levels in fit.items()}) if fit else {}
+    asked = {pair: list(levels) for pair, levels in fit.items()}
+    ranks = (values.rank_sums(asked) if values else rank_sums(df, asked)) if fit else {}
     for cat in categorical:
         for num in numeric:
             if (num, cat) not in fit:
@@ -330,10 +343,12 @@ def tables(df: DataFrame, categorical: list[str], touched: Iterable[str] | None
     return out
 
 
-def contingency(df: DataFrame, categorical: list[str], touched: Iterable[str] | None = None) -> list[dict]:
-    """Chi-square of every pair of categorical columns (that has one of ``touched``); Fisher's p for a sparse 2 x 2 table."""
+def contingency(df: DataFrame, categorical: list[str], touched: Iterable[str] | None = None, values: Values | None = None) -> list[dict]:
+    """Chi-square of every pair of categorical columns (that has one of ``touched``); Fisher's p for a sparse 2 x 2 table. ``values``:
+    the counts of these columns, if known."""
     out = []
-    for (a, b), table in tables(df, categorical, touched).items():
+    counts = {p: t for p, t in values.tables().items() if touched is None or not set(p).isdisjoint(touched)} if values else tables(df, categorical, touched)
+    for (a, b), table in counts.items():
         if sum(table.values()) < LEAST_ROWS or min(len({k[i] for k in table}) for i in (0, 1)) < 2:
             continue
         t = chi_square_of(table)

@@ -53,9 +53,11 @@ def fill_values(df: DataFrame, numeric: list[str], categorical: list[str]) -> di
     return {c: v[0] for c, v in medians.items() if v} | {c: v for c, v in modes.items() if v is not None}
 
 
-def imputed(df: DataFrame, numeric: list[str], categorical: list[str]) -> DataFrame:
-    fills = fill_values(df, numeric, categorical)
-    return df.select(*((F.coalesce(column(c), F.lit(fills[c])) if c in fills else column(c)).alias(c) for c in df.columns))
+def imputed(df: DataFrame, numeric: list[str], categorical: list[str], fills: dict[str, object] | None = None) -> DataFrame:
+    """The frame with its gaps filled; with ``fills`` by these."""
+    fills = fill_values(df, numeric, categorical) if fills is None else fills
+    value = {c: F.lit(v).cast(df.schema[c].dataType) if c in categorical else F.lit(v) for c, v in fills.items()}
+    return df.select(*((F.coalesce(column(c), value[c]) if c in value else column(c)).alias(c) for c in df.columns))
 
 
 def split(columns: list[Column_], names: list[str]) -> tuple[list[str], list[str]]:

@@ -815,11 +815,9 @@ def influence_counts(spark, sf_dir):
 def _all(spark, sf_dir, imputed=True):
     """The sweep of five numeric and three categorical columns, and that of its filled copy."""
     d = kept(_mixed(spark, sf_dir).select(*_SWEEP_COLS[0], *_SWEEP_COLS[1]), "mixed")
-    stats = catalog.numeric_stats(d, {c: column(c) for c in _SWEEP_COLS[0]})
-    n = d.count()
+    primary, filled = report.sweeps(d, *_SWEEP_COLS, imputed)
     frame = lambda rows: findings.with_q(results.as_frame(spark, rows))
-    primary = report.sweep(d, *_SWEEP_COLS, stats, n, charts=False)
-    return frame(primary), frame(report.sweep_of_filled(modelling.imputed(d, *_SWEEP_COLS), *_SWEEP_COLS, stats, n, modelling.gappy(d), primary)) if imputed else None
+    return frame(primary), frame(filled) if imputed else None
 
 
 @query()

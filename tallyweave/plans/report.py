@@ -13,6 +13,7 @@ from pyspark.sql import functions as F
 import tallyweave
 from tallyweave.functions.text import column
 from tallyweave.operators import association, catalog, findings, modelling, models, quality, results, series
+from tallyweave.operators.values import Values, value_counts
 from tallyweave.plans.batch import kept
 from tallyweave.sources.frames import BadInput, Frame, from_csv, from_dataframe
 
@@ -49,14 +50,15 @@ class Report:
             spark.createDataFrame([(text,)], "value string").coalesce(1).write.mode("overwrite").text(f"{path}/{name}")
 
 
-def sweep(df: DataFrame, numeric: list[str], categorical: list[str], stats: dict, n_total: int, charts: bool = True, row=None) -> list[dict]:
-    """All five families of tests on one frame, in their order."""
+def sweep(df: DataFrame, numeric: list[str], categorical: list[str], stats: dict, n_total: int, charts: bool = True, row=None, values: Values | None = None) -> list[dict]:
+    """All five families of tests on one frame, in their order. ``values``: the counts of its columns, if known."""
     fitted, terms = models.regressions(df, numeric, categorical, n_total, charts, row)
-    return [*association.correlations(df, numeric, stats), *association.group_differences(df, numeric, categorical), *association.contingency(df, categorical), *fitted, *terms]
+    return [*association.correlations(df, numeric, stats), *association.group_differences(df, numeric, categorical, values), *association.contingency(df, categorical, None, values), *fitted, *terms]
 
 
-def sweep_of_filled(df: DataFrame, numeric: list[str], categorical: list[str], stats: dict, n_total: int, gappy: set[str], before: list[dict]) -> list[dict]:
-    """The same on a copy whose ``gappy`` columns are filled: tests of columns that had no gaps are those of ``before``.
+def sweep_of_filled(df: DataFrame, numeric: list[str], categorical: list[str], stats: dict, n_total: int, gappy: set[str], before: list[dict], values: Values | None = None) -> list[dict]:
+    """The same on a copy whose ``gappy`` columns are filled: tests of columns that had no gaps are those of ``before``. ``values``: the
+    counts of the copy, if known.
 
     A test of two columns without gaps reads the same values of the same rows. Models use the rows that have all columns, which
     change with any filled one, so all are made again.
@@ -65,13 +67,30 @@ def sweep_of_filled(df: DataFrame, numeric: list[str], categorical: list[str], s
     cats = [c for c in categorical if c in gappy]
     fitted, terms = models.regressions(df, numeric, categorical, n_total, False)
     made = association.correlations(df, numeric, stats) if filled else []
-    made += association.group_differences(df, filled, categorical) + association.group_differences(df, whole, cats) + association.contingency(df, categorical, cats)
+    if values:
+        tested = numeric if cats else filled
+        made += association.group_differences(df, tested, categorical, values.only(tested)) + association.contingency(df, categorical, cats, values)
+    else:
+        made += association.group_differences(df, filled, categorical) + association.group_differences(df, whole, cats) + association.contingency(df, categorical, cats)
     again = {(r["family"], *r["vars"]): r for r in made}
     kept_ = {(r["family"], *r["vars"]): r for r in before if gappy.isdisjoint(r["vars"])}
     pairs = [("correlation", *p) for p in combinations(numeric, 2)] + [("group_difference", a, b) for a in numeric for b in categorical] + [("contingency", *p) for p in combinations(categorical, 2)]
     return [r for k in pairs if (r := kept_.get(k) if gappy.isdisjoint(k[1:]) else again.get(k))] + fitted + terms
 
 
+def sweeps(df: DataFrame, numeric: list[str], categorical: list[str], imputed: bool = True) -> tuple[list[dict], list[dict]]:
+    """The sweep of a frame, and (if asked) that of its filled copy, without plot series and without more of a profile than they ask for."""
+    values = value_counts(df, numeric, categorical)
+    stats = values.stats() if values else catalog.numeric_stats(df, {c: column(c) for c in numeric})
+    n = sum(p.n for p in values.patterns) if values else df.count()
+    primary = sweep(df, numeric, categorical, stats, n, charts=False, values=values)
+    if not imputed:
+        return primary, []
+    fills = values.fill_values() if values else None
+    gappy = values.gappy() if values else modelling.gappy(df)
+    return primary, sweep_of_filled(modelling.imputed(df, numeric, categorical, fills), numeric, categorical, stats, n, gappy, primary, values and values.filled(fills))
+
+
 def info() -> dict:
     """What a service would answer when asked whether it is well."""
     return {"status": "ok", "engine": "tallyweave", "version": tallyweave.__version__}
@@ -93,19 +112,19 @@ def analyze(spark: SparkSession, data: DataFrame | Frame, name: str = "table", r
     names, beyond = modelling.chosen_columns(frame, columns)
     numeric, categorical = modelling.split(columns, names)
     stats = {p.name: p.stats for p in columns if p.stats}
-    base = modelling.analysed(frame, columns, names)
-    gappy = modelling.gappy(base) if names else set()
-    gaps = bool(gappy)
-    row = F.col(frame.row) if frame.row else None
-    if row is not None:  # the position travels along for the influence series
-        base = modelling.analysed(frame, columns, names, row)
+    row = F.col(frame.row) if frame.row else None  # the position travels along for the influence series
+    base = modelling.analysed(frame, columns, names, row)
     work = kept(base, "analysed") if names else base
-    primary = sweep(work, numeric, categorical, stats, n_rows, charts, row) if names else []
+    values = value_counts(work, numeric, categorical)
+    gappy = values.gappy() if values else modelling.gappy(work.select(*map(column, names))) if names else set()
+    gaps = bool(gappy)
+    primary = sweep(work, numeric, categorical, stats, n_rows, charts, row, values) if names else []
     done = kept(findings.with_q(results.as_frame(spark, primary)), "results")
     filled = None
     if gaps:
-        other = kept(modelling.imputed(work, numeric, categorical), "filled")
-        filled = kept(findings.with_q(results.as_frame(spark, sweep_of_filled(other, numeric, categorical, stats, n_rows, gappy, primary))), "filled_results")
+        fills = values.fill_values() if values else None
+        other = kept(modelling.imputed(work, numeric, categorical, fills), "filled")
+        filled = kept(findings.with_q(results.as_frame(spark, sweep_of_filled(other, numeric, categorical, stats, n_rows, gappy, primary, values and values.filled(fills)))), "filled_results")
     twins = kept(findings.with_twins(findings.candidates(done), filled), "candidates")
     found = findings.entries(twins, n_rows)
     if charts:
