@@ -28,6 +28,7 @@ from tallyweave.session import ship
 from tallyweave.sources.frames import running_ranks
 
 if TYPE_CHECKING:
+    from tallyweave.operators.shared import Known
     from tallyweave.operators.values import Values
 
 #: Least rows of a test and of a level, levels of a group test, rows of a Shapiro test.
@@ -45,8 +46,12 @@ def pair_moments(df: DataFrame, numeric: list[str]) -> dict[tuple[str, str], dic
     """
     k = len(numeric)
     got = matrix.fold(df, [column(c) for c in numeric], matrix.Pairs()) if k > 1 else None
-    if got is None:
-        got = {v: np.zeros((k, k)) for v in ("n", "f", "m2", "co", "low", "high")}
+    return moments_of(numeric, got or {v: np.zeros((k, k)) for v in ("n", "f", "m2", "co", "low", "high")})
+
+
+def moments_of(numeric: list[str], got: dict) -> dict[tuple[str, str], dict]:
+    """From the state of ``matrix.Pairs``."""
+    k = len(numeric)
     out: dict = {}
     for i, j in combinations(range(k), 2):
         n = int(got["n"][i, j])
@@ -129,8 +134,13 @@ def rank_correlations(df: DataFrame, numeric: list[str], moments: dict | None =
     for i, j in combinations(range(k), 2):
         mean[i, j] = mean[j, i] = moments[numeric[i], numeric[j]]["n"] / 2
     s = matrix.fold(rows, [F.coalesce(f"r{i}", nothing) for i in range(k)], matrix.RankProducts(partner, mean), len(counts)) if k > 1 else None
+    return rhos_of(numeric, s)
+
+
+def rhos_of(numeric: list[str], s: dict | None) -> dict[tuple[str, str], tuple[int, float | None]]:
+    """From the state of ``matrix.RankProducts`` or ``matrix.Ranks``."""
     out: dict = {}
-    for i, j in combinations(range(k), 2):
+    for i, j in combinations(range(len(numeric)), 2):
         n, ab, aa, bb = (int(s["n"][i, j]), s["ab"][i, j], s["aa"][i, j], s["aa"][j, i]) if s else (0, 0.0, 0.0, 0.0)
         out[numeric[i], numeric[j]] = n, float(ab / math.sqrt(aa) / math.sqrt(bb)) if n and min(aa, bb) > 1e-6 * n * n else None  # one value that differs makes n * n / 4
     return out
@@ -141,12 +151,13 @@ def _clamped(r: float | None) -> float:
     return max(-1.0, min(1.0, r)) if r is not None and math.isfinite(r) else special.NAN
 
 
-def correlations(df: DataFrame, numeric: list[str], stats: dict[str, dict]) -> list[dict]:
-    """Pearson or Spearman of every numeric pair; Spearman where a profile is skewed or has extremes."""
+def correlations(df: DataFrame, numeric: list[str], stats: dict[str, dict], known: Known | None = None) -> list[dict]:
+    """Pearson or Spearman of every numeric pair; Spearman where a profile is skewed or has extremes. ``known``: what a shared scan
+    found, if any."""
     out = []
     uneven = {c: abs((stats.get(c) or {}).get("skew", 0)) > 1 or (stats.get(c) or {}).get("n_outliers_5iqr", 0) > 0 for c in numeric}
-    moments = pair_moments(df, numeric)
-    by_rank = rank_correlations(df, numeric, moments) if moments else {}
+    moments = known.moments if known else pair_moments(df, numeric)
+    by_rank = known.rhos if known and known.rhos is not None else rank_correlations(df, numeric, moments) if moments else {}
     for (a, b), m in moments.items():
         if m["n"] < LEAST_ROWS or m["x0"] == m["x1"] or m["y0"] == m["y1"]:
             continue

@@ -168,6 +168,73 @@ class RankProducts:
         return {k: a[k] + b[k] for k in a}
 
 
+@dataclass
+class Ranks:
+    """The same from the values themselves and small tables of their ranks.
+
+    ``groups`` tells which columns are missing in the same rows; a value has a rank (less a half) among the rows that have a column
+    of each of these groups.
+    """
+
+    values: list[np.ndarray]  # the different values of each column, in order
+    ranks: list[np.ndarray]  # values x groups
+    groups: list[int]  # of each column
+    mean: np.ndarray  # of the ranks of each pair, columns x columns
+
+    def of(self, x: np.ndarray) -> dict:
+        here = ~np.isnan(x)
+        k = x.shape[1]
+        m = here.astype(np.float64)
+        state = {"n": m.T @ m, "ab": np.zeros((k, k)), "aa": np.zeros((k, k))}
+        own = [r[np.minimum(np.searchsorted(v, x[:, i]), len(v) - 1)] for i, (v, r) in enumerate(zip(self.values, self.ranks, strict=True))]
+        columns = {g: [i for i, h in enumerate(self.groups) if h == g] for g in self.groups}
+        for g, a in columns.items():
+            for h, b in columns.items():
+                both = here[:, a[0]] & here[:, b[0]]
+                center = self.mean[a[0], b[0]]
+                left = np.stack([np.where(both, own[i][:, h] - center, 0.0) for i in a], 1)
+                right = left if g == h else np.stack([np.where(both, own[i][:, g] - center, 0.0) for i in b], 1)
+                state["ab"][np.ix_(a, b)] = left.T @ right
+                state["aa"][np.ix_(a, b)] = (left * left).sum(0)[:, None]
+        return state
+
+    def merge(self, a: dict, b: dict) -> dict:
+        return {k: a[k] + b[k] for k in a}
+
+
+@dataclass
+class Several:
+    """Some kernels over the same rows, each with the number of first columns that it sees."""
+
+    kernels: list[tuple[object, int]]
+
+    def of(self, x: np.ndarray) -> list:
+        return [kernel.of(x[:, :n]) for kernel, n in self.kernels]
+
+    def merge(self, a: list, b: list) -> list:
+        return [kernel.merge(s, t) for (kernel, _), s, t in zip(self.kernels, a, b, strict=True)]
+
+
+@dataclass
+class Filled:
+    """A kernel over the rows with their gaps filled: numeric columns by a value (NaN: left as they are), then codes of levels by others."""
+
+    kernel: object
+    fills: list[float]
+    codes: list[np.ndarray]
+
+    def of(self, x: np.ndarray):
+        x = x.copy()
+        for i, v in enumerate(self.fills):
+            x[np.isnan(x[:, i]), i] = v
+        for i, code in enumerate(self.codes, len(self.fills)):
+            x[:, i] = code[x[:, i].astype(np.int64)]
+        return self.kernel.of(x)
+
+    def merge(self, a, b):
+        return self.kernel.merge(a, b)
+
+
 @dataclass
 class Wide:
     """What models read: numeric columns, then a 0/1 column for each level of a categorical column but the first."""

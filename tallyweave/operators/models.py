@@ -12,6 +12,7 @@ import math
 from collections.abc import Iterator
 from dataclasses import dataclass, field
 from functools import cached_property
+from typing import TYPE_CHECKING
 
 import numpy as np
 import pyarrow as pa
@@ -26,6 +27,9 @@ from tallyweave.operators.results import Assumption, result, signed
 from tallyweave.plans.batch import kept
 from tallyweave.session import ship
 
+if TYPE_CHECKING:
+    from tallyweave.operators.shared import Known
+
 LEAST_ROWS, ROWS_PER_TERM, SHAPIRO_ROWS, ALPHA = 10, 5, 5000, 0.05
 #: Bytes of the sums of all models that one scan carries; more (hundreds of columns) takes another scan.
 STATE_BYTES = 48 << 20
@@ -43,11 +47,13 @@ class Design:
     wide: matrix.Wide = field(repr=False)
 
 
-def widen(df: DataFrame, numeric: list[str], categorical: list[str]) -> matrix.Wide:
-    """Numeric columns as they are; a 0/1 column for each level of the others but the first in order (missing is a level, nan)."""
+def widen(df: DataFrame, numeric: list[str], categorical: list[str], met: list[list[str]] | None = None) -> matrix.Wide:
+    """Numeric columns as they are; a 0/1 column for each level of the others but the first in order (missing is a level, nan).
+    ``met``: the levels, if known."""
     wide = matrix.Wide({c: column(c).cast("double") for c in numeric})
     level = {c: F.coalesce(column(c).cast("string"), F.lit("nan")) for c in categorical}
-    met = df.agg(*(F.sort_array(F.collect_set(v)).alias(f"l{i}") for i, v in enumerate(level.values()))).first() if level else ()  # at most 50 levels each
+    if met is None:
+        met = df.agg(*(F.sort_array(F.collect_set(v)).alias(f"l{i}") for i, v in enumerate(level.values()))).first() if level else ()  # at most 50 levels each
     wide.terms |= wide.numeric
     for (c, v), levels in zip(level.items(), met, strict=True):
         wide.levels[c] = sorted(levels)
@@ -148,11 +154,19 @@ class Gram:
 
 def grams(df: DataFrame, wide: matrix.Wide, groups: list[list[str]]) -> list[Gram]:
     """Of each group of keys, all from one scan."""
+    got = matrix.fold(df, wide.inputs, scatter_of(wide, groups))
+    return grams_of(groups, got or [(0, np.zeros(len(g)), np.zeros((len(g), len(g)))) for g in groups])
+
+
+def scatter_of(wide: matrix.Wide, groups: list[list[str]]) -> matrix.Scatter:
     place = {k: i for i, k in enumerate(wide.keys)}
-    at = [np.array([place[k] for k in g], np.int64) for g in groups]
-    got = matrix.fold(df, wide.inputs, matrix.Scatter(len(wide.numeric), wide.sizes, at))
+    return matrix.Scatter(len(wide.numeric), wide.sizes, [np.array([place[k] for k in g], np.int64) for g in groups])
+
+
+def grams_of(groups: list[list[str]], got: list[tuple]) -> list[Gram]:
+    """From the state of ``scatter_of``."""
     out = []
-    for g, (n, mean, c) in zip(groups, got or [(0, np.zeros(len(g)), np.zeros((len(g), len(g)))) for g in groups], strict=True):
+    for g, (n, mean, c) in zip(groups, got, strict=True):
         scale = np.sqrt(np.maximum(np.diag(c), 0) / max(n, 1))
         flat = scale <= 1e-14 * np.abs(mean)  # a constant, but for rounding
         scale = np.where(flat | (scale == 0), 1.0, scale)
@@ -299,17 +313,17 @@ def _strongest(pairs: dict, outcome: str, others: list[str], n: int) -> list[str
     return sorted(strength, key=strength.get, reverse=True)[: max(1, min(len(strength), n // ROWS_PER_TERM - 1))]
 
 
-def regressions(df: DataFrame, numeric: list[str], categorical: list[str], n_total: int, charts: bool = True, row: Column | None = None) -> tuple[list[dict], list[dict]]:
-    """A model of each numeric column on all others, and its coefficients."""
+def regressions(df: DataFrame, numeric: list[str], categorical: list[str], n_total: int, charts: bool = True, row: Column | None = None, known: Known | None = None) -> tuple[list[dict], list[dict]]:
+    """A model of each numeric column on all others, and its coefficients. ``known``: what a shared scan found, if any."""
     if not numeric or len(numeric) + len(categorical) < 2:
         return [], []
-    wide = widen(df, numeric, categorical)
-    of = grams(df, wide, [wide.keys])
+    wide = known.wide if known else widen(df, numeric, categorical)
+    of = [known.gram] if known else grams(df, wide, [wide.keys])
     n_whole = of[0].n
     terms_of = {y: [t for t in wide.keys if t != y] for y in numeric}
     group, note, short = dict.fromkeys(numeric, 0), dict.fromkeys(numeric), [y for y in numeric if len(numeric) > 1 and n_whole < ROWS_PER_TERM * len(terms_of[y])]
     if short:
-        pairs = pair_moments(df, numeric)
+        pairs = known.moments if known else pair_moments(df, numeric)
         for y in short:
             terms_of[y] = _strongest(pairs, y, [c for c in numeric if c != y], n_whole)
             note[y] = f"only the {len(terms_of[y])} most correlated predictors were used, for want of rows"

@@ -8,7 +8,7 @@ A copy with filled gaps has the same counts, with its missing values counted at
 from __future__ import annotations
 
 from collections.abc import Iterator
-from dataclasses import dataclass
+from dataclasses import dataclass, field
 from functools import cached_property, reduce
 from itertools import combinations
 from typing import NamedTuple
@@ -19,7 +19,8 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from tallyweave.functions.text import column
-from tallyweave.operators.association import LEAST_LEVEL, sums_of_ranks
+from tallyweave.operators import matrix
+from tallyweave.operators.association import BROADCAST_CELLS, LEAST_LEVEL, sums_of_ranks
 from tallyweave.plans.batch import kept
 from tallyweave.session import ship
 from tallyweave.sources.frames import running_ranks
@@ -48,6 +49,7 @@ class Values:
     categorical: list[str]
     patterns: list[Pattern]
     table: DataFrame
+    fills: dict[str, object] = field(default_factory=dict)  # of a filled copy
 
     @cached_property
     def groups(self) -> list[tuple[int, str]]:
@@ -136,7 +138,7 @@ class Values:
         patterns = [Pattern(tuple(fills.get(name) if v is None else v for name, v in zip(self.categorical, p.levels, strict=True)), p.mask | full, p.n, p.met) for p in self.patterns]
         spark = self.table.sparkSession
         more = spark.createDataFrame([(c, float(fills[self.numeric[c]]), code, self.patterns[code].n) for c, code in lacking], "c int, v double, code int, n bigint")
-        return Values(self.numeric, self.categorical, patterns, self.table.unionByName(more))
+        return Values(self.numeric, self.categorical, patterns, self.table.unionByName(more), fills)
 
     def only(self, numeric: list[str]) -> Values:
         """The counts of some numeric columns."""
@@ -165,6 +167,45 @@ class Values:
         freq = self.long.join(F.broadcast(asked), ["c", "g"]).select(F.col("pair").alias("c"), "v", "level", "n")
         return sums_of_ranks(freq, pairs)
 
+    @property
+    def presence(self) -> list[int]:
+        """Columns that are missing in the same rows have the same number."""
+        seen = [tuple(p.has(c) for p in self.patterns) for c in range(len(self.numeric))]
+        return [list(dict.fromkeys(seen)).index(s) for s in seen]
+
+    @property
+    def shared_rows(self) -> np.ndarray:
+        """Rows that have both columns of a pair."""
+        m = np.array([[p.has(c) for c in range(len(self.numeric))] for p in self.patterns], np.float64)
+        return m.T @ (m * np.array([[p.n] for p in self.patterns], np.float64))
+
+    def rank_kernels(self, filled: Values) -> tuple[matrix.Ranks, matrix.Ranks] | None:
+        """Ranks of all values of the frame and of its filled copy, for ``matrix.Ranks``; None where the tables are too large to send."""
+        presence = self.presence
+        codes = [[code for code, p in enumerate(self.patterns) if p.has(presence.index(g))] for g in range(max(presence) + 1)]
+        counts = [F.sum("n").alias("all"), *(F.sum(F.when(F.col("code").isin(own), F.col("n")).otherwise(0)).alias(f"n{g}") for g, own in enumerate(codes))]
+        freq = kept(self.table.groupBy("c", "v").agg(*counts), "rank_values")
+        if freq.count() * (len(counts) + 2) > BROADCAST_CELLS:
+            return None
+        got = {n: a.to_numpy(zero_copy_only=False) for n, a in zip(freq.columns, freq.toArrow().combine_chunks().columns, strict=True)}
+        values, ranks, copies = [], [], []
+        for c in range(len(self.numeric)):
+            own = np.flatnonzero(got["c"] == c)
+            own = own[np.argsort(got["v"][own])]
+            v, n = got["v"][own], np.stack([got[k][own] for k in freq.columns[2:]], 1).astype(np.float64)
+            lacking = sum(q.n for p, q in zip(self.patterns, filled.patterns, strict=True) if q.has(c) and not p.has(c))
+            if lacking or not len(v):
+                fill = filled.fills.get(self.numeric[c], 0.0)
+                at = int(np.searchsorted(v, fill))
+                if at == len(v) or v[at] != fill:
+                    v, n = np.insert(v, at, fill), np.insert(n, at, 0.0, 0)
+                n[at, 0] += lacking
+            r = n.cumsum(0) - n / 2
+            values.append(v)
+            ranks.append(r[:, 1:])
+            copies.append(np.repeat(r[:, :1], max(filled.presence) + 1, 1))  # a filled column has all rows or none
+        return matrix.Ranks(values, ranks, presence, self.shared_rows / 2), matrix.Ranks(values, copies, filled.presence, filled.shared_rows / 2)
+
     def tables(self) -> dict[tuple[str, str], dict[tuple[str, str], int]]:
         """The counts (by pair of levels) of every pair of categorical columns over the rows that have both."""
         out: dict = {}

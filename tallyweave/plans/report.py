@@ -12,7 +12,7 @@ from pyspark.sql import functions as F
 
 import tallyweave
 from tallyweave.functions.text import column
-from tallyweave.operators import association, catalog, findings, modelling, models, quality, results, series
+from tallyweave.operators import association, catalog, findings, modelling, models, quality, results, series, shared
 from tallyweave.operators.values import Values, value_counts
 from tallyweave.plans.batch import kept
 from tallyweave.sources.frames import BadInput, Frame, from_csv, from_dataframe
@@ -50,23 +50,24 @@ class Report:
             spark.createDataFrame([(text,)], "value string").coalesce(1).write.mode("overwrite").text(f"{path}/{name}")
 
 
-def sweep(df: DataFrame, numeric: list[str], categorical: list[str], stats: dict, n_total: int, charts: bool = True, row=None, values: Values | None = None) -> list[dict]:
-    """All five families of tests on one frame, in their order. ``values``: the counts of its columns, if known."""
-    fitted, terms = models.regressions(df, numeric, categorical, n_total, charts, row)
-    return [*association.correlations(df, numeric, stats), *association.group_differences(df, numeric, categorical, values), *association.contingency(df, categorical, None, values), *fitted, *terms]
+def sweep(df: DataFrame, numeric: list[str], categorical: list[str], stats: dict, n_total: int, charts: bool = True, row=None, values: Values | None = None, known: shared.Known | None = None) -> list[dict]:
+    """All five families of tests on one frame, in their order. ``values``: the counts of its columns, ``known``: what a shared scan
+    found, if any."""
+    fitted, terms = models.regressions(df, numeric, categorical, n_total, charts, row, known)
+    return [*association.correlations(df, numeric, stats, known), *association.group_differences(df, numeric, categorical, values), *association.contingency(df, categorical, None, values), *fitted, *terms]
 
 
-def sweep_of_filled(df: DataFrame, numeric: list[str], categorical: list[str], stats: dict, n_total: int, gappy: set[str], before: list[dict], values: Values | None = None) -> list[dict]:
+def sweep_of_filled(df: DataFrame, numeric: list[str], categorical: list[str], stats: dict, n_total: int, gappy: set[str], before: list[dict], values: Values | None = None, known: shared.Known | None = None) -> list[dict]:
     """The same on a copy whose ``gappy`` columns are filled: tests of columns that had no gaps are those of ``before``. ``values``: the
-    counts of the copy, if known.
+    counts of the copy, ``known``: what a shared scan found, if any.
 
     A test of two columns without gaps reads the same values of the same rows. Models use the rows that have all columns, which
     change with any filled one, so all are made again.
     """
     filled, whole = [c for c in numeric if c in gappy], [c for c in numeric if c not in gappy]
     cats = [c for c in categorical if c in gappy]
-    fitted, terms = models.regressions(df, numeric, categorical, n_total, False)
-    made = association.correlations(df, numeric, stats) if filled else []
+    fitted, terms = models.regressions(df, numeric, categorical, n_total, False, known=known)
+    made = association.correlations(df, numeric, stats, known) if filled else []
     if values:
         tested = numeric if cats else filled
         made += association.group_differences(df, tested, categorical, values.only(tested)) + association.contingency(df, categorical, cats, values)
@@ -83,12 +84,13 @@ def sweeps(df: DataFrame, numeric: list[str], categorical: list[str], imputed: b
     values = value_counts(df, numeric, categorical)
     stats = values.stats() if values else catalog.numeric_stats(df, {c: column(c) for c in numeric})
     n = sum(p.n for p in values.patterns) if values else df.count()
-    primary = sweep(df, numeric, categorical, stats, n, charts=False, values=values)
+    fills = values.fill_values() if values and imputed else None
+    first, second = shared.known(df, values, fills)
+    primary = sweep(df, numeric, categorical, stats, n, charts=False, values=values, known=first)
     if not imputed:
         return primary, []
-    fills = values.fill_values() if values else None
     gappy = values.gappy() if values else modelling.gappy(df)
-    return primary, sweep_of_filled(modelling.imputed(df, numeric, categorical, fills), numeric, categorical, stats, n, gappy, primary, values and values.filled(fills))
+    return primary, sweep_of_filled(modelling.imputed(df, numeric, categorical, fills), numeric, categorical, stats, n, gappy, primary, values and values.filled(fills), second or first)
 
 
 def info() -> dict:
@@ -118,13 +120,14 @@ def analyze(spark: SparkSession, data: DataFrame | Frame, name: str = "table", r
     values = value_counts(work, numeric, categorical)
     gappy = values.gappy() if values else modelling.gappy(work.select(*map(column, names))) if names else set()
     gaps = bool(gappy)
-    primary = sweep(work, numeric, categorical, stats, n_rows, charts, row, values) if names else []
+    fills = values.fill_values() if values else None
+    first, second = shared.known(work, values, fills)
+    primary = sweep(work, numeric, categorical, stats, n_rows, charts, row, values, first) if names else []
     done = kept(findings.with_q(results.as_frame(spark, primary)), "results")
     filled = None
     if gaps:
-        fills = values.fill_values() if values else None
         other = kept(modelling.imputed(work, numeric, categorical, fills), "filled")
-        filled = kept(findings.with_q(results.as_frame(spark, sweep_of_filled(other, numeric, categorical, stats, n_rows, gappy, primary, values and values.filled(fills)))), "filled_results")
+        filled = kept(findings.with_q(results.as_frame(spark, sweep_of_filled(other, numeric, categorical, stats, n_rows, gappy, primary, values and values.filled(fills), second or first))), "filled_results")
     twins = kept(findings.with_twins(findings.candidates(done), filled), "candidates")
     found = findings.entries(twins, n_rows)
     if charts:

@@ -5,7 +5,7 @@ import pandas as pd
 import pytest
 
 from tallyweave.functions.text import column
-from tallyweave.operators import association, catalog, modelling, values
+from tallyweave.operators import association, catalog, matrix, modelling, models, shared, values
 from tallyweave.plans import registry, report
 
 NUM, CAT = ["a", "b", "c"], ["u", "v"]
@@ -66,3 +66,37 @@ def test_both_sweeps_count_the_rows_once(spark, sf_dir, monkeypatch):
     monkeypatch.setattr(catalog, "numeric_stats", no)
     found = registry.queries()["imputation_robustness"](spark, sf_dir).collect()
     assert {r["robustness"] for r in found} == {"stable"} and {tuple(r["vars"]) for r in found} <= {tuple(r["vars"]) for r in before}
+
+
+@pytest.mark.parametrize(("gaps", "cells"), [((), association.BROADCAST_CELLS), (("a", "c"), 0), (("a", "b", "c", "v"), association.BROADCAST_CELLS)])
+def test_one_scan_of_the_frame_and_of_its_copy(spark, monkeypatch, gaps, cells):
+    monkeypatch.setattr(values, "BROADCAST_CELLS", cells)
+    d = made(spark, rows(gaps=gaps).replace({"v": {"nan": "other"}})).cache()
+    counts = values.value_counts(d, NUM, CAT)
+    fills = counts.fill_values()
+    seen = []
+    fold = matrix.fold
+    monkeypatch.setattr(matrix, "fold", lambda *a: seen.append(type(a[2]).__name__) or fold(*a))
+    frames = zip((d, modelling.imputed(d, NUM, CAT)), shared.known(d, counts, fills), strict=True)
+    assert seen == ["Several"]
+    monkeypatch.undo()
+    for frame, got in frames:
+        if not gaps and frame is not d:
+            assert got is None
+            continue
+        assert (got.rhos is None) == (cells == 0)
+        stats = {"b": {"skew": 4.0}}
+        plain = association.correlations(frame, NUM, stats), *models.regressions(frame, NUM, CAT, 700, False)
+        quick = association.correlations(frame, NUM, stats, got), *models.regressions(frame, NUM, CAT, 700, False, known=got)
+        for one, other in zip(plain, quick, strict=True):
+            assert len(one) == len(other) > 2
+            for x, y in zip(one, other, strict=True):
+                assert [x[k] for k in ("kind", "vars", "n", "assumptions")] == [y[k] for k in ("kind", "vars", "n", "assumptions")]
+                assert [x[k] for k in ("statistic", "p_raw", "effect_value")] == pytest.approx([y[k] for k in ("statistic", "p_raw", "effect_value")], rel=1e-7, abs=1e-11)
+                assert [x["extra"].get(k) for k in ("spearman_rho", "pearson_r")] == pytest.approx([y["extra"].get(k) for k in ("spearman_rho", "pearson_r")], abs=1e-11)
+
+
+def test_a_missing_level_is_no_level_named_nan(spark):
+    d = made(spark, rows())
+    counts = values.value_counts(d, NUM, CAT)
+    assert shared.known(d, counts, counts.fill_values()) == (None, None) == shared.known(d, None, None)
