@@ -177,8 +177,8 @@ def grams_of(groups: list[list[str]], got: list[tuple]) -> list[Gram]:
     return out
 
 
-def fits(df: DataFrame, wide: matrix.Wide, wanted: dict[str, list[str]], of: list[Gram], group: dict[str, int]) -> dict[str, Fit]:
-    """A model for each outcome with its terms, each over the rows of its group's Gram matrix; one more scan for all of them."""
+def _solved(wide: matrix.Wide, wanted: dict[str, list[str]], of: list[Gram], group: dict[str, int]) -> tuple[dict, list[tuple], dict[str, matrix.Model]]:
+    """Coefficients and what ``_fit`` reads of each outcome, and groups and models for ``matrix.Residuals``."""
     made: dict = {}
     for y, terms in wanted.items():
         g = of[group[y]]
@@ -200,8 +200,24 @@ def fits(df: DataFrame, wide: matrix.Wide, wanted: dict[str, list[str]], of: lis
         sse = float(g[yi, yi] - g[yi, t] @ b)
         with_all = shared[group[y]] and len(t) + 1 == len(g) and sse > CLOSE_FIT * g[yi, yi]
         models[y] = matrix.Model(group[y], yi, np.array(t, np.int64), b, inner, sse if with_all else None)
-    sums: dict = {}
-    left = list(models)
+    return made, groups, models
+
+
+def residuals_of_all(wide: matrix.Wide, gram: Gram) -> matrix.Residuals | None:
+    """The kernel for the models of each numeric column on all others; None where rows are too few for these, or sums too large for one scan."""
+    k = len(gram.keys) - 1
+    if not k or gram.n < max(LEAST_ROWS, ROWS_PER_TERM * k, k + 2) or not np.isfinite(gram.products).all() or len(wide.numeric) * 4 * (k + 2) ** 2 > STATE_BYTES:
+        return None
+    _, groups, models = _solved(wide, {y: [t for t in gram.keys if t != y] for y in wide.numeric}, [gram], dict.fromkeys(wide.numeric, 0))
+    return matrix.Residuals(len(wide.numeric), wide.sizes, groups, list(models.values()), gram.n <= SHAPIRO_ROWS)
+
+
+def fits(df: DataFrame, wide: matrix.Wide, wanted: dict[str, list[str]], of: list[Gram], group: dict[str, int], known: dict[str, dict] | None = None) -> dict[str, Fit]:
+    """A model for each outcome with its terms, each over the rows of its group's Gram matrix; one more scan for all of them that
+    are not ``known`` from ``residuals_of_all``."""
+    made, groups, models = _solved(wide, wanted, of, group)
+    sums: dict = {y: s for y, s in (known or {}).items() if y in models and group[y] == 0}
+    left = [y for y in models if y not in sums]
     while left:
         some, size = [], 0
         while left and (not some or size + 4 * (len(models[left[0]].terms) + 2) ** 2 <= STATE_BYTES):
@@ -331,7 +347,7 @@ def regressions(df: DataFrame, numeric: list[str], categorical: list[str], n_tot
         group |= {y: i + 1 for i, y in enumerate(short)}
     rows = {y: of[group[y]].n for y in numeric}
     good = [y for y in numeric if terms_of[y] and rows[y] >= LEAST_ROWS and rows[y] > len(terms_of[y]) + 1 and np.isfinite(of[group[y]].products).all()]
-    solved = fits(df, wide, {y: terms_of[y] for y in good}, of, group) if good else {}
+    solved = fits(df, wide, {y: terms_of[y] for y in good}, of, group, known and known.sums) if good else {}
     frames = {y: complete(df, numeric if group[y] == 0 else [y, *terms_of[y]]) for y in good}
     shown: dict = {}
     if charts:

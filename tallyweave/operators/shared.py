@@ -1,4 +1,4 @@
-"""What correlations and models read of a frame and of its filled copy, from one scan of the frame."""
+"""What correlations and models read of a frame and of its filled copy, from one scan of the frame, and from a second one for residuals."""
 
 from __future__ import annotations
 
@@ -20,6 +20,16 @@ class Known:
     rhos: dict[tuple[str, str], tuple[int, float | None]] | None
     wide: matrix.Wide
     gram: models.Gram
+    sums: dict[str, dict] | None = None  # of the residuals of each numeric column's model on all others
+
+
+@dataclass
+class Read:
+    """A frame with the counts of its values and what shared scans found of it, if any."""
+
+    df: DataFrame
+    values: Values | None = None
+    known: Known | None = None
 
 
 def known(df: DataFrame, values: Values | None, fills: dict[str, object] | None) -> tuple[Known | None, Known | None]:
@@ -42,9 +52,15 @@ def known(df: DataFrame, values: Values | None, fills: dict[str, object] | None)
     if not fills:
         state = matrix.fold(df, wide[0].inputs, matrix.Several(parts[0]))
         return _known(values, wide[0], state, ranks[0] is not None), None
-    copy = matrix.Filled(matrix.Several(parts[1]), [float(filled.fills.get(c, np.nan)) for c in numeric], codes)
-    *own, other = matrix.fold(df, wide[0].inputs, matrix.Several([*parts[0], (copy, len(wide[0].inputs))]))
-    return tuple(_known(values, w, s, ranks[0] is not None) for w, s in zip(wide, (own, other), strict=True))
+    values_of, width = [float(filled.fills.get(c, np.nan)) for c in numeric], len(wide[0].inputs)
+    copy = matrix.Filled(matrix.Several(parts[1]), values_of, codes)
+    *own, other = matrix.fold(df, wide[0].inputs, matrix.Several([*parts[0], (copy, width)]))
+    first, second = (_known(values, w, s, ranks[0] is not None) for w, s in zip(wide, (own, other), strict=True))
+    kernels = [models.residuals_of_all(x.wide, x.gram) for x in (first, second)]
+    if all(kernels):
+        both = matrix.fold(df, wide[0].inputs, matrix.Several([(kernels[0], width), (matrix.Filled(kernels[1], values_of, codes), width)]))
+        first.sums, second.sums = (dict(zip(numeric, s, strict=True)) for s in both)
+    return first, second
 
 
 def _known(values: Values, wide: matrix.Wide, state: list, ranked: bool) -> Known:

@@ -13,7 +13,7 @@ from pyspark.sql import functions as F
 import tallyweave
 from tallyweave.functions.text import column
 from tallyweave.operators import association, catalog, findings, modelling, models, quality, results, series, shared
-from tallyweave.operators.values import Values, value_counts
+from tallyweave.operators.values import value_counts
 from tallyweave.plans.batch import kept
 from tallyweave.sources.frames import BadInput, Frame, from_csv, from_dataframe
 
@@ -50,20 +50,20 @@ class Report:
             spark.createDataFrame([(text,)], "value string").coalesce(1).write.mode("overwrite").text(f"{path}/{name}")
 
 
-def sweep(df: DataFrame, numeric: list[str], categorical: list[str], stats: dict, n_total: int, charts: bool = True, row=None, values: Values | None = None, known: shared.Known | None = None) -> list[dict]:
-    """All five families of tests on one frame, in their order. ``values``: the counts of its columns, ``known``: what a shared scan
-    found, if any."""
-    fitted, terms = models.regressions(df, numeric, categorical, n_total, charts, row, known)
-    return [*association.correlations(df, numeric, stats, known), *association.group_differences(df, numeric, categorical, values), *association.contingency(df, categorical, None, values), *fitted, *terms]
+def sweep(df: DataFrame | shared.Read, numeric: list[str], categorical: list[str], stats: dict, n_total: int, charts: bool = True, row=None) -> list[dict]:
+    """All five families of tests on one frame, in their order."""
+    of = df if isinstance(df, shared.Read) else shared.Read(df)
+    fitted, terms = models.regressions(of.df, numeric, categorical, n_total, charts, row, of.known)
+    return [*association.correlations(of.df, numeric, stats, of.known), *association.group_differences(of.df, numeric, categorical, of.values), *association.contingency(of.df, categorical, None, of.values), *fitted, *terms]
 
 
-def sweep_of_filled(df: DataFrame, numeric: list[str], categorical: list[str], stats: dict, n_total: int, gappy: set[str], before: list[dict], values: Values | None = None, known: shared.Known | None = None) -> list[dict]:
-    """The same on a copy whose ``gappy`` columns are filled: tests of columns that had no gaps are those of ``before``. ``values``: the
-    counts of the copy, ``known``: what a shared scan found, if any.
+def sweep_of_filled(df: DataFrame | shared.Read, numeric: list[str], categorical: list[str], stats: dict, n_total: int, gappy: set[str], before: list[dict]) -> list[dict]:
+    """The same on a copy whose ``gappy`` columns are filled: tests of columns that had no gaps are those of ``before``.
 
     A test of two columns without gaps reads the same values of the same rows. Models use the rows that have all columns, which
     change with any filled one, so all are made again.
     """
+    df, values, known = (df.df, df.values, df.known) if isinstance(df, shared.Read) else (df, None, None)
     filled, whole = [c for c in numeric if c in gappy], [c for c in numeric if c not in gappy]
     cats = [c for c in categorical if c in gappy]
     fitted, terms = models.regressions(df, numeric, categorical, n_total, False, known=known)
@@ -86,11 +86,12 @@ def sweeps(df: DataFrame, numeric: list[str], categorical: list[str], imputed: b
     n = sum(p.n for p in values.patterns) if values else df.count()
     fills = values.fill_values() if values and imputed else None
     first, second = shared.known(df, values, fills)
-    primary = sweep(df, numeric, categorical, stats, n, charts=False, values=values, known=first)
+    primary = sweep(shared.Read(df, values, first), numeric, categorical, stats, n, charts=False)
     if not imputed:
         return primary, []
     gappy = values.gappy() if values else modelling.gappy(df)
-    return primary, sweep_of_filled(modelling.imputed(df, numeric, categorical, fills), numeric, categorical, stats, n, gappy, primary, values and values.filled(fills), second or first)
+    copy = shared.Read(modelling.imputed(df, numeric, categorical, fills), values and values.filled(fills), second or first)
+    return primary, sweep_of_filled(copy, numeric, categorical, stats, n, gappy, primary)
 
 
 def info() -> dict:
@@ -122,12 +123,13 @@ def analyze(spark: SparkSession, data: DataFrame | Frame, name: str = "table", r
     gaps = bool(gappy)
     fills = values.fill_values() if values else None
     first, second = shared.known(work, values, fills)
-    primary = sweep(work, numeric, categorical, stats, n_rows, charts, row, values, first) if names else []
+    primary = sweep(shared.Read(work, values, first), numeric, categorical, stats, n_rows, charts, row) if names else []
     done = kept(findings.with_q(results.as_frame(spark, primary)), "results")
     filled = None
     if gaps:
         other = kept(modelling.imputed(work, numeric, categorical, fills), "filled")
-        filled = kept(findings.with_q(results.as_frame(spark, sweep_of_filled(other, numeric, categorical, stats, n_rows, gappy, primary, values and values.filled(fills), second or first))), "filled_results")
+        copy = shared.Read(other, values and values.filled(fills), second or first)
+        filled = kept(findings.with_q(results.as_frame(spark, sweep_of_filled(copy, numeric, categorical, stats, n_rows, gappy, primary))), "filled_results")
     twins = kept(findings.with_twins(findings.candidates(done), filled), "candidates")
     found = findings.entries(twins, n_rows)
     if charts:

@@ -78,7 +78,7 @@ def test_one_scan_of_the_frame_and_of_its_copy(spark, monkeypatch, gaps, cells):
     fold = matrix.fold
     monkeypatch.setattr(matrix, "fold", lambda *a: seen.append(type(a[2]).__name__) or fold(*a))
     frames = zip((d, modelling.imputed(d, NUM, CAT)), shared.known(d, counts, fills), strict=True)
-    assert seen == ["Several"]
+    assert seen == ["Several"] * (2 if gaps else 1)
     monkeypatch.undo()
     for frame, got in frames:
         if not gaps and frame is not d:
@@ -96,6 +96,15 @@ def test_one_scan_of_the_frame_and_of_its_copy(spark, monkeypatch, gaps, cells):
                 assert [x["extra"].get(k) for k in ("spearman_rho", "pearson_r")] == pytest.approx([y["extra"].get(k) for k in ("spearman_rho", "pearson_r")], abs=1e-11)
 
 
+def test_the_sweeps_read_the_rows_in_four_passes(spark, sf_dir, monkeypatch):
+    seen = []
+    fold, counted = matrix.fold, values.value_counts
+    monkeypatch.setattr(matrix, "fold", lambda *a: seen.append(type(a[2]).__name__) or fold(*a))
+    monkeypatch.setattr(report, "value_counts", lambda *a: seen.append("patterns and values") or counted(*a))
+    found = registry.queries()["caveats"](spark, sf_dir).collect()
+    assert found and seen == ["patterns and values", "Several", "Several"]
+
+
 def test_a_missing_level_is_no_level_named_nan(spark):
     d = made(spark, rows())
     counts = values.value_counts(d, NUM, CAT)
